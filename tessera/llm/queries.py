@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_counts, topk
+from . import mixing, token_counts, token_files, topk
 
 QUERIES = {
+    "op2_token_files": token_files.op2_token_files,
+    "op5_mixing": mixing.op5_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_exact_topk": topk.op10_exact_topk,
 }
