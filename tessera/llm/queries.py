@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts, token_files, topk
+from . import mixing, simhash, token_counts, token_files, topk
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_token_files": token_files.op2_token_files,
     "op5_mixing": mixing.op5_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
