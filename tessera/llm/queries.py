@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, token_counts, token_files, topk
+from . import mixing, quality, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_files": token_files.op2_token_files,
     "op5_mixing": mixing.op5_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op9_quality": quality.op9_quality,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 SQL = {
+    "op9_quality": quality.op9_quality,
     "op10_exact_topk": topk.OP10_SQL,
 }
