@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, token_counts, token_files, topk
+from . import mixing, pieces, quality, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_files": token_files.op2_token_files,
+    "op3_pieces": pieces.op3_pieces,
     "op5_mixing": mixing.op5_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_quality": quality.op9_quality,
