@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality, simhash, token_counts, token_files, topk
+from . import lattice, mixing, pieces, quality, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_token_files": token_files.op2_token_files,
     "op3_pieces": pieces.op3_pieces,
+    "op4_lattice": lattice.op4_lattice,
     "op5_mixing": mixing.op5_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op9_quality": quality.op9_quality,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_lattice": lattice.OP4_SQL,
     "op9_quality": quality.op9_quality,
     "op10_exact_topk": topk.OP10_SQL,
 }

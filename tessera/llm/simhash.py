@@ -205,7 +205,7 @@ def sorted_groups(it, keys: list[str], columns: list[str]):
     carry = None
     for b in it:
         now = {c: b.column(b.schema.get_field_index(c)) for c in [*keys, *columns]}
-        now = {c: (v.to_numpy(zero_copy_only=False) if not pa.types.is_list(v.type) else np.array(v.values).reshape(len(v), -1)) for c, v in now.items()}
+        now = {c: (v.to_numpy(zero_copy_only=False) if not pa.types.is_list(v.type) else v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)) for c, v in now.items()}
         if carry is not None:
             now = {c: np.concatenate([carry[c], v]) for c, v in now.items()}
         if not len(now[keys[0]]):
