@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lattice, mixing, pieces, quality, simhash, token_counts, token_files, topk
+from . import katz, lattice, mixing, pieces, quality, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,12 +11,14 @@ QUERIES = {
     "op4_lattice": lattice.op4_lattice,
     "op5_mixing": mixing.op5_mixing,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_katz": katz.op8_katz,
     "op9_quality": quality.op9_quality,
     "op10_exact_topk": topk.op10_exact_topk,
 }
 
 SQL = {
     "op4_lattice": lattice.OP4_SQL,
+    "op8_katz": katz.op8_katz,
     "op9_quality": quality.op9_quality,
     "op10_exact_topk": topk.OP10_SQL,
 }
