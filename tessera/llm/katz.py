@@ -370,14 +370,16 @@ def score_texts(docs: DataFrame, *, mod: int = 7, rest: int = 2, id_col: str = "
     words = materialize(asked.groupBy("bucket").applyInArrow(_count_words, f"slice_id long, path string, bucket long, blob binary, types long, tokens long, {counts}"), "katz-unigrams")
     s = words.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "types", *_R))).first()
     uni = Unigrams(int(s["tokens"]), int(s["types"]), [int(s[x]) for x in _R])
-    pairs = words.groupBy("slice_id").applyInArrow(_request_pairs(uni.tokens, buckets), request)
+    # A slice's rows are small and its work is not: a number of partitions keeps AQE from merging slices.
+    slices = max(1, min(words.select("slice_id").distinct().count(), 100_000))
+    pairs = words.repartition(slices, "slice_id").groupBy("slice_id").applyInArrow(_request_pairs(uni.tokens, buckets), request)
     answers = materialize(pairs.groupBy("bucket").applyInArrow(_count_pairs(uni), f"slice_id long, path string, bucket long, blob binary, hot long, total long, seen double, m array<long>, {counts}"), "katz-bigrams")
     n = answers.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _R)).first()
     # At most HOT_SHARE contexts hold 1 / HOT_SHARE of the tokens each, and the begin mark: the bound on this table.
     hot_rows = answers.where("hot is not null").groupBy("hot").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"), *(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(CUTOFF))).collect()
     hot = {r["hot"]: (r["total"], r["seen"], [r[f"m{i}"] for i in range(CUTOFF)]) for r in hot_rows}
     both = words.select("slice_id", "path", "bucket", "blob", F.lit(1).alias("kind")).unionByName(answers.where("slice_id is not null").select("slice_id", "path", "bucket", "blob", F.lit(2).alias("kind")))
-    return both.groupBy("slice_id").applyInArrow(_score_slice(uni, discounts([int(n[x]) for x in _R]), hot, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.repartition(slices, "slice_id").groupBy("slice_id").applyInArrow(_score_slice(uni, discounts([int(n[x]) for x in _R]), hot, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

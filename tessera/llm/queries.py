@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import katz, lattice, mixing, pieces, quality, simhash, token_counts, token_files, topk
+from . import katz, lattice, licenses, mixing, pieces, quality, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pieces": pieces.op3_pieces,
     "op4_lattice": lattice.op4_lattice,
     "op5_mixing": mixing.op5_mixing,
+    "op6_licenses": licenses.op6_licenses,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_katz": katz.op8_katz,
     "op9_quality": quality.op9_quality,
