@@ -212,7 +212,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         {"doc_id": pa.array([x[0] for x in part], pa.int64()), "start": pa.array([x[1] + start for x in part], pa.int64()), "n_tokens": pa.array([x[2] for x in part], pa.int64()), "ids_crc32": pa.array([x[3] for x in part], pa.int64())}
                     )
 
-    spread = manifest.select("path", "start", "shard").repartition("shard").select("path", "start")
+    # The rows are tiny and the work behind them is not: a number of partitions keeps AQE from merging them.
+    spread = manifest.select("path", "start", "shard").repartition(max(1, min(manifest.count(), 10_000)), "shard").select("path", "start")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
