@@ -211,20 +211,6 @@ def last_assistant(messages: Column) -> Column:
     return F.coalesce(_last(F.filter(messages, lambda m: m["role"] == "assistant"))["content"], F.lit(""))
 
 
-def described_transforms(text: Column) -> Column:
-    """Transform names that a description mentions."""
-    low = F.lower(text)
-    names = {"rotate": ("rotat",), "flip": ("flip", "mirror"), "crop": ("crop", "zoom"), "brightness": ("bright",), "contrast": ("contrast",), "grayscale": ("grayscale", "greyscale")}
-
-    def hit(words):
-        out = F.lit(False)
-        for w in words:
-            out = out | F.contains(low, F.lit(w))
-        return out
-
-    return F.filter(F.array(*(F.when(hit(w), F.lit(n)) for n, w in names.items())), lambda x: x.isNotNull())
-
-
 def passages_text(passages: Column) -> Column:
     """Numbered passages: ``Doc 1(Title: ...) text`` with the title as the first line of the content."""
     n = F.transform(passages, lambda p, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit("(Title: "), F.split(p, "\n")[0], F.lit(") "), F.regexp_replace(p, r"^[^\n]*\n?", ""), F.lit("\n")))

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import best_iou
 
-CORE = ("rotate90", "rotate180", "rotate270", "flip_horizontal", "flip_vertical", "crop")
+CORE = ("rotate_90", "rotate_180", "rotate_270", "flip_horizontal", "flip_vertical", "crop")
 
 
 def expected_transforms(required: Column) -> Column:
     """Inverse of the required transforms: rotations turn back (only quarter turns stay), others are themselves."""
 
     def one(r):
-        back = ((360 - F.regexp_extract(r, r"^rotate(\d+)$", 1).try_cast("int")) % 360).cast("string")
-        return F.when(r.rlike(r"^rotate\d+$"), F.when(back.isin("90", "180", "270"), F.concat(F.lit("rotate"), back))).otherwise(r)
+        back = ((360 - F.regexp_extract(r, r"^rotate_(\d+)$", 1).try_cast("int")) % 360).cast("string")
+        return F.when(r.rlike(r"^rotate_\d+$"), F.when(back.isin("90", "180", "270"), F.concat(F.lit("rotate_"), back))).otherwise(r)
 
     return F.array_distinct(F.filter(F.transform(F.coalesce(required, F.array().cast("array<string>")), one), lambda x: x.isNotNull()))
 

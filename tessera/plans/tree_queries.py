@@ -88,7 +88,7 @@ r AS (SELECT *, CASE WHEN wo > 0 THEN greatest(coalesce(ct / nullif(wt, 0), 0) -
 f AS (SELECT *, CASE WHEN correct THEN 1.0 ELSE 0.0 END * CASE WHEN mand < 0.1 THEN mand ELSE 1 END AS acc, CASE WHEN NOT mand < 0.1 AND correct AND used_any AND cw < 2 THEN gain ELSE 0 END AS nec, CASE WHEN cnt >= 2 THEN cnt - 2 ELSE 0 END AS pen FROM r)
 SELECT uid, n, p, s, e, round(mand, 6) AS r_mandatory, round(nec, 6) AS r_necessity, round(acc + 0.1 + 0.5 * mand + 0.3 * nec - 0.1 * pen, 6) AS r_total FROM f""")
 def tool_reward(spark, d):
-    t = boxes(spark, d).withColumns({"used": F.when(F.col("used_any"), F.array(F.lit("rotate270"))).otherwise(F.array().cast("array<string>")), "required": F.array(F.lit("rotate90"), F.lit("crop")), "truth_box": F.col("a"), "boxes": F.array("b"), "code_count": F.col("cnt"), "format_reward": F.lit(1.0)})
+    t = boxes(spark, d).withColumns({"used": F.when(F.col("used_any"), F.array(F.lit("rotate_270"))).otherwise(F.array().cast("array<string>")), "required": F.array(F.lit("rotate_90"), F.lit("crop")), "truth_box": F.col("a"), "boxes": F.array("b"), "code_count": F.col("cnt"), "format_reward": F.lit(1.0)})
     r = toolreward.tool_reward(t)
     return r.select("uid", "n", "p", "s", "e", *(F.round(c, 6).alias(c) for c in ("r_mandatory", "r_necessity", "r_total")))
 
@@ -102,10 +102,10 @@ def box_pixels(spark, d):
     return b.select("k", "n", "p", F.col("b")[0].alias("x1"), F.col("b")[1].alias("y1"))
 
 
-@query("expected_transforms", "SELECT p_partkey, array_to_string(list_filter(list_distinct(CASE p_size % 3 WHEN 0 THEN ['rotate270'] WHEN 1 THEN ['crop'] ELSE [] END), lambda x: x IS NOT NULL), ',') AS expected FROM part")
+@query("expected_transforms", "SELECT p_partkey, array_to_string(list_filter(list_distinct(CASE p_size % 3 WHEN 0 THEN ['rotate_270'] WHEN 1 THEN ['crop'] ELSE [] END), lambda x: x IS NOT NULL), ',') AS expected FROM part")
 def expected_transforms(spark, d):
     k = F.col("p_size") % 3
-    required = F.when(k == 0, F.array(F.lit("rotate90"), F.lit("rotate45"))).when(k == 1, F.array(F.lit("crop"), F.lit("crop"))).otherwise(F.array(F.lit("rotate30")))
+    required = F.when(k == 0, F.array(F.lit("rotate_90"), F.lit("rotate_45"))).when(k == 1, F.array(F.lit("crop"), F.lit("crop"))).otherwise(F.array(F.lit("rotate_30")))
     return table(spark, d, "part").select("p_partkey", F.array_join(toolreward.expected_transforms(required), ",").alias("expected"))
 
 

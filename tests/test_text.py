@@ -90,7 +90,7 @@ def test_ocr_and_boxes(spark):
     assert one(spark, geometry.box_from_points(F.array(box(0.5, 1.5), box(2.5, 9))))[0] == [0, 2, 2, 9]
     assert one(spark, geometry.zoom_box(box(10, 10, 12, 12), F.lit(100), F.lit(100)))[0] == [0, 0, 28, 28] and one(spark, geometry.zoom_box(box(5, 5, 5, 9), F.lit(9), F.lit(9)))[0] is None
     assert one(spark, geometry.frame_positions(F.lit(10), F.lit(4)))[0] == [0, 3, 6, 9] and one(spark, geometry.frame_positions(F.lit(10), F.lit(1)))[0] == [0]
-    assert one(spark, toolreward.expected_transforms(F.array(F.lit("rotate90"), F.lit("rotate45"), F.lit("crop"), F.lit("crop"))))[0] == ["rotate270", "crop"]
+    assert one(spark, toolreward.expected_transforms(F.array(F.lit("rotate_90"), F.lit("rotate_45"), F.lit("crop"), F.lit("crop"))))[0] == ["rotate_270", "crop"]
 
 
 def test_trajectories(spark):
