@@ -20,6 +20,7 @@ from .util import WORD, materialize
 BLOCK_WORDS = 32
 SHARD_DOCS = 1024
 SEED = 20240917
+BROADCAST_SOURCES = 10_000
 
 
 def source_targets(sizes: list[int], weights: list[float], budget: float, cap: float) -> list[float]:
@@ -139,6 +140,8 @@ def mix(docs: DataFrame, *, weights: dict | None = None, share: float = 1.0, cap
         [(i, s, sizes[i], targets[i], int(seats[i]), max(1, -(-per_source[s][0] // shard_docs))) for i, s in enumerate(names)],
         "source_no long, name string, source_size long, target double, seats long, shards long",
     )
+    # One row per source: broadcast while that is few, else written, so that the planner knows its size.
+    config = F.broadcast(config) if len(names) <= BROADCAST_SOURCES else materialize(config, "mix-config")
     keyed = sized.join(config, sized.source.eqNullSafe(config.name)).select("doc_id", "size", "source_no", "source_size", "target", "seats", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "shards").alias("shard"))
 
     def quotas(t: pa.Table) -> pa.Table:
