@@ -312,7 +312,8 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     found = near_duplicates(docs, **settings)
     kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows_of_id"))
     kept = materialize(kept, "simhash-kept")
-    out = docs.join(kept.select("kept_id"), F.col(id_col) == F.col("kept_id"), "left_semi")
+    # Ids are joined to texts by a shuffled hash join at every size: the texts are dealt once and never sorted.
+    out = docs.join(kept.select("kept_id").hint("shuffle_hash"), F.col(id_col) == F.col("kept_id"), "left_semi")
     if not kept.where("rows_of_id > 1").isEmpty():
         out = out.dropDuplicates([id_col])
     return out.unionByName(docs.where(F.col(id_col).isNull()))
