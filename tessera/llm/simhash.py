@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components, group_runs, local_roots
+from .mixing import _mixed
 from .util import lower_ascii_py, materialize, words_py
 
 SEED = 42
@@ -30,23 +31,31 @@ PROBE_COST, PAIR_COST = 3.0, 0.02
 BLOCK_ROWS = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _SUB = 1 << 24
+#: For links by similarity: the fingerprint and the first of SKETCHES further ones are probed to distance WIDE, and
+#: pairs are verified on all together; they may differ in SLACK bits more than the similarity gives on average.
+WIDE, SKETCHES, SLACK = 12, 3, 8
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash: bit b is set when it is set in over half of the shingles' XXH64 (repeats counted)."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included; the whole sequence if it is shorter than a shingle."""
     words = words_py(lower_ascii_py(text or ""))
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = " ".join(words).encode("utf-8", "surrogatepass")
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], dtype=np.uint64)
     size = np.fromiter(map(len, joined.split(b" ")), dtype=np.int64, count=len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
     n = len(words) - shingle + 1
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(start[:n].tolist(), end[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
-    grid = h.view(np.uint8).reshape(n, 8)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(start[:n].tolist(), end[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
+
+
+def vote(h: np.ndarray) -> int:
+    """64-bit SimHash: bit b is set when it is set in over half of the hashes; no hashes give 0."""
+    n = len(h)
+    grid = np.ascontiguousarray(h).view(np.uint8).reshape(n, 8)
     if n < 256:
         ones = np.unpackbits(grid, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     else:
@@ -54,15 +63,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (fp: the 64 bits as a signed long), one row per row of ``docs``; null texts are empty."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return vote(shingle_hashes(text, shingle, seed))
+
+
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, sketches: int = 0) -> DataFrame:
+    """``doc_id, fp`` (fp: the 64 bits as a signed long), one row per row of ``docs``; null texts are empty.
+    ``sketches`` further fingerprints s0, s1, ... come from the same hashes, mixed anew."""
+    names = ["fp", *(f"s{k}" for k in range(sketches))]
 
     def run(it):
         for b in it:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            got = np.zeros((b.num_rows, 1 + sketches), dtype=np.uint64)
+            for i, t in enumerate(b.column(1)):
+                h = shingle_hashes(t.as_py(), shingle, seed)
+                got[i, 0] = vote(h)
+                for k in range(sketches):
+                    got[i, 1 + k] = vote(_mixed(h ^ np.uint64(k + 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(1 + sketches))], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -157,29 +177,31 @@ def _values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def probes(layout: list[tuple[list[int], int]], homes_only: bool = False) -> Callable:
-    """Arrow function from ``fp, node`` to ``key, side, fp, node``: the home row of every partition (side 0) and
-    its variants within the threshold (side 1). Of two fingerprints the one with the smaller value probes."""
+def probes(layout: list[tuple[list[int], int]], homes_only: bool = False, carry: tuple[str, ...] = ()) -> Callable:
+    """Arrow function from ``fp, node`` and carried columns to ``key, side`` and the same: the home row of every
+    partition (side 0) and its variants within the threshold (side 1). Of two fingerprints the one with the
+    smaller value probes. The first carried column, if any, is probed like the fingerprint, under its own keys."""
     masks = [[sum(1 << b for b in c) for k in range(1, t + 1) for c in itertools.combinations(range(len(bits)), k)] for bits, t in layout]
+    names = ["key", "side", "fp", "node", *carry]
 
-    def emit(key, side, fp, node):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, dtype=np.int8)), pa.array(fp), pa.array(node)], ["key", "side", "fp", "node"])
+    def emit(key, side, columns):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, dtype=np.int8)), *map(pa.array, columns)], names)
 
     def run(it):
         for b in it:
-            all_fp, all_node = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            for k in range(0, len(all_fp), 16384):
-                fp, node = all_fp[k : k + 16384], all_node[k : k + 16384]
-                for g, (bits, _) in enumerate(layout):
-                    v = _values(fp.view(np.uint64), bits)
-                    base = g << 40
-                    yield emit(base | v, 0, fp, node)
+            every = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2 + len(carry))]
+            for k in range(0, b.num_rows, 16384):
+                columns = [x[k : k + 16384] for x in every]
+                for (t, of), (g, (bits, _)) in itertools.product(enumerate([0] if not carry else [0, 2]), enumerate(layout)):
+                    v = _values(columns[of].view(np.uint64), bits)
+                    base = (64 * t + g) << 40
+                    yield emit(base | v, 0, columns)
                     if homes_only:
                         continue
                     for part in range(0, len(masks[g]), 32):
                         w = v[:, None] ^ np.array(masks[g][part : part + 32], dtype=np.int64)[None, :]
                         r, c = np.nonzero(w > v[:, None])
-                        yield emit(base | w[r, c], 1, fp[r], node[r])
+                        yield emit(base | w[r, c], 1, [x[r] for x in columns])
 
     return run
 
@@ -255,10 +277,21 @@ def with_blocks(rows: DataFrame, homes: DataFrame, block_rows: int = BLOCK_ROWS)
     return joined.select(*keep, F.explode(dealt).alias("d")).select(*keep, "d.sub", "d.side")
 
 
-def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def allowed_bits(similarity: float, bits: int, slack: int = SLACK) -> int:
+    """Differing bits of SimHashes of ``bits`` bits at a Jaccard similarity of shingles: the angle of sets of equal
+    size that share it, plus ``slack``."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi) + slack
+
+
+def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int = SHINGLE, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, fp, component_id`` (smallest id reachable over links of at most
     ``distance`` differing bits, itself included).
 
+    With ``similarity`` (a Jaccard similarity of shingles) links are wider: pairs whose fingerprints, or whose first
+    further sketches, differ in at most ``WIDE`` bits are candidates, and a pair links if all sketches, 256 bits
+    together, differ in no more bits than ``allowed_bits`` gives. This finds by estimate what the similarity asks
+    for.
+
     Null and wordless texts have fingerprint 0 and link like any other; a text of fewer words than a shingle
     is one shingle. Repeated ids and repeated texts are fine. Rows with a null id get a fingerprint, link
     nothing and have a null component. Other columns are ignored; an empty table gives no rows.
@@ -268,19 +301,33 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
     leaves it. A bucket too large for one task is dealt as block pairs. Nothing but 2081 bit sums reaches the
     driver.
     """
-    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    nodes = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "simhash-nodes")
+    extra = tuple(f"s{k}" for k in range(SKETCHES)) if similarity is not None else ()
+    if similarity is not None:
+        distance = WIDE
+    most = allowed_bits(similarity, 64 * (1 + len(extra))) if similarity is not None else distance
+    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, sketches=len(extra)), "fingerprints")
+    nodes = materialize(fps.where("doc_id is not null").groupBy("fp", *extra).agg(F.min("doc_id").alias("node")).select("fp", "node", *extra), "simhash-nodes")
     n, both = bit_statistics(nodes)
     layout = plan(n, both, distance)
-    schema = "key long, side byte, fp long, node long"
-    rows = with_blocks(nodes.mapInArrow(probes(layout), schema), nodes.mapInArrow(probes(layout, True), schema))
+    schema = "key long, side byte, fp long, node long" + "".join(f", {c} long" for c in extra)
+    rows = with_blocks(nodes.mapInArrow(probes(layout, carry=extra), schema), nodes.mapInArrow(probes(layout, True, extra), schema))
 
     def verify(it):
-        for g in sorted_groups(it, ["key", "sub"], ["side", "fp", "node"]):
+        for g in sorted_groups(it, ["key", "sub"], ["side", "fp", "node", *extra]):
             fp, node = g["fp"].astype(np.int64).view(np.uint64), g["node"]
+            more = [g[c].astype(np.int64).view(np.uint64) for c in extra]
             left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for i, j in group_pairs(g):
-                near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
+                bits = np.bitwise_count(fp[i] ^ fp[j])
+                near = bits <= distance
+                if more:
+                    second = np.bitwise_count(more[0][i] ^ more[0][j])
+                    at = np.flatnonzero(near | (second <= distance))
+                    total = bits[at].astype(np.int64) + second[at]
+                    for x in more[1:]:
+                        total += np.bitwise_count(x[i[at]] ^ x[j[at]])
+                    near = np.zeros(len(i), dtype=bool)
+                    near[at[total <= most]] = True
                 if near.any():
                     i, j = i[near], j[near]
                     root = local_roots(len(fp), i, j) if len(i) > 4096 else None
@@ -298,8 +345,8 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
     # Few bits of the key spread badly under a plain hash of (key, sub); the sort keeps groups whole.
     edges = rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "side").mapInArrow(verify, "a long, b long")
     linked = components(edges)
-    classes = nodes.join(linked, "node", "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "node").alias("component"))
-    found = fps.join(classes, fps.fp == classes.class_fp, "left")
+    classes = nodes.join(linked, "node", "left").select(*(F.col(c).alias(f"class_{c}") for c in ("fp", *extra)), F.coalesce("component", "node").alias("component"))
+    found = fps.join(classes, [F.col(c) == F.col(f"class_{c}") for c in ("fp", *extra)], "left")
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 

@@ -17,11 +17,13 @@ def test_pipeline(spark):
     got = corpus_pipeline.quality_filter(spark, docs, SF)
     assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [r.doc_id for r in kept]
 
-    fps = [simhash.fingerprint(r.text, 5) for r in kept]
+    hashes = [simhash.shingle_hashes(r.text, 5) for r in kept]
+    fps = [[simhash.vote(h), *(simhash.vote(mixing._mixed(h ^ np.uint64(k + 1))) for k in range(simhash.SKETCHES))] for h in hashes]
     root = list(range(len(kept)))
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            bits = [(a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)]
+            if min(bits[:2]) <= simhash.WIDE and sum(bits) <= simhash.allowed_bits(0.8, 256):
                 a, b = root[i], root[j]
                 root = [min(a, b) if x in (a, b) else x for x in root]
     one = [r for i, r in enumerate(kept) if root[i] == i]
@@ -39,3 +41,18 @@ def test_pipeline(spark):
     codec = pieces.PieceCodec(tokens.tokenizer_path("piece_bpe_32k.model"))
     text = {r.doc_id: r.text for r in one}
     assert all(codec.decode(r.piece_ids) == text[r.doc_id] and r.n_pieces == len(r.piece_ids) for r in out)
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Copies with a few words changed are dropped; documents with nothing in common are kept."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base = [[word() for _ in range(240)] for _ in range(30)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    for i, b in enumerate(base):
+        copy = list(b)
+        for at in rng.choice(240, 3, replace=False):
+            copy[at] = word()
+        rows.append((100 + i, " ".join(copy)))
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
