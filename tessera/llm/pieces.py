@@ -28,7 +28,7 @@ from .tokens import tokenizer_path
 from .util import crc32_py
 
 DROPOUT, VARIANTS, SEED = 0.1, 4, 20240917
-MEMO_CHUNKS, MEMO_CHARS = 500_000, 48
+MEMO_CHUNKS, MEMO_CHARS, BATCH_DOCS = 1_000_000, 48, 500
 SPACE = "▁"
 
 _loaded: dict[tuple, "PieceCodec"] = {}
@@ -55,131 +55,183 @@ class PieceCodec:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece[text] = (-sp.get_score(i), i)
                 self.out[i] = text.replace(SPACE, " ").encode()
-        self.score = {p: x for p, (x, _) in self.piece.items()}
+        # Every way to join two pieces to a third: (left id, right id) to the rank of the result by score.
+        ranked = sorted(self.piece.values())
+        self.of_rank, self.none = [i for _, i in ranked], len(ranked)
+        rank = {i: r for r, i in enumerate(self.of_rank)}
+        ids = {p: i for p, (_, i) in self.piece.items()}
+        self.merge = {(ids[p[:k]], ids[p[k:]]): rank[i] for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        self.char = {p: i for p, i in ids.items() if len(p) == 1 and p != SPACE} | ({" ": ids[SPACE]} if SPACE in ids else {})
         if len(self.byte_id) < 256:
             raise ValueError("the model has no byte fallback, so decoding would not be lossless")
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.piece):
             raise ValueError("a piece reaches across a word border")
         lines = not any("\n" in p for p in self.piece)
         self.cut = re.compile("\n| *[^ \n]+| +" if lines else " *[^ ]+| +")
-        self.inner = {(a, b) for p in self.piece for a, b in zip(p, p[1:])}
         self.memo: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.parts: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.size = 0
-
-    def _symbols(self, chunk: str) -> list[str]:
-        # U+2581 in the text itself stays apart from the space marker: it is written in bytes.
-        return [SPACE if c == " " else "\0" + c if c == SPACE else c for c in chunk]
+        keys = np.array([a << 20 | b for a, b in self.merge], dtype=np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.merge.values()), dtype=np.int64)[order]
+        self.rank_ids = np.array(self.of_rank, dtype=np.int64)
+        self.char_table = -np.arange(0x110000, dtype=np.int64) - 1
+        for c, i in self.char.items():
+            self.char_table[ord(c)] = i
+
+    def _symbols(self, chunk: str) -> list[int]:
+        """Ids of single characters; those outside the vocabulary are negative and never merge. U+2581 in the
+        text itself stays apart from the space marker: it is written in bytes."""
+        get = self.char.get
+        return [get(c) or -ord(c) - 1 for c in chunk]
 
     def _ids(self, symbols) -> bytes:
-        piece, ids = self.piece, []
+        ids: list[int] = []
         for s in symbols:
-            if s in piece:
-                ids.append(piece[s][1])
+            if s >= 0:
+                ids.append(s)
             else:
-                ids += [self.byte_id[b] for b in (s[1:] if len(s) > 1 and s[0] == "\0" else s).encode("utf-8", "surrogatepass")]
+                ids += [self.byte_id[b] for b in chr(-s - 1).encode("utf-8", "surrogatepass")]
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
-    def _chunk(self, chunk: str, variant: int) -> bytes:
-        """Ids of a chunk: it is cut at neighbours that no piece holds, so that no merge could reach across."""
-        inner, out, a = self.inner, [], 0
-        marked = chunk.replace(" ", SPACE)
-        for i, pair in enumerate(zip(marked, marked[1:]), 1):
-            if pair not in inner:
-                out.append(self._part(chunk[a:i], variant))
-                a = i
-        out.append(self._part(chunk[a:], variant))
-        return b"".join(out)
-
-    def _part(self, chunk: str, variant: int) -> bytes:
-        got = self.parts[variant].get(chunk)
-        if got is None:
-            got = self._agenda(chunk, variant)
-            if len(chunk) <= MEMO_CHARS:
-                self.parts[variant][chunk] = got
-        return got
-
-    def _agenda(self, chunk: str, variant: int) -> bytes:
-        """Candidate merges come up by best score, then leftmost; a keyed hash of the span skips some. A short
-        chunk's agenda is a list that is searched, a long one's a heap."""
-        sym = self._symbols(chunk)
-        limit = self.limit
-        key = xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 31 + variant) if limit else 0
-        if len(sym) > 48:
-            return self._long(sym, key)
-        score, inf = self.score, float("inf")
-        at = list(range(len(sym) + 1))
-        agenda = [score.get(a + b, inf) for a, b in zip(sym, sym[1:])]
-        while agenda:
-            best = min(agenda)
-            if best == inf:
-                break
-            i = agenda.index(best)
-            if limit and ((key ^ at[i] * 0x9E3779B97F4A7C15 ^ at[i + 2] * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 >> 31) & 0xFFFFFFFF < limit:
-                agenda[i] = inf
+    def _key(self, chunk: str, variant: int) -> int:
+        return xxhash.xxh32_intdigest(chunk.encode("utf-8", "surrogatepass"), (self.seed * 31 + variant) & 0xFFFFFFFF) if self.limit else 0
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of symbols; ``none`` if no piece is their text."""
+        k = np.where((a >= 0) & (b >= 0), (a << 20) | b, -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == k, self.pair_ranks[at], self.none)
+
+    def _agendas(self, chunks: list[tuple[str, int]]) -> list[bytes]:
+        """Ids of many (chunk, variant) at once: every row of a matrix is one chunk's agenda. A round takes each
+        row's best candidate (best rank, then leftmost); a keyed hash of its span skips it, or it is merged."""
+        out: list[bytes] = [b""] * len(chunks)
+        by_width: dict[int, list[int]] = {}
+        for k, (c, v) in enumerate(chunks):
+            if len(c) > 48:
+                out[k] = self._long(self._symbols(c), self._key(c, v))
+            else:
+                by_width.setdefault(next(w for w in (6, 10, 14, 20, 32, 48) if len(c) <= w), []).append(k)
+        for width, members in by_width.items():
+            for at in range(0, len(members), 20_000):
+                self._matrix(width, members[at : at + 20_000], chunks, out)
+        return out
+
+    def _matrix(self, width: int, members: list[int], chunks: list[tuple[str, int]], out: list[bytes]) -> None:
+        n, pad = len(members), -(1 << 40)
+        size = np.array([len(chunks[k][0]) for k in members])
+        sym = np.full((n, width + 1), pad, dtype=np.int64)
+        place = np.arange(width + 1)
+        text = "".join(chunks[k][0] for k in members)
+        sym[place[None, :] < size[:, None]] = self.char_table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        start = np.tile(np.arange(width + 2, dtype=np.int64), (n, 1))
+        key = np.array([self._key(*chunks[k]) for k in members], dtype=np.int64)
+        rank = self._ranks(sym[:, :-1], sym[:, 1:])
+        done = np.full((n, width + 1), pad, dtype=np.int64)
+        live = np.arange(n)
+        while len(live):
+            col = rank.argmin(axis=1)
+            row = np.arange(len(live))
+            best = rank[row, col]
+            going = best < self.none
+            if not going.all():
+                stop = ~going
+                done[live[stop]] = sym[stop]
+                live, sym, start, key, rank, col, best = (x[going] for x in (live, sym, start, key, rank, col, best))
+                row = np.arange(len(live))
+                if not len(live):
+                    break
+            if self.limit:
+                with np.errstate(over="ignore"):
+                    h = (key + start[row, col] * 0x9E3779B1 + start[row, col + 2] * 0x85EBCA77).astype(np.uint64) * np.uint64(0x2545F491) >> np.uint64(13)
+                skip = (h & np.uint64(0xFFFFFFFF)) < self.limit
+                rank[row[skip], col[skip]] = self.none
+                row, col, best = row[~skip], col[~skip], best[~skip]
+            if not len(row):
                 continue
-            merged = sym[i] + sym[i + 1]
-            sym[i] = merged
-            del sym[i + 1], at[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = score.get(merged + sym[i + 1], inf)
-            if i:
-                agenda[i - 1] = score.get(sym[i - 1] + merged, inf)
-        return self._ids(sym)
+            c = col[:, None]
+            moved = np.minimum(place[None, :] + (place[None, :] > c), width)
+            s = np.take_along_axis(sym[row], moved, axis=1)
+            s[:, -1] = pad
+            one = np.arange(len(row))
+            s[one, col] = self.rank_ids[best]
+            edge = np.arange(width + 2)
+            start[row] = np.take_along_axis(start[row], np.minimum(edge[None, :] + (edge[None, :] > c), width + 1), axis=1)
+            r = np.take_along_axis(rank[row], np.minimum(place[None, :width] + (place[None, :width] >= c), width - 1), axis=1)
+            r[:, -1] = self.none
+            r[one, col] = self._ranks(s[one, col], s[one, np.minimum(col + 1, width)])
+            left = np.flatnonzero(col > 0)
+            r[left, col[left] - 1] = self._ranks(s[left, col[left] - 1], s[left, col[left]])
+            sym[row], rank[row] = s, r
+        valid = done != pad
+        odd = ((done < 0) & valid).any(axis=1)
+        flat = done[valid & ~odd[:, None]].astype("<u4").tobytes()
+        ends = np.cumsum(np.where(odd, 0, valid.sum(axis=1))) * 4
+        begin = 0
+        for k, e, o, r in zip(members, ends.tolist(), odd.tolist(), range(n), strict=True):
+            out[k] = self._ids(done[r][valid[r]].tolist()) if o else flat[begin:e]
+            begin = e
 
     def _long(self, sym: list, key: int) -> bytes:
-        n, score, limit = len(sym), self.score, self.limit
+        n, merge, limit = len(sym), self.merge.get, self.limit
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))
-        agenda = [(score[m], i, i + 1, m) for i in range(n - 1) if (m := sym[i] + sym[i + 1]) in score]
+        agenda = [(r, i, i + 1, end[i + 1]) for i in range(n - 1) if (r := merge((sym[i], sym[i + 1]))) is not None]
         heapq.heapify(agenda)
         while agenda:
-            _, i, j, m = heapq.heappop(agenda)
-            if sym[i] is None or sym[j] is None or nxt[i] != j or sym[i] + sym[j] != m:
+            r, i, j, e = heapq.heappop(agenda)
+            if sym[i] is None or sym[j] is None or nxt[i] != j or end[j] != e or merge((sym[i], sym[j])) != r:
                 continue
-            if limit and ((key ^ i * 0x9E3779B97F4A7C15 ^ end[j] * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 >> 31) & 0xFFFFFFFF < limit:
+            if limit and ((key + i * 0x9E3779B1 + e * 0x85EBCA77) * 0x2545F491 >> 13) & 0xFFFFFFFF < limit:
                 continue
-            sym[i], sym[j], end[i] = m, None, end[j]
+            sym[i], sym[j], end[i] = self.of_rank[r], None, e
             k = nxt[i] = nxt[j]
             if k < n:
                 prv[k] = i
-                if (x := m + sym[k]) in score:
-                    heapq.heappush(agenda, (score[x], i, k, x))
+                if (x := merge((sym[i], sym[k]))) is not None:
+                    heapq.heappush(agenda, (x, i, k, end[k]))
             p = prv[i]
-            if p >= 0 and (x := sym[p] + m) in score:
-                heapq.heappush(agenda, (score[x], p, i, x))
+            if p >= 0 and (x := merge((sym[p], sym[i]))) is not None:
+                heapq.heappush(agenda, (x, p, i, e))
         return self._ids(s for s in sym if s is not None)
 
+    def encode_many(self, texts: list[str | None], keys: list) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers; null and empty texts have none."""
+        cut, memo = [], self.memo
+        if sum(map(len, memo)) > MEMO_CHUNKS:
+            for m in memo:
+                m.clear()
+        miss: dict[tuple[str, int], None] = {}
+        for text, key in zip(texts, keys, strict=True):
+            chunks = self.cut.findall(" " + text) if text else []
+            if self.variants == 1:
+                which = [0] * len(chunks)
+            else:
+                start = np.uint64(xxhash.xxh64_intdigest(str(key).encode(), self.seed))
+                with np.errstate(over="ignore"):
+                    which = (_mixed(np.arange(len(chunks), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist()
+            got = [memo[v].get(c) for c, v in zip(chunks, which)]
+            gaps = [k for k, x in enumerate(got) if x is None] if None in got else []
+            miss.update(((chunks[k], which[k]), None) for k in gaps)
+            cut.append((got, [(k, (chunks[k], which[k])) for k in gaps]))
+        todo = list(miss)
+        fresh = dict(zip(todo, self._agendas(todo), strict=True))
+        out = []
+        for got, gaps in cut:
+            for k, p in gaps:
+                got[k] = fresh[p]
+            out.append(b"".join(got))
+        for (c, v), x in fresh.items():
+            if len(c) <= MEMO_CHARS:
+                memo[v][c] = x
+        return out
+
     def encode(self, text: str | None, doc_key: int | str | None = None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; null and empty texts have none."""
-        if not text:
-            return b""
-        chunks = self.cut.findall(" " + text)
-        if self.variants == 1:
-            which = [0] * len(chunks)
-        else:
-            start = np.uint64(xxhash.xxh64_intdigest(str(doc_key).encode(), self.seed))
-            with np.errstate(over="ignore"):
-                which = (_mixed(np.arange(len(chunks), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist()
-        memo, out = self.memo, []
-        for c, v in zip(chunks, which, strict=True):
-            got = memo[v].get(c)
-            if got is None:
-                got = self._chunk(c, v)
-                if len(c) <= MEMO_CHARS:
-                    if self.size >= MEMO_CHUNKS:
-                        for m in (*memo, *self.parts):
-                            m.clear()
-                        self.size = 0
-                    memo[v][c] = got
-                    self.size += 1
-            out.append(got)
-        return b"".join(out)
+        return self.encode_many([text], [doc_key])[0]
 
     def decode(self, ids) -> str:
         """The text of ids (any integers of the vocabulary); control ids are empty."""
         out = self.out
-        data = b"".join([out[i] for i in ids])
+        data = b"".join(map(out.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
@@ -202,9 +254,9 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropou
     def run(it):
         c = codec(model, dropout, seed, variants)
         for b in it:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                ids = [np.frombuffer(c.encode(x.as_py(), k.as_py()), dtype="<u4").astype(np.int32) for x, k in zip(part.column(t), part.column(i), strict=True)]
+            for at in range(0, b.num_rows, BATCH_DOCS):
+                part = b.slice(at, BATCH_DOCS)
+                ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in c.encode_many(part.column(t).to_pylist(), part.column(i).to_pylist())]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*part.schema.names, out_col])
@@ -243,11 +295,12 @@ def piece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout
         c = codec(model, dropout, seed, variants)
         for b in it:
             rows = []
-            for k, x in zip(b.column(0), b.column(1), strict=True):
-                text = x.as_py() or ""
-                ids = c.encode(text, k.as_py())
-                back = c.decode(np.frombuffer(ids, dtype="<u4").tolist())
-                rows.append((len(ids) // 4, crc32_py(ids), crc32_py(back.encode()), back == text))
+            for at in range(0, b.num_rows, BATCH_DOCS):
+                part = b.slice(at, BATCH_DOCS)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                for text, ids in zip(texts, c.encode_many(texts, part.column(0).to_pylist()), strict=True):
+                    back = c.decode(np.frombuffer(ids, dtype="<u4").tolist())
+                    rows.append((len(ids) // 4, crc32_py(ids), crc32_py(back.encode()), back == text))
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless"])
 
