@@ -72,7 +72,7 @@ def batch_split(spark, d):
     return b.df.groupBy(b.split_of(128).alias("part")).agg(F.count("*").alias("rows"), F.min("k").alias("first"))
 
 
-@query("batch_pad", f"WITH {_B} SELECT row, k FROM b UNION ALL SELECT n + row, k FROM b, n WHERE row < (4096 - n % 4096) % 4096")
+@query("batch_pad", f"WITH {_B}, p AS (SELECT n, unnest(range((4096 - n % 4096) % 4096)) AS i FROM n) SELECT row, k FROM b UNION ALL SELECT p.n + p.i, b.k FROM p JOIN b ON b.row = p.i % p.n")
 def batch_pad(spark, d):
     return batch(spark, d).pad_to_divisor(4096)[0].df.select("row", "k")
 
