@@ -3,7 +3,8 @@
 Source targets share the token budget by weight, stopped at a number of epochs of the source. Blocks of
 ``block_words`` words are apportioned to sources, and inside a source to its shards, by highest quotients
 (votes / 1, 3, 5, ...). A shard then takes whole passes of its documents while its quota allows and fills the
-rest with blocks of its word stream in seeded order.
+rest with blocks of its word stream in seeded order. Users of whole documents take ``copies``, which fill the same
+quota with documents in seeded order.
 """
 
 from __future__ import annotations
@@ -108,13 +109,26 @@ def take_blocks(sizes: np.ndarray, quota: int, block: int, seed: int) -> np.ndar
     return taken
 
 
+def take_documents(sizes: np.ndarray, quota: int) -> np.ndarray:
+    """Copies of each whole document of one shard: whole passes, then documents in the given (seeded) order while
+    they fit; the one at the edge is taken if that comes nearer to ``quota``. Wordless documents are not taken."""
+    sizes = sizes.astype(np.int64)
+    total = int(sizes.sum())
+    if total == 0 or quota <= 0:
+        return np.zeros(len(sizes), dtype=np.int64)
+    passes, rest = divmod(int(quota), total)
+    before = np.cumsum(sizes) - sizes
+    return np.where(sizes > 0, passes + (2 * (rest - before) > sizes), 0)
+
+
 def mix(docs: DataFrame, *, weights: dict | None = None, share: float = 1.0, cap: int = 3, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken, copies``.
 
     size: words of the text (null: 0). weights: by source (None as a key: the null source); by default sources
     in code-point order, null last, weigh 1, 2, 3, repeating. The budget is ``share`` of all sizes. taken: words
-    the mix takes of the document, repeats counted, at most ``cap`` times its size; copies: the same in whole
-    documents, rounded (half up). A source without words has target 0. Ties and reruns: all orders are by
+    the mix takes of the document, repeats counted, at most ``cap`` times its size; copies: how often the mix
+    takes the document as a whole, at most ``cap``: whole documents fill the quota of their shard in seeded order, so
+    the words of copies come as near the target as whole documents can. A source without words has target 0. Ties and reruns: all orders are by
     seeded hash, then id, so reruns agree. Rows with equal ids each get a row. An empty table gives no rows.
 
     Plan: texts are scanned once into (id, source, size). What reaches the driver is one row per source, the
@@ -158,7 +172,7 @@ def mix(docs: DataFrame, *, weights: dict | None = None, share: float = 1.0, cap
         size = t["size"].to_numpy()
         key = (t["source_no"][0].as_py() * 1_000_003 + t["shard"][0].as_py()) * 2_654_435_761 + seed
         got = take_blocks(size, t["quota"][0].as_py(), block_words, key)
-        copies = np.where(size > 0, (2 * got + size) // np.maximum(2 * size, 1), 0)
+        copies = take_documents(size, t["quota"][0].as_py())
         return pa.table({"doc_id": t["doc_id"], "size": t["size"], "source_size": t["source_size"], "target": t["target"], "taken": got, "copies": copies})
 
     dealt = keyed.withColumn("h", F.xxhash64(F.lit(seed + 1), "doc_id")).join(quota, (F.col("source_no") == F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
