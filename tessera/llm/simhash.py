@@ -31,9 +31,14 @@ PROBE_COST, PAIR_COST = 3.0, 0.02
 BLOCK_ROWS = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _SUB = 1 << 24
-#: For links by similarity: the fingerprint and the first of SKETCHES further ones are probed to distance WIDE, and
-#: pairs are verified on all together; they may differ in SLACK bits more than the similarity gives on average.
-WIDE, SKETCHES, SLACK = 12, 3, 8
+#: For links by similarity: pairs that meet in one of BANDS bands of BAND_ROWS minima of the shingle set and whose
+#: fingerprint and SKETCHES further ones together differ in at most CANDIDATE_SLACK bits more than the similarity gives
+#: on average are candidates; they link if their exact Jaccard similarity is reached.
+SKETCHES, BANDS, BAND_ROWS, CANDIDATE_SLACK = 3, 32, 5, 38
+#: Bounds of the estimate that was the link before candidates were verified; tests restate it.
+WIDE, SLACK = 12, 8
+#: A candidate component with more nodes than this is compared as pairs of blocks.
+WHOLE_COMPONENT = 64
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -85,6 +90,163 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in ["doc_id", *names]))
 
 
+def _odd(n: int) -> np.ndarray:
+    return _mixed(np.arange(n, dtype=np.uint64) + np.uint64(SEED)) | np.uint64(1)
+
+
+def set_sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """``doc_id, fp, s0.., set_id, bands`` of the distinct shingles of every row: votes without weights, the XXH64 of
+    the sorted set, and one key a band (the mixed minima of ``band_rows`` multiplicative permutations)."""
+    names = ["fp", *(f"s{k}" for k in range(SKETCHES)), "set_id"]
+    factors = _odd(bands * band_rows)[:, None]
+
+    def keys(h: np.ndarray) -> np.ndarray:
+        low = np.full(bands * band_rows, 2**64 - 1, dtype=np.uint64)
+        for at in range(0, len(h), 512):
+            with np.errstate(over="ignore"):
+                np.minimum(low, (factors * h[None, at : at + 512]).min(axis=1), out=low)
+        out = np.arange(bands, dtype=np.uint64)
+        for column in low.reshape(bands, band_rows).T:
+            out = _mixed(out ^ column)
+        return out
+
+    def run(it):
+        for b in it:
+            got = np.zeros((b.num_rows, len(names)), dtype=np.uint64)
+            band = np.zeros((b.num_rows, bands), dtype=np.uint64)
+            for i, t in enumerate(b.column(1)):
+                h = np.unique(shingle_hashes(t.as_py(), shingle))
+                got[i, 0] = vote(h)
+                for k in range(SKETCHES):
+                    got[i, 1 + k] = vote(_mixed(h ^ np.uint64(k + 1)))
+                got[i, -1] = xxhash.xxh64_intdigest(h.tobytes())
+                band[i] = keys(h)
+            ends = np.arange(b.num_rows + 1, dtype=np.int32) * bands
+            columns = [pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(band.ravel().view(np.int64)))], ["doc_id", *names, "bands"])
+
+    schema = "".join(f"{c} long, " for c in ["doc_id", *names])
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema + "bands array<long>")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets reach a Jaccard similarity; empty sets are equal."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def linked_in(sets: list[np.ndarray], bits: np.ndarray, block: np.ndarray, similarity: float, most: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that reach ``similarity`` (of different blocks, if there are two), by exact
+    comparison of all pairs within ``most`` differing bits that the forest does not link yet; nearest first."""
+    size = np.array([len(x) for x in sets])
+    root, links = list(range(len(sets))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    i, j = np.triu_indices(len(sets), 1)
+    keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+    if (block != block[0]).any():
+        keep &= block[i] != block[j]
+    i, j = i[keep], j[keep]
+    far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+    order = np.argsort(far, kind="stable")
+    for k in order[: np.searchsorted(far[order], most, side="right")].tolist():
+        x, y = find(int(i[k])), find(int(j[k]))
+        if x != y and similar(sets[i[k]], sets[j[k]], similarity):
+            root[max(x, y)] = min(x, y)
+            links.append((int(i[k]), int(j[k])))
+    return links
+
+
+def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`near_duplicates` by exact Jaccard similarity of the sets of shingles.
+
+    Plan: equal sets are one node. Nodes meet in the bands of their minima; only a spanning forest of the pairs near
+    enough by all fingerprint bits leaves a task. Every true link lies inside one component of these candidates, so
+    the shingle sets of components of two or more nodes are gathered by component and compared exactly. A large
+    component is dealt as block pairs; their number grows with its size, so no task holds it.
+    """
+    extra = [f"s{k}" for k in range(SKETCHES)]
+    most = allowed_bits(similarity, 64 * (1 + SKETCHES), CANDIDATE_SLACK)
+    fps = materialize(set_sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle), "sketches")
+    known = fps.where("doc_id is not null")
+    nodes = materialize(known.groupBy("set_id", "fp", *extra).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "sketch-nodes")
+    homes = nodes.select(F.explode("bands").alias("key"), F.lit(0).cast("byte").alias("side"), "fp", "node", *extra)
+    rows = with_blocks(homes, homes)
+
+    def near(it):
+        for g in sorted_groups(it, ["key", "sub"], ["side", "fp", "node", *extra]):
+            bits, node = [g[c].astype(np.int64).view(np.uint64) for c in ("fp", *extra)], g["node"]
+            left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for i, j in group_pairs(g):
+                close = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits) <= most
+                if close.any():
+                    root = local_roots(len(node), i[close], j[close])
+                    at = np.flatnonzero(root != np.arange(len(node)))
+                    left.append(at)
+                    right.append(root[at])
+            root = local_roots(len(node), np.concatenate(left), np.concatenate(right))
+            i = np.flatnonzero(root != np.arange(len(node)))
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], ["a", "b"])
+
+    groups = materialize(components(rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "side").mapInArrow(near, "a long, b long")), "candidate-groups")
+    hot = materialize(groups.groupBy("component").count().where(F.col("count") > WHOLE_COMPONENT).select(F.col("component").alias("hot"), F.ceil(0.7 * F.sqrt("count")).cast("long").alias("n")), "large-groups")
+    members = groups.join(hot, F.col("component") == F.col("hot"), "left").select("component", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.col("node").alias("member"))
+    members = materialize(members.join(nodes.select("node", "set_id", "fp", *extra), F.col("member") == F.col("node")).drop("node"), "candidates").hint("shuffle_hash")
+    texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.col(text_col).alias("text")).join(members, F.col("text_id") == F.col("member"))
+    carried = ["component", "n", "member", "set_id", "fp", *extra]
+
+    def shingled(it):
+        for b in it:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(0)]
+                # an id that repeats with another text is another node
+                same = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64) == part.column(4).to_numpy()
+                ends = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)))
+                out = pa.RecordBatch.from_arrays([*part.columns[1:], lists], [*carried, "shingles"])
+                yield out.filter(pa.array(same))
+
+    sets = texts.select("text", *carried).mapInArrow(shingled, ", ".join(f"{c} long" for c in carried) + ", shingles array<long>")
+    own = F.pmod(F.xxhash64("member"), F.col("n"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y"))))
+    dealt = sets.withColumn("own", own).withColumn("pair", pair).select("component", "pair.x", "pair.y", "own", "member", "fp", *extra, "shingles")
+
+    def exact(it):
+        group, key = [], None
+
+        def links():
+            found = linked_in([g[3] for g in group], np.array([g[2] for g in group], dtype=np.int64).view(np.uint64), np.array([g[0] for g in group]), similarity, most) if len(group) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([group[k][1] for k in side], pa.int64()) for side in zip(*found, strict=True)], ["a", "b"])
+
+        for b in it:
+            plain = np.stack([b.column(k).to_numpy() for k in range(b.num_columns - 1)], axis=1)
+            lists = b.column(b.num_columns - 1)
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for r in range(b.num_rows):
+                now = tuple(plain[r, :3].tolist())
+                if now != key:
+                    yield from links()
+                    group, key = [], now
+                group.append((plain[r, 3], plain[r, 4], plain[r, 5:], np.sort(values[at[r] : at[r + 1]].copy())))
+        yield from links()
+
+    edges = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(exact, "a long, b long")
+    classes = nodes.join(components(edges), "node", "left").select(F.col("set_id").alias("class_id"), F.coalesce("component", "node").alias("component"))
+    found = fps.join(classes, F.col("set_id") == F.col("class_id"), "left")
+    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+
+
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and, for every bit pair, in how many both bits are set; over all rows."""
 
@@ -287,10 +449,8 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
     """One row per document: ``doc_id, fp, component_id`` (smallest id reachable over links of at most
     ``distance`` differing bits, itself included).
 
-    With ``similarity`` (a Jaccard similarity of shingles) links are wider: pairs whose fingerprints, or whose first
-    further sketches, differ in at most ``WIDE`` bits are candidates, and a pair links if all sketches, 256 bits
-    together, differ in no more bits than ``allowed_bits`` gives. This finds by estimate what the similarity asks
-    for.
+    With ``similarity`` pairs link whose sets of shingles have at least this Jaccard similarity
+    (:func:`similar_documents`); fp is then the vote of the distinct shingles.
 
     Null and wordless texts have fingerprint 0 and link like any other; a text of fewer words than a shingle
     is one shingle. Repeated ids and repeated texts are fine. Rows with a null id get a fingerprint, link
@@ -301,33 +461,21 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
     leaves it. A bucket too large for one task is dealt as block pairs. Nothing but 2081 bit sums reaches the
     driver.
     """
-    extra = tuple(f"s{k}" for k in range(SKETCHES)) if similarity is not None else ()
     if similarity is not None:
-        distance = WIDE
-    most = allowed_bits(similarity, 64 * (1 + len(extra))) if similarity is not None else distance
-    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, sketches=len(extra)), "fingerprints")
-    nodes = materialize(fps.where("doc_id is not null").groupBy("fp", *extra).agg(F.min("doc_id").alias("node")).select("fp", "node", *extra), "simhash-nodes")
+        return similar_documents(docs, similarity, shingle=shingle, id_col=id_col, text_col=text_col)
+    fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+    nodes = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")).select("fp", "node"), "simhash-nodes")
     n, both = bit_statistics(nodes)
     layout = plan(n, both, distance)
-    schema = "key long, side byte, fp long, node long" + "".join(f", {c} long" for c in extra)
-    rows = with_blocks(nodes.mapInArrow(probes(layout, carry=extra), schema), nodes.mapInArrow(probes(layout, True, extra), schema))
+    schema = "key long, side byte, fp long, node long"
+    rows = with_blocks(nodes.mapInArrow(probes(layout), schema), nodes.mapInArrow(probes(layout, True), schema))
 
     def verify(it):
-        for g in sorted_groups(it, ["key", "sub"], ["side", "fp", "node", *extra]):
+        for g in sorted_groups(it, ["key", "sub"], ["side", "fp", "node"]):
             fp, node = g["fp"].astype(np.int64).view(np.uint64), g["node"]
-            more = [g[c].astype(np.int64).view(np.uint64) for c in extra]
             left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for i, j in group_pairs(g):
-                bits = np.bitwise_count(fp[i] ^ fp[j])
-                near = bits <= distance
-                if more:
-                    second = np.bitwise_count(more[0][i] ^ more[0][j])
-                    at = np.flatnonzero(near | (second <= distance))
-                    total = bits[at].astype(np.int64) + second[at]
-                    for x in more[1:]:
-                        total += np.bitwise_count(x[i[at]] ^ x[j[at]])
-                    near = np.zeros(len(i), dtype=bool)
-                    near[at[total <= most]] = True
+                near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
                 if near.any():
                     i, j = i[near], j[near]
                     root = local_roots(len(fp), i, j) if len(i) > 4096 else None
@@ -345,8 +493,8 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
     # Few bits of the key spread badly under a plain hash of (key, sub); the sort keeps groups whole.
     edges = rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "side").mapInArrow(verify, "a long, b long")
     linked = components(edges)
-    classes = nodes.join(linked, "node", "left").select(*(F.col(c).alias(f"class_{c}") for c in ("fp", *extra)), F.coalesce("component", "node").alias("component"))
-    found = fps.join(classes, [F.col(c) == F.col(f"class_{c}") for c in ("fp", *extra)], "left")
+    classes = nodes.join(linked, "node", "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "node").alias("component"))
+    found = fps.join(classes, F.col("fp") == F.col("class_fp"), "left")
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
