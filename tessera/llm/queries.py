@@ -19,7 +19,5 @@ QUERIES = {
 
 SQL = {
     "op4_lattice": lattice.OP4_SQL,
-    "op8_katz": katz.op8_katz,
-    "op9_quality": quality.op9_quality,
     "op10_exact_topk": topk.OP10_SQL,
 }
