@@ -285,7 +285,7 @@ def math_boxed(spark, d):
 
 @query("text_overlap")
 def text_overlap(spark, d):
-    rows = documents(spark, d).select("doc_id", F.left("text", F.lit(200)).alias("p"), F.right(F.left("text", F.lit(240)), F.lit(200)).alias("g"))
+    rows = documents(spark, d).select("doc_id", F.col("text").alias("p"), F.substring("text", 41, 2**31 - 1).alias("g"))
     return rows.select("doc_id", math_scorers.text_overlap("p", "g").alias("o")).select("doc_id", "o.*")
 
 
