@@ -1,20 +1,28 @@
 """Katz backoff language-model scoring.
 
-A bigram model with Good-Turing discounts. Seen bigrams have discounted relative frequencies; the mass that the
-discounts free in a context goes to all other words in proportion to their lower-order probability, with the
-weight that makes every context sum to exactly one. Unigrams are discounted the same way and leave their mass
-to the unknown word.
-
-How it is spread: a task cuts its documents into slices, numbers a slice's distinct words, and writes the
-numbered sequence once to the shared folder. What is shuffled is one entry per distinct word, then per distinct
-bigram, of a slice, packed by bucket (pre-aggregated counts). Bucket tasks add the counts of all slices and answer
-each slice in the order of its request. A context that makes up over 1/4096 of the tokens has its bigrams dealt
-over all buckets and its sums added afterwards; there are at most 4096 such contexts, whatever the corpus.
+A model of any order (three by default) with Good-Turing discounts. Seen n-grams have discounted relative
+frequencies; the mass that the discounts free in a context goes to all other words in proportion to their
+probability one order below, with the weight that makes every context sum to exactly one. Unigrams are discounted
+the same way and leave their mass to the unknown word. A document's first token has the begin mark as its only
+context, its second the begin mark and the first token, and so on.
+
+How it is spread: a task cuts its documents into slices, numbers a slice's distinct words and n-grams, and writes
+the numbered sequence once to the shared folder. Order by order, what is shuffled is one entry per distinct n-gram
+of a slice (its training count is pre-aggregated, held-out n-grams ask with count 0), packed by bucket of its
+context. Bucket tasks add the counts of all slices and answer each slice in the order of its request: the count,
+and per context the total, the numbers of types seen 1, 2, ... times and the lower-order mass of its types. The
+next order's entries carry their suffix's count, so that every bucket can sum lower-order probabilities by itself.
+The slices evaluate the recursion per token. A context that makes up over 1/4096 of the tokens has its words dealt
+over all buckets and its sums added afterwards; there are at most 4096 such contexts an order, whatever the corpus.
+
+The merged counts are the model. They are kept as Parquet tables by order and bucket (``save_to``) and score other
+texts later (``model``). Words are told apart by their XXH64; n-grams by the numbers that the count tables give
+to words, most frequent first, so that packed entries are small.
 """
 
 from __future__ import annotations
 
-import json
+import struct
 import uuid
 import zlib
 from collections import defaultdict
@@ -28,16 +36,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import _mixed
-from .token_files import from_planes, to_planes
-from .util import bucket_count, filesystem, fresh_path, lower_ascii_py, materialize, words_py
+from .util import as_bytes, bucket_count, filesystem, fresh_path, materialize, path_exists, word_bytes
 
+ORDER = 3
 SLICE_TOKENS = 2_000_000
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+BUCKET_BYTES = 8 << 20
 HOT_SHARE = 4096
 #: Counts up to CUTOFF are discounted.
 CUTOFF = 5
 BEGIN, END = 0, 1
 _R = [f"n{r}" for r in range(1, CUTOFF + 2)]
+_REQUEST = "bucket long, slice_id long, path string, blob binary"
+_STORED = -1
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -61,6 +71,10 @@ def discounts(n: list[int]) -> np.ndarray:
     return out
 
 
+def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return d[np.minimum(c, CUTOFF + 1)] * c
+
+
 class Unigrams:
     """Discounted unigram probabilities by count; ``unknown`` is what they leave."""
 
@@ -71,51 +85,64 @@ class Unigrams:
         self.unknown = (freed if freed > 0 else 1.0) / self.den
 
     def p(self, c: np.ndarray) -> np.ndarray:
-        c = c.astype(np.float64)
-        return np.where(c > 0, self.d[np.minimum(c, CUTOFF + 1).astype(int)] * c / self.den, self.unknown)
-
-
-def conditional(c: np.ndarray, total: np.ndarray, m: np.ndarray, seen: np.ndarray, lower: np.ndarray, d: np.ndarray, least: float) -> np.ndarray:
-    """P(w | context) by backoff. c: the bigram's count; total: the context's; m: how many of its types were seen
-    1..CUTOFF times; seen: the lower-order mass of its types; lower: the word's lower-order probability."""
-    c, total = c.astype(np.float64), total.astype(np.float64)
-    freed = m @ (np.arange(1, CUTOFF + 1) * (1 - d[1 : CUTOFF + 1]))
-    den = np.where(freed > 0, total, total + 1)
-    left = np.where(freed > 0, freed, 1.0) / np.maximum(den, 1)
-    alpha = left / np.maximum(1 - seen, least)
-    p = np.where(c > 0, d[np.minimum(c, CUTOFF + 1).astype(int)] * c / np.maximum(den, 1), alpha * lower)
-    return np.where(total > 0, p, lower)
-
-
-def _pack(**arrays: np.ndarray) -> bytes:
-    """Named arrays as byte planes (u32) or raw bytes, one zstandard frame."""
-    head, body = {}, []
-    for name, x in arrays.items():
-        if x.dtype == np.uint32:
-            planes = to_planes(x, "byte")
-            head[name] = ["u4", len(x), len(planes)]
-            body += planes
-        else:
-            head[name] = [x.dtype.str, len(x), x.nbytes]
-            body.append(np.ascontiguousarray(x).tobytes())
-    h = json.dumps(head).encode()
-    return zstandard.ZstdCompressor(level=1).compress(len(h).to_bytes(4, "little") + h + b"".join(body))
-
-
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
+        return np.where(c > 0, _discounted(c, self.d) / self.den, self.unknown)
+
+
+class Contexts:
+    """What the recursion needs of each context: totals, numbers of types by count, lower-order mass of its types."""
+
+    def __init__(self, n: int):
+        self.total, self.seen, self.m = np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros((n, CUTOFF), dtype=np.int64)
+
+    def freed(self, d: np.ndarray) -> np.ndarray:
+        return self.m @ (np.arange(1, CUTOFF + 1) * (1 - d[1 : CUTOFF + 1]))
+
+    def den(self, d: np.ndarray) -> np.ndarray:
+        """Denominators: the total, or one more where the discounts free nothing; 1 for contexts never seen."""
+        return np.maximum(np.where(self.freed(d) > 0, self.total, self.total + 1), 1)
+
+    def alpha(self, d: np.ndarray, least: float) -> np.ndarray:
+        """Backoff weights: the freed mass over the lower-order mass of the words not seen; 1 without any count."""
+        freed = self.freed(d)
+        return np.where(self.total > 0, np.where(freed > 0, freed, 1.0) / self.den(d) / np.maximum(1 - self.seen, least), 1.0)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned 64-bit integers or of doubles as byte planes, one zstandard frame. No plane is stored for
+    bytes that no number uses."""
+    head, body = [struct.pack("<B", len(arrays))], []
+    for x in arrays:
+        real = x.dtype == np.float64
+        x = np.ascontiguousarray(x).view("<u8") if real else x.astype("<u8")
+        used = 8 if real else -(-int(x.max(initial=0)).bit_length() // 8)
+        head.append(struct.pack("<BI", used | (128 if real else 0), len(x)))
+        body.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :used].T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    h = int.from_bytes(raw[:4], "little")
-    at, out = 4 + h, {}
-    for name, (kind, n, x) in json.loads(raw[4 : 4 + h]).items():
-        if kind == "u4":
-            out[name] = from_planes([raw[at + n * p : at + n * (p + 1)] for p in range(x)], n, "byte")
-            at += n * x
-        else:
-            out[name] = np.frombuffer(raw, dtype=kind, count=n, offset=at)
-            at += x
+    at, out = 1 + 5 * raw[0], []
+    for k in range(raw[0]):
+        kind, n = struct.unpack_from("<BI", raw, 1 + 5 * k)
+        used = kind & 15
+        grid = np.zeros((n, 8), dtype=np.uint8)
+        grid[:, :used] = np.frombuffer(raw, dtype=np.uint8, count=used * n, offset=at).reshape(used, n).T
+        at += used * n
+        out.append(grid.reshape(-1).view(np.float64 if kind & 128 else np.int64))
     return out
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences to the entry before, modulo 2**64; small where x is in runs or ascends."""
+    x = x.astype(np.uint64)
+    return np.diff(x, prepend=np.uint64(0))
+
+
+def _back(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64).view(np.int64)
+
+
 def _save(path: str, data: bytes) -> None:
     """Write under another name, then move: a retried task leaves the same file."""
     fs, p = filesystem(path)
@@ -126,103 +153,166 @@ def _save(path: str, data: bytes) -> None:
     fs.move(part, p)
 
 
-def _load(path: str) -> dict[str, np.ndarray]:
+def _load(path: str) -> list[np.ndarray]:
     fs, p = filesystem(path)
     with fs.open_input_stream(p) as f:
         return _unpack(f.read())
 
 
-def _hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each key in ascending order of keys, and the place of one entry of each number."""
+    order = np.argsort(key)
+    s = key[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, dtype=bool)
+    number = np.empty(len(s), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
 
 
-def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, dtype=np.int64)
-    return start, np.diff(np.append(start, len(sorted_)))
+def _joint(columns: list[np.ndarray]) -> np.ndarray:
+    """One number for each distinct row of columns of non-negative integers, in the order of the rows."""
+    key = columns[0]
+    for x in columns[1:]:
+        key, x = (_numbered(y)[0] if int(y.max(initial=0)) >= 1 << 31 else y for y in (key, x))
+        key = key << 31 | x
+    return key
 
 
-def _blobs(bucket: np.ndarray, buckets: int):
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal neighbours."""
+    start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+    return start, np.diff(np.append(start, len(x)))
+
+
+def _blobs(bucket: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
     """(bucket, slice of the bucket-sorted order) of every bucket that has entries."""
-    cut = np.searchsorted(bucket, np.arange(buckets + 1))
-    return [(b, slice(cut[b], cut[b + 1])) for b in range(buckets) if cut[b + 1] > cut[b]]
+    start, length = _runs(bucket)
+    return [(int(bucket[a]), slice(a, a + n)) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
 
 
-class _Slice:
-    """A slice as read back: token sequence, contexts, word hashes and document rows."""
+class _Level:
+    """Distinct n-grams of one order in a slice: context (a number of the level below), word, suffix (another number
+    of the level below), training count in the slice, and each token's n-gram (-1 where the context is too long)."""
+
+    def __init__(self, at: np.ndarray, ctx: np.ndarray, below: np.ndarray, seq: np.ndarray, words: int, learn: np.ndarray, tokens: int):
+        number, first = _numbered(ctx * words + seq[at])
+        self.of = np.full(tokens, -1, dtype=np.int64)
+        self.of[at] = number
+        self.ctx, self.word, self.suffix = ctx[first], seq[at[first]], below[at[first]]
+        self.n = np.bincount(number[learn[at]], minlength=len(first))
+
 
-    def __init__(self, path: str):
-        s = _load(path)
-        self.seq, self.hash, self.length = s["seq"].astype(np.int64), s["hash"], s["length"]
-        self.doc, self.known_id, self.held = s["doc"], s["known"].astype(bool), s["held"].astype(bool)
-        starts = np.cumsum(self.length) - self.length
-        self.ctx = np.concatenate([[BEGIN], self.seq[:-1]]) if len(self.seq) else self.seq
-        self.ctx[starts] = BEGIN
-        self.starts = starts
+class _Slice:
+    """A slice as read back: token sequence, word hashes, document rows, and its n-grams of every order."""
+
+    def __init__(self, path: str, order: int = 1):
+        self.seq, self.hash, self.length, self.doc, self.known_id, held = _load(path)
+        self.held = held.astype(bool)
+        self.starts = np.cumsum(self.length) - self.length
+        place = np.arange(len(self.seq)) - np.repeat(self.starts, self.length)
+        learn = np.repeat(~self.held, self.length)
+        self.n_words = np.bincount(self.seq[learn], minlength=len(self.hash))
+        self.levels: list[_Level] = []
+        below = self.seq
+        for k in range(2, order + 1):
+            at = np.flatnonzero(place >= k - 2)
+            before = np.where(place[at] > 0, below[at - 1], BEGIN) if k == 2 else below[at - 1]
+            self.levels.append(_Level(at, before, below, self.seq, len(self.hash), learn, len(self.seq)))
+            below = self.levels[-1].of
 
     def word_order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Local words in request order, and their buckets; the begin mark is no word."""
         words = np.arange(1, len(self.hash))
-        b = (self.hash[1:] % np.uint64(buckets)).astype(np.int64)
+        b = (self.hash[1:].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((self.hash[1:], b))
         return words[order], b[order]
 
-    def counts(self, answers: list[tuple[int, bytes]], buckets: int) -> np.ndarray:
-        """Training counts of the local words from the unigram answers."""
-        order, b = self.word_order(buckets)
-        got = {k: _unpack(x)["c"] for k, x in answers}
-        c = np.zeros(len(self.hash), dtype=np.int64)
-        c[order] = np.concatenate([got[k] for k, _ in _blobs(b, buckets)])
-        return c
-
-    def pairs(self, c: np.ndarray, tokens: int, buckets: int):
-        """Distinct bigrams in request order: context and word numbers, buckets, whether the context is hot, and
-        each token's position in that order."""
-        key, inverse = np.unique(self.ctx * len(self.hash) + self.seq, return_inverse=True)
-        ctx, word = key // len(self.hash), key % len(self.hash)
-        hot_word = c * HOT_SHARE >= max(tokens, 1)
-        hot_word[BEGIN] = True
-        hot = hot_word[ctx]
-        ch, wh = self.hash[ctx], self.hash[word]
-        b = (np.where(hot, _mixed(ch ^ _mixed(wh)), ch) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((wh, ch, b))
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        return ctx[order], word[order], b[order], hot[order], place[inverse]
-
-
-def _slice_documents(folder: str, buckets: int, mod: int, rest: int):
-    """Arrow function: documents to unigram requests (bucket, slice_id, path, blob); writes the slice files."""
+
+class _Recursion:
+    """A slice's probabilities, order by order, from the answers to its requests."""
+
+    def __init__(self, s: _Slice, answers: dict[int, dict[int, bytes]], uni: Unigrams, levels: list[tuple[np.ndarray, dict]], buckets: int):
+        self.s, self.buckets, self.tokens = s, buckets, uni.tokens
+        order, b = s.word_order(buckets)
+        got = [_unpack(answers[1][k]) for k, _ in _blobs(b, buckets)]
+        self.ids, self.c1 = (np.zeros(len(s.hash), dtype=np.int64) for _ in range(2))
+        self.ids[order], self.c1[order] = (np.concatenate([g[k] for g in got]) for k in range(2))
+        self.p1 = uni.p(self.c1)
+        # of the level reached: counts, probabilities, denominators of the context, columns of word numbers
+        self.c, self.p, self.den, self.columns = self.c1, self.p1, np.full(len(s.hash), uni.den), [self.ids]
+        self.log = np.log10(self.p1)[s.seq]  # of every token, by the highest order its context allows so far
+        for k, (d, hot) in enumerate(levels, 2):
+            self._climb(k, answers[k], d, hot, uni.unknown)
+
+    def request(self, k: int):
+        """Of the level above the one reached: columns of the context and its denominator, whether it is hot, and
+        the n-grams in request order with their buckets."""
+        v = self.s.levels[k - 2]
+        context = self.columns
+        hot_context = self.c * HOT_SHARE >= max(self.tokens, 1)
+        if k == 2:
+            hot_context[BEGIN] = True
+        mix = np.zeros(len(context[0]), dtype=np.uint64)
+        for x in context:
+            mix = _mixed(mix ^ x.view(np.uint64))
+        spread = np.where(hot_context[v.ctx], _mixed(mix[v.ctx] ^ self.ids[v.word].view(np.uint64)), mix[v.ctx])
+        b = (spread % np.uint64(self.buckets)).astype(np.int64)
+        rank = np.empty(len(mix), dtype=np.int64)
+        rank[np.lexsort(context)] = np.arange(len(mix))
+        order = np.lexsort((self.ids[v.word], rank[v.ctx], b))
+        return context, hot_context, order, b[order]
+
+    def _climb(self, k: int, answers: dict[int, bytes], d: np.ndarray, hot: dict[tuple, tuple], least: float) -> None:
+        v = self.s.levels[k - 2]
+        context, hot_context, order, b = self.request(k)
+        c, at_context = np.zeros(len(order), dtype=np.int64), Contexts(len(context[0]))
+        for bucket, at in _blobs(b, self.buckets):
+            mine = order[at]
+            start, _ = _runs(v.ctx[mine])
+            cold = v.ctx[mine][start]
+            cold = cold[~hot_context[cold]]
+            c[mine], at_context.total[cold], at_context.seen[cold], *m = _unpack(answers[bucket])
+            at_context.m[cold] = np.stack(m, axis=1)
+        for x in np.flatnonzero(hot_context):
+            if found := hot.get(tuple(int(col[x]) for col in context)):
+                at_context.total[x], at_context.seen[x], at_context.m[x] = found
+        den, alpha = at_context.den(d), at_context.alpha(d, least)
+        p = np.where(c > 0, _discounted(c, d) / den[v.ctx], alpha[v.ctx] * self.p[v.suffix])
+        self.columns = [*(x[v.ctx] for x in context), self.ids[v.word]]
+        self.c, self.p, self.den = c, p, den[v.ctx]
+        reached = v.of >= 0
+        self.log[reached] = np.log10(p)[v.of[reached]]
+
+
+def _slice_documents(folder: str, buckets: int, held_out):
+    """Arrow function: documents to unigram requests; writes the slice files."""
 
     def flush(state, k):
         part = TaskContext.get().partitionId()
         path = f"{folder}/slice-{part:06d}-{k:05d}"
         words, docs = state
-        hashes = np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words))
-        length = np.array([len(s) for _, s in docs], dtype=np.int64)
-        seq = np.concatenate([s for _, s in docs])
-        held = np.array([d is not None and zlib.crc32(str(d).encode()) % mod == rest for d, _ in docs], dtype=np.uint8)
-        _save(path, _pack(seq=seq.astype(np.uint32), hash=hashes, length=length, doc=np.array([d or 0 for d, _ in docs], dtype=np.int64), known=np.array([d is not None for d, _ in docs], dtype=np.uint8), held=held))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
+        flag = lambda x: np.array(x, dtype=np.int64)
+        _save(path, _pack(np.concatenate([s for _, s in docs]), hashes, flag([len(s) for _, s in docs]), flag([d or 0 for d, _ in docs]), flag([d is not None for d, _ in docs]), flag([held_out(d) for d, _ in docs])))
         s = _Slice(path)
-        c = np.bincount(s.seq[np.repeat(~s.held, s.length)], minlength=len(hashes))
         order, b = s.word_order(buckets)
-        rows = [(int(k_), _pack(h=hashes[order[at]], c=c[order[at]].astype(np.uint32))) for k_, at in _blobs(b, buckets)]
-        n = len(rows)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([(part << 20) + k] * n, pa.int64()), pa.array([path] * n, pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "slice_id", "path", "blob"])
+        rows = [(bucket, _pack(hashes[order[at]], s.n_words[order[at]])) for bucket, at in _blobs(b, buckets)]
+        return _rows(rows, (part << 20) + k, path)
 
     def fresh():
         words: dict = defaultdict()
-        words[" begin"], words[" end"] = BEGIN, END
+        words[b" begin"], words[b" end"] = BEGIN, END
         words.default_factory = words.__len__
         return words, []
 
     def run(it):
         state, n, k = fresh(), 0, 0
         for b in it:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = words_py(lower_ascii_py(t.as_py() or ""))
-                seq = np.fromiter(map(state[0].__getitem__, found), dtype=np.int64, count=len(found))
-                state[1].append((d, np.append(seq, END)))
-                n += len(seq) + 1
+            for d, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                found = word_bytes(t.as_py())
+                found.append(b" end")
+                state[1].append((d, np.fromiter(map(state[0].__getitem__, found), dtype=np.int32, count=len(found))))
+                n += len(found)
                 if n >= SLICE_TOKENS:
                     yield flush(state, k)
                     state, n, k = fresh(), 0, k + 1
@@ -232,154 +322,197 @@ def _slice_documents(folder: str, buckets: int, mod: int, rest: int):
     return run
 
 
+def _rows(rows: list[tuple[int, bytes]], slice_id: int, path: str) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([slice_id] * n, pa.int64()), pa.array([path] * n, pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "slice_id", "path", "blob"])
+
+
 def _sorted_rows(t: pa.Table, *by: str) -> list[dict]:
     return t.sort_by([(c, "ascending") for c in by]).to_pylist()
 
 
-def _count_words(t: pa.Table) -> pa.Table:
-    """One bucket's unigrams: total counts, answered per slice, with the bucket's sums."""
-    rows = _sorted_rows(t, "slice_id")
-    parts = [_unpack(r["blob"]) for r in rows]
-    key, inverse = np.unique(np.concatenate([p["h"] for p in parts]), return_inverse=True)
-    c = np.bincount(inverse, weights=np.concatenate([p["c"] for p in parts]), minlength=len(key)).astype(np.int64)
-    stats = [int((c > 0).sum()), int(c.sum()), *(int((c == r).sum()) for r in range(1, CUTOFF + 2))]
-    at, out = 0, []
-    for r, p in zip(rows, parts, strict=True):
-        n = len(p["h"])
-        out.append((r["slice_id"], r["path"], r["bucket"], _pack(c=c[inverse[at : at + n]].astype(np.uint32)), *(stats if not out else [0] * len(stats))))
-        at += n
-    cols = list(zip(*out, strict=True))
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), *(pa.array(x, pa.int64()) for x in cols[4:])], names=["slice_id", "path", "bucket", "blob", "types", "tokens", *_R])
+def _by_count(c: np.ndarray) -> list[int]:
+    return [int((c == r).sum()) for r in range(1, CUTOFF + 2)]
 
 
-def _request_pairs(tokens: int, buckets: int):
-    """A slice's unigram answers to its bigram requests."""
+def _count_words(buckets: int, keep: bool):
+    """One bucket's unigrams: total counts and numbers by frequency, answered per slice, with the bucket's sums."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = _sorted_rows(t, "bucket")
-        s = _Slice(rows[0]["path"])
-        c = s.counts([(r["bucket"], r["blob"]) for r in rows], buckets)
-        ctx, word, b, hot, place = s.pairs(c, tokens, buckets)
-        n = np.bincount(place[np.repeat(~s.held, s.length)], minlength=len(ctx))
+        rows = _sorted_rows(t, "slice_id")
+        parts = [_unpack(r["blob"]) for r in rows]
+        number, first = _numbered(np.concatenate([p[0] for p in parts]))
+        key = np.concatenate([p[0] for p in parts])[first]
+        c = np.zeros(len(key), dtype=np.int64)
+        np.add.at(c, number, np.concatenate([p[1] for p in parts]))
+        ids = np.empty(len(key), dtype=np.int64)
+        ids[np.lexsort((key, -c))] = np.arange(len(key)) * buckets + rows[0]["bucket"] + 1
+        sums = [int((c > 0).sum()), int(c.sum()), *_by_count(c)]
+        at, out = 0, []
+        for r, p in zip(rows, parts, strict=True):
+            mine = number[at : at + len(p[0])]
+            at += len(p[0])
+            if r["slice_id"] != _STORED:
+                out.append((r["slice_id"], r["path"], r["bucket"], _pack(ids[mine], c[mine]), *[0] * len(sums)))
+        known = np.flatnonzero(c)
+        out.append((_STORED, None, rows[0]["bucket"], _pack(key[known], c[known]) if keep else None, *sums))
+        cols = list(zip(*out, strict=True))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), *[pa.int64()] * len(sums)]
+        return pa.table([pa.array(x, y) for x, y in zip(cols, kinds, strict=True)], names=["slice_id", "path", "bucket", "blob", "types", "tokens", *_R])
+
+    return run
+
+
+def _answers(rows: list[dict]) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = defaultdict(dict)
+    for r in rows:
+        out[r["level"]][r["bucket"]] = r["blob"]
+    return out
+
+
+def _request(k: int, uni: Unigrams, levels: list, buckets: int):
+    """A slice's answers so far to its requests of order k."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        s = _Slice(rows[0]["path"], k)
+        so_far = _Recursion(s, _answers(rows), uni, levels, buckets)
+        v = s.levels[k - 2]
+        context, hot, order, b = so_far.request(k)
         out = []
-        for k, at in _blobs(b, buckets):
-            start, length = _runs(ctx[at])
-            wh = s.hash[word[at]]
-            six = np.ascontiguousarray(wh).view(np.uint8).reshape(-1, 8)[:, :6].ravel()
-            out.append((int(k), _pack(ch=s.hash[ctx[at][start]], hot=hot[at][start].astype(np.uint8), run=length.astype(np.uint32), w=six, n=n[at].astype(np.uint32), c=c[word[at]].astype(np.uint32))))
-        m = len(out)
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([rows[0]["slice_id"]] * m, pa.int64()), pa.array([rows[0]["path"]] * m), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "slice_id", "path", "blob"])
+        for bucket, at in _blobs(b, buckets):
+            mine = order[at]
+            start, length = _runs(v.ctx[mine])
+            head = mine[start]
+            out.append((bucket, _pack(*(_steps(x[v.ctx[head]]) for x in context), hot[v.ctx[head]], length, so_far.den[v.suffix[head]], so_far.ids[v.word[mine]], v.n[mine], so_far.c[v.suffix[mine]])))
+        return pa.Table.from_batches([_rows(out, rows[0]["slice_id"], rows[0]["path"])])
 
     return run
 
 
-def _count_pairs(uni: Unigrams):
-    """One bucket's bigrams: counts and context sums, answered per slice."""
+def _count(k: int, d_low: np.ndarray, keep: bool):
+    """One bucket's n-grams of order k: counts and context sums, answered per slice."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = _sorted_rows(t, "slice_id")
         parts = [_unpack(r["blob"]) for r in rows]
-        ch = np.concatenate([np.repeat(p["ch"], p["run"]) for p in parts])
-        six = np.concatenate([p["w"] for p in parts]).reshape(-1, 6)
-        w = np.zeros((len(ch), 8), dtype=np.uint8)
-        w[:, :6] = six
-        w = w.view("<u8").ravel()
-        order = np.lexsort((w, ch))
-        new_ctx = np.concatenate([[True], ch[order][1:] != ch[order][:-1]])
-        new = new_ctx | np.concatenate([[True], w[order][1:] != w[order][:-1]])
-        kind = np.empty(len(ch), dtype=np.int64)
-        kind[order] = np.cumsum(new) - 1
-        c = np.bincount(kind, weights=np.concatenate([p["n"] for p in parts])).astype(np.int64)
-        first = order[new]
-        ctx_of = np.cumsum(new_ctx)[new] - 1  # context number of each type
-        lower = uni.p(np.concatenate([p["c"] for p in parts])[first])
-        k = int(ctx_of[-1]) + 1
-        total = np.bincount(ctx_of, weights=c, minlength=k).astype(np.int64)
-        seen = np.bincount(ctx_of, weights=np.where(c > 0, lower, 0.0), minlength=k)
-        m = np.stack([np.bincount(ctx_of, weights=c == r, minlength=k) for r in range(1, CUTOFF + 1)], axis=1).astype(np.uint32)
-        ctx_hash = ch[order][new_ctx]
-        is_hot = np.zeros(k, dtype=bool)
-        at, out = 0, []
+        for p in parts:
+            p[: k - 1] = [_back(x) for x in p[: k - 1]]
+        *context, hot, run_length, den, word, n, low = (np.concatenate([p[x] for p in parts]) for x in range(len(parts[0])))
+        run_ctx, ctx_first = _numbered(_joint(context))
+        contexts = len(ctx_first)
+        entry_ctx = np.repeat(run_ctx, run_length)
+        number, first = _numbered(_joint([entry_ctx, word]))
+        c = np.zeros(len(first), dtype=np.int64)
+        np.add.at(c, number, n)
+        of = entry_ctx[first]
+        sums = Contexts(contexts)
+        np.add.at(sums.total, of, c)
+        sums.seen = np.bincount(of, weights=np.where(c > 0, _discounted(low[first], d_low) / den[ctx_first][of], 0.0), minlength=contexts)
+        for r in range(CUTOFF):
+            sums.m[:, r] = np.bincount(of[c == r + 1], minlength=contexts)
+        at = at_run = 0
+        out, none = [], [None] * 4
         for r, p in zip(rows, parts, strict=True):
-            n = len(p["n"])
-            mine = kind[at : at + n]
-            heads = ctx_of[mine[np.cumsum(p["run"]) - p["run"]]]
-            is_hot[heads[p["hot"] == 1]] = True
-            cold = heads[p["hot"] == 0]
-            out.append((r["slice_id"], r["path"], r["bucket"], _pack(c=c[mine].astype(np.uint32), total=total[cold].astype(np.uint32), seen=seen[cold], **{f"m{i}": np.ascontiguousarray(m[cold, i]) for i in range(CUTOFF)}), None, None, None, None, *([int((c == x).sum()) for x in range(1, CUTOFF + 2)] if not out else [0] * len(_R))))
-            at += n
-        for h in np.flatnonzero(is_hot):
-            out.append((None, None, None, None, int(ctx_hash[h : h + 1].view(np.int64)[0]), int(total[h]), float(seen[h]), [int(x) for x in m[h]], *([0] * len(_R))))
+            mine, heads = number[at : at + len(p[-1])], run_ctx[at_run : at_run + len(p[k])]
+            at, at_run = at + len(p[-1]), at_run + len(p[k])
+            if r["slice_id"] == _STORED:
+                continue
+            cold = p[k - 1] == 0
+            # the lower-order mass is of use only where the slice backs off
+            off = np.add.reduceat(c[mine] == 0, np.cumsum(p[k]) - p[k]) > 0
+            seen = np.where(off, sums.seen[heads], 0.0)[cold]
+            out.append((r["slice_id"], r["path"], r["bucket"], _pack(c[mine], sums.total[heads][cold], seen, *(sums.m[heads, x][cold] for x in range(CUTOFF))), *none, *[0] * len(_R)))
+        for h in np.flatnonzero(hot[ctx_first]):
+            out.append((None, None, None, None, [int(x[ctx_first[h]]) for x in context], int(sums.total[h]), float(sums.seen[h]), [int(x) for x in sums.m[h]], *[0] * len(_R)))
+        blob = None
+        if keep:
+            known = np.flatnonzero(c)
+            start, length = _runs(of[known])
+            head = ctx_first[of[known][start]]
+            blob = _pack(*(_steps(x[head]) for x in context), hot[head], length, den[head], word[first[known]], c[known], low[first[known]])
+        out.append((_STORED, None, rows[0]["bucket"], blob, *none, *_by_count(c)))
         cols = list(zip(*out, strict=True))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), *([pa.int64()] * len(_R))]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * len(_R)]
         return pa.table([pa.array(x, y) for x, y in zip(cols, kinds, strict=True)], names=["slice_id", "path", "bucket", "blob", "hot", "total", "seen", "m", *_R])
 
     return run
 
 
-def _score_slice(uni: Unigrams, d: np.ndarray, hot: dict[int, tuple], buckets: int):
+def _score_slice(uni: Unigrams, levels: list, buckets: int):
     """A slice's answers to one row per document."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = _sorted_rows(t, "kind", "bucket")
-        s = _Slice(rows[0]["path"])
-        c1 = s.counts([(r["bucket"], r["blob"]) for r in rows if r["kind"] == 1], buckets)
-        ctx, word, b, is_hot, place = s.pairs(c1, uni.tokens, buckets)
-        answer = {r["bucket"]: _unpack(r["blob"]) for r in rows if r["kind"] == 2}
-        c2, total, seen, m = np.zeros(len(ctx), dtype=np.int64), np.zeros(len(ctx)), np.zeros(len(ctx)), np.zeros((len(ctx), CUTOFF))
-        for k, at in _blobs(b, buckets):
-            a = answer[k]
-            c2[at] = a["c"]
-            start, length = _runs(ctx[at])
-            hot_run = is_hot[at][start]
-            spot = np.repeat(np.where(hot_run, -1, np.cumsum(~hot_run) - 1), length)
-            cold = np.flatnonzero(spot >= 0)
-            to = cold + at.start
-            total[to], seen[to] = a["total"][spot[cold]], a["seen"][spot[cold]]
-            for i in range(CUTOFF):
-                m[to, i] = a[f"m{i}"][spot[cold]]
-        for x in np.unique(ctx[is_hot]):
-            mine = ctx == x
-            if got := hot.get(int(s.hash[x : x + 1].view(np.int64)[0])):
-                total[mine], seen[mine], m[mine] = got[0], got[1], got[2]
-        p = conditional(c2, total, m, seen, uni.p(c1[word]), d, uni.unknown)
-        base = np.log10((c1 + 1) / (uni.tokens + uni.types + 1))
+        rows = t.to_pylist()
+        s = _Slice(rows[0]["path"], len(levels) + 1)
+        r = _Recursion(s, _answers(rows), uni, levels, buckets)
+        base = np.log10((r.c1 + 1) / (uni.tokens + uni.types + 1))
         add = lambda x: np.add.reduceat(x, s.starts)  # noqa: E731  every document has at least its end token
-        n = len(s.length)
-        return pa.table({"doc_id": pa.array(s.doc, mask=~s.known_id), "held_out": s.held, "n_tokens": s.length, "n_known": add((c1 > 0).astype(np.int64)[s.seq]), "train_tokens": np.full(n, uni.tokens, dtype=np.int64), "base_score": add(base[s.seq]), "score": add(np.log10(p)[place])})
+        return pa.table({"doc_id": pa.array(s.doc, mask=s.known_id == 0), "held_out": s.held, "n_tokens": s.length, "n_known": add((r.c1 > 0).astype(np.int64)[s.seq]), "train_tokens": np.full(len(s.doc), uni.tokens, dtype=np.int64), "base_score": add(base[s.seq]), "score": add(r.log)})
 
     return run
 
 
-def score_texts(docs: DataFrame, *, mod: int = 7, rest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, *, order: int = ORDER, mod: int = 7, rest: int = 2, model: str | None = None, save_to: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The model learns from rows whose crc32(id as text) mod ``mod`` is not ``rest``; held_out marks the others
-    (a null id is never held out). Texts are taken whole, A-Z lower-cased, cut at ASCII white space; each ends in
-    one end token, which counts. Null texts are empty: their only token is the end. base_score: add-one unigram
-    log10 probability; score: the Katz model's, unknown words sharing one entry in both. Repeated rows count
-    each time. An empty table gives no rows; without training rows every probability is that of the unknown
-    word alone (score 0). Other columns are ignored.
+    (a null id is never held out). With ``model``, the folder of an earlier run's ``save_to``, nothing is learned and
+    every row is held out; the order is then the stored one. Texts are taken whole, A-Z lower-cased, cut at ASCII
+    white space; each ends in one end token, which counts. Null texts are empty: their only token is the end.
+    base_score: add-one unigram log10 probability; score: the Katz model's, unknown words sharing one entry in both.
+    Repeated rows count each time. An empty table gives no rows; without training rows every probability is that of
+    the unknown word alone (score 0). Other columns are ignored. Words with equal XXH64 count as one word (among
+    10**9 distinct words, 3 % chance that any two do). Counts are 64-bit.
+
+    Shuffled entries follow the number of distinct n-grams of a slice; they are packed in one row per slice and
+    bucket with entries. Buckets are of about ``BUCKET_BYTES`` of text at every size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = bucket_count(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_BYTES, LEAST_BUCKETS)
-    request = "bucket long, slice_id long, path string, blob binary"
+    if model is not None:
+        meta = spark.read.parquet(f"{model}/meta").first()
+        buckets, order = meta["buckets"], meta["order"]
+        held_out = lambda d: True
+    else:
+        buckets = bucket_count(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_BYTES)
+        held_out = lambda d: d is not None and zlib.crc32(str(d).encode()) % mod == rest
     counts = ", ".join(f"{x} long" for x in _R)
-    asked = rows.mapInArrow(_slice_documents(fresh_path(spark, "katz-slices"), buckets, mod, rest), request)
-    words = materialize(asked.groupBy("bucket").applyInArrow(_count_words, f"slice_id long, path string, bucket long, blob binary, types long, tokens long, {counts}"), "katz-unigrams")
-    s = words.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "types", *_R))).first()
+    keep = save_to is not None
+
+    def counted(k: int, requests: DataFrame, count, schema: str) -> DataFrame:
+        """Requests (with the stored table, if there is one) to answers, written; the table is kept on demand."""
+        if model is not None and path_exists(spark, f"{model}/order={k}"):
+            requests = requests.unionByName(spark.read.parquet(f"{model}/order={k}").select("bucket", F.lit(_STORED).cast("long").alias("slice_id"), F.lit(None).cast("string").alias("path"), "blob"))
+        found = materialize(requests.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, f"slice_id long, path string, bucket long, blob binary, {schema}{counts}"), f"katz-{k}")
+        if keep:
+            found.where(f"slice_id = {_STORED}").select("bucket", "blob").write.parquet(f"{save_to}/order={k}")
+        return found
+
+    asked = rows.mapInArrow(_slice_documents(fresh_path(spark, "katz-slices"), buckets, held_out), _REQUEST)
+    found = [counted(1, asked, _count_words(buckets, keep), "types long, tokens long, ")]
+    s = found[0].agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "types", *_R))).first()
     uni = Unigrams(int(s["tokens"]), int(s["types"]), [int(s[x]) for x in _R])
     # A slice's rows are small and its work is not: a number of partitions keeps AQE from merging slices.
-    slices = max(1, min(words.select("slice_id").distinct().count(), 100_000))
-    pairs = words.repartition(slices, "slice_id").groupBy("slice_id").applyInArrow(_request_pairs(uni.tokens, buckets), request)
-    answers = materialize(pairs.groupBy("bucket").applyInArrow(_count_pairs(uni), f"slice_id long, path string, bucket long, blob binary, hot long, total long, seen double, m array<long>, {counts}"), "katz-bigrams")
-    n = answers.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _R)).first()
-    # At most HOT_SHARE contexts hold 1 / HOT_SHARE of the tokens each, and the begin mark: the bound on this table.
-    hot_rows = answers.where("hot is not null").groupBy("hot").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"), *(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(CUTOFF))).collect()
-    hot = {r["hot"]: (r["total"], r["seen"], [r[f"m{i}"] for i in range(CUTOFF)]) for r in hot_rows}
-    both = words.select("slice_id", "path", "bucket", "blob", F.lit(1).alias("kind")).unionByName(answers.where("slice_id is not null").select("slice_id", "path", "bucket", "blob", F.lit(2).alias("kind")))
-    return both.repartition(slices, "slice_id").groupBy("slice_id").applyInArrow(_score_slice(uni, discounts([int(n[x]) for x in _R]), hot, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    slices = max(1, found[0].where("slice_id >= 0").select("slice_id").distinct().count())
+
+    def by_slice() -> DataFrame:
+        union = found[0].select("slice_id", "path", "bucket", "blob", F.lit(1).alias("level"))
+        for k, f in enumerate(found[1:], 2):
+            union = union.unionByName(f.select("slice_id", "path", "bucket", "blob", F.lit(k).alias("level")))
+        return union.where("slice_id >= 0").repartition(slices, "slice_id").groupBy("slice_id")
+
+    levels: list[tuple[np.ndarray, dict]] = []
+    for k in range(2, order + 1):
+        asked = by_slice().applyInArrow(_request(k, uni, levels, buckets), _REQUEST)
+        found.append(counted(k, asked, _count(k, levels[-1][0] if levels else uni.d, keep), "hot array<long>, total long, seen double, m array<long>, "))
+        n = found[-1].agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _R)).first()
+        # At most HOT_SHARE contexts hold 1 / HOT_SHARE of the tokens each, and the begin mark: the bound on this table.
+        sums = found[-1].where("hot is not null").groupBy("hot").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"), *(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(CUTOFF))).collect()
+        levels.append((discounts([int(n[x]) for x in _R]), {tuple(r["hot"]): (r["total"], r["seen"], [r[f"m{i}"] for i in range(CUTOFF)]) for r in sums}))
+    if keep:
+        spark.createDataFrame([(buckets, order)], "buckets long, order long").coalesce(1).write.parquet(f"{save_to}/meta")
+    return by_slice().applyInArrow(_score_slice(uni, levels, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,19 @@ def lower_ascii_py(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_TABLE)
 
 
+def as_bytes(texts):
+    """An Arrow column of texts as UTF-8 bytes, without a copy."""
+    import pyarrow as pa
+
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+
+
+def word_bytes(text: bytes | None) -> list[bytes]:
+    """Maximal runs without U+0020 and U+0009 to U+000D, A-Z lower-cased, of a text in UTF-8: ``bytes`` methods know
+    ASCII letters and ASCII white space only, which are exactly these."""
+    return text.lower().split() if text else []
+
+
 def words_py(text: str) -> list[str]:
     """Maximal runs without U+0020 and U+0009 to U+000D."""
     if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):

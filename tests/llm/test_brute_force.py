@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tessera.llm import katz, lattice, licenses, mixing, pieces, quality, simhash, token_files, tokens, topk
 from tessera.llm.graph import components, local_roots
+from tessera.llm.util import fresh_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -246,40 +247,75 @@ def test_pieces():
 def test_katz(spark, monkeypatch):
     monkeypatch.setattr(katz, "SLICE_TOKENS", 5000)
     monkeypatch.setattr(katz, "HOT_SHARE", 64)
-    got = {r.doc_id: r for r in katz.op8_katz(spark, SF).collect()}
-    texts = {r.doc_id: katz.words_py(katz.lower_ascii_py(r.text)) + [" end"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    monkeypatch.setattr(katz, "BUCKET_BYTES", 1 << 15)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    path = fresh_path(spark, "katz-model")
+    got = {r.doc_id: r for r in katz.score_texts(docs, save_to=path).collect()}
+    assert sorted(map(tuple, katz.op8_katz(spark, SF).collect())) == sorted(map(tuple, got.values()))
+    texts = {r.doc_id: [*re.findall("[^\x20\x09-\x0d]+", katz_lower(r.text)), " end"] for r in docs.collect()}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in texts}
-    c, b = Counter(), defaultdict(Counter)
+    c, follow = Counter(), [defaultdict(Counter), defaultdict(Counter)]
     for k, w in texts.items():
         if not held[k]:
             c.update(w)
-            for a, x in zip([" begin", *w], w, strict=False):
-                b[a][x] += 1
+            for at, x in enumerate(w):
+                follow[0][(w[at - 1] if at else " begin",)][x] += 1
+                if at:
+                    follow[1][w[at - 2] if at > 1 else " begin", w[at - 1]][x] += 1
     n, v = sum(c.values()), len(c)
-    d1 = katz.discounts([sum(x == r for x in c.values()) for r in range(1, 7)])
-    d2 = katz.discounts([sum(x == r for q in b.values() for x in q.values()) for r in range(1, 7)])
-    unk = 1 - sum(d1[min(x, 6)] * x / n for x in c.values())
-    p1 = lambda w: d1[min(c[w], 6)] * c[w] / n if c[w] else unk
-    ctx = {}
-    for a, q in b.items():
+    d = [katz.discounts([sum(x == r for x in c.values()) for r in range(1, 7)])]
+    d += [katz.discounts([sum(x == r for q in t.values() for x in q.values()) for r in range(1, 7)]) for t in follow]
+    unk = 1 - sum(d[0][min(x, 6)] * x / n for x in c.values())
+
+    def p(ctx, w):
+        if not ctx:
+            return d[0][min(c[w], 6)] * c[w] / n if c[w] else unk
+        q = follow[len(ctx) - 1].get(ctx)
+        if q is None:
+            return p(ctx[1:], w)
+        ratio = d[len(ctx)]
         total = sum(q.values())
-        den = total if any(d2[min(x, 6)] < 1 for x in q.values()) else total + 1
-        ctx[a] = den, (1 - sum(d2[min(x, 6)] * x / den for x in q.values())) / (1 - sum(map(p1, q)))
-
-    def p2(a, w):
-        if a not in b:
-            return p1(w)
-        x = b[a].get(w, 0)
-        return d2[min(x, 6)] * x / ctx[a][0] if x else ctx[a][1] * p1(w)
-
-    for a in (" begin", "the", "und"):
-        if a in b:
-            assert abs(sum(p2(a, w) for w in c) + p2(a, "\0") - 1) < 1e-9
+        den = total if any(ratio[min(x, 6)] < 1 for x in q.values()) else total + 1
+        if w in q:
+            return ratio[min(q[w], 6)] * q[w] / den
+        if (ctx, "weight") not in known:
+            known[ctx, "weight"] = (1 - sum(ratio[min(x, 6)] * x / den for x in q.values())) / (1 - sum(p(ctx[1:], x) for x in q))
+        return known[ctx, "weight"] * p(ctx[1:], w)
+
+    known = {}
+    for ctx in [(" begin",), ("the",), (" begin", max(follow[0][(" begin",)], key=follow[0][(" begin",)].get)), max(follow[1], key=lambda x: sum(follow[1][x].values()))]:
+        assert abs(sum(p(ctx, w) for w in c) + p(ctx, "\0") - 1) < 1e-9
+    want = {}
     for k, w in texts.items():
         g = got[k]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held[k], len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(g.score, sum(math.log10(p2(a, x)) for a, x in zip([" begin", *w], w, strict=False)), rel_tol=1e-9)
+        want[k] = sum(math.log10(p(tuple([" begin", *w][max(0, at - 1) : at + 1]), x)) for at, x in enumerate(w))
+        assert math.isclose(g.score, want[k], rel_tol=1e-9)
         assert math.isclose(g.base_score, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
+    # the stored tables score the same texts, and a part of them, without learning again
+    again = katz.score_texts(docs.where("doc_id % 5 = 0"), model=path).collect()
+    assert len(again) > 10 and all(r.held_out and math.isclose(r.score, want[r.doc_id], rel_tol=1e-9) and r.train_tokens == n for r in again)
+
+
+def test_katz_counts_are_64_bit():
+    import pyarrow as pa
+
+    many = 2**32 + 5
+    blob = katz._pack(np.array([7, 9]), np.array([many, 2**33]))
+    t = pa.table({"bucket": [0, 0], "slice_id": [0, 1], "path": ["a", "b"], "blob": [blob, blob]})
+    out = katz._count_words(4, True)(t).to_pylist()
+    assert katz._unpack(out[0]["blob"])[1].tolist() == [2 * many, 2**34] and out[-1]["tokens"] == 2 * many + 2**34
+    assert katz._unpack(out[-1]["blob"])[1].tolist() == [2 * many, 2**34]
+    blob = katz._pack(katz._steps(np.array([2**40, 3])), np.array([0, 1]), np.array([1, 2]), np.array([2**41, 2**41]), np.array([5, 5, 2**35]), np.array([many, 1, 2]), np.array([2**39, 2**39, 4]))
+    t = pa.table({"bucket": [0, 0], "slice_id": [0, 1], "path": ["a", "b"], "blob": [blob, blob]})
+    out = katz._count(2, np.ones(7), False)(t).to_pylist()
+    c, total, seen, *m = katz._unpack(out[0]["blob"])
+    assert c.tolist() == [2 * many, 2, 4] and total.tolist() == [2 * many] and [r["total"] for r in out if r["hot"]] == [6]
+    assert sorted(r["hot"] for r in out if r["hot"]) == [[3]]
+
+
+def katz_lower(t):
+    return "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in t or "")
 
 
 def test_quality_on_held_out_labels(spark):
