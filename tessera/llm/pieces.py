@@ -1,13 +1,15 @@
 """SentencePiece BPE encoding with seeded merge-dropout, and lossless decoding.
 
 Encoding follows the model's agenda: candidate merges wait in a queue by score, then position. When a
-candidate comes up, a hash keyed by (seed, variant, text of the chunk, span) may skip it; the rest of the
-agenda goes on. A skipped merge never loses text, so every segmentation decodes to the same text.
+candidate comes up, a hash keyed by (seed, document, position of the chunk, span) may skip it; the rest of the
+agenda goes on. A skipped merge never loses text, so every segmentation decodes to the same text. A span is skipped
+or not once and for all, also if it comes up again by another split.
 
 The symbols are cut beforehand where no piece of the vocabulary can reach across (before a run of spaces, and
-around line feeds if no piece holds one). Each chunk occurrence draws one of ``variants`` segmentations by a
-hash of (seed, document, position), so that segmentations vary between and inside documents while each
-distinct (chunk, variant) is processed once per worker.
+around line feeds if no piece holds one). Every occurrence of a chunk makes its own choices. What is remembered is
+a tree of agendas for each distinct chunk: the root is the agenda without skips, with its merges in order; an
+occurrence tests them by its own hashes, and its first skip leads to the child agenda in which that span is skipped,
+whose later merges are tested in turn. So occurrences that skip the same spans share the work, and no others.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ from .mixing import _mixed
 from .tokens import tokenizer_path
 from .util import crc32_py
 
-DROPOUT, VARIANTS, SEED = 0.1, 4, 20240917
-MEMO_CHUNKS, MEMO_CHARS, BATCH_DOCS = 1_000_000, 48, 500
+DROPOUT, SEED = 0.1, 20240917
+#: Agendas remembered at most; chunks of more characters than CHUNK_CHARS run their agenda at every occurrence.
+MEMO_AGENDAS, CHUNK_CHARS, BATCH_DOCS = 1_000_000, 48, 500
+_SPAN, _STIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_ALL = 2**64 - 1
 SPACE = "▁"
 
 _loaded: dict[tuple, "PieceCodec"] = {}
@@ -37,12 +42,11 @@ _loaded: dict[tuple, "PieceCodec"] = {}
 class PieceCodec:
     """Encoder and decoder for one sentencepiece BPE model with byte fallback."""
 
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = SEED):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.dropout, self.seed, self.variants = dropout, seed, max(1, variants if dropout else 1)
-        self.limit = int(dropout * 2**32)
+        self.dropout, self.seed, self.limit = dropout, seed, int(dropout * 2**32)
         n = sp.get_piece_size()
         self.piece: dict[str, tuple[float, int]] = {}
         self.byte_id: dict[int, int] = {}
@@ -68,7 +72,7 @@ class PieceCodec:
             raise ValueError("a piece reaches across a word border")
         lines = not any("\n" in p for p in self.piece)
         self.cut = re.compile("\n| *[^ \n]+| +" if lines else " *[^ ]+| +")
-        self.memo: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self._forget()
         keys = np.array([a << 20 | b for a, b in self.merge], dtype=np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.merge.values()), dtype=np.int64)[order]
@@ -92,8 +96,27 @@ class PieceCodec:
                 ids += [self.byte_id[b] for b in chr(-s - 1).encode("utf-8", "surrogatepass")]
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
-    def _key(self, chunk: str, variant: int) -> int:
-        return xxhash.xxh32_intdigest(chunk.encode("utf-8", "surrogatepass"), (self.seed * 31 + variant) & 0xFFFFFFFF) if self.limit else 0
+    def _forget(self) -> None:
+        """An empty forest of agendas: chunk, skipped spans, ids and merges (a run of the flat arrays) of each."""
+        self.root: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.node_chunk: list[str] = []
+        self.node_skips: list[tuple[int, ...]] = []
+        self.node_ids: list[bytes] = []
+        self.run_start, self.run_length = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.spans, self.used = np.zeros(8192, dtype=np.int64), 0
+
+    def skips(self, key, start, end):
+        """Whether the occurrence with this key skips the span: arrays of unsigned 64-bit integers."""
+        with np.errstate(over="ignore"):
+            x = (key ^ ((start << np.uint64(32) | end) * np.uint64(_SPAN))) * np.uint64(_STIR)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(_STIR)
+        return (x >> np.uint64(32)) < np.uint64(self.limit)
+
+    def _skips_one(self, key: int, start: int, end: int) -> bool:
+        x = (key ^ ((start << 32 | end) * _SPAN & _ALL)) * _STIR & _ALL
+        x = (x ^ x >> 32) * _STIR & _ALL
+        return x >> 32 < self.limit
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of symbols; ``none`` if no piece is their text."""
@@ -101,30 +124,74 @@ class PieceCodec:
         at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == k, self.pair_ranks[at], self.none)
 
-    def _agendas(self, chunks: list[tuple[str, int]]) -> list[bytes]:
-        """Ids of many (chunk, variant) at once: every row of a matrix is one chunk's agenda. A round takes each
-        row's best candidate (best rank, then leftmost); a keyed hash of its span skips it, or it is merged."""
-        out: list[bytes] = [b""] * len(chunks)
+    def _grow(self, new: list[tuple[str, tuple[int, ...]]]) -> range:
+        """Adds the agendas of (chunk, skipped spans) to the forest; their numbers."""
+        at, n = len(self.node_ids), len(new)
+        out: list[bytes] = [b""] * n
+        runs = [np.zeros(0, dtype=np.int64)] * n
         by_width: dict[int, list[int]] = {}
-        for k, (c, v) in enumerate(chunks):
-            if len(c) > 48:
-                out[k] = self._long(self._symbols(c), self._key(c, v))
-            else:
-                by_width.setdefault(next(w for w in (6, 10, 14, 20, 32, 48) if len(c) <= w), []).append(k)
+        for k, (c, _) in enumerate(new):
+            by_width.setdefault(next(w for w in (6, 10, 14, 20, 32, CHUNK_CHARS) if len(c) <= w), []).append(k)
         for width, members in by_width.items():
-            for at in range(0, len(members), 20_000):
-                self._matrix(width, members[at : at + 20_000], chunks, out)
-        return out
-
-    def _matrix(self, width: int, members: list[int], chunks: list[tuple[str, int]], out: list[bytes]) -> None:
-        n, pad = len(members), -(1 << 40)
-        size = np.array([len(chunks[k][0]) for k in members])
+            for m in range(0, len(members), 20_000):
+                self._matrix(width, members[m : m + 20_000], new, out, runs)
+        self.node_chunk += [c for c, _ in new]
+        self.node_skips += [p for _, p in new]
+        self.node_ids += out
+        flat = np.concatenate([self.spans[:0], *runs])
+        while len(self.run_start) < at + n:
+            self.run_start, self.run_length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.run_start, self.run_length))
+        while len(self.spans) < self.used + len(flat):
+            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
+        length = np.array([len(r) for r in runs], dtype=np.int64)
+        self.run_length[at : at + n], self.run_start[at : at + n] = length, self.used + np.cumsum(length) - length
+        self.spans[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return range(at, at + n)
+
+    def _settle(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The agenda that each occurrence (its chunk's root, its key) ends in."""
+        node, open_ = node.copy(), np.flatnonzero(self.run_length[node])
+        while len(open_):
+            count = self.run_length[node[open_]]
+            begin = np.cumsum(count) - count
+            of = np.repeat(np.arange(len(open_)), count)
+            place = np.arange(len(of)) - begin[of]
+            span = self.spans[self.run_start[node[open_]][of] + place].view(np.uint64)
+            hit = np.flatnonzero(self.skips(key[open_][of], span >> np.uint64(6), span & np.uint64(63)))
+            who, first = np.unique(of[hit], return_index=True)
+            step = node[open_][who] << 6 | place[hit[first]]
+            ways, back = np.unique(step, return_inverse=True)
+            to = [self.child.get(w) for w in ways.tolist()]
+            lacking = [k for k, x in enumerate(to) if x is None]
+            grown = self._grow([self._branch(int(ways[k])) for k in lacking]) if lacking else []
+            for k, x in zip(lacking, grown, strict=True):
+                to[k] = self.child[int(ways[k])] = x
+            open_ = open_[who]
+            node[open_] = np.array(to, dtype=np.int64)[back]
+            open_ = open_[self.run_length[node[open_]] > 0]
+        return node
+
+    def _branch(self, step: int) -> tuple[str, tuple[int, ...]]:
+        node, place = step >> 6, step & 63
+        return self.node_chunk[node], (*self.node_skips[node], int(self.spans[self.run_start[node] + place]))
+
+    def _matrix(self, width: int, members: list[int], new: list[tuple[str, tuple[int, ...]]], out: list[bytes], runs: list[np.ndarray]) -> None:
+        """Many agendas at once: every row of a matrix is one. A round takes each row's best candidate (best rank,
+        then leftmost), which is dropped if its span is among the row's skipped ones, and merged if not. The merges
+        after the last skip are the agenda's run, as start << 6 | end."""
+        chunks, n, pad = [new[k][0] for k in members], len(members), -(1 << 40)
+        size = np.array([len(c) for c in chunks])
+        depth = max(len(new[k][1]) for k in members)
+        skipped = np.array([[*new[k][1], *[-1] * (depth - len(new[k][1]))] for k in members], dtype=np.int64).reshape(n, depth)
+        last = np.array([new[k][1][-1] if new[k][1] else -1 for k in members], dtype=np.int64)
+        free = last < 0  # whether the last skip is behind
+        log_row, log_span = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         sym = np.full((n, width + 1), pad, dtype=np.int64)
         place = np.arange(width + 1)
-        text = "".join(chunks[k][0] for k in members)
+        text = "".join(chunks)
         sym[place[None, :] < size[:, None]] = self.char_table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         start = np.tile(np.arange(width + 2, dtype=np.int64), (n, 1))
-        key = np.array([self._key(*chunks[k]) for k in members], dtype=np.int64)
         rank = self._ranks(sym[:, :-1], sym[:, 1:])
         done = np.full((n, width + 1), pad, dtype=np.int64)
         live = np.arange(n)
@@ -136,16 +203,19 @@ class PieceCodec:
             if not going.all():
                 stop = ~going
                 done[live[stop]] = sym[stop]
-                live, sym, start, key, rank, col, best = (x[going] for x in (live, sym, start, key, rank, col, best))
+                live, sym, start, rank, col, best = (x[going] for x in (live, sym, start, rank, col, best))
                 row = np.arange(len(live))
                 if not len(live):
                     break
-            if self.limit:
-                with np.errstate(over="ignore"):
-                    h = (key + start[row, col] * 0x9E3779B1 + start[row, col + 2] * 0x85EBCA77).astype(np.uint64) * np.uint64(0x2545F491) >> np.uint64(13)
-                skip = (h & np.uint64(0xFFFFFFFF)) < self.limit
+            span = start[row, col] << 6 | start[row, col + 2]
+            if depth:
+                skip = (skipped[live] == span[:, None]).any(axis=1)
+                free[live] |= span == last[live]
                 rank[row[skip], col[skip]] = self.none
-                row, col, best = row[~skip], col[~skip], best[~skip]
+                row, col, best, span = row[~skip], col[~skip], best[~skip], span[~skip]
+            logged = free[live[row]]
+            log_row.append(live[row[logged]])
+            log_span.append(span[logged])
             if not len(row):
                 continue
             c = col[:, None]
@@ -170,8 +240,16 @@ class PieceCodec:
         for k, e, o, r in zip(members, ends.tolist(), odd.tolist(), range(n), strict=True):
             out[k] = self._ids(done[r][valid[r]].tolist()) if o else flat[begin:e]
             begin = e
+        if self.limit:
+            owner = np.concatenate(log_row)
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(n + 1))
+            span = np.concatenate(log_span)[order]
+            for k, x, y in zip(members, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                runs[k] = span[x:y]
 
     def _long(self, sym: list, key: int) -> bytes:
+        """One occurrence's agenda as a queue, for chunks of any length."""
         n, merge, limit = len(sym), self.merge.get, self.limit
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))
@@ -181,7 +259,7 @@ class PieceCodec:
             r, i, j, e = heapq.heappop(agenda)
             if sym[i] is None or sym[j] is None or nxt[i] != j or end[j] != e or merge((sym[i], sym[j])) != r:
                 continue
-            if limit and ((key + i * 0x9E3779B1 + e * 0x85EBCA77) * 0x2545F491 >> 13) & 0xFFFFFFFF < limit:
+            if limit and self._skips_one(key, i, e):
                 continue
             sym[i], sym[j], end[i] = self.of_rank[r], None, e
             k = nxt[i] = nxt[j]
@@ -195,35 +273,33 @@ class PieceCodec:
         return self._ids(s for s in sym if s is not None)
 
     def encode_many(self, texts: list[str | None], keys: list) -> list[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers; null and empty texts have none."""
-        cut, memo = [], self.memo
-        if sum(map(len, memo)) > MEMO_CHUNKS:
-            for m in memo:
-                m.clear()
-        miss: dict[tuple[str, int], None] = {}
-        for text, key in zip(texts, keys, strict=True):
-            chunks = self.cut.findall(" " + text) if text else []
-            if self.variants == 1:
-                which = [0] * len(chunks)
-            else:
-                start = np.uint64(xxhash.xxh64_intdigest(str(key).encode(), self.seed))
-                with np.errstate(over="ignore"):
-                    which = (_mixed(np.arange(len(chunks), dtype=np.uint64) + start) % np.uint64(self.variants)).tolist()
-            got = [memo[v].get(c) for c, v in zip(chunks, which)]
-            gaps = [k for k, x in enumerate(got) if x is None] if None in got else []
-            miss.update(((chunks[k], which[k]), None) for k in gaps)
-            cut.append((got, [(k, (chunks[k], which[k])) for k in gaps]))
-        todo = list(miss)
-        fresh = dict(zip(todo, self._agendas(todo), strict=True))
-        out = []
-        for got, gaps in cut:
-            for k, p in gaps:
-                got[k] = fresh[p]
-            out.append(b"".join(got))
-        for (c, v), x in fresh.items():
-            if len(c) <= MEMO_CHARS:
-                memo[v][c] = x
-        return out
+        """Ids of whole texts as little-endian unsigned 32-bit integers; null and empty texts have none. ``keys``
+        tell the documents apart: equal (key, text) have equal ids."""
+        if len(self.node_ids) > MEMO_AGENDAS:
+            self._forget()
+        cut = [self.cut.findall(" " + t) if t else [] for t in texts]
+        lacking = {c: None for chunks in cut for c in chunks if c not in self.root and len(c) <= CHUNK_CHARS}
+        if lacking:
+            self.root.update(zip(lacking, self._grow([(c, ()) for c in lacking]), strict=True))
+        roots = [list(map(self.root.get, chunks)) for chunks in cut]
+        occurrence = []
+        for chunks, key in zip(cut, keys, strict=True):
+            start = np.uint64(xxhash.xxh64_intdigest(str(key).encode(), self.seed))
+            with np.errstate(over="ignore"):
+                occurrence.append(_mixed(np.arange(len(chunks), dtype=np.uint64) + start))
+        long = [{k: self._long(self._symbols(chunks[k]), int(occ[k])) for k, r in enumerate(found) if r is None} if None in found else {} for chunks, found, occ in zip(cut, roots, occurrence, strict=True)]
+        for found, special in zip(roots, long, strict=True):
+            for k in special:
+                found[k] = -1
+        if self.limit:
+            flat = np.fromiter((r for found in roots for r in found), dtype=np.int64)
+            short = np.flatnonzero(flat >= 0)
+            if len(short):
+                flat[short] = self._settle(flat[short], np.concatenate(occurrence)[short])
+            cuts = np.cumsum([0, *map(len, roots)])
+            roots = [flat[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        ids = self.node_ids
+        return [b"".join([special[k] if r < 0 else ids[r] for k, r in enumerate(found)] if special else map(ids.__getitem__, found)) for found, special in zip(roots, long, strict=True)]
 
     def encode(self, text: str | None, doc_key: int | str | None = None) -> bytes:
         return self.encode_many([text], [doc_key])[0]
@@ -235,14 +311,14 @@ class PieceCodec:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-def codec(model: str, dropout: float, seed: int, variants: int) -> PieceCodec:
-    key = (model, dropout, seed, variants)
+def codec(model: str, dropout: float, seed: int) -> PieceCodec:
+    key = (model, dropout, seed)
     if key not in _loaded:
-        _loaded[key] = PieceCodec(tokenizer_path(model), dropout, seed, variants)
+        _loaded[key] = PieceCodec(tokenizer_path(model), dropout, seed)
     return _loaded[key]
 
 
-def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
     """``docs`` with a column of piece ids (array<int>) behind it; one pass, no shuffle.
 
     Null and empty texts have no ids. dropout 0 is the model's own segmentation. Equal (seed, id, text) rows
@@ -252,7 +328,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropou
     t, i = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def run(it):
-        c = codec(model, dropout, seed, variants)
+        c = codec(model, dropout, seed)
         for b in it:
             for at in range(0, b.num_rows, BATCH_DOCS):
                 part = b.slice(at, BATCH_DOCS)
@@ -274,7 +350,7 @@ def decode_pieces(rows: DataFrame, model: str = "piece_bpe_32k.model", *, ids_co
     at = rows.columns.index(ids_col)
 
     def run(it):
-        c = codec(model, 0.0, SEED, 1)
+        c = codec(model, 0.0, SEED)
         for b in it:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
@@ -284,7 +360,7 @@ def decode_pieces(rows: DataFrame, model: str = "piece_bpe_32k.model", *, ids_co
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
-def piece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def piece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every text: ``doc_id, n_pieces, ids_crc32, text_crc32, lossless``.
 
     ids_crc32: of the ids as little-endian unsigned 32-bit integers; text_crc32: of the decoded text in UTF-8;
@@ -292,7 +368,7 @@ def piece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout
     """
 
     def run(it):
-        c = codec(model, dropout, seed, variants)
+        c = codec(model, dropout, seed)
         for b in it:
             rows = []
             for at in range(0, b.num_rows, BATCH_DOCS):

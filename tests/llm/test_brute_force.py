@@ -240,8 +240,64 @@ def test_pieces():
         varied += ids != np.frombuffer(drop.encode(t, 6), dtype="<u4").tolist()
         assert drop.decode(ids) == t and drop.encode(t, 5) == pieces.PieceCodec.encode(drop, t, 5)
     assert varied > 100
-    chunks = [(c, v) for t in texts for c in drop.cut.findall(" " + t) for v in (0, 3)]
-    assert drop._agendas(chunks) == [drop._long(drop._symbols(c), drop._key(c, v)) for c, v in chunks]
+
+
+def plain_pieces(codec, text, key):
+    """Merge-dropout restated: the best candidate of all neighbours each time, unless its span is skipped."""
+    out = []
+    m = 2**64 - 1
+
+    def mixed(x):
+        x = x + 0x9E3779B97F4A7C15 & m
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    start = xxhash.xxh64_intdigest(str(key).encode(), codec.seed)
+    for at, chunk in enumerate(codec.cut.findall(" " + text) if text else []):
+        occurrence = mixed(at + start & m)
+        parts = [(k, k + 1) for k in range(len(chunk))]
+        skipped = set()
+        while True:
+            found = []
+            for (a, _), (b, c) in zip(parts, parts[1:], strict=False):
+                whole = codec.piece.get(chunk[a:c].replace(" ", pieces.SPACE)) if pieces.SPACE not in chunk[a:c] else None
+                if whole and (a, c) not in skipped and all(chunk[x:y].replace(" ", pieces.SPACE) in codec.piece for x, y in ((a, b), (b, c))):
+                    found.append((whole, a, b, c))
+            if not found:
+                break
+            _, a, b, c = min(found)
+            x = (occurrence ^ (a << 32 | c) * 0x9E3779B97F4A7C15 & m) * 0xD6E8FEB86659FD93 & m
+            x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & m
+            if x / 2**64 < codec.dropout:
+                skipped.add((a, c))
+            else:
+                k = next(k for k, p in enumerate(parts) if p[0] == a)
+                parts[k : k + 2] = [(a, c)]
+        for a, c in parts:
+            p = codec.piece.get(chunk[a:c].replace(" ", pieces.SPACE)) if chunk[a:c] != pieces.SPACE else None
+            out += [p[1]] if p else [codec.byte_id[x] for x in chunk[a:c].encode()]
+    return out
+
+
+def test_dropout_equals_its_restatement(monkeypatch):
+    drop = pieces.PieceCodec(tokens.tokenizer_path("piece_bpe_32k.model"), 0.25)
+    rng = random.Random(8)
+    texts = ["the the the nation international " * 30, "▁ a▁b ▁", "internationalisation" * 4, "a" * 60, "", " ", "日本語 😀 é"] + ["".join(rng.choice("thengio ,.\nAB12é$") for _ in range(rng.randrange(90))) for _ in range(250)]
+    for most in (pieces.MEMO_AGENDAS, 40):
+        monkeypatch.setattr(pieces, "MEMO_AGENDAS", most)
+        for at in range(0, len(texts), 50):
+            part = texts[at : at + 50]
+            for k, (t, ids) in enumerate(zip(part, drop.encode_many(part, range(at, at + len(part))), strict=True), at):
+                assert np.frombuffer(ids, dtype="<u4").tolist() == plain_pieces(drop, t, k), t
+
+
+def test_every_occurrence_draws_its_own_skips():
+    drop, text = pieces.PieceCodec(tokens.tokenizer_path("piece_bpe_32k.model"), 0.1), " nation" * 20_000
+    (root,) = drop._grow([(" nation", ())])
+    ends = drop._settle(np.full(20_000, root), np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
+    assert abs((ends == root).mean() - 0.9 ** int(drop.run_length[root])) < 0.02 and len({drop.node_ids[k] for k in ends}) > 4
+    assert drop.decode(np.frombuffer(drop.encode(text, 3), dtype="<u4").tolist()) == text
 
 
 def test_katz(spark, monkeypatch):
