@@ -39,7 +39,7 @@ from .mixing import _mixed
 from .util import as_bytes, bucket_count, filesystem, fresh_path, materialize, path_exists, word_bytes
 
 ORDER = 3
-SLICE_TOKENS = 2_000_000
+SLICE_TOKENS = 1_000_000
 BUCKET_BYTES = 8 << 20
 HOT_SHARE = 4096
 #: Counts up to CUTOFF are discounted.
@@ -224,7 +224,7 @@ class _Slice:
         """Local words in request order, and their buckets; the begin mark is no word."""
         words = np.arange(1, len(self.hash))
         b = (self.hash[1:].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((self.hash[1:], b))
+        order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")
         return words[order], b[order]
 
 
@@ -257,9 +257,14 @@ class _Recursion:
             mix = _mixed(mix ^ x.view(np.uint64))
         spread = np.where(hot_context[v.ctx], _mixed(mix[v.ctx] ^ self.ids[v.word].view(np.uint64)), mix[v.ctx])
         b = (spread % np.uint64(self.buckets)).astype(np.int64)
+        # by bucket, then by the context's last word, so that its columns pack well
         rank = np.empty(len(mix), dtype=np.int64)
-        rank[np.lexsort(context)] = np.arange(len(mix))
-        order = np.lexsort((self.ids[v.word], rank[v.ctx], b))
+        rank[np.argsort(_joint(context[::-1]), kind="stable")] = np.arange(len(mix))
+        n, words = len(mix), len(self.s.hash)
+        if self.buckets * n < (1 << 62) // words:
+            order = np.argsort((b * n + rank[v.ctx]) * words + v.word)
+        else:
+            order = np.lexsort((v.word, rank[v.ctx], b))
         return context, hot_context, order, b[order]
 
     def _climb(self, k: int, answers: dict[int, bytes], d: np.ndarray, hot: dict[tuple, tuple], least: float) -> None:
