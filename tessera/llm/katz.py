@@ -252,10 +252,13 @@ class _Recursion:
         hot_context = self.c * HOT_SHARE >= max(self.tokens, 1)
         if k == 2:
             hot_context[BEGIN] = True
-        mix = np.zeros(len(context[0]), dtype=np.uint64)
-        for x in context:
-            mix = _mixed(mix ^ x.view(np.uint64))
-        spread = np.where(hot_context[v.ctx], _mixed(mix[v.ctx] ^ self.ids[v.word].view(np.uint64)), mix[v.ctx])
+        suffix = np.zeros(len(context[0]), dtype=np.uint64)
+        for x in context[1:]:
+            suffix = _mixed(suffix ^ x.view(np.uint64))
+        mix = _mixed(suffix ^ context[0].view(np.uint64))
+        # contexts go where those of the same suffix go, or by themselves where there are many
+        together = mix if k == 2 else np.where(self.hot_below[self.s.levels[k - 3].suffix], mix, suffix)
+        spread = np.where(hot_context[v.ctx], _mixed(mix[v.ctx] ^ self.ids[v.word].view(np.uint64)), together[v.ctx])
         b = (spread % np.uint64(self.buckets)).astype(np.int64)
         # by bucket, then by the context's last word, so that its columns pack well
         rank = np.empty(len(mix), dtype=np.int64)
@@ -284,7 +287,7 @@ class _Recursion:
         den, alpha = at_context.den(d), at_context.alpha(d, least)
         p = np.where(c > 0, _discounted(c, d) / den[v.ctx], alpha[v.ctx] * self.p[v.suffix])
         self.columns = [*(x[v.ctx] for x in context), self.ids[v.word]]
-        self.c, self.p, self.den = c, p, den[v.ctx]
+        self.c, self.p, self.den, self.hot_below = c, p, den[v.ctx], hot_context
         reached = v.of >= 0
         self.log[reached] = np.log10(p)[v.of[reached]]
 

@@ -201,8 +201,8 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, id_col: str = "v
 
     Plan: equal vectors are one node with a weight. Only (cell, vector) rows are shuffled, a fixed number per
     vector; pairs are verified by matrix products inside the task, counted in the first table and cell in which
-    they meet, and leave it as one sum per row and a spanning forest. Cells with over ``BLOCK_ROWS`` home rows
-    are dealt as pairs of blocks.
+    they meet, and leave it as one sum per row and a spanning forest. Cells with over ``BLOCK_ROWS`` rows, homes
+    or probes, are dealt as pairs of blocks.
     """
     from pyspark.sql import types as T
 
@@ -221,7 +221,7 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, id_col: str = "v
         x = x / np.abs(x).max(axis=1)[:, None]  # against overflow and underflow of the squares
         return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
-    def emit(homes_only: bool):
+    def emit(keys_only: bool):
         def run(it):
             g = projections(dims, tables, blocks, seed)
             for b in it:
@@ -237,19 +237,18 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, id_col: str = "v
                     vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()).cast(store), dims).cast(pa.list_(store))
                     cell = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), tables * width).cast(pa.list_(pa.int64()))
                     for t in range(tables):
-                        for p in range(1 if homes_only else width):
-                            base = [pa.array(keys[:, t, p]), pa.array(np.full(m, int(p > 0), dtype=np.int8)), part.column(1)]
-                            names = ["key", "side", "node"]
-                            if not homes_only:
-                                base += [pa.array(np.full(m, t, dtype=np.int32)), part.column(2), vec, cell]
-                                names += ["t", "weight", "vec", "cells"]
+                        for p in range(width):
+                            base = [pa.array(keys[:, t, p]), pa.array(np.full(m, int(p > 0), dtype=np.int8))]
+                            names = ["key", "side"]
+                            if not keys_only:
+                                base += [part.column(1), pa.array(np.full(m, t, dtype=np.int32)), part.column(2), vec, cell]
+                                names += ["node", "t", "weight", "vec", "cells"]
                             yield pa.RecordBatch.from_arrays(base, names)
 
         return run
 
     rows = members.mapInArrow(emit(False), f"key long, side byte, node long, t int, weight long, vec array<{spark_store}>, cells array<long>")
-    homes = members.mapInArrow(emit(True), "key long, side byte, node long")
-    dealt = with_blocks(rows, homes, BLOCK_ROWS).repartition("key", "sub").sortWithinPartitions("key", "sub", "side")
+    dealt = with_blocks(rows, members.mapInArrow(emit(True), "key long, side byte"), BLOCK_ROWS).repartition("key", "sub").sortWithinPartitions("key", "sub", "side")
 
     def verify(it):
         for g in sorted_groups(it, ["key", "sub"], ["side", "node", "t", "weight", "vec", "cells"]):

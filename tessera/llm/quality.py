@@ -181,10 +181,13 @@ def held_out(id_col: str | Column = "doc_id", mod: int = 4, rest: int = 2) -> Co
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Learns from labels of rows that are not held out, at most ``max_train`` of them, in order of a seeded hash
-    of the id. Labels other than 0 and 1, null ids and labels without a document count for nothing; an id
-    labelled twice counts twice. Only text features are inputs."""
+    """Learns from labelled documents that are not held out, at most ``max_train`` (document, label) pairs in order of a
+    seeded hash of the id, then by content. Labels other than 0 and 1, null ids and labels without a document count for
+    nothing and use nothing of the bound; an id labelled twice, or of several documents, counts for each pair. Only
+    text features are inputs."""
+    ids = docs.select(F.col(id_col).cast("long").alias("known_id"))
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("label_id"), F.col(label_col).cast("int").alias("y"))
+    usable = usable.join(ids, F.col("label_id") == F.col("known_id"), "left_semi")
     chosen = usable.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(max_train)
 
     def run(it):
@@ -194,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TRAIN, id_
 
     # max_train rows of two numbers: the bound that makes this side fit for a broadcast.
     joined = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    rows = joined.select("label_id", "text", "y").mapInArrow(run, "label_id long, y int, x array<double>").collect()
+    # Ids of several documents bring more pairs than labels: the bound holds for what reaches the driver.
+    rows = joined.select("label_id", "text", "y").mapInArrow(run, "label_id long, y int, x array<double>").orderBy(F.xxhash64("label_id"), "label_id", "y", "x").limit(max_train).collect()
     rows.sort(key=lambda r: (r["label_id"], r["y"], r["x"]))
     return fit(np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], dtype=float))
 

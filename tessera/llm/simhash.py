@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from .graph import components, group_runs, local_roots
 from .mixing import _mixed
-from .util import lower_ascii_py, materialize, words_py
+from .util import as_bytes, materialize, row_hash, unused, word_bytes
 
 SEED = 42
 SHINGLE = 4
 DISTANCE = 4
 #: Work of one shuffled probe row and of one verified candidate pair, in microseconds.
 PROBE_COST, PAIR_COST = 3.0, 0.02
-#: A bucket with more home rows than this is dealt as pairs of blocks of about this size.
+#: A bucket with more rows than this is dealt as pairs of blocks of about this size.
 BLOCK_ROWS = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _SUB = 1 << 24
@@ -35,26 +35,23 @@ _SUB = 1 << 24
 #: fingerprint and SKETCHES further ones together differ in at most CANDIDATE_SLACK bits more than the similarity gives
 #: on average are candidates; they link if their exact Jaccard similarity is reached.
 SKETCHES, BANDS, BAND_ROWS, CANDIDATE_SLACK = 3, 32, 5, 38
-#: Bounds of the estimate that was the link before candidates were verified; tests restate it.
-WIDE, SLACK = 12, 8
 #: A candidate component with more nodes than this is compared as pairs of blocks.
 WHOLE_COMPONENT = 64
 
 
-def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """XXH64 of every shingle of a text, repeats included; the whole sequence if it is shorter than a shingle."""
-    words = words_py(lower_ascii_py(text or ""))
+    words = word_bytes(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text)
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    joined = " ".join(words).encode("utf-8", "surrogatepass")
+    joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
         return np.array([digest(joined, seed)], dtype=np.uint64)
-    size = np.fromiter(map(len, joined.split(b" ")), dtype=np.int64, count=len(words))
-    end = np.cumsum(size + 1) - 1
-    start = end - size
-    n = len(words) - shingle + 1
-    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(start[:n].tolist(), end[shingle - 1 :].tolist(), strict=True)), dtype=np.uint64, count=n)
+    end = list(itertools.accumulate(map(len, words)))
+    first = itertools.accumulate(map(len, words), initial=0)
+    # word k starts behind k spaces, and the shingle from it ends with word k + shingle - 1
+    return np.fromiter((digest(joined[a + k : b + k + shingle - 1], seed) for k, (a, b) in enumerate(zip(first, end[shingle - 1 :], strict=False))), dtype=np.uint64, count=len(words) - shingle + 1)
 
 
 def vote(h: np.ndarray) -> int:
@@ -80,7 +77,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(it):
         for b in it:
             got = np.zeros((b.num_rows, 1 + sketches), dtype=np.uint64)
-            for i, t in enumerate(b.column(1)):
+            for i, t in enumerate(as_bytes(b.column(1))):
                 h = shingle_hashes(t.as_py(), shingle, seed)
                 got[i, 0] = vote(h)
                 for k in range(sketches):
@@ -114,7 +111,7 @@ def set_sketches(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, b
         for b in it:
             got = np.zeros((b.num_rows, len(names)), dtype=np.uint64)
             band = np.zeros((b.num_rows, bands), dtype=np.uint64)
-            for i, t in enumerate(b.column(1)):
+            for i, t in enumerate(as_bytes(b.column(1))):
                 h = np.unique(shingle_hashes(t.as_py(), shingle))
                 got[i, 0] = vote(h)
                 for k in range(SKETCHES):
@@ -174,12 +171,12 @@ def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_co
     component is dealt as block pairs; their number grows with its size, so no task holds it.
     """
     extra = [f"s{k}" for k in range(SKETCHES)]
-    most = allowed_bits(similarity, 64 * (1 + SKETCHES), CANDIDATE_SLACK)
+    most = allowed_bits(similarity, 64 * (1 + SKETCHES))
     fps = materialize(set_sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle), "sketches")
     known = fps.where("doc_id is not null")
     nodes = materialize(known.groupBy("set_id", "fp", *extra).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "sketch-nodes")
     homes = nodes.select(F.explode("bands").alias("key"), F.lit(0).cast("byte").alias("side"), "fp", "node", *extra)
-    rows = with_blocks(homes, homes)
+    rows = with_blocks(homes, homes.select("key", "side"))
 
     def near(it):
         for g in sorted_groups(it, ["key", "sub"], ["side", "fp", "node", *extra]):
@@ -208,7 +205,7 @@ def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_co
         for b in it:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in part.column(0)]
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in as_bytes(part.column(0))]
                 # an id that repeats with another text is another node
                 same = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64) == part.column(4).to_numpy()
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in sets])]).astype(np.int32)
@@ -293,21 +290,52 @@ def _variants(width: int, e: int) -> int:
     return sum(math.comb(width, k) for k in range(1, e + 1))
 
 
-def allocate(n: int, p: np.ndarray, parts: list[list[int]], tau: int) -> tuple[float, list[int]]:
+def differing(n: int, both: np.ndarray, bits: list[int]) -> np.ndarray:
+    """Estimated distribution of the number of differing bits among ``bits`` of two fingerprints drawn from all.
+
+    From the joint counts of bit pairs follows for each two bits how often they differ together. The dependence among
+    all bits is taken as the tree of the strongest such correlations, on which the sum's distribution is exact."""
+    n = max(n, 1)
+    p = np.diag(both) / n
+    p11 = both / n
+    p10, p01 = p[:, None] - p11, p[None, :] - p11
+    joint = np.clip(2 * (p11 * (1 - p11 - p10 - p01) + p10 * p01), 0, 1)
+    q = 2 * p * (1 - p)
+    sd = np.sqrt(np.maximum(q * (1 - q), 1e-12))
+    corr = np.abs(joint - np.outer(q, q)) / np.outer(sd, sd)
+    # the tree, root first; every further bit hangs on the reached bit that it is most correlated with
+    reached, parent = [bits[0]], {}
+    while len(reached) < len(bits):
+        b, a = max(((b, a) for b in bits if b not in reached for a in reached), key=lambda e: corr[e])
+        parent[b] = a
+        reached.append(b)
+    # below[b][d]: distribution of the number of differing bits in the part below b and b itself, if b differs (d = 1)
+    below = {b: [np.array([1.0]), np.array([0.0, 1.0])] for b in bits}
+    for b in reversed(reached[1:]):
+        a = parent[b]
+        for d in (0, 1):
+            base = q[a] if d else 1 - q[a]
+            together = joint[a, b] if d else q[b] - joint[a, b]
+            differs = min(max(together / base, 0.0), 1.0) if base > 1e-12 else q[b]
+            mixed = np.zeros(len(below[b][1]))
+            mixed[: len(below[b][0])] += (1 - differs) * below[b][0]
+            mixed += differs * below[b][1]
+            below[a][d] = np.convolve(below[a][d], mixed)
+    out = np.zeros(len(bits) + 1)
+    for d, weight in ((0, 1 - q[bits[0]]), (1, q[bits[0]])):
+        out[: len(below[bits[0]][d])] += weight * below[bits[0]][d][: len(out)]
+    return out
+
+
+def allocate(n: int, both: np.ndarray, parts: list[list[int]], tau: int) -> tuple[float, list[int]]:
     """(estimated work, thresholds) of least work with sum tau - m + 1, by dynamic programming.
 
-    The candidate pairs of a partition at threshold e are estimated as n(n-1)/2 times the probability that
-    at most e of its bits differ, from the share of ones in each bit.
+    The candidate pairs of a partition at threshold e are estimated as n(n-1)/2 times the probability that at most e
+    of its bits differ (:func:`differing`).
     """
     options = []
     for bits in parts:
-        dist = np.zeros(len(bits) + 1)
-        dist[0] = 1.0
-        for b in bits:
-            q = 2 * p[b] * (1 - p[b])
-            dist[1:] = dist[1:] * (1 - q) + dist[:-1] * q
-            dist[0] *= 1 - q
-        within = np.cumsum(dist)
+        within = np.cumsum(differing(n, both, bits))
         options.append([0.0] + [PAIR_COST * n * (n - 1) / 2 * within[min(e, len(bits))] + PROBE_COST * n * (1 + _variants(len(bits), e) / 2) for e in range(tau + 1)])
     target = tau + 1  # sum of (threshold + 1)
     best = {0: (0.0, [])}
@@ -323,11 +351,10 @@ def allocate(n: int, p: np.ndarray, parts: list[list[int]], tau: int) -> tuple[f
 
 def plan(n: int, both: np.ndarray, tau: int = DISTANCE) -> list[tuple[list[int], int]]:
     """(bits, threshold) of every probed partition; the number of partitions with the least estimated work."""
-    p = np.diag(both) / max(n, 1)
     found = []
     for m in range(2, tau + 2):
         parts = group_bits(n, both, m)
-        work, thresholds = allocate(n, p, parts, tau)
+        work, thresholds = allocate(n, both, parts, tau)
         found.append((work, m, [(b, t) for b, t in zip(parts, thresholds, strict=True) if t >= 0]))
     return min(found, key=lambda f: f[:2])[2]
 
@@ -339,31 +366,26 @@ def _values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def probes(layout: list[tuple[list[int], int]], homes_only: bool = False, carry: tuple[str, ...] = ()) -> Callable:
-    """Arrow function from ``fp, node`` and carried columns to ``key, side`` and the same: the home row of every
-    partition (side 0) and its variants within the threshold (side 1). Of two fingerprints the one with the
-    smaller value probes. The first carried column, if any, is probed like the fingerprint, under its own keys."""
+def probes(layout: list[tuple[list[int], int]]) -> Callable:
+    """Arrow function from ``fp, node`` to ``key, side, fp, node``: the home row of every partition (side 0) and its
+    variants within the threshold (side 1). Of two fingerprints the one with the smaller value probes."""
     masks = [[sum(1 << b for b in c) for k in range(1, t + 1) for c in itertools.combinations(range(len(bits)), k)] for bits, t in layout]
-    names = ["key", "side", "fp", "node", *carry]
 
-    def emit(key, side, columns):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, dtype=np.int8)), *map(pa.array, columns)], names)
+    def emit(key, side, fp, node):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, dtype=np.int8)), pa.array(fp), pa.array(node)], ["key", "side", "fp", "node"])
 
     def run(it):
         for b in it:
-            every = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2 + len(carry))]
+            every = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2)]
             for k in range(0, b.num_rows, 16384):
-                columns = [x[k : k + 16384] for x in every]
-                for (t, of), (g, (bits, _)) in itertools.product(enumerate([0] if not carry else [0, 2]), enumerate(layout)):
-                    v = _values(columns[of].view(np.uint64), bits)
-                    base = (64 * t + g) << 40
-                    yield emit(base | v, 0, columns)
-                    if homes_only:
-                        continue
+                fp, node = (x[k : k + 16384] for x in every)
+                for g, (bits, _) in enumerate(layout):
+                    v = _values(fp.view(np.uint64), bits)
+                    yield emit(g << 40 | v, 0, fp, node)
                     for part in range(0, len(masks[g]), 32):
                         w = v[:, None] ^ np.array(masks[g][part : part + 32], dtype=np.int64)[None, :]
                         r, c = np.nonzero(w > v[:, None])
-                        yield emit(base | w[r, c], 1, [x[r] for x in columns])
+                        yield emit(g << 40 | w[r, c], 1, fp[r], node[r])
 
     return run
 
@@ -384,25 +406,31 @@ def ranged_pairs(left: np.ndarray, low: np.ndarray, high: np.ndarray, most: int
 
 
 def sorted_groups(it, keys: list[str], columns: list[str]):
-    """From Arrow batches sorted by ``keys``: dicts of numpy columns that hold whole groups; a group that
-    crosses batches is carried over."""
-    carry = None
+    """From Arrow batches sorted by ``keys``: dicts of numpy columns that hold whole groups; the pieces of a group
+    that crosses batches are put together once, when it ends."""
+    pieces: list[dict] = []
+
+    def joined(parts: list[dict]) -> dict:
+        return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+
     for b in it:
         now = {c: b.column(b.schema.get_field_index(c)) for c in [*keys, *columns]}
         now = {c: (v.to_numpy(zero_copy_only=False) if not pa.types.is_list(v.type) else v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)) for c, v in now.items()}
-        if carry is not None:
-            now = {c: np.concatenate([carry[c], v]) for c, v in now.items()}
         if not len(now[keys[0]]):
             continue
         last = np.ones(len(now[keys[0]]), dtype=bool)
         for k in keys:
             last &= now[k] == now[k][-1]
         cut = int(len(last) - np.argmin(last[::-1])) if not last.all() else 0
-        carry = {c: v[cut:] for c, v in now.items()}
-        if cut:
-            yield {c: v[:cut] for c, v in now.items()}
-    if carry is not None and len(carry[keys[0]]):
-        yield carry
+        goes_on = bool(pieces) and all(pieces[-1][k][-1] == now[k][0] for k in keys)
+        if cut == 0 and goes_on:
+            pieces.append(now)
+            continue
+        if pieces or cut:
+            yield joined([*pieces, {c: v[:cut] for c, v in now.items()}] if cut else pieces)
+        pieces = [{c: v[cut:] for c, v in now.items()}]
+    if pieces:
+        yield joined(pieces)
 
 
 def group_pairs(g: dict, most: int = 1 << 20):
@@ -418,28 +446,33 @@ def group_pairs(g: dict, most: int = 1 << 20):
     yield from ranged_pairs(at, np.where(cross, first_other[at], at + 1), end[at], most)
 
 
-def with_blocks(rows: DataFrame, homes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``sub``: -1, or for buckets with over ``block_rows`` home rows the block pair x * 2**24 + y.
+def with_blocks(rows: DataFrame, sides: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``sub``: -1, or for buckets with over ``block_rows`` rows the block pair x * 2**24 + y. ``sides`` has the
+    ``key, side`` of every row.
 
-    Home rows of such a bucket are dealt to n blocks and meet every other block and every probe block once;
-    every pair of rows that shared the bucket still meets in exactly one block pair.
+    Home rows (side 0) of such a bucket are dealt to n blocks, probe rows (side 1) to q more, both of about
+    ``block_rows``. A home block meets itself, every other home block and every probe block once, so every pair of
+    rows that shared the bucket, but two probes, meets in exactly one block pair. Probes without a home go.
     """
-    hot = materialize(homes.groupBy("key").count().where(F.col("count") > block_rows).select(F.col("key").alias("hot_key"), F.ceil(F.col("count") / block_rows).cast("long").alias("n")), "hot-buckets")
+    home = F.count_if(F.col("side") == 0)
+    hot = sides.groupBy("key").agg(home.alias("homes"), (F.count("*") - home).alias("probes")).where(F.col("homes") + F.col("probes") > block_rows)
+    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("long")
+    hot = materialize(hot.select(F.col("key").alias("hot_key"), blocks("homes").alias("n"), blocks("probes").alias("q")), "hot-buckets")
     joined = rows.join(hot, rows.key == hot.hot_key, "left")
-    own = F.pmod(F.xxhash64("node"), F.col("n"))
-    probe = F.col("n") + F.pmod(F.xxhash64("node"), 4 * F.col("n"))
-    home_pairs = F.concat(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.struct((F.least(own, o) * _SUB + F.greatest(own, o)).alias("sub"), (own > o).cast("byte").alias("side"))),
-        F.transform(F.sequence(F.col("n"), 5 * F.col("n") - 1), lambda o: F.struct((own * _SUB + o).alias("sub"), F.lit(0).cast("byte").alias("side"))),
-    )
-    probe_pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.struct((o * _SUB + probe).alias("sub"), F.lit(1).cast("byte").alias("side")))
-    plain = F.array(F.struct(F.lit(-1).cast("long").alias("sub"), F.col("side").cast("byte").alias("side")))
-    dealt = F.when(F.col("n").isNull(), plain).when(F.col("side") == 0, home_pairs).otherwise(probe_pairs)
+    zero, pick = F.lit(0).cast("long"), F.xxhash64("node")
+    own, probe = F.pmod(pick, F.greatest("n", F.lit(1))), F.col("n") + F.pmod(pick, F.greatest("q", F.lit(1)))
+    entry = lambda sub, side: F.struct(sub.alias("sub"), side.cast("byte").alias("side"))
+    none = F.array().cast("array<struct<sub:bigint,side:tinyint>>")
+    homes = F.transform(F.sequence(zero, F.col("n") - 1), lambda o: entry(F.least(own, o) * _SUB + F.greatest(own, o), own > o))
+    asked = F.when(F.col("q") > 0, F.transform(F.sequence(F.col("n"), F.col("n") + F.col("q") - 1), lambda o: entry(own * _SUB + o, F.lit(0)))).otherwise(none)
+    probes = F.transform(F.sequence(zero, F.col("n") - 1), lambda o: entry(o * _SUB + probe, F.lit(1)))
+    plain = F.array(entry(F.lit(-1).cast("long"), F.col("side")))
+    dealt = F.when(F.col("n").isNull(), plain).when(F.col("n") == 0, none).when(F.col("side") == 0, F.concat(homes, asked)).otherwise(probes)
     keep = [c for c in rows.columns if c != "side"]
     return joined.select(*keep, F.explode(dealt).alias("d")).select(*keep, "d.sub", "d.side")
 
 
-def allowed_bits(similarity: float, bits: int, slack: int = SLACK) -> int:
+def allowed_bits(similarity: float, bits: int, slack: int = CANDIDATE_SLACK) -> int:
     """Differing bits of SimHashes of ``bits`` bits at a Jaccard similarity of shingles: the angle of sets of equal
     size that share it, plus ``slack``."""
     return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi) + slack
@@ -468,7 +501,8 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
     n, both = bit_statistics(nodes)
     layout = plan(n, both, distance)
     schema = "key long, side byte, fp long, node long"
-    rows = with_blocks(nodes.mapInArrow(probes(layout), schema), nodes.mapInArrow(probes(layout, True), schema))
+    rows = nodes.mapInArrow(probes(layout), schema)
+    rows = with_blocks(rows, rows.select("key", "side"))
 
     def verify(it):
         for g in sorted_groups(it, ["key", "sub"], ["side", "fp", "node"]):
@@ -501,17 +535,21 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, shingle: int =
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that represent their near-duplicate group (the smallest id) and rows without an id.
 
-    Same rules as :func:`near_duplicates`; of rows that repeat an id one stays.
+    Same rules as :func:`near_duplicates`. Of rows that repeat such an id one stays: the first by a hash of all its
+    columns, so reruns agree. Columns of ``docs`` may have any names.
     """
     id_col = settings.get("id_col", "doc_id")
     found = near_duplicates(docs, **settings)
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows_of_id"))
-    kept = materialize(kept, "simhash-kept")
+    name, first = unused(docs, "kept_id"), unused(docs, "kept_row")
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = materialize(kept.select(F.col("doc_id").alias(name), "n"), "simhash-kept")
     # Ids are joined to texts by a shuffled hash join at every size: the texts are dealt once and never sorted.
-    out = docs.join(kept.select("kept_id").hint("shuffle_hash"), F.col(id_col) == F.col("kept_id"), "left_semi")
-    if not kept.where("rows_of_id > 1").isEmpty():
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    once, again = kept.where("n = 1").select(name).hint("shuffle_hash"), kept.where("n > 1").select(name)
+    out = docs.join(once, docs[id_col] == once[name], "left_semi")
+    if not again.isEmpty():
+        repeats = docs.join(again.hint("shuffle_hash"), docs[id_col] == again[name], "left_semi")
+        out = out.unionByName(repeats.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), row_hash(docs)).alias(first)).select(f"{first}.*"))
+    return out.unionByName(docs.where(docs[id_col].isNull()))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,12 +37,14 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: st
     cache_path: Parquet folder of ``CACHE_SCHEMA``, partitioned by tokenizer digest; created at need.
 
     Null texts count as empty (0 bytes, 0 tokens). A null id keeps its row. An empty table gives an empty
-    result. Counts are of whole texts, however long.
+    result. Counts are of whole texts, however long. Content is normalised by null to empty and UTF-8 only: what a
+    tokenizer's own normaliser does depends on its added tokens, so the digest is of what the library is given.
 
     Plan: the digests (a few dozen bytes a row) are written once. A distinct digest is represented by its
-    smallest (id, row) and only texts of representatives that the cache lacks are joined by that unique key,
-    so a group of copies puts one text, and not itself, into a task. The closing join on digests has tiny rows
-    and one side unique; AQE splits a hot digest.
+    smallest id and only texts of representatives that the cache lacks are joined, by id and digest together, so a
+    group of copies puts one text, and not itself, into a task, and an id that many texts share is spread by their
+    digests. A row that is repeated as a whole is encoded once a task, and one row a digest is stored. The closing
+    join on digests has tiny rows and one side unique; AQE splits a hot digest.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
@@ -51,19 +53,16 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: st
     known = read_cache(spark, cache_path, version)
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     missing = first.join(known, first.digest == known.content_digest, "left_anti")
-    # Copies of a null-id text have no representative id; they are matched by digest instead, as one row.
-    by_id = missing.where("rep is not null")
-    texts = rows.join(by_id, rows.doc_id == by_id.rep).select("digest", "text")
-    null_ids = missing.where("rep is null").select("digest")
-    orphan = rows.where("doc_id is null").withColumn("own", content_digest(F.col("text"))).groupBy("own").agg(F.first("text").alias("text"))
-    texts = texts.unionByName(orphan.join(null_ids, orphan.own == null_ids.digest).select("digest", "text"))
+    texts = rows.withColumn("own", content_digest(F.col("text"))).join(missing, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("digest"))).select("digest", "text")
 
     def count(it):
-        enc = encoder(tokenizer)
+        enc, done = encoder(tokenizer), set()
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.count(t) for t in b.column(1).to_pylist()], pa.int64())], ["content_digest", "n_tokens"])
+            fresh = [k for k, d in enumerate(b.column(0).to_pylist()) if d not in done and not done.add(d)]
+            part = b.take(pa.array(fresh, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([enc.count(t) for t in part.column(1).to_pylist()], pa.int64())], ["content_digest", "n_tokens"])
 
-    fresh = texts.where(content_digest(F.col("text")) == F.col("digest")).mapInArrow(count, "content_digest binary, n_tokens long")
+    fresh = texts.mapInArrow(count, "content_digest binary, n_tokens long").groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
     fresh.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
     counts = read_cache(spark, cache_path, version)
     return digests.join(counts, digests.digest == counts.content_digest).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

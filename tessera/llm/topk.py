@@ -89,7 +89,8 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: float = 256.0, id_
     query set. Components become floor(scale * x). Ties go to the smaller vec_id; fewer candidates than k give
     fewer rows. Null vectors, null ids and vectors with null or non-finite components take no part; missing
     trailing dimensions of a shorter vector count as zero. A repeated vec_id is a candidate once per row for
-    other queries and asks once. An empty table gives no rows. Scores beyond a long saturate.
+    other queries and asks once, with its first vector in order. An empty table gives no rows. Scores beyond a long
+    saturate.
 
     Plan: queries go in blocks of at most ``query_block``, candidates in blocks of about ``candidate_block``
     (or more blocks, to use every core). One group holds one query block and one candidate block, so its
@@ -101,7 +102,7 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: float = 256.0, id_
     qbs = max(1, -(-n_q // query_block))
     cbs = max(1, -(-n_c // candidate_block), min(n_c // 128, 8 * spark.sparkContext.defaultParallelism))
     salted = F.xxhash64("vec_id")
-    queries = rows.where(is_query).dropDuplicates(["vec_id"]).withColumn("qb", F.pmod(salted, F.lit(qbs))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cbs - 1).cast("long"))))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("qb", F.pmod(salted, F.lit(qbs))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cbs - 1).cast("long"))))
     cands = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(cbs))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(qbs - 1).cast("long"))))
 
     def matrix(p: pd.DataFrame, dims: int) -> np.ndarray:

@@ -51,14 +51,47 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark's setting by which a finished query's shuffle files go at once, not at the driver's next long garbage collection.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_parquet(df: DataFrame, path: str) -> None:
+    """Write ``df`` to ``path``. What is written needs its shuffles no more, so their files are given back."""
+    conf = df.sparkSession.conf
+    before = conf.get(_RELEASE, None)
+    conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_RELEASE)
+        else:
+            conf.set(_RELEASE, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    write_parquet(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """XXH64 over all columns, whatever their types: an order for rows that share a key."""
+    from pyspark.sql import types as T
+
+    plain = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DateType, T.TimestampType, T.ArrayType)
+    return F.xxhash64(*(F.col(f"`{f.name}`") if isinstance(f.dataType, plain) and "map<" not in f.dataType.simpleString() else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

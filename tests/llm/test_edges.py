@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 from tessera.llm import katz, lattice, licenses, mixing, pieces, quality, simhash, token_counts, token_files, topk
@@ -105,6 +107,9 @@ def test_token_counts(spark, docs):
     again = token_counts.token_counts(docs, "byte_bpe_50k.json", path)
     assert sorted(map(str, again.collect())) == sorted(map(str, rows)) and spark.read.parquet(path).count() == stored
     assert token_counts.token_counts(empty(spark), "byte_bpe_50k.json", fresh_path(spark, "cache")).count() == 0
+    same, path = spark.createDataFrame([(7, "one text")] * 50 + [(None, "one text")] * 5 + [(7, f"text {k}") for k in range(20)], "doc_id long, text string"), fresh_path(spark, "cache")
+    assert token_counts.token_counts(same, "byte_bpe_50k.json", path).count() == 75
+    assert spark.read.parquet(path).count() == 21
 
 
 def test_katz(spark, docs):
@@ -129,3 +134,15 @@ def test_quality(spark, docs):
     assert quality.score(empty(spark), model).count() == 0
     blank = quality.train(docs, labels.limit(0))
     assert all(r.score == 0.5 for r in quality.score(docs, blank).collect())
+
+
+def test_quality_bound_holds_for_pairs(spark, monkeypatch):
+    """Ids of many documents and labels without a document do not exceed or use up the bound."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    docs = spark.createDataFrame([(k % 5, f"text {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4000)], "doc_id long, quality int")
+    quality.train(docs, labels, max_train=10)
+    quality.train(docs, labels, max_train=1000)
+    usable = [k for k in range(5) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert seen == [10, 100 * len(usable)]
