@@ -14,7 +14,9 @@ whose later merges are tested in turn. So occurrences that skip the same spans s
 
 from __future__ import annotations
 
+import gc
 import heapq
+import itertools
 import re
 import sys
 from array import array
@@ -34,6 +36,8 @@ DROPOUT, SEED = 0.1, 20240917
 MEMO_AGENDAS, CHUNK_CHARS, BATCH_DOCS = 1_000_000, 48, 500
 _SPAN, _STIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _ALL = 2**64 - 1
+_PAD = -(1 << 30)
+_WIDTHS = np.array([6, 10, 14, 20, 32, CHUNK_CHARS])
 SPACE = "▁"
 
 _loaded: dict[tuple, "PieceCodec"] = {}
@@ -128,22 +132,24 @@ class PieceCodec:
         """Adds the agendas of (chunk, skipped spans) to the forest; their numbers."""
         at, n = len(self.node_ids), len(new)
         out: list[bytes] = [b""] * n
-        runs = [np.zeros(0, dtype=np.int64)] * n
-        by_width: dict[int, list[int]] = {}
-        for k, (c, _) in enumerate(new):
-            by_width.setdefault(next(w for w in (6, 10, 14, 20, 32, CHUNK_CHARS) if len(c) <= w), []).append(k)
-        for width, members in by_width.items():
+        owner, span = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        size = np.fromiter((len(c) for c, _ in new), dtype=np.int64, count=n)
+        width = _WIDTHS[np.searchsorted(_WIDTHS, size)]
+        for w in _WIDTHS:
+            members = np.flatnonzero(width == w)
             for m in range(0, len(members), 20_000):
-                self._matrix(width, members[m : m + 20_000], new, out, runs)
+                who, what = self._matrix(int(w), members[m : m + 20_000], new, out)
+                owner.append(who)
+                span.append(what)
         self.node_chunk += [c for c, _ in new]
         self.node_skips += [p for _, p in new]
         self.node_ids += out
-        flat = np.concatenate([self.spans[:0], *runs])
+        who = np.concatenate(owner)
+        flat, length = np.concatenate(span)[np.argsort(who, kind="stable")], np.bincount(who, minlength=n)
         while len(self.run_start) < at + n:
             self.run_start, self.run_length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.run_start, self.run_length))
         while len(self.spans) < self.used + len(flat):
             self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-        length = np.array([len(r) for r in runs], dtype=np.int64)
         self.run_length[at : at + n], self.run_start[at : at + n] = length, self.used + np.cumsum(length) - length
         self.spans[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
@@ -153,16 +159,19 @@ class PieceCodec:
         """The agenda that each occurrence (its chunk's root, its key) ends in."""
         node, open_ = node.copy(), np.flatnonzero(self.run_length[node])
         while len(open_):
-            count = self.run_length[node[open_]]
+            here = node[open_]
+            count = self.run_length[here]
             begin = np.cumsum(count) - count
             of = np.repeat(np.arange(len(open_)), count)
-            place = np.arange(len(of)) - begin[of]
-            span = self.spans[self.run_start[node[open_]][of] + place].view(np.uint64)
-            hit = np.flatnonzero(self.skips(key[open_][of], span >> np.uint64(6), span & np.uint64(63)))
-            who, first = np.unique(of[hit], return_index=True)
-            step = node[open_][who] << 6 | place[hit[first]]
+            place = np.arange(len(of)) - np.repeat(begin, count)
+            span = self.spans[np.repeat(self.run_start[here], count) + place].view(np.uint64)
+            hit = np.flatnonzero(self.skips(np.repeat(key[open_], count), span >> np.uint64(6), span & np.uint64(63)))
+            who = of[hit]
+            first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else who
+            who = who[first]
+            step = here[who] << 6 | place[hit[first]]
             ways, back = np.unique(step, return_inverse=True)
-            to = [self.child.get(w) for w in ways.tolist()]
+            to = list(map(self.child.get, ways.tolist()))
             lacking = [k for k, x in enumerate(to) if x is None]
             grown = self._grow([self._branch(int(ways[k])) for k in lacking]) if lacking else []
             for k, x in zip(lacking, grown, strict=True):
@@ -176,77 +185,71 @@ class PieceCodec:
         node, place = step >> 6, step & 63
         return self.node_chunk[node], (*self.node_skips[node], int(self.spans[self.run_start[node] + place]))
 
-    def _matrix(self, width: int, members: list[int], new: list[tuple[str, tuple[int, ...]]], out: list[bytes], runs: list[np.ndarray]) -> None:
+    def _matrix(self, width: int, members: np.ndarray, new: list[tuple[str, tuple[int, ...]]], out: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Many agendas at once: every row of a matrix is one. A round takes each row's best candidate (best rank,
-        then leftmost), which is dropped if its span is among the row's skipped ones, and merged if not. The merges
-        after the last skip are the agenda's run, as start << 6 | end."""
-        chunks, n, pad = [new[k][0] for k in members], len(members), -(1 << 40)
-        size = np.array([len(c) for c in chunks])
-        depth = max(len(new[k][1]) for k in members)
-        skipped = np.array([[*new[k][1], *[-1] * (depth - len(new[k][1]))] for k in members], dtype=np.int64).reshape(n, depth)
-        last = np.array([new[k][1][-1] if new[k][1] else -1 for k in members], dtype=np.int64)
+        then leftmost), which is dropped if its span is among the row's skipped ones, and merged if not. Returned are
+        the merges after the last skip, in order: the agenda and start << 6 | end."""
+        mine = [new[k] for k in members.tolist()]
+        n, pad, none = len(mine), _PAD, self.none
+        size = np.fromiter((len(c) for c, _ in mine), dtype=np.int64, count=n)
+        depth = max(len(p) for _, p in mine)
+        skipped = np.array([[*p, *[-1] * (depth - len(p))] for _, p in mine], dtype=np.int64).reshape(n, depth)
+        last = np.array([p[-1] if p else -1 for _, p in mine], dtype=np.int64)
         free = last < 0  # whether the last skip is behind
         log_row, log_span = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        sym = np.full((n, width + 1), pad, dtype=np.int64)
         place = np.arange(width + 1)
-        text = "".join(chunks)
+        sym = np.full((n, width + 1), pad, dtype=np.int32)
+        text = "".join([c for c, _ in mine])
         sym[place[None, :] < size[:, None]] = self.char_table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        start = np.tile(np.arange(width + 2, dtype=np.int64), (n, 1))
-        rank = self._ranks(sym[:, :-1], sym[:, 1:])
-        done = np.full((n, width + 1), pad, dtype=np.int64)
+        start = np.tile(np.arange(width + 2, dtype=np.int16), (n, 1))
+        rank = self._ranks(sym[:, :-1].astype(np.int64), sym[:, 1:].astype(np.int64)).astype(np.int32)
+        done = np.full((n, width + 1), pad, dtype=np.int32)
         live = np.arange(n)
         while len(live):
-            col = rank.argmin(axis=1)
             row = np.arange(len(live))
+            col = rank.argmin(axis=1)
             best = rank[row, col]
-            going = best < self.none
-            if not going.all():
-                stop = ~going
-                done[live[stop]] = sym[stop]
-                live, sym, start, rank, col, best = (x[going] for x in (live, sym, start, rank, col, best))
-                row = np.arange(len(live))
-                if not len(live):
-                    break
-            span = start[row, col] << 6 | start[row, col + 2]
+            act = best < none
+            if np.count_nonzero(act) < 0.7 * len(live):
+                done[live[~act]] = sym[~act]
+                live, sym, start, rank = live[act], sym[act], start[act], rank[act]
+                continue
+            span = start[row, col].astype(np.int64) << 6 | start[row, col + 2]
             if depth:
-                skip = (skipped[live] == span[:, None]).any(axis=1)
-                free[live] |= span == last[live]
-                rank[row[skip], col[skip]] = self.none
-                row, col, best, span = row[~skip], col[~skip], best[~skip], span[~skip]
-            logged = free[live[row]]
-            log_row.append(live[row[logged]])
+                skip = act & (skipped[live] == span[:, None]).any(axis=1)
+                free[live] |= skip & (span == last[live])
+                rank[row[skip], col[skip]] = none
+                act &= ~skip
+            logged = act & free[live]
+            log_row.append(live[logged])
             log_span.append(span[logged])
-            if not len(row):
-                continue
-            c = col[:, None]
-            moved = np.minimum(place[None, :] + (place[None, :] > c), width)
-            s = np.take_along_axis(sym[row], moved, axis=1)
-            s[:, -1] = pad
-            one = np.arange(len(row))
-            s[one, col] = self.rank_ids[best]
-            edge = np.arange(width + 2)
-            start[row] = np.take_along_axis(start[row], np.minimum(edge[None, :] + (edge[None, :] > c), width + 1), axis=1)
-            r = np.take_along_axis(rank[row], np.minimum(place[None, :width] + (place[None, :width] >= c), width - 1), axis=1)
-            r[:, -1] = self.none
-            r[one, col] = self._ranks(s[one, col], s[one, np.minimum(col + 1, width)])
-            left = np.flatnonzero(col > 0)
-            r[left, col[left] - 1] = self._ranks(s[left, col[left] - 1], s[left, col[left]])
-            sym[row], rank[row] = s, r
+            # the merged pair's right symbol goes: what is behind it moves up by one
+            c = np.where(act, col, width + 2)[:, None]
+            behind = place[None, :] > c
+            np.copyto(sym[:, :-1], sym[:, 1:], where=behind[:, :-1])
+            np.copyto(start[:, :-1], start[:, 1:], where=behind)
+            np.copyto(rank[:, :-1], rank[:, 1:], where=place[None, : width - 1] >= c)
+            row, col, best = row[act], col[act], best[act]
+            rank[row, -1] = none
+            sym[row, col] = self.rank_ids[best]
+            around = [(row, col)]
+            left = col > 0
+            around.append((row[left], col[left] - 1))
+            for r, k in around:
+                fits = k < width
+                r, k = r[fits], k[fits]
+                rank[r, k] = self._ranks(sym[r, k].astype(np.int64), sym[r, k + 1].astype(np.int64))
         valid = done != pad
         odd = ((done < 0) & valid).any(axis=1)
         flat = done[valid & ~odd[:, None]].astype("<u4").tobytes()
         ends = np.cumsum(np.where(odd, 0, valid.sum(axis=1))) * 4
         begin = 0
-        for k, e, o, r in zip(members, ends.tolist(), odd.tolist(), range(n), strict=True):
+        for k, e, o, r in zip(members.tolist(), ends.tolist(), odd.tolist(), range(n), strict=True):
             out[k] = self._ids(done[r][valid[r]].tolist()) if o else flat[begin:e]
             begin = e
-        if self.limit:
-            owner = np.concatenate(log_row)
-            order = np.argsort(owner, kind="stable")
-            cuts = np.searchsorted(owner[order], np.arange(n + 1))
-            span = np.concatenate(log_span)[order]
-            for k, x, y in zip(members, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                runs[k] = span[x:y]
+        if not self.limit:
+            return log_row[0], log_span[0]
+        return members[np.concatenate(log_row)], np.concatenate(log_span)
 
     def _long(self, sym: list, key: int) -> bytes:
         """One occurrence's agenda as a queue, for chunks of any length."""
@@ -275,31 +278,43 @@ class PieceCodec:
     def encode_many(self, texts: list[str | None], keys: list) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers; null and empty texts have none. ``keys``
         tell the documents apart: equal (key, text) have equal ids."""
+        collecting = gc.isenabled()
+        gc.disable()  # a batch makes many small objects and no cycles
+        try:
+            return self._encode_batch(texts, keys)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str | None], keys: list) -> list[bytes]:
         if len(self.node_ids) > MEMO_AGENDAS:
             self._forget()
         cut = [self.cut.findall(" " + t) if t else [] for t in texts]
-        lacking = {c: None for chunks in cut for c in chunks if c not in self.root and len(c) <= CHUNK_CHARS}
-        if lacking:
-            self.root.update(zip(lacking, self._grow([(c, ()) for c in lacking]), strict=True))
-        roots = [list(map(self.root.get, chunks)) for chunks in cut]
-        occurrence = []
-        for chunks, key in zip(cut, keys, strict=True):
-            start = np.uint64(xxhash.xxh64_intdigest(str(key).encode(), self.seed))
-            with np.errstate(over="ignore"):
-                occurrence.append(_mixed(np.arange(len(chunks), dtype=np.uint64) + start))
-        long = [{k: self._long(self._symbols(chunks[k]), int(occ[k])) for k, r in enumerate(found) if r is None} if None in found else {} for chunks, found, occ in zip(cut, roots, occurrence, strict=True)]
-        for found, special in zip(roots, long, strict=True):
-            for k in special:
-                found[k] = -1
-        if self.limit:
-            flat = np.fromiter((r for found in roots for r in found), dtype=np.int64)
+        chunks, cuts = list(itertools.chain.from_iterable(cut)), np.cumsum([0, *map(len, cut)])
+        nodes = list(map(self.root.get, chunks))
+        long: list[int] = []
+        if None in nodes:
+            lacking = list(dict.fromkeys(c for c, r in zip(chunks, nodes, strict=True) if r is None and len(c) <= CHUNK_CHARS))
+            if lacking:
+                self.root.update(zip(lacking, self._grow([(c, ()) for c in lacking]), strict=True))
+            nodes = list(map(self.root.get, chunks))
+            long = [k for k, r in enumerate(nodes) if r is None]
+        place = np.arange(len(chunks)) - np.repeat(cuts[:-1], np.diff(cuts))
+        begin = np.array([xxhash.xxh64_intdigest(str(key).encode(), self.seed) for key in keys], dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            occurrence = _mixed(place.astype(np.uint64) + np.repeat(begin, np.diff(cuts)))
+        special = {k: self._long(self._symbols(chunks[k]), int(occurrence[k])) for k in long}
+        if self.limit and chunks:
+            for k in long:
+                nodes[k] = -1
+            flat = np.array(nodes, dtype=np.int64)
             short = np.flatnonzero(flat >= 0)
-            if len(short):
-                flat[short] = self._settle(flat[short], np.concatenate(occurrence)[short])
-            cuts = np.cumsum([0, *map(len, roots)])
-            roots = [flat[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            flat[short] = self._settle(flat[short], occurrence[short])
+            nodes = flat.tolist()
         ids = self.node_ids
-        return [b"".join([special[k] if r < 0 else ids[r] for k, r in enumerate(found)] if special else map(ids.__getitem__, found)) for found, special in zip(roots, long, strict=True)]
+        parts = [special[k] if k in special else ids[r] for k, r in enumerate(nodes)] if special else list(map(ids.__getitem__, nodes))
+        ends = cuts.tolist()
+        return [b"".join(parts[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode(self, text: str | None, doc_key: int | str | None = None) -> bytes:
         return self.encode_many([text], [doc_key])[0]
