@@ -117,7 +117,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
         used = 8 if real else -(-int(x.max(initial=0)).bit_length() // 8)
         head.append(struct.pack("<BI", used | (128 if real else 0), len(x)))
         body.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :used].T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(head + body))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
@@ -203,50 +203,43 @@ class _Level:
 
 
 class _Slice:
-    """A slice as read back: token sequence, word hashes, document rows, and its n-grams of every order."""
+    """A slice as read back: token sequence, its words in request order with their buckets (the begin mark is no
+    word), document rows, and its n-grams of every order."""
 
     def __init__(self, path: str, order: int = 1):
-        self.seq, self.hash, self.length, self.doc, self.known_id, held = _load(path)
-        self.held = held.astype(bool)
+        self.seq, self.order, bucket, self.length, self.doc, self.known_id, held = _load(path)
+        self.bucket, self.held, self.words = _back(bucket), held.astype(bool), len(self.order) + 1
         self.starts = np.cumsum(self.length) - self.length
         place = np.arange(len(self.seq)) - np.repeat(self.starts, self.length)
         learn = np.repeat(~self.held, self.length)
-        self.n_words = np.bincount(self.seq[learn], minlength=len(self.hash))
+        self.n_words = np.bincount(self.seq[learn], minlength=self.words)
         self.levels: list[_Level] = []
         below = self.seq
         for k in range(2, order + 1):
             at = np.flatnonzero(place >= k - 2)
             before = np.where(place[at] > 0, below[at - 1], BEGIN) if k == 2 else below[at - 1]
-            self.levels.append(_Level(at, before, below, self.seq, len(self.hash), learn, len(self.seq)))
+            self.levels.append(_Level(at, before, below, self.seq, self.words, learn, len(self.seq)))
             below = self.levels[-1].of
 
-    def word_order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """Local words in request order, and their buckets; the begin mark is no word."""
-        words = np.arange(1, len(self.hash))
-        b = (self.hash[1:].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")
-        return words[order], b[order]
-
 
 class _Recursion:
     """A slice's probabilities, order by order, from the answers to its requests."""
 
     def __init__(self, s: _Slice, answers: dict[int, dict[int, bytes]], uni: Unigrams, levels: list[tuple[np.ndarray, dict]], buckets: int):
         self.s, self.buckets, self.tokens = s, buckets, uni.tokens
-        order, b = s.word_order(buckets)
-        got = [_unpack(answers[1][k]) for k, _ in _blobs(b, buckets)]
-        self.ids, self.c1 = (np.zeros(len(s.hash), dtype=np.int64) for _ in range(2))
-        self.ids[order], self.c1[order] = (np.concatenate([g[k] for g in got]) for k in range(2))
+        got = [_unpack(answers[1][k]) for k, _ in _blobs(s.bucket, buckets)]
+        self.ids, self.c1 = (np.zeros(s.words, dtype=np.int64) for _ in range(2))
+        self.ids[s.order], self.c1[s.order] = (np.concatenate([g[k] for g in got]) for k in range(2))
         self.p1 = uni.p(self.c1)
         # of the level reached: counts, probabilities, denominators of the context, columns of word numbers
-        self.c, self.p, self.den, self.columns = self.c1, self.p1, np.full(len(s.hash), uni.den), [self.ids]
+        self.c, self.p, self.den, self.columns = self.c1, self.p1, np.full(s.words, uni.den), [self.ids]
         self.log = np.log10(self.p1)[s.seq]  # of every token, by the highest order its context allows so far
         for k, (d, hot) in enumerate(levels, 2):
             self._climb(k, answers[k], d, hot, uni.unknown)
 
     def request(self, k: int):
-        """Of the level above the one reached: columns of the context and its denominator, whether it is hot, and
-        the n-grams in request order with their buckets."""
+        """Of the level above the one reached: columns of the context, whether it is hot, whether it goes without the
+        others of its suffix, and the n-grams in request order with their buckets."""
         v = self.s.levels[k - 2]
         context = self.columns
         hot_context = self.c * HOT_SHARE >= max(self.tokens, 1)
@@ -257,30 +250,31 @@ class _Recursion:
             suffix = _mixed(suffix ^ x.view(np.uint64))
         mix = _mixed(suffix ^ context[0].view(np.uint64))
         # contexts go where those of the same suffix go, or by themselves where there are many
-        together = mix if k == 2 else np.where(self.hot_below[self.s.levels[k - 3].suffix], mix, suffix)
-        spread = np.where(hot_context[v.ctx], _mixed(mix[v.ctx] ^ self.ids[v.word].view(np.uint64)), together[v.ctx])
+        alone = np.ones(len(mix), dtype=bool) if k == 2 else self.hot_below[self.s.levels[k - 3].suffix]
+        spread = np.where(hot_context[v.ctx], _mixed(mix[v.ctx] ^ self.ids[v.word].view(np.uint64)), np.where(alone, mix, suffix)[v.ctx])
         b = (spread % np.uint64(self.buckets)).astype(np.int64)
         # by bucket, then by the context's last word, so that its columns pack well
         rank = np.empty(len(mix), dtype=np.int64)
         rank[np.argsort(_joint(context[::-1]), kind="stable")] = np.arange(len(mix))
-        n, words = len(mix), len(self.s.hash)
+        n, words = len(mix), self.s.words
         if self.buckets * n < (1 << 62) // words:
             order = np.argsort((b * n + rank[v.ctx]) * words + v.word)
         else:
             order = np.lexsort((v.word, rank[v.ctx], b))
-        return context, hot_context, order, b[order]
+        return context, hot_context, alone, order, b[order]
 
     def _climb(self, k: int, answers: dict[int, bytes], d: np.ndarray, hot: dict[tuple, tuple], least: float) -> None:
         v = self.s.levels[k - 2]
-        context, hot_context, order, b = self.request(k)
+        context, hot_context, _, order, b = self.request(k)
         c, at_context = np.zeros(len(order), dtype=np.int64), Contexts(len(context[0]))
         for bucket, at in _blobs(b, self.buckets):
             mine = order[at]
             start, _ = _runs(v.ctx[mine])
             cold = v.ctx[mine][start]
             cold = cold[~hot_context[cold]]
-            c[mine], at_context.total[cold], at_context.seen[cold], *m = _unpack(answers[bucket])
-            at_context.m[cold] = np.stack(m, axis=1)
+            c[mine], at_context.seen[cold], *m = _unpack(answers[bucket])
+            # every occurrence of a context but the begin mark is a token, and one follows it
+            at_context.total[cold], at_context.m[cold] = self.c[cold], np.stack(m, axis=1)
         for x in np.flatnonzero(hot_context):
             if found := hot.get(tuple(int(col[x]) for col in context)):
                 at_context.total[x], at_context.seen[x], at_context.m[x] = found
@@ -301,9 +295,11 @@ def _slice_documents(folder: str, buckets: int, held_out):
         words, docs = state
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
         flag = lambda x: np.array(x, dtype=np.int64)
-        _save(path, _pack(np.concatenate([s for _, s in docs]), hashes, flag([len(s) for _, s in docs]), flag([d or 0 for d, _ in docs]), flag([d is not None for d, _ in docs]), flag([held_out(d) for d, _ in docs])))
+        b = (hashes[1:].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")
+        b, order = b[order], order + 1
+        _save(path, _pack(np.concatenate([s for _, s in docs]), order, _steps(b), flag([len(s) for _, s in docs]), flag([d or 0 for d, _ in docs]), flag([d is not None for d, _ in docs]), flag([held_out(d) for d, _ in docs])))
         s = _Slice(path)
-        order, b = s.word_order(buckets)
         rows = [(bucket, _pack(hashes[order[at]], s.n_words[order[at]])) for bucket, at in _blobs(b, buckets)]
         return _rows(rows, (part << 20) + k, path)
 
@@ -386,13 +382,16 @@ def _request(k: int, uni: Unigrams, levels: list, buckets: int):
         s = _Slice(rows[0]["path"], k)
         so_far = _Recursion(s, _answers(rows), uni, levels, buckets)
         v = s.levels[k - 2]
-        context, hot, order, b = so_far.request(k)
+        context, hot, alone, order, b = so_far.request(k)
         out = []
         for bucket, at in _blobs(b, buckets):
             mine = order[at]
             start, length = _runs(v.ctx[mine])
             head = mine[start]
-            out.append((bucket, _pack(*(_steps(x[v.ctx[head]]) for x in context), hot[v.ctx[head]], length, so_far.den[v.suffix[head]], so_far.ids[v.word[mine]], v.n[mine], so_far.c[v.suffix[mine]])))
+            # a bucket that has all contexts of a suffix counts it by itself
+            den = np.where(alone[v.ctx[head]], so_far.den[v.suffix[head]], 0)
+            low = np.where(alone[v.ctx[mine]], so_far.c[v.suffix[mine]], 0)
+            out.append((bucket, _pack(*(_steps(x[v.ctx[head]]) for x in context), hot[v.ctx[head]], length, den, so_far.ids[v.word[mine]], v.n[mine], low)))
         return pa.Table.from_batches([_rows(out, rows[0]["slice_id"], rows[0]["path"])])
 
     return run
@@ -416,7 +415,20 @@ def _count(k: int, d_low: np.ndarray, keep: bool):
         of = entry_ctx[first]
         sums = Contexts(contexts)
         np.add.at(sums.total, of, c)
-        sums.seen = np.bincount(of, weights=np.where(c > 0, _discounted(low[first], d_low) / den[ctx_first][of], 0.0), minlength=contexts)
+        low, den = low[first], den[ctx_first]
+        shared = den == 0
+        if shared.any():
+            # the order below, from this one: the counts of suffix and word, and each suffix's denominator
+            suffix, heads = _numbered(_joint([x[ctx_first] for x in context[1:]]))
+            below, below_first = _numbered(_joint([suffix[of], word[first]]))
+            count = np.zeros(len(below_first), dtype=np.int64)
+            np.add.at(count, below, c)
+            of_suffix, lower = suffix[of][below_first], Contexts(len(heads))
+            np.add.at(lower.total, of_suffix, count)
+            for r in range(CUTOFF):
+                lower.m[:, r] = np.bincount(of_suffix[count == r + 1], minlength=len(heads))
+            low, den = np.where(shared[of], count[below], low), np.where(shared, lower.den(d_low)[suffix], den)
+        sums.seen = np.bincount(of, weights=np.where(c > 0, _discounted(low, d_low) / den[of], 0.0), minlength=contexts)
         for r in range(CUTOFF):
             sums.m[:, r] = np.bincount(of[c == r + 1], minlength=contexts)
         at = at_run = 0
@@ -430,7 +442,7 @@ def _count(k: int, d_low: np.ndarray, keep: bool):
             # the lower-order mass is of use only where the slice backs off
             off = np.add.reduceat(c[mine] == 0, np.cumsum(p[k]) - p[k]) > 0
             seen = np.where(off, sums.seen[heads], 0.0)[cold]
-            out.append((r["slice_id"], r["path"], r["bucket"], _pack(c[mine], sums.total[heads][cold], seen, *(sums.m[heads, x][cold] for x in range(CUTOFF))), *none, *[0] * len(_R)))
+            out.append((r["slice_id"], r["path"], r["bucket"], _pack(c[mine], seen, *(sums.m[heads, x][cold] for x in range(CUTOFF))), *none, *[0] * len(_R)))
         for h in np.flatnonzero(hot[ctx_first]):
             out.append((None, None, None, None, [int(x[ctx_first[h]]) for x in context], int(sums.total[h]), float(sums.seen[h]), [int(x) for x in sums.m[h]], *[0] * len(_R)))
         blob = None
@@ -438,7 +450,7 @@ def _count(k: int, d_low: np.ndarray, keep: bool):
             known = np.flatnonzero(c)
             start, length = _runs(of[known])
             head = ctx_first[of[known][start]]
-            blob = _pack(*(_steps(x[head]) for x in context), hot[head], length, den[head], word[first[known]], c[known], low[first[known]])
+            blob = _pack(*(_steps(x[head]) for x in context), hot[head], length, np.where(shared, 0, den)[of[known][start]], word[first[known]], c[known], np.where(shared[of], 0, low)[known])
         out.append((_STORED, None, rows[0]["bucket"], blob, *none, *_by_count(c)))
         cols = list(zip(*out, strict=True))
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * len(_R)]
