@@ -128,21 +128,23 @@ class PieceCodec:
         at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == k, self.pair_ranks[at], self.none)
 
-    def _grow(self, new: list[tuple[str, tuple[int, ...]]]) -> range:
-        """Adds the agendas of (chunk, skipped spans) to the forest; their numbers."""
-        at, n = len(self.node_ids), len(new)
+    def _grow(self, chunks: list[str], skips: list[tuple[int, ...]] | None = None) -> range:
+        """Adds the agendas of chunks (and their skipped spans) to the forest; their numbers."""
+        at, n = len(self.node_ids), len(chunks)
         out: list[bytes] = [b""] * n
         owner, span = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        size = np.fromiter((len(c) for c, _ in new), dtype=np.int64, count=n)
+        size = np.fromiter(map(len, chunks), dtype=np.int64, count=n)
         width = _WIDTHS[np.searchsorted(_WIDTHS, size)]
         for w in _WIDTHS:
             members = np.flatnonzero(width == w)
             for m in range(0, len(members), 20_000):
-                who, what = self._matrix(int(w), members[m : m + 20_000], new, out)
+                mine = members[m : m + 20_000]
+                picked = mine.tolist()
+                who, what = self._matrix(int(w), mine, size[mine], [chunks[k] for k in picked], [skips[k] for k in picked] if skips else None, out)
                 owner.append(who)
                 span.append(what)
-        self.node_chunk += [c for c, _ in new]
-        self.node_skips += [p for _, p in new]
+        self.node_chunk += chunks
+        self.node_skips += skips or [()] * n
         self.node_ids += out
         who = np.concatenate(owner)
         flat, length = np.concatenate(span)[np.argsort(who, kind="stable")], np.bincount(who, minlength=n)
@@ -173,33 +175,35 @@ class PieceCodec:
             ways, back = np.unique(step, return_inverse=True)
             to = list(map(self.child.get, ways.tolist()))
             lacking = [k for k, x in enumerate(to) if x is None]
-            grown = self._grow([self._branch(int(ways[k])) for k in lacking]) if lacking else []
-            for k, x in zip(lacking, grown, strict=True):
-                to[k] = self.child[int(ways[k])] = x
+            if lacking:
+                new = ways[lacking]
+                parent = new >> 6
+                last = self.spans[self.run_start[parent] + (new & 63)].tolist()
+                parent = parent.tolist()
+                grown = self._grow([self.node_chunk[p] for p in parent], [(*self.node_skips[p], x) for p, x in zip(parent, last, strict=True)])
+                self.child.update(zip(new.tolist(), grown, strict=True))
+                for k, x in zip(lacking, grown, strict=True):
+                    to[k] = x
             open_ = open_[who]
             node[open_] = np.array(to, dtype=np.int64)[back]
             open_ = open_[self.run_length[node[open_]] > 0]
         return node
 
-    def _branch(self, step: int) -> tuple[str, tuple[int, ...]]:
-        node, place = step >> 6, step & 63
-        return self.node_chunk[node], (*self.node_skips[node], int(self.spans[self.run_start[node] + place]))
-
-    def _matrix(self, width: int, members: np.ndarray, new: list[tuple[str, tuple[int, ...]]], out: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _matrix(self, width: int, members: np.ndarray, size: np.ndarray, chunks: list[str], skips: list[tuple[int, ...]] | None, out: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Many agendas at once: every row of a matrix is one. A round takes each row's best candidate (best rank,
         then leftmost), which is dropped if its span is among the row's skipped ones, and merged if not. Returned are
         the merges after the last skip, in order: the agenda and start << 6 | end."""
-        mine = [new[k] for k in members.tolist()]
-        n, pad, none = len(mine), _PAD, self.none
-        size = np.fromiter((len(c) for c, _ in mine), dtype=np.int64, count=n)
-        depth = max(len(p) for _, p in mine)
-        skipped = np.array([[*p, *[-1] * (depth - len(p))] for _, p in mine], dtype=np.int64).reshape(n, depth)
-        last = np.array([p[-1] if p else -1 for _, p in mine], dtype=np.int64)
-        free = last < 0  # whether the last skip is behind
+        n, pad, none = len(chunks), _PAD, self.none
+        free = np.full(n, skips is None)  # whether the last skip is behind
+        if skips is not None:
+            depth = np.fromiter(map(len, skips), dtype=np.int64, count=n)
+            skipped = np.full((n, int(depth.max())), -1, dtype=np.int64)
+            skipped[np.arange(skipped.shape[1])[None, :] < depth[:, None]] = np.fromiter(itertools.chain.from_iterable(skips), dtype=np.int64)
+            last = skipped[np.arange(n), depth - 1]
         log_row, log_span = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         place = np.arange(width + 1)
         sym = np.full((n, width + 1), pad, dtype=np.int32)
-        text = "".join([c for c, _ in mine])
+        text = "".join(chunks)
         sym[place[None, :] < size[:, None]] = self.char_table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         start = np.tile(np.arange(width + 2, dtype=np.int16), (n, 1))
         rank = self._ranks(sym[:, :-1].astype(np.int64), sym[:, 1:].astype(np.int64)).astype(np.int32)
@@ -215,7 +219,7 @@ class PieceCodec:
                 live, sym, start, rank = live[act], sym[act], start[act], rank[act]
                 continue
             span = start[row, col].astype(np.int64) << 6 | start[row, col + 2]
-            if depth:
+            if skips is not None:
                 skip = act & (skipped[live] == span[:, None]).any(axis=1)
                 free[live] |= skip & (span == last[live])
                 rank[row[skip], col[skip]] = none
@@ -296,7 +300,7 @@ class PieceCodec:
         if None in nodes:
             lacking = list(dict.fromkeys(c for c, r in zip(chunks, nodes, strict=True) if r is None and len(c) <= CHUNK_CHARS))
             if lacking:
-                self.root.update(zip(lacking, self._grow([(c, ()) for c in lacking]), strict=True))
+                self.root.update(zip(lacking, self._grow(lacking), strict=True))
             nodes = list(map(self.root.get, chunks))
             long = [k for k, r in enumerate(nodes) if r is None]
         place = np.arange(len(chunks)) - np.repeat(cuts[:-1], np.diff(cuts))

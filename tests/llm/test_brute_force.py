@@ -294,7 +294,7 @@ def test_dropout_equals_its_restatement(monkeypatch):
 
 def test_every_occurrence_draws_its_own_skips():
     drop, text = pieces.PieceCodec(tokens.tokenizer_path("piece_bpe_32k.model"), 0.1), " nation" * 20_000
-    (root,) = drop._grow([(" nation", ())])
+    (root,) = drop._grow([" nation"])
     ends = drop._settle(np.full(20_000, root), np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
     assert abs((ends == root).mean() - 0.9 ** int(drop.run_length[root])) < 0.02 and len({drop.node_ids[k] for k in ends}) > 4
     assert drop.decode(np.frombuffer(drop.encode(text, 3), dtype="<u4").tolist()) == text
