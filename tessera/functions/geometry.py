@@ -72,6 +72,18 @@ def zoom_box(box: Column, width: Column, height: Column, least: int = 28, ratio:
     return F.when(ok, F.array(F.floor(a), F.floor(b), F.ceil(c), F.ceil(d)))
 
 
+def distinct_boxes(boxes: Column, places: int = 6) -> Column:
+    """Boxes without those that equal an earlier one to so many places, rounded to them, in order."""
+    return F.array_distinct(F.transform(boxes, lambda b: F.transform(b, lambda x: F.round(x.cast("double"), places))))
+
+
+def softmax(logits: Column) -> Column:
+    """Probabilities of logits, shifted by their maximum."""
+    top = F.array_max(logits)
+    raised = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+
+
 def resized(width: Column, height: Column, most: int, least: int) -> Column:
     """(width, height) scaled down to at most and up to at least a number of pixels."""
 

@@ -135,6 +135,110 @@ def planner_error(text: Column) -> Column:
     return F.when((a > 0) & (s > 0), "both answer and suggestions").when((a == 0) & (s == 0), "neither answer nor suggestions").when((a > 1) | (s > 1), "repeated tag")
 
 
+def _kind(v: Column, path: str) -> Column:
+    """Type of a JSON value by path; null where there is none."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+# What stands for a thought that a planner left out or left empty.
+_NO_THOUGHT = "(Model omitted 'think' in JSON; placeholder.)"
+_EMPTY_THOUGHT = "(Empty think in JSON; placeholder.)"
+
+
+def planner_output(text: Column) -> Column:
+    """Struct ``can_answer_now, think, direct_answer, stop_reason, suggestions, error`` of a planner's text.
+
+    A JSON object (fenced or within prose) names a mode: answer (an answer, no suggestions) or suggestions (an array, no
+    answer). Other text must hold a think block before one answer block or one block of suggestions, an array. Where the
+    contract is broken only ``error`` is set; suggestions are JSON texts.
+    """
+    block = lambda tag: F.try_element_at(F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(1))
+    body = fenced_json(text)
+    read = F.struct(text.alias("text"), body.alias("body"), F.try_parse_json(body).alias("v"), block("think").alias("said"), block("answer").alias("found"), block("suggestions").alias("offers"))
+    return _once(read, lambda p: _once(F.struct(p.alias("p"), F.try_parse_json(p["offers"]).alias("offered")), lambda q: _planner(q["p"], q["offered"])))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _planner(p: Column, offered: Column) -> Column:
+    v = p["v"]
+    is_json = F.coalesce(F.startswith(_kind(v, "$"), F.lit("OBJECT")), F.lit(False))
+    get = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    there = lambda name: F.coalesce(_kind(v, f"$.{name}") != "VOID", F.lit(False))
+    array = lambda name: F.coalesce(F.startswith(_kind(v, f"$.{name}"), F.lit("ARRAY")), F.lit(False))
+    mode, answer = F.lower(_strip(F.coalesce(get("mode"), F.lit("")))), F.get_json_object(p["body"], "$.answer")
+    thought = F.when(~there("think"), _NO_THOUGHT).when(_strip(get("think")) == "", _EMPTY_THOUGHT).otherwise(_strip(get("think")))
+    json_error = (
+        F.when(there("stop_reason") & (_kind(v, "$.stop_reason") != "STRING"), "stop reason is no text")
+        .when((mode == "answer") & there("suggestions"), "answer and suggestions")
+        .when((mode == "answer") & ~there("answer"), "answer is missing")
+        .when((mode == "answer") & (_strip(answer) == ""), "answer is empty")
+        .when((mode == "suggestions") & there("answer") & (F.coalesce(answer, F.lit("x")) != ""), "answer and suggestions")
+        .when((mode == "suggestions") & ~array("suggestions"), "suggestions are no array")
+        .when(~mode.isin("answer", "suggestions"), "unknown mode")
+    )
+    said, found, offers = p["said"], p["found"], p["offers"]
+    at = lambda tag: F.instr(p["text"], f"<{tag}>")
+    early = ((at("answer") > 0) & (at("answer") < at("think"))) | ((at("suggestions") > 0) & (at("suggestions") < at("think")))
+    is_array = F.coalesce(F.startswith(_kind(offered, "$"), F.lit("ARRAY")), F.lit(False))
+    tag_error = (
+        F.when(early, "think comes late").when(said.isNull(), "think is missing").when(found.isNotNull() & offers.isNotNull(), "answer and suggestions").when(found.isNull() & offers.isNull(), "neither answer nor suggestions")
+        .when(found.isNotNull() & (_strip(found) == ""), "answer is empty").when(offers.isNotNull() & ~is_array, "suggestions are no array")
+    )
+    texts = lambda array: F.transform(array, lambda s: F.to_json(s))
+    listed = F.when(is_json, texts(F.try_variant_get(v, "$.suggestions", "array<variant>"))).otherwise(texts(F.try_variant_get(offered, "$", "array<variant>")))
+
+    def built(e: Column) -> Column:
+        can = F.when(is_json, mode == "answer").otherwise(found.isNotNull())
+        good = lambda c: F.when(e["error"].isNull(), c)
+        return F.struct(
+            good(can).alias("can_answer_now"),
+            good(F.when(is_json, thought).otherwise(_strip(said))).alias("think"),
+            good(F.when(can, _strip(F.when(is_json, answer).otherwise(found)))).alias("direct_answer"),
+            good(F.when(is_json, get("stop_reason"))).alias("stop_reason"),
+            good(F.when(can, F.array().cast("array<string>")).otherwise(listed)).alias("suggestions"),
+            F.when(p["text"].isNull(), "no text").otherwise(e["error"]).alias("error"),
+        )
+
+    return _once(F.struct(F.when(is_json, json_error).otherwise(tag_error).alias("error")), built)
+
+
+def executor_output(text: Column, tool: str = "code_image_tool") -> Column:
+    """Struct ``cot, code, description, error`` of an executor's text: a JSON object with a thought and a call of the
+    tool with code and a description. Where the contract is broken only ``error``, the first fault, is set."""
+    return _once(F.try_parse_json(fenced_json(text)), lambda v: _executor(v, tool))
+
+
+def _executor(v: Column, tool: str) -> Column:
+    get = lambda path: _strip(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+    is_object = lambda path: F.coalesce(F.startswith(_kind(v, path), F.lit("OBJECT")), F.lit(False))
+    call, given = "$.tool_call", "$.tool_call.arguments"
+    error = (
+        F.when(~is_object("$"), "no JSON object").when(get("$.think") == "", "empty think").when(~is_object(call), "no tool call").when(get(f"{call}.name") != tool, "wrong tool name").when(~is_object(given), "no arguments")
+        .when(get(f"{given}.code") == "", "empty code").when(get(f"{given}.description") == "", "empty description")
+    )
+    good = lambda path: F.when(error.isNull(), get(path))
+    return F.struct(good("$.think").alias("cot"), good(f"{given}.code").alias("code"), good(f"{given}.description").alias("description"), error.alias("error"))
+
+
+def elapsed_seconds(begin: Column, end: Column) -> Column:
+    """Seconds between two times, to the microsecond."""
+    return F.timestamp_diff("MICROSECOND", begin, end) / 1e6
+
+
+def iso_time(t: Column) -> Column:
+    """A time in the session's zone as ISO text of microseconds."""
+    return F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+
+
+def stamp(t: Column) -> Column:
+    """A time as a compact stamp for names, e.g. 20240102T030405000006Z."""
+    return F.date_format(t, "yyyyMMdd'T'HHmmssSSSSSS'Z'")
+
+
 def tool_calls(text: Column) -> Column:
     """Array of (name, arguments as JSON text) of the well-formed <tool_call> blocks; bad ones are skipped."""
     blocks = F.regexp_extract_all(text, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), F.lit(1))

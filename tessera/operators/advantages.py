@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,30 +106,48 @@ def sequences(tokens: DataFrame, row: str, t: str, *values: str) -> DataFrame:
     return g.select(row, *(F.col(f"__s.{v}").alias(v) for v in values))
 
 
+def _from_the_end(columns: list[pd.Series], carries: int, step) -> pd.Series:
+    """Runs a recursion over ragged sequences from their last token, all sequences of a batch at a time: ``step`` takes
+    the tokens' values and the carries, and gives the outputs and the new carries."""
+    size = columns[0].map(len).to_numpy()
+    ends, flat = np.cumsum(size), [np.concatenate([np.zeros(0), *c]).astype(np.float64) for c in columns]
+    order = np.argsort(-size, kind="stable")
+    falling, out, carry = size[order], np.zeros(int(size.sum())), np.zeros((carries, len(size)))
+    for s in range(int(size.max(initial=0))):
+        k = int(np.searchsorted(-falling, -s, side="left"))  # sequences of more than s tokens
+        at = ends[order[:k]] - 1 - s
+        out[at], *new = step(*(f[at] for f in flat), *carry[:, :k])
+        carry[:, :k] = new
+    return pd.Series(np.split(out, ends[:-1])) if len(size) else pd.Series([], dtype=object)
+
+
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
-    """R_t = r_t + gamma R_(t+1), the carry reset where the mask is 0; an array in token order."""
-    pairs = F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.cast("double").alias("m")))
-    start = F.struct(F.lit(0.0).alias("c"), F.array().cast("array<double>").alias("o"))
+    """R_t = r_t + gamma R_(t+1), the carry reset where the mask is 0; an array in token order. Linear in the length."""
 
-    def step(a, x):
-        ret = x["r"] + gamma * a["c"]
-        return F.struct((ret * x["m"]).alias("c"), F.concat(F.array(ret), a["o"]).alias("o"))
+    def step(r, m, carry):
+        returns = r + gamma * carry
+        return returns, returns * m
 
-    return F.aggregate(F.reverse(pairs), start, step, lambda a: a["o"])
+    @F.pandas_udf("array<double>")
+    def run(r: pd.Series, m: pd.Series) -> pd.Series:
+        return _from_the_end([r, m], 1, step)
+
+    return run(rewards.cast("array<double>"), mask.cast("array<double>"))
 
 
 def gae(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantages in token order; masked tokens leave both carries as they are."""
-    zipped = F.zip_with(F.zip_with(rewards, values, lambda r, v: F.struct(r.cast("double").alias("r"), v.cast("double").alias("v"))), mask, lambda p, m: F.struct(p["r"].alias("r"), p["v"].alias("v"), m.cast("double").alias("m")))
-    start = F.struct(F.lit(0.0).alias("nv"), F.lit(0.0).alias("la"), F.array().cast("array<double>").alias("o"))
+    """Generalised advantages in token order; masked tokens leave both carries as they are. Linear in the length."""
+
+    def step(r, v, m, following, last):
+        live = m != 0
+        new = np.where(live, r + gamma * following - v + gamma * lam * last, last)
+        return new, np.where(live, v, following), new
 
-    def step(a, x):
-        delta = x["r"] + gamma * a["nv"] - x["v"]
-        adv = delta + gamma * lam * a["la"]
-        live = x["m"] != 0
-        return F.struct(F.when(live, x["v"]).otherwise(a["nv"]).alias("nv"), F.when(live, adv).otherwise(a["la"]).alias("la"), F.concat(F.array(F.when(live, adv).otherwise(a["la"])), a["o"]).alias("o"))
+    @F.pandas_udf("array<double>")
+    def run(r: pd.Series, v: pd.Series, m: pd.Series) -> pd.Series:
+        return _from_the_end([r, v, m], 2, step)
 
-    return F.aggregate(F.reverse(zipped), start, step, lambda a: a["o"])
+    return run(*(c.cast("array<double>") for c in (rewards, values, mask)))
 
 
 @advantage("reinforce_plus_plus")

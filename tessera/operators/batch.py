@@ -159,10 +159,10 @@ class Batch:
         e = self.df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         if seed is None:
             return e.withColumn("batch", F.floor(F.col(ROW) / size).cast("long"))
-        from pyspark.sql import Window
+        from .sampling import group_index
 
-        w = Window.partitionBy("epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", ROW), ROW)
-        return e.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+        placed = group_index(e, ["epoch"], [F.xxhash64(F.lit(seed), "epoch", ROW), ROW], "__place")
+        return placed.withColumn("batch", F.floor(F.col("__place") / size).cast("long")).drop("__place")
 
     # combination
     def union(self, other: Batch) -> Batch:

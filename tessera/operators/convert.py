@@ -169,6 +169,30 @@ def preference_to_sft(rows: DataFrame, prompt: str, chosen: str, rejected: str)
     return rows.select(F.col(prompt).alias("prompt"), F.explode(F.array(F.struct(F.lit("chosen").alias("kind"), F.col(chosen).alias("response")), F.struct(F.lit("rejected").alias("kind"), F.col(rejected).alias("response")))).alias("x")).select("prompt", "x.*")
 
 
+def preference_blocks(rows: DataFrame, order: str) -> DataFrame:
+    """A pairwise batch as 2n rows: ``kind`` chosen at positions 0..n-1, rejected at n..2n-1 (``place``), in the order of
+    the pairs (a dense position)."""
+    n = rows.agg(F.count("*").alias("__n"))
+    both = rows.withColumn("kind", F.explode(F.array(F.lit("chosen"), F.lit("rejected"))))
+    return both.crossJoin(F.broadcast(n)).withColumn("place", F.col(order) + F.when(F.col("kind") == "rejected", F.col("__n")).otherwise(0)).drop("__n")  # one row
+
+
+def nonempty_labels(rows: DataFrame, label: str) -> DataFrame:
+    """Rows whose label is there and more than blanks."""
+    return rows.where(F.coalesce(F.trim(F.col(label)), F.lit("")) != "")
+
+
+def head_and_tail(rows: DataFrame, order: str, share: float = 0.75) -> DataFrame:
+    """Adds ``part``: head for the first ``share`` of the rows by their dense position, tail for the rest."""
+    n = rows.count()
+    return rows.withColumn("part", F.when(F.col(order) < int(n * share), "head").otherwise("tail"))
+
+
+def pixel_bounds(images: Column, most: int, least: int) -> Column:
+    """Image structs with ``max_pixels`` and ``min_pixels``; no images stay none."""
+    return F.when(F.size(images) > 0, F.transform(images, lambda i: i.withField("max_pixels", F.lit(most)).withField("min_pixels", F.lit(least))))
+
+
 def choice_prompt(question: Column, choices: list[Column], answer: Column | None = None) -> Column:
     """Question, lettered choices and "Answer:", with the answer for a few-shot example."""
     lines = [question, *(F.concat(F.lit(f"{chr(65 + i)}. "), c) for i, c in enumerate(choices)), F.lit("Answer:") if answer is None else F.concat(F.lit("Answer: "), answer)]

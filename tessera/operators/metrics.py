@@ -203,3 +203,8 @@ def weighted_mean(rows: DataFrame, value: str, weight: str) -> DataFrame:
 def effective_tokens_per_second(rows: DataFrame, lengths: list[str], epochs: float, seconds: float, world: int) -> DataFrame:
     total = functools.reduce(lambda a, b: a + b, [F.col(c) for c in lengths])
     return rows.agg((F.sum(total) * epochs / seconds / world).alias("effective_tokens_per_second"))
+
+
+def reward_accuracy(chosen: Column, rejected: Column) -> Column:
+    """Share of pairs whose chosen answer scores higher; an aggregate."""
+    return F.avg((chosen > rejected).cast("double"))

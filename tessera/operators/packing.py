@@ -37,10 +37,16 @@ def pretrain_blocks(rows: DataFrame, order: str, ids: str, block: int, batch: in
     """``batch_no, block_no, ids``: the ids of every ``batch`` rows joined and cut into full blocks."""
     b = rows.withColumn("batch_no", F.floor(F.col(order) / batch).cast("long"))
     w = Window.partitionBy("batch_no").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    at = b.withColumn("start", F.coalesce(F.sum(F.size(ids).cast("long")).over(w), F.lit(0)))
-    flat = at.select("batch_no", F.posexplode(ids).alias("pos", "id"), "start").withColumn("place", F.col("start") + F.col("pos"))
-    g = flat.groupBy("batch_no", F.floor(F.col("place") / block).cast("long").alias("block_no")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("place", "id"))).alias("s"))
-    return g.where(F.col("n") == block).select("batch_no", "block_no", F.col("s.id").alias("ids"))
+    n = F.size(ids).cast("long")
+    at = b.select("batch_no", ids, n.alias("n"), F.coalesce(F.sum(n).over(w), F.lit(0)).alias("start")).where("n > 0")
+    # a row is cut at block borders; what is shuffled is one piece per row and block
+    last = F.floor((F.col("start") + F.col("n") - 1) / block)
+    cut = at.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
+    first = F.greatest(F.col("block_no") * block - F.col("start"), F.lit(0))
+    stop = F.least((F.col("block_no") + 1) * block - F.col("start"), F.col("n"))
+    piece = F.struct((F.col("start") + first).alias("place"), F.slice(ids, (first + 1).cast("int"), (stop - first).cast("int")).alias("part"))
+    g = cut.groupBy("batch_no", "block_no").agg(F.sum(stop - first).alias("n"), F.array_sort(F.collect_list(piece)).alias("s"))
+    return g.where(F.col("n") == block).select("batch_no", "block_no", F.flatten(F.col("s.part")).alias("ids"))
 
 
 def block_counts(rows: DataFrame, order: str, length: str, block: int, batch: int = 1000) -> DataFrame:

@@ -29,3 +29,8 @@ def dense_index(df: DataFrame, *order: str, name: str = "row", rows_per_bucket:
         total += sizes.get(b, 0)
     w = Window.partitionBy("__bucket").orderBy(*order)
     return dealt.withColumn(name, (F.row_number().over(w) - 1 + F.element_at(F.array(*map(F.lit, offsets)), F.col("__bucket") + 1)).cast("long")).drop("__bucket")
+
+
+def restored(rows: DataFrame, origin: str, name: str = "row") -> DataFrame:
+    """Rows of a permuted table at their former positions: ``origin`` holds the permutation, its inverse is applied."""
+    return rows.withColumn(name, F.col(origin).cast("long"))

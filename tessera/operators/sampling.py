@@ -13,6 +13,11 @@ def seeded(seed: int, *columns: str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def shuffled(seed: int, *columns: str) -> Column:
+    """A reproducible random order that SQL can restate: the MD5 of the seed and the row's key as text."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
+
+
 def interleave(parts: list[DataFrame], order: str, *, stop: str = "first", probabilities: list[float] | None = None, seed: int = 0) -> DataFrame:
     """Rows of the parts in turn with their ``part`` and ``turn``; ``order`` is each part's dense position.
 
@@ -43,10 +48,49 @@ def exact_sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     if not total:
         return rows.withColumn("copy", F.lit(0))
     copies, rest = divmod(n, total)
-    top = rows.orderBy(seeded(seed, *key), *key).limit(rest).withColumn("copy", F.lit(copies))
+    top = rows.orderBy(shuffled(seed, *key), *key).limit(rest).withColumn("copy", F.lit(copies))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).unionByName(top) if copies else top
 
 
+def concatenated(parts: list[DataFrame]) -> DataFrame:
+    """Data sets one behind the other, with their ``part``."""
+    return reduce(DataFrame.unionByName, [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)])
+
+
+def first_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first ``most`` rows by position; all of them without a bound."""
+    return rows if most is None else rows.where(F.col(order) < most)
+
+
+def eval_sets(sets: dict[str, DataFrame]) -> DataFrame:
+    """Named evaluation sets as one table: ``split`` is ``validation_<name>``; columns that a set lacks are null."""
+    parts = [df.withColumn("split", F.lit(f"validation_{name}")) for name, df in sets.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def appended(rows: DataFrame, generated: DataFrame, keep: Column, *key: str) -> DataFrame:
+    """A growing data set after a batch: its rows and the generated ones that pass the filter and whose key is new; of
+    generated rows with equal keys the first by content stays."""
+    fresh = generated.where(F.coalesce(keep, F.lit(False))).join(rows.select(*key), list(key), "left_anti")
+    fresh = fresh.groupBy(*key).agg(F.min(F.struct(*(c for c in generated.columns if c not in key))).alias("__r")).select(*key, "__r.*")
+    return rows.unionByName(fresh.select(*rows.columns))
+
+
+def group_index(rows: DataFrame, group: list[str], order: list[Column | str], name: str, parts: int = 256) -> DataFrame:
+    """Adds a dense 0-based position inside each group, in the order of a hash of ``order`` and then of ``order``: groups
+    are numbered in parts and a part's offset is the size of those before it, so that a hot group is many tasks."""
+    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    dealt = rows.withColumn("__part", part)
+    sizes = dealt.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    w = Window.partitionBy(*group, "__part").orderBy(*order)
+    numbered = dealt.withColumn("__at", F.row_number().over(w) - 1)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "__part"]]
+    j = numbered.alias("a").join(sizes.alias("b"), reduce(lambda x, y: x & y, same))
+    return j.select(*(f"a.{c}" for c in rows.columns), (F.col("a.__at") + F.col("b.__before")).cast("long").alias(name))
+
+
 def hash_split(rows: DataFrame, size: float, *key: str) -> DataFrame:
     """Adds ``split``: validation for the rows of smallest md5 of the key; a size over 1 is a number of rows, under 1 a share."""
     h = F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key)))
@@ -59,30 +103,45 @@ def hash_split(rows: DataFrame, size: float, *key: str) -> DataFrame:
 
 def preferred_sample(rows: DataFrame, prefer: Column, n: int, seed: int, *key: str) -> DataFrame:
     """n rows: preferred ones first, topped up from the rest, in seeded order."""
-    return rows.orderBy(F.desc(prefer.cast("int")), seeded(seed, *key), *key).limit(n)
+    return rows.orderBy(F.desc(prefer.cast("int")), shuffled(seed, *key), *key).limit(n)
 
 
-def weighted_resample(rows: DataFrame, weight: str, draws: int, seed: int, *order: str) -> DataFrame:
+def weighted_resample(rows: DataFrame, weight: str, draws: int, seed: int, *order: str, rows_per_part: int = 1_000_000) -> DataFrame:
     """Draws with replacement in proportion to weights: ``draw`` with the drawn row.
 
     Draw i falls at a hash of (seed, i); the row whose cumulative-weight interval holds it is found by a
-    bucketed range join (1024 buckets of the unit interval), not a cross join.
+    bucketed range join (1024 buckets of the unit interval), not a cross join. Rows are cumulated in parts by a hash of
+    ``order``; a part's offset is the weight of those before it (one row a part).
     """
     spark = rows.sparkSession
-    total = rows.agg(F.sum(weight)).first()[0]
-    w = Window.orderBy(*order)
-    c = rows.withColumn("__hi", F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / total).withColumn("__lo", F.coalesce(F.lag("__hi").over(w), F.lit(0.0)))
-    c = c.where("__hi > __lo").withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") * 1024), F.least(F.floor(F.col("__hi") * 1024), F.lit(1023)))))
+    total, n = rows.agg(F.sum(weight), F.count("*")).first()
+    parts = max(1, -(-n // rows_per_part))
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    offset = dealt.groupBy("__part").agg(F.sum(weight).alias("__w")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__w").over(before), F.lit(0.0)).alias("__before"))
+    w = Window.partitionBy("__part").orderBy(*order)
+    high = (F.col("__before") + F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))) / total
+    c = dealt.join(offset, F.col("__part") == F.col("__p")).withColumn("__hi", high).withColumn("__lo", F.coalesce(F.lag("__hi").over(w), F.col("__before") / total))
+    c = c.where("__hi > __lo").withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") * 1024), F.least(F.floor(F.col("__hi") * 1024), F.lit(1023))))).drop("__part", "__p", "__before")
     u = spark.range(draws).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / float(1 << 52)).alias("__u")).withColumn("__b", F.floor(F.col("__u") * 1024))
     return u.join(c, "__b").where((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))).drop("__b", "__u", "__lo", "__hi")
 
 
 def few_shot(tests: DataFrame, pool: DataFrame, key: str, ident: str, shots: int, seed: int) -> DataFrame:
-    """``shots`` pool rows of the same subject for each test row, in seeded order; joined by the subject."""
-    p = pool.withColumnRenamed(ident, "shot_id")
-    j = tests.select(key, ident).join(p.select(key, "shot_id"), key)
-    w = Window.partitionBy(key, ident).orderBy(seeded(seed, ident, "shot_id"), "shot_id")
-    return j.withColumn("shot", F.row_number().over(w)).where(F.col("shot") <= shots)
+    """``shots`` different pool rows of the same subject for each test row: ``key, ident, shot, shot_id``.
+
+    The pool of a subject is numbered once (in seeded order) and cut into ``shots`` strata; a test draws one position of
+    each stratum by the MD5 of its id, and the drawn positions are joined: no test meets its whole subject. A subject
+    with fewer rows than shots gives all of them; one without rows gives none.
+    """
+    p = group_index(pool.select(key, F.col(ident).alias("shot_id"), shuffled(seed, ident).alias("__o")), [key], ["__o", "shot_id"], "__at")
+    sizes = p.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
+    t = tests.select(key, ident).join(sizes, F.col(key) == F.col("__k")).withColumn("shot", F.explode(F.sequence(F.lit(1), F.lit(shots))))
+    low, high = F.floor((F.col("shot") - 1) * F.col("__n") / shots), F.floor(F.col("shot") * F.col("__n") / shots)
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(ident).cast("string"), F.col("shot").cast("string"))), 1, 8), 16, 10).cast("long")
+    drawn = t.where(high > low).withColumn("__pick", (low + F.pmod(h, high - low)).cast("long")).select(key, ident, "shot", "__pick")
+    q = p.select(F.col(key).alias("__k"), "__at", "shot_id")
+    return drawn.join(q, (F.col(key) == F.col("__k")) & (F.col("__pick") == F.col("__at"))).select(key, ident, "shot", "shot_id")
 
 
 def full_batches(rows: DataFrame, order: str, batch: int) -> DataFrame:

@@ -35,9 +35,12 @@ def latest_by_stage(parents: DataFrame, records: DataFrame, key: str, order: str
     return parents.join(last, F.col(key) == F.col("__k"), "left").withColumn("latest_score", F.coalesce("latest_score", F.lit(0.0))).drop("__k")
 
 
-def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with equal keys; of repeated keys in ``new`` one stays per key."""
-    fresh = new.dropDuplicates(list(keys)) if keys else new
+def upsert(old: DataFrame, new: DataFrame, *keys: str, order: Column | None = None) -> DataFrame:
+    """Rows of ``new`` replace those of ``old`` with equal keys. Of rows of ``new`` that repeat a key the one of highest
+    ``order`` stays, of equal order the largest by its columns: no choice is left to chance."""
+    rest = [c for c in old.columns if c not in keys]
+    best = F.struct(*([order.alias("__order")] if order is not None else []), *rest)
+    fresh = new.groupBy(*keys).agg(F.max(best).alias("__r")).select(*keys, *(F.col(f"__r.{c}").alias(c) for c in rest))
     return old.join(fresh.select(*keys), list(keys), "left_anti").select(*old.columns).unionByName(fresh.select(*old.columns))
 
 
@@ -53,11 +56,12 @@ def split_parents(parents: DataFrame, selected: DataFrame, key: str, parent: str
     return parents.join(s, on, "left_semi"), parents.join(s, on, "left_anti")
 
 
-def resolve_artifacts(refs: DataFrame, artifacts: DataFrame, ref: str, ident: str, path: str) -> DataFrame:
-    """Each reference with its path; one without is an error when read."""
+def resolve_artifacts(refs: DataFrame, artifacts: DataFrame, ref: str, ident: str, path: str, *, strict: bool = True) -> DataFrame:
+    """Each reference with its path. One without is an error when read or, if not ``strict``, has a null path."""
     a = artifacts.select(F.col(ident).alias("__i"), F.col(path).alias("__path"))
     j = refs.join(a, F.col(ref) == F.col("__i"), "left")
-    return j.withColumn(path, F.when(F.col("__path").isNull(), F.raise_error(F.concat(F.lit("unknown artifact "), F.col(ref))).cast("string")).otherwise(F.col("__path"))).drop("__i", "__path")
+    lost = F.raise_error(F.concat(F.lit("unknown artifact "), F.col(ref).cast("string"))).cast("string") if strict else F.lit(None).cast("string")
+    return j.withColumn(path, F.when(F.col("__path").isNull(), lost).otherwise(F.col("__path"))).drop("__i", "__path")
 
 
 def ancestors(nodes: DataFrame, key: str, parent: str, materialize: Callable[[DataFrame], DataFrame], max_depth: int = 64) -> DataFrame:
@@ -106,6 +110,85 @@ def run_rounds(roots: DataFrame, plan: Callable[[DataFrame, int], DataFrame], ex
     return done.unionByName(front)
 
 
+def resumable(trajectories: DataFrame, status: str = "status", updated: str = "updated_at", ident: str = "trajectory_id", wanted: str = "running") -> DataFrame:
+    """Trajectories to go on with, longest untouched first."""
+    return trajectories.where(F.col(status) == wanted).orderBy(updated, ident)
+
+
+# What synthesised messages are called and how they look.
+TOOL = "code_image_tool"
+_MESSAGE = "struct<message_id:string,role:string,content:string,image_artifact_ids:array<string>,metadata:map<string,string>>"
+
+
+def _json_text(c: Column) -> Column:
+    """A text as a JSON string."""
+    j = F.to_json(F.array(c))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
+def _message(ident: Column, role: str, content: Column, images: Column, **metadata: Column) -> Column:
+    pairs = [x for k, v in metadata.items() for x in (F.lit(k), v.cast("string"))]
+    return F.struct(ident.alias("message_id"), F.lit(role).alias("role"), content.alias("content"), images.alias("image_artifact_ids"), F.create_map(*pairs).alias("metadata")).cast(_MESSAGE)
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def final_answer_message(answer: Column, round_idx: Column) -> Column:
+    return _message(F.lit("m_final_answer"), "assistant", F.concat(F.lit("<answer>\n"), answer, F.lit("\n</answer>")), _none(), message_kind=F.lit("final_answer"), planner_round_idx=round_idx)
+
+
+def assistant_step_message(step: Column, round_idx: Column, thought: Column, code: Column, description: Column, image_index: Column) -> Column:
+    """What the executor said: its thought and the tool call, as indented JSON."""
+    call = F.concat(F.lit(f'{{\n  "name": "{TOOL}",\n  "arguments": {{\n    "code": '), _json_text(code), F.lit(',\n    "description": '), _json_text(description), F.lit(',\n    "image_index": '), image_index.cast("string"), F.lit("\n  }\n}"))
+    content = F.concat(F.lit("<think>\n"), thought, F.lit("\n</think>\n<tool_call>\n"), call, F.lit("\n</tool_call>"))
+    return _message(F.concat(F.lit("m_step_"), F.lpad(step.cast("string"), 3, "0"), F.lit("_assistant")), "assistant", content, _none(), message_kind=F.lit("executor_step"), step_idx=step, planner_round_idx=round_idx, executor_description=description, runtime_image_index=image_index)
+
+
+def tool_step_message(step: Column, text: Column, images: Column) -> Column:
+    """What the tool gave back; its first image, if any, is the primary one."""
+    return _message(F.concat(F.lit("m_step_"), F.lpad(step.cast("string"), 3, "0"), F.lit("_tool")), "tool", F.coalesce(text, F.lit("")), F.coalesce(images, _none()), message_kind=F.lit("tool_result"), step_idx=step, tool_name=F.lit(TOOL), primary_image_artifact_id=F.get(images, F.lit(0)))
+
+
+def appended_messages(messages: Column, *new: Column) -> Column:
+    """A conversation with messages behind it; a null conversation is empty."""
+    return F.concat(F.coalesce(messages, F.array().cast(f"array<{_MESSAGE}>")), F.array(*new))
+
+
+def registered(items: Column, item: Column, key: str) -> Column:
+    """An array of records with one put in: the record of an equal key goes, and the array is sorted by key."""
+    kept = F.concat(F.filter(items, lambda x: x[key] != item[key]), F.array(item))
+    return F.array_sort(kept, lambda a, b: F.when(a[key] < b[key], -1).when(a[key] > b[key], 1).otherwise(0))
+
+
+def rebased(path: Column, old_root: Column, new_root: Column) -> Column:
+    """A path below one root as a path below another; other paths stay."""
+    return F.when(F.startswith(path, F.concat(old_root, F.lit("/"))), F.concat(new_root, F.substring(path, F.length(old_root) + 1, F.length(path)))).otherwise(path)
+
+
+def child_of(parent: DataFrame, child_id: Column, suggestion: Column, *, root: str = "root") -> DataFrame:
+    """Rows ``trajectory_id, parent_trajectory_id, root, budget, round_idx, messages, suggestion, status`` of new
+    children: the parent's messages copied with image paths below the child's folder, one step less of budget."""
+    new_root = F.concat(F.col(root), F.lit("/"), child_id)
+    copied = F.transform("messages", lambda m: m.withField("image_artifact_ids", F.transform(m["image_artifact_ids"], lambda p: rebased(p, F.col(root), new_root))))
+    return parent.select(child_id.alias("trajectory_id"), F.col("trajectory_id").alias("parent_trajectory_id"), new_root.alias("root"), child_budget(F.col("budget")).alias("budget"), "round_idx", copied.alias("messages"), suggestion.alias("suggestion"), F.lit("running").alias("status"))
+
+
+def record_invariants() -> dict[str, Column]:
+    """Rules of a trajectory record for :func:`violations`: an answer or suggestions and not both; a success or an error
+    and not both; no negative budget."""
+    suggested = F.coalesce(F.size("suggestions"), F.lit(0)) > 0
+    return {"answer_xor_suggestions": F.col("final_answer").isNotNull() != suggested, "success_xor_error": F.col("success") != F.col("error").isNotNull(), "budget": F.col("budget") >= 0}
+
+
+def canonical_export(trajectories: DataFrame) -> DataFrame:
+    """Training rows of finished trajectories (:func:`export_ready`): ``trajectory_id, messages, final_answer`` of those
+    that were answered, messages as (role, content); any unfinished trajectory is an error when read."""
+    ready = export_ready(trajectories).where("status = 'answered'")
+    return ready.select("trajectory_id", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"), "final_answer")
+
+
 def export_ready(trajectories: DataFrame, status: str = "status") -> DataFrame:
     """The rows, if every status is terminal; any other is an error when read."""
     return trajectories.withColumn(status, F.when(F.col(status).isin(*TERMINAL), F.col(status)).otherwise(F.raise_error(F.concat(F.lit("not terminal: "), F.col(status))).cast("string")))

@@ -129,12 +129,13 @@ def round_robin(spark, d):
     return batch(spark, d).df.groupBy(sampling.round_robin(F.col("row"), 7).alias("part")).agg(F.count("*").alias("rows"), F.sum("k").alias("keys"))
 
 
-_C = "c AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IN ('de', 'en', 'es'))"
+_C = "c AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS row, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE lang IS NOT NULL)"
 
 
 def _parts(spark, d) -> list[DataFrame]:
-    docs = table(spark, d, "documents").select("lang", "doc_id")
-    return [Batch.of(docs.where(F.col("lang") == x), "doc_id").df for x in ("de", "en", "es")]
+    """One part a language, every language of the table."""
+    docs = table(spark, d, "documents").select("lang", "doc_id").where("lang is not null")
+    return [Batch.of(docs.where(F.col("lang") == x.lang), "doc_id").df for x in docs.select("lang").distinct().orderBy("lang").collect()]
 
 
 @query("interleave_under", f"WITH {_C} SELECT row AS turn, lang, doc_id FROM c WHERE row < (SELECT min(n) FROM c)")
@@ -147,9 +148,9 @@ def interleave_over(spark, d):
     return sampling.interleave(_parts(spark, d), "row", stop="all").select("turn", "lang", "doc_id")
 
 
-@query("concat_mix", f"WITH {_C} SELECT lang AS split, count(*) AS rows FROM c GROUP BY 1")
+@query("concat_mix", f"WITH {_C} SELECT dense_rank() OVER (ORDER BY lang) - 1 AS part, row, doc_id FROM c")
 def concat_mix(spark, d):
-    return reduce(DataFrame.unionByName, _parts(spark, d)).groupBy(F.col("lang").alias("split")).agg(F.count("*").alias("rows"))
+    return sampling.concatenated(_parts(spark, d)).select(F.col("part").cast("long").alias("part"), "row", "doc_id")
 
 
 @query("hash_split", "WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))) AS k FROM documents) SELECT doc_id, CASE WHEN k <= 100 THEN 'validation' ELSE 'train' END AS split FROM h")
@@ -157,21 +158,30 @@ def hash_split(spark, d):
     return sampling.hash_split(table(spark, d, "documents").select("doc_id"), 100, "doc_id")
 
 
-@query("exact_sample", "SELECT count(*) * 2 + 17 AS rows, count(*) AS distinct_rows FROM documents")
+@query("exact_sample", "WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY md5('5|' || doc_id), doc_id) AS r FROM documents) SELECT doc_id, unnest(CASE WHEN r <= 17 THEN [0, 1, 2] ELSE [0, 1] END) AS copy FROM d")
 def exact_sample(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    return sampling.exact_sample(docs, docs.count() * 2 + 17, 5, "doc_id").agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("distinct_rows"))
+    return sampling.exact_sample(docs, docs.count() * 2 + 17, 5, "doc_id").select("doc_id", "copy")
 
 
-@query("few_shot", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS tests FROM (SELECT d.doc_id FROM documents d, (SELECT unnest([1, 2, 3])) WHERE d.doc_id < 50)")
+@query("few_shot", """
+WITH p AS (SELECT lang, doc_id AS shot_id, row_number() OVER (PARTITION BY lang ORDER BY md5('11|' || doc_id), doc_id) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE doc_id % 2 = 1)
+SELECT lang, CAST(count(*) AS BIGINT) AS tests, CAST(sum(least(3, coalesce(m, 0))) AS BIGINT) AS shots FROM documents LEFT JOIN (SELECT DISTINCT lang AS l, n AS m FROM p) ON l = lang WHERE doc_id % 2 = 0 GROUP BY 1""")
 def few_shot(spark, d):
+    """Every even document is a test, every odd one is in the pool: how many tests a language has, and how many
+    different documents of the pool of its language they got (test_sampling checks the draws themselves)."""
     docs = table(spark, d, "documents").select("lang", "doc_id")
-    return sampling.few_shot(docs.where("doc_id < 50"), docs.where("doc_id >= 50"), "lang", "doc_id", 3, 11).agg(F.count("*").alias("rows"), F.countDistinct("doc_id").alias("tests"))
+    tests, pool = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    drawn = sampling.few_shot(tests, pool, "lang", "doc_id", 3, 11)
+    sound = drawn.join(pool.select(F.col("lang").alias("l"), F.col("doc_id").alias("p")), (F.col("p") == F.col("shot_id")) & (F.col("l") == F.col("lang")), "left_semi")
+    per = sound.groupBy("lang", "doc_id").agg(F.countDistinct("shot_id").alias("n"))
+    j = tests.join(per, ["lang", "doc_id"], "left")
+    return j.groupBy("lang").agg(F.count("*").alias("tests"), F.coalesce(F.sum("n"), F.lit(0)).alias("shots"))
 
 
-@query("dpo_to_sft", "SELECT k AS kind, count(*) AS rows, CAST(sum(length(r)) AS BIGINT) AS chars FROM (SELECT 'chosen' AS k, text AS r FROM documents UNION ALL SELECT 'rejected', text || 'x' FROM documents) GROUP BY 1")
+@query("dpo_to_sft", "SELECT prompt, kind, response FROM (SELECT CAST(doc_id AS VARCHAR) AS prompt, 'chosen' AS kind, text AS response FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'rejected', text || 'x' FROM documents)")
 def dpo_to_sft(spark, d):
     from ..operators.convert import preference_to_sft
 
-    docs = table(spark, d, "documents").select(F.col("lang").alias("prompt"), F.col("text").alias("c"), F.concat("text", F.lit("x")).alias("r"))
-    return preference_to_sft(docs, "prompt", "c", "r").groupBy("kind").agg(F.count("*").alias("rows"), F.sum(F.length("response")).alias("chars"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("prompt"), F.col("text").alias("c"), F.concat("text", F.lit("x")).alias("r"))
+    return preference_to_sft(docs, "prompt", "c", "r").select("prompt", "kind", "response")

@@ -42,11 +42,13 @@ def pretrain_blocks(spark, d):
 
 
 @query("pretrain_block_ids", """
-WITH w AS (SELECT doc_id // 100 AS b, unnest(range(n_chars % 50)) AS pos, doc_id, sum(n_chars % 50) OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - n_chars % 50 AS start FROM documents),
-p AS (SELECT b, (start + pos) // 64 AS k, doc_id FROM w) SELECT b AS batch_no, CAST(k AS BIGINT) AS block_no, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM p GROUP BY 1, 2 HAVING count(*) = 64""")
+WITH t AS (SELECT doc_id // 100 AS b, doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS v FROM documents), s AS (SELECT *, sum(len(v)) OVER (PARTITION BY b ORDER BY doc_id) - len(v) AS start FROM t),
+w AS (SELECT b, start + unnest(range(len(v))) AS place, unnest(v) AS id FROM s), p AS (SELECT b, place // 64 AS k, list(id ORDER BY place) AS ids FROM w GROUP BY 1, 2)
+SELECT b AS batch_no, CAST(k AS BIGINT) AS block_no, array_to_string(ids, ',') AS ids FROM p WHERE len(ids) = 64""")
 def pretrain_block_ids(spark, d):
-    ids = documents(spark, d, "doc_id", "n_chars").select("doc_id", F.array_repeat("doc_id", (F.col("n_chars") % 50).cast("int")).alias("ids"))
-    return packing.pretrain_blocks(ids, "doc_id", "ids", 64, batch=100).select("batch_no", "block_no", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+    """Whole texts; a word's id is its length."""
+    ids = documents(spark, d).select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w)).alias("ids"))
+    return packing.pretrain_blocks(ids, "doc_id", "ids", 64, batch=100).select("batch_no", "block_no", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query("knapsack_pack")
@@ -93,12 +95,12 @@ def qa_em(spark, d):
     return j.select("item_id", text.exact_match(F.col("text"), F.col("golds")).alias("em"), text.sub_exact_match(F.col("text"), F.col("golds")).alias("sub_em"))
 
 
-_SOLVED = "solved AS (SELECT doc_id, left(text, 60) || ' #### ' || CASE WHEN doc_id % 3 = 0 THEN '$1,' || doc_id ELSE CAST(doc_id AS VARCHAR) END || CASE WHEN doc_id % 4 = 0 THEN '.' ELSE ' done' END AS s FROM documents)"
+_SOLVED = "solved AS (SELECT doc_id, text || ' #### ' || CASE WHEN doc_id % 3 = 0 THEN '$1,' || doc_id ELSE CAST(doc_id AS VARCHAR) END || CASE WHEN doc_id % 4 = 0 THEN '.' ELSE ' done' END AS s FROM documents)"
 
 
 def solved(spark, d):
     n = F.col("doc_id").cast("string")
-    return documents(spark, d).select("doc_id", F.concat(F.left("text", F.lit(60)), F.lit(" #### "), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("$1,"), n)).otherwise(n), F.when(F.col("doc_id") % 4 == 0, ".").otherwise(" done")).alias("s"))
+    return documents(spark, d).select("doc_id", F.concat(F.col("text"), F.lit(" #### "), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("$1,"), n)).otherwise(n), F.when(F.col("doc_id") % 4 == 0, ".").otherwise(" done")).alias("s"))
 
 
 @query("gsm8k_extract", rf"""
@@ -109,13 +111,13 @@ def gsm8k_extract(spark, d):
     return solved(spark, d).select("doc_id", text.gsm8k_strict(s).alias("strict"), text.gsm8k_flexible(s).alias("flexible"), text.gsm8k_score(s, F.col("doc_id").cast("string"), format_score=0.1).alias("score"))
 
 
-_TAGGED = "tagged AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<think>x</think> <answer> ' || left(text, 20) || ' </answer>' WHEN 1 THEN '<think>a</think><tool_response>t</tool_response>no tag' || chr(10) || ' last ' || doc_id WHEN 2 THEN 'open <answer> ' || doc_id ELSE '<think><answer>1</answer></think><answer>' || doc_id || '</answer>' END AS s FROM documents)"
+_TAGGED = "tagged AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<think>x</think> <answer> ' || text || ' </answer>' WHEN 1 THEN '<think>a</think><tool_response>t</tool_response>no tag' || chr(10) || ' last ' || doc_id WHEN 2 THEN 'open <answer> ' || doc_id ELSE '<think><answer>1</answer></think><answer>' || doc_id || '</answer>' END AS s FROM documents)"
 
 
 def tagged(spark, d):
     n = F.col("doc_id").cast("string")
     k = F.col("doc_id") % 4
-    s = F.when(k == 0, F.concat(F.lit("<think>x</think> <answer> "), F.left("text", F.lit(20)), F.lit(" </answer>"))).when(k == 1, F.concat(F.lit("<think>a</think><tool_response>t</tool_response>no tag\n last "), n)).when(k == 2, F.concat(F.lit("open <answer> "), n)).otherwise(F.concat(F.lit("<think><answer>1</answer></think><answer>"), n, F.lit("</answer>")))
+    s = F.when(k == 0, F.concat(F.lit("<think>x</think> <answer> "), F.col("text"), F.lit(" </answer>"))).when(k == 1, F.concat(F.lit("<think>a</think><tool_response>t</tool_response>no tag\n last "), n)).when(k == 2, F.concat(F.lit("open <answer> "), n)).otherwise(F.concat(F.lit("<think><answer>1</answer></think><answer>"), n, F.lit("</answer>")))
     return documents(spark, d).select("doc_id", s.alias("s"))
 
 
@@ -126,19 +128,26 @@ def answer_extract(spark, d):
     return tagged(spark, d).select("doc_id", text.final_answer(F.col("s")).alias("answer"))
 
 
-@query("format_reward", f"WITH {_TAGGED} SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS reward FROM tagged")
+@query("format_reward", rf"""
+WITH {_TAGGED}, x AS (SELECT doc_id, trim(regexp_replace(s, '(?s)<tool_response>.*?</tool_response>', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM tagged),
+n AS (SELECT *, len(regexp_extract_all(x, '<think>')) AS o, len(regexp_extract_all(x, '</think>')) AS c, len(regexp_extract_all(x, '(?s)<answer>.*?</answer>')) AS a, list_filter(regexp_extract_all(x, '(?s)<think>.*?</think>'), lambda b: contains(b, '<answer>')) AS reach FROM x)
+SELECT doc_id, CASE WHEN starts_with(x, '<think>') AND o = c AND o > 0 AND a = 1 AND regexp_matches(x, '(?s)<answer>.*?</answer>\s*$') AND len(reach) = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS reward FROM n""")
 def format_reward(spark, d):
     return tagged(spark, d).select("doc_id", text.format_reward(F.col("s")).alias("reward"))
 
 
-@query("rule_verify", """
-WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'So the answer is (B) or C' WHEN 1 THEN 'about ' || doc_id || '.50 units' ELSE CAST(doc_id AS VARCHAR) END AS pred, CASE doc_id % 3 WHEN 0 THEN 'C' WHEN 1 THEN doc_id || '.5' ELSE CAST(doc_id + doc_id % 2 AS VARCHAR) END AS truth FROM documents)
-SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN true ELSE doc_id % 2 = 0 END AS correct FROM p""")
+@query("rule_verify", r"""
+WITH p AS (SELECT doc_id, CASE n_chars % 4 WHEN 0 THEN text || ' (' || chr(65 + CAST(doc_id % 5 AS INTEGER)) || ') ' WHEN 1 THEN 'about ' || n_chars || '.50 units' WHEN 2 THEN CAST(n_chars AS VARCHAR) ELSE text || ' is ' || n_chars END AS pred, CASE n_chars % 4 WHEN 0 THEN chr(65 + CAST(n_chars % 4 AS INTEGER)) WHEN 1 THEN n_chars || '.5' WHEN 2 THEN CAST(n_chars + doc_id % 2 AS VARCHAR) ELSE n_chars * 2 || '/2' END AS truth FROM documents),
+u AS (SELECT *, upper(pred) AS up, regexp_extract_all(upper(pred), '(?:^|[^\pL\pN_])([A-D])(?:$|[^\pL\pN_])', 1) AS letters, regexp_extract_all(upper(pred), '[-+]?\d*\.?\d+') AS numbers, string_split(truth, '/') AS f FROM p),
+v AS (SELECT *, CASE WHEN truth IN ('A', 'B', 'C', 'D') THEN letters[-1] ELSE coalesce(CAST(try_cast(trim(pred) AS DOUBLE) AS VARCHAR), numbers[-1]) END AS got, CASE WHEN len(f) = 2 THEN try_cast(f[1] AS DOUBLE) / try_cast(f[2] AS DOUBLE) ELSE try_cast(truth AS DOUBLE) END AS t FROM u)
+SELECT doc_id, coalesce(pred = truth OR try_cast(pred AS DOUBLE) = try_cast(truth AS DOUBLE), false) OR coalesce(got = truth, false) OR coalesce(abs(try_cast(got AS DOUBLE) - t) <= 1e-4, false) AS correct FROM v""")
 def rule_verify(spark, d):
-    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
-    pred = F.when(k == 0, "So the answer is (B) or C").when(k == 1, F.concat(F.lit("about "), n, F.lit(".50 units"))).otherwise(n)
-    truth = F.when(k == 0, "C").when(k == 1, F.concat(n, F.lit(".5"))).otherwise((F.col("doc_id") + F.col("doc_id") % 2).cast("string"))
-    return documents(spark, d, "doc_id").select("doc_id", text.equivalent_answers(pred, truth).alias("correct"))
+    """Answers behind whole texts against a letter, a decimal, a whole number that is off by one in half the rows, and a
+    fraction."""
+    n, k = F.col("n_chars").cast("string"), F.col("n_chars") % 4
+    pred = F.when(k == 0, F.concat("text", F.lit(" ("), F.char(F.lit(65) + F.col("doc_id") % 5), F.lit(") "))).when(k == 1, F.concat(F.lit("about "), n, F.lit(".50 units"))).when(k == 2, n).otherwise(F.concat("text", F.lit(" is "), n))
+    truth = F.when(k == 0, F.char(F.lit(65) + F.col("n_chars") % 4)).when(k == 1, F.concat(n, F.lit(".5"))).when(k == 2, (F.col("n_chars") + F.col("doc_id") % 2).cast("string")).otherwise(F.concat((F.col("n_chars") * 2).cast("string"), F.lit("/2")))
+    return documents(spark, d, "doc_id", "text", "n_chars").select("doc_id", text.equivalent_answers(pred, truth).alias("correct"))
 
 
 @query("text_preview", r"WITH x AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 500 THEN left(t, 500) || '...' ELSE t END AS preview FROM x")
@@ -146,9 +155,9 @@ def text_preview(spark, d):
     return documents(spark, d).select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
-@query("thought_removal", "SELECT doc_id, ltrim(regexp_replace('<think>' || left(text, 30) || '</think>' || chr(10) || chr(10) || right(text, 40), '(?s)<think>(.*?)</think>', '', 'g'), chr(10)) AS answer FROM documents")
+@query("thought_removal", "SELECT doc_id, ltrim(regexp_replace('<think>' || text || '</think>' || chr(10) || chr(10) || text || '<think>b</think>', '(?s)<think>(.*?)</think>', '', 'g'), chr(10)) AS answer FROM documents")
 def thought_removal(spark, d):
-    s = F.concat(F.lit("<think>"), F.left("text", F.lit(30)), F.lit("</think>\n\n"), F.right("text", F.lit(40)))
+    s = F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>\n\n"), F.col("text"), F.lit("<think>b</think>"))
     return documents(spark, d).select("doc_id", text.without_thoughts(s).alias("answer"))
 
 
@@ -158,13 +167,18 @@ def child_ids(spark, d):
 
 
 @query("tool_calls", """
-WITH t AS (SELECT doc_id, 'x<tool_call>{"name": "a' || doc_id % 5 || '", "arguments": {"k": ' || doc_id || '}}</tool_call>y<tool_call>' || CASE WHEN doc_id % 2 = 0 THEN 'bad' ELSE '{"name": "b", "arguments": {"k": 1}}' END || '</tool_call>' AS s FROM documents)
-SELECT doc_id, 1 + doc_id % 2 AS calls, 'a' || doc_id % 5 AS first, 'xy' AS rest, doc_id % 2 = 1 AS all_good FROM t""")
+WITH t AS (SELECT doc_id, text || '<tool_call>{"name": "a' || n_chars % 5 || '", "arguments": {"k": ' || n_chars || '}}</tool_call>y<tool_call>' || CASE n_chars % 3 WHEN 0 THEN 'bad' WHEN 1 THEN '{"name": "b"}' ELSE '{"name": "b", "arguments": {"k": 1}}' END || '</tool_call>' || text AS s FROM documents),
+b AS (SELECT doc_id, s, regexp_extract_all(s, '(?s)<tool_call>(.*?)</tool_call>', 1) AS b FROM t),
+g AS (SELECT *, list_filter(b, lambda x: CASE WHEN json_valid(x) THEN json_extract_string(x, '$.name') IS NOT NULL AND json_extract(x, '$.arguments') IS NOT NULL ELSE false END) AS g FROM b)
+SELECT doc_id, len(g) AS calls, json_extract_string(g[1], '$.name') || json_extract_string(g[1], '$.arguments.k') AS first, regexp_replace(s, '(?s)<tool_call>.*?</tool_call>', '', 'g') AS rest, len(g) = len(b) AS all_good FROM g""")
 def tool_calls(spark, d):
-    s = F.concat(F.lit('x<tool_call>{"name": "a'), (F.col("doc_id") % 5).cast("string"), F.lit('", "arguments": {"k": '), F.col("doc_id").cast("string"), F.lit("}}</tool_call>y<tool_call>"), F.when(F.col("doc_id") % 2 == 0, "bad").otherwise('{"name": "b", "arguments": {"k": 1}}'), F.lit("</tool_call>"))
-    t = documents(spark, d, "doc_id").withColumn("s", s)
+    """Two calls around and between whole texts; the second is broken or without arguments in two thirds of the rows."""
+    k, n = F.col("n_chars") % 3, F.col("n_chars").cast("string")
+    second = F.when(k == 0, "bad").when(k == 1, '{"name": "b"}').otherwise('{"name": "b", "arguments": {"k": 1}}')
+    s = F.concat("text", F.lit('<tool_call>{"name": "a'), (F.col("n_chars") % 5).cast("string"), F.lit('", "arguments": {"k": '), n, F.lit("}}</tool_call>y<tool_call>"), second, F.lit("</tool_call>"), "text")
+    t = documents(spark, d, "doc_id", "text", "n_chars").withColumn("s", s)
     c = text.tool_calls(F.col("s"))
-    return t.select("doc_id", F.size(c).cast("long").alias("calls"), c[0]["name"].alias("first"), text.without_tool_calls(F.col("s")).alias("rest"), text.strict_tool_calls(F.col("s")).isNotNull().alias("all_good"))
+    return t.select("doc_id", F.size(c).cast("long").alias("calls"), F.concat(c[0]["name"], F.get_json_object(c[0]["arguments"], "$.k")).alias("first"), text.without_tool_calls(F.col("s")).alias("rest"), text.strict_tool_calls(F.col("s")).isNotNull().alias("all_good"))
 
 
 @query("page_titles", r"SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")
@@ -197,23 +211,24 @@ def align_sharegpt(spark, d):
 
 
 @query("align_openai", f"""
-WITH {_CONV}, s AS (SELECT conv_id, CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END AS b FROM conv)
-SELECT conv_id, CASE WHEN len(b) % 2 = 0 AND len(b) > 0 THEN len(b) - 1 ELSE 0 END AS prompts FROM s""")
+WITH {_CONV}, s AS (SELECT conv_id, CASE WHEN m[1].role = 'system' THEN m[1].content ELSE '' END AS sys, CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END AS b FROM conv),
+k AS (SELECT *, len(b) % 2 = 1 OR len(b) = 0 OR len(list_filter(b, lambda x, i: CASE WHEN i % 2 = 1 THEN x.role <> 'user' ELSE x.role <> 'assistant' END)) > 0 AS broken FROM s)
+SELECT conv_id, sys AS system, CASE WHEN broken THEN '' ELSE array_to_string(list_transform(b[1:len(b) - 1], lambda x: x.role || ':' || x.content), '|') END AS prompt, CASE WHEN broken THEN NULL ELSE b[len(b)].content END AS response FROM k""")
 def align_openai(spark, d):
     a = convert.align(conversations(spark, d), "openai", keep=["conv_id"])
-    return a.select("conv_id", F.size("_prompt").cast("long").alias("prompts"))
+    return a.select("conv_id", F.col("_system").alias("system"), F.array_join(F.transform("_prompt", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("prompt"), F.try_element_at("_response", F.lit(1))["content"].alias("response"))
 
 
-@query("align_alpaca", "SELECT doc_id, 'user:' || CASE WHEN lang = 'en' THEN source ELSE source || chr(10) || lang END AS prompt, left(text, 40) AS response FROM documents")
+@query("align_alpaca", "SELECT doc_id, 'user:' || CASE WHEN lang = 'en' THEN source ELSE source || chr(10) || lang END AS prompt, text AS response FROM documents")
 def align_alpaca(spark, d):
-    rows = documents(spark, d, "doc_id", "source", "lang", "text").select("doc_id", F.col("source").alias("instruction"), F.when(F.col("lang") != "en", F.col("lang")).alias("input"), F.left("text", F.lit(40)).alias("output"))
+    rows = documents(spark, d, "doc_id", "source", "lang", "text").select("doc_id", F.col("source").alias("instruction"), F.when(F.col("lang") != "en", F.col("lang")).alias("input"), F.col("text").alias("output"))
     a = convert.align(rows, "alpaca", keep=["doc_id"])
     return a.select("doc_id", F.array_join(F.transform("_prompt", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("prompt"), F.col("_response")[0]["content"].alias("response"))
 
 
-@query("weighted_messages", "SELECT doc_id, 'user:' || source || coalesce(lang, '') || ':0.0|assistant:' || left(text, 10) || ':1.0' AS messages FROM documents")
+@query("weighted_messages", "SELECT doc_id, 'user:' || source || coalesce(lang, '') || ':0.0' || CASE WHEN text = '' THEN '' ELSE '|assistant:' || text || ':1.0' END AS messages FROM documents")
 def weighted_messages(spark, d):
-    rows = documents(spark, d, "doc_id", "source", "lang", "text").select("doc_id", F.col("source").alias("instruction"), F.col("lang").alias("input"), F.left("text", F.lit(10)).alias("output"))
+    rows = documents(spark, d, "doc_id", "source", "lang", "text").select("doc_id", F.col("source").alias("instruction"), F.col("lang").alias("input"), F.col("text").alias("output"))
     return convert.weighted_messages(rows).select("doc_id", F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"][0]["value"], m["loss_weight"].cast("string"))), "|").alias("messages"))
 
 
@@ -223,11 +238,11 @@ def system_replace(spark, d):
     return s.select("conv_id", F.col("m")[0]["role"].alias("first_role"), F.col("m")[0]["content"].alias("first"), F.size("m").cast("long").alias("n"))
 
 
-@query("content_parts", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'image,text,video' ELSE 'text' END AS kinds FROM conversations WHERE text <> ''")
+@query("content_parts", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CASE WHEN text = '' THEN 'image,video' ELSE 'image,text,video' END WHEN text = '' THEN '' ELSE 'text' END AS kinds, CASE WHEN text = '' THEN '' ELSE text END AS said FROM conversations")
 def content_parts(spark, d):
-    c = table(spark, d, "conversations").where("text <> ''")
     s = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<image>"), F.col("text"), F.lit("<video>"))).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", F.array_join(F.transform(convert.content_parts(s), lambda p: p["type"]), ",").alias("kinds"))
+    p = convert.content_parts(s)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.transform(p, lambda x: x["type"]), ",").alias("kinds"), F.array_join(F.transform(F.filter(p, lambda x: x["type"] == "text"), lambda x: x["text"]), "").alias("said"))
 
 
 @query("chat_template", f"WITH {_CONV} SELECT conv_id, array_to_string(list_transform(m, lambda x: CASE x.role WHEN 'system' THEN '<s>' || x.content || chr(10) WHEN 'user' THEN 'U: ' || x.content ELSE 'A: ' || x.content || '</s>' END), '') AS prompt FROM conv")
@@ -277,10 +292,39 @@ def resize_pixels(spark, d):
     return documents(spark, d, "doc_id", "n_chars").select("doc_id", r.alias("r")).select("doc_id", F.col("r")[0].alias("width"), F.col("r")[1].alias("height"))
 
 
-@query("math_boxed")
+@query("math_boxed", r"""
+WITH m AS (SELECT doc_id, n_chars, n_chars % 4 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN '\frac{' || doc_id || '}{' || n_chars || '}' WHEN 1 THEN '\text{' || doc_id || '}' WHEN 2 THEN doc_id || '\text{ cm}' END AS boxed, CASE k WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN CAST(doc_id % 2 = 0 AS DOUBLE) ELSE 0.0 END AS score FROM m""")
 def math_boxed(spark, d):
-    rows = documents(spark, d, "doc_id").select("doc_id", F.concat(F.lit("so \\boxed{\\frac{"), F.col("doc_id").cast("string"), F.lit("}{2}}")).alias("s"), (F.col("doc_id") / 2).cast("string").alias("g"))
-    return rows.select("doc_id", math_scorers.boxed_answer("s").alias("boxed"), math_scorers.math_score("s", "g").alias("score"), math_scorers.signed_math_score("s", "g").alias("signed"))
+    r"""Boxed answers behind whole texts: an unreduced \dfrac, nested braces, a unit (right in half the rows), none."""
+    k, n, i = F.col("n_chars") % 4, F.col("n_chars").cast("string"), F.col("doc_id").cast("string")
+    inner = F.when(k == 0, F.concat(F.lit("\\frac{"), i, F.lit("}{"), n, F.lit("}"))).when(k == 1, F.concat(F.lit("\\text{"), i, F.lit("}"))).otherwise(F.concat(i, F.lit("\\text{ cm}")))
+    s = F.concat(F.coalesce("text", F.lit("")), F.when(k == 3, F.lit(" none")).otherwise(F.concat(F.lit(" so \\boxed{"), inner, F.lit("} so"))))
+    g = F.when(k == 0, F.concat(F.lit("\\dfrac{"), i, F.lit("}{"), n, F.lit("}"))).when(k == 1, i).otherwise((F.col("doc_id") + F.col("doc_id") % 2).cast("string"))
+    rows = documents(spark, d, "doc_id", "text", "n_chars").select("doc_id", s.alias("s"), g.alias("g"))
+    return rows.select("doc_id", math_scorers.boxed_answer("s").alias("boxed"), math_scorers.math_score("s", "g").alias("score"))
+
+
+@query("signed_answers", """
+SELECT doc_id, CASE n_chars % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN -1.0 WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE -1.0 END ELSE 1.0 END AS score FROM documents""")
+def signed_answers(spark, d):
+    """Answer lines behind whole texts: separators and a unit, no line, off by one in half the rows, an equation."""
+    k, n, i = F.col("n_chars") % 4, F.format_number("n_chars", 0), F.col("n_chars").cast("string")
+    said = F.when(k == 0, F.concat(F.lit("Answer: "), n, F.lit(" cm"))).when(k == 1, F.lit("none")).when(k == 2, F.concat(F.lit("answer : "), i)).otherwise(F.concat(F.lit("Answer: x = $"), i, F.lit("$.")))
+    truth = F.when(k == 2, (F.col("n_chars") + F.col("doc_id") % 2).cast("string")).otherwise(i)
+    rows = documents(spark, d, "doc_id", "text", "n_chars").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said).alias("s"), truth.alias("g"))
+    return rows.select("doc_id", math_scorers.signed_math_score("s", "g").alias("score"))
+
+
+@query("graded_answers", """
+SELECT doc_id, CASE n_chars % 6 WHEN 0 THEN true WHEN 1 THEN doc_id % 2 = 0 WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN true ELSE false END AS graded FROM documents""")
+def graded_answers(spark, d):
+    """Separators, a unit (off by one in half the rows), an unreduced fraction, a sum, a tuple, another bracket."""
+    k, n, i = F.col("n_chars") % 6, F.format_number("n_chars", 0), F.col("n_chars").cast("string")
+    more = (F.col("n_chars") + F.col("doc_id") % 2).cast("string")
+    given = F.when(k == 0, n).when(k == 1, F.concat(i, F.lit(" meters"))).when(k == 2, F.concat((F.col("n_chars") * 2 + 2).cast("string"), F.lit("/4"))).when(k == 3, F.concat(F.lit("x+"), i)).when(k == 4, F.concat(F.lit("("), i, F.lit(", 2)"))).otherwise(F.concat(F.lit("["), i, F.lit(",2)")))
+    truth = F.when(k == 0, i).when(k == 1, more).when(k == 2, F.concat((F.col("n_chars") + 1).cast("string"), F.lit("/2"))).when(k == 3, F.concat(i, F.lit("+x"))).when(k == 4, F.concat(F.lit("("), i, F.lit(",2)"))).otherwise(F.concat(F.lit("("), i, F.lit(",2)")))
+    return documents(spark, d, "doc_id", "n_chars").select("doc_id", math_scorers.answers_graded(given, truth).alias("graded"))
 
 
 @query("text_overlap")
@@ -292,3 +336,31 @@ def text_overlap(spark, d):
 @query("dense_rows", "SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS row FROM documents")
 def dense_rows(spark, d):
     return dense_index(documents(spark, d, "doc_id", "n_chars"), "n_chars", "doc_id", rows_per_bucket=200).select("doc_id", "row")
+
+
+@query("template_qwen3", f"""
+WITH {_CONV}, s AS (SELECT conv_id, CASE WHEN m[1].role = 'system' THEN m[1].content ELSE '' END AS sys, CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END AS b FROM conv), g AS (SELECT * FROM s WHERE len(b) > 0 AND len(b) % 2 = 0),
+u AS (SELECT conv_id, sys, b, unnest(range(1, len(b) + 1, 2)) AS i FROM g)
+SELECT conv_id, CAST(i // 2 AS INTEGER) AS turn, CASE WHEN i = 1 AND sys <> '' THEN '<|im_start|>system' || chr(10) || sys || '<|im_end|>' || chr(10) ELSE '' END || '<|im_start|>user' || chr(10) || b[i].content || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || CASE WHEN i % 4 = 1 THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END AS source,
+CASE WHEN i % 4 = 3 THEN '<think>' || chr(10) || 'why' || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || b[i + 1].content || '<|im_end|>' || chr(10) AS target FROM u""")
+def template_qwen3(spark, d):
+    """Every other answer has a thought; the others get an empty one on their source."""
+    from ..operators import templates
+
+    c = conversations(spark, d)
+    led = F.col("messages")[0]["role"] == "system"
+    c = c.select("conv_id", F.when(led, F.col("messages")[0]["content"]).alias("sys"), F.when(led, F.slice("messages", F.lit(2), F.size("messages"))).otherwise(F.col("messages")).alias("b")).where((F.size("b") > 0) & (F.size("b") % 2 == 0))
+    think = F.transform("b", lambda m, i: F.struct(m["role"].alias("role"), F.when(i % 4 == 3, F.concat(F.lit("<think>\nwhy\n</think>\n\n"), m["content"])).otherwise(m["content"]).alias("content")))
+    return c.select("conv_id", F.posexplode(templates.multi_turn(think, "qwen3", system=F.col("sys"))).alias("turn", "p")).select("conv_id", "turn", "p.source", "p.target")
+
+
+@query("template_llama2", f"""
+WITH {_CONV}, s AS (SELECT conv_id, CASE WHEN m[1].role = 'system' THEN '<<SYS>>' || chr(10) || m[1].content || chr(10) || '<</SYS>>' || chr(10) || chr(10) ELSE '' END AS sys, CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END AS b FROM conv), g AS (SELECT * FROM s WHERE len(b) > 0 AND len(b) % 2 = 0)
+SELECT conv_id, array_to_string(list_transform(b[1:len(b) - 1], lambda x, i: CASE WHEN i % 2 = 1 THEN '<s>[INST] ' || CASE WHEN i = 1 THEN sys ELSE '' END || x.content || ' [/INST]' ELSE x.content || '</s>' END), '') AS prompt, b[len(b)].content || '</s>' AS response FROM g""")
+def template_llama2(spark, d):
+    from ..operators import templates
+
+    c = conversations(spark, d)
+    led = F.col("messages")[0]["role"] == "system"
+    c = c.select("conv_id", F.when(led, F.col("messages")[0]["content"]).alias("sys"), F.when(led, F.slice("messages", F.lit(2), F.size("messages"))).otherwise(F.col("messages")).alias("b")).where((F.size("b") > 0) & (F.size("b") % 2 == 0))
+    return c.select("conv_id", templates.one_turn(F.col("b"), "llama2", system=F.col("sys")).alias("p")).select("conv_id", "p.prompt", "p.response")

@@ -246,7 +246,6 @@ def weighted_resample(spark, d):
     return sampling.weighted_resample(rollouts(spark, d).withColumn("w", F.col("score") * F.col("score") + 1e-8), "w", 1000, 7, "row").select("draw", "row", "score")
 
 
-@query("preferred_sample", f"WITH {ROLLOUTS} SELECT count(*) AS n, count(*) FILTER (source = 'error') AS preferred FROM (SELECT source FROM rollouts ORDER BY (source = 'error') DESC LIMIT 3000)")
+@query("preferred_sample", f"WITH {ROLLOUTS} SELECT row, source FROM rollouts ORDER BY (source = 'error') DESC, md5('42|' || row), row LIMIT 3000")
 def preferred_sample(spark, d):
-    s = sampling.preferred_sample(rollouts(spark, d), F.col("source") == "error", 3000, 42, "row")
-    return s.agg(F.count("*").alias("n"), F.count_if(F.col("source") == "error").alias("preferred"))
+    return sampling.preferred_sample(rollouts(spark, d), F.col("source") == "error", 3000, 42, "row").select("row", "source")

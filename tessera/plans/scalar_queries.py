@@ -11,21 +11,22 @@ from .catalogue import query
 from .views import STEPS, steps, table
 
 
-@query("score_order", f"WITH {STEPS} SELECT trajectory_id, score FROM steps ORDER BY coalesce(CASE WHEN budget > 0 THEN score END, parent_score, 0) DESC, trajectory_id LIMIT 100")
+@query("score_order", f"WITH {STEPS} SELECT trajectory_id, score FROM steps ORDER BY coalesce(CASE WHEN budget > 0 THEN score END, parent_score, 0) DESC, trajectory_id")
 def score_order(spark, d):
     s = steps(spark, d).withColumn("raw", F.col("score")).withColumn("score_1", F.col("parent_score")).withColumn("score", F.when(F.col("budget") > 0, F.col("raw")))
-    return sampling.score_order(s, "trajectory_id").limit(100).select("trajectory_id", F.col("raw").alias("score"))
+    return sampling.score_order(s, "trajectory_id").select("trajectory_id", F.col("raw").alias("score"))
 
 
-@query("resumable", "SELECT event_id, ts::VARCHAR AS updated_at FROM events WHERE event_type = 'click' ORDER BY ts LIMIT 50")
+@query("resumable", "SELECT event_id, ts::VARCHAR AS updated_at FROM events WHERE event_type = 'click' ORDER BY ts")
 def resumable(spark, d):
-    e = table(spark, d, "events")
-    return e.where("event_type = 'click'").orderBy("ts").limit(50).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at")).withColumn("updated_at", F.regexp_replace("updated_at", r"\.?0+$", ""))
+    e = trajectory.resumable(table(spark, d, "events"), "event_type", "ts", "event_id", "click")
+    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("updated_at")).withColumn("updated_at", F.regexp_replace("updated_at", r"\.?0+$", ""))
 
 
-@query("nonempty_labels", "SELECT count(*) AS rows FROM conversations WHERE length(text) > 0 AND role = 'assistant'")
+@query("nonempty_labels", "SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND trim(text) <> '' AND text IS NOT NULL")
 def nonempty_labels(spark, d):
-    return table(spark, d, "conversations").where((F.length("text") > 0) & (F.col("role") == "assistant")).agg(F.count("*").alias("rows"))
+    c = table(spark, d, "conversations").withColumn("label", F.when(F.col("role") == "assistant", F.col("text")))
+    return convert.nonempty_labels(c, "label").select("conv_id", "turn")
 
 
 @query("request_lookup", "SELECT page_id, url FROM pages WHERE replace(url, '-', '') = (SELECT replace(url, '-', '') FROM pages WHERE page_id = 3)")
@@ -37,23 +38,28 @@ def request_lookup(spark, d):
     return by_request(p.withColumnRenamed("url", "request_id"), wanted).select("page_id", F.col("request_id").alias("url"))
 
 
-@query("dedup_boxes", "SELECT l_orderkey AS k, count(DISTINCT round(l_discount, 6)) AS boxes FROM lineitem GROUP BY 1")
+@query("dedup_boxes", """
+WITH b AS (SELECT l_orderkey AS k, l_linenumber AS n, [round(l_discount + l_linenumber * 1e-8, 6), l_tax, 1.0, l_quantity] AS b FROM lineitem), f AS (SELECT k, b, min(n) AS n FROM b GROUP BY 1, 2)
+SELECT k, count(*) AS boxes, array_to_string(list(b[1]::DECIMAL(9,2) ORDER BY n, b), ',') AS lefts FROM f GROUP BY 1""")
 def dedup_boxes(spark, d):
-    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list("l_discount").alias("b"))
-    return g.select("k", F.size(F.array_distinct(F.transform("b", lambda x: F.round(x, 6)))).cast("long").alias("boxes"))
+    """The first of boxes that are equal to six places stays; lines with equal numbers stand in the order of their boxes."""
+    box = F.array(F.col("l_discount") + F.col("l_linenumber") * 1e-8, F.col("l_tax"), F.lit(1.0), F.col("l_quantity"))
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", box.alias("b")))).alias("s"))
+    u = geo.distinct_boxes(F.col("s.b"))
+    return g.select("k", F.size(u).cast("long").alias("boxes"), F.array_join(F.transform(u, lambda b: b[0].cast("decimal(9,2)").cast("string")), ",").alias("lefts"))
 
 
-@query("kto_classes", "SELECT sum(CAST(quality = 1 AS INTEGER)) > 0 AND sum(CAST(quality = 0 AS INTEGER)) > 0 AS both_classes FROM labels")
+@query("kto_classes", "SELECT count(*) FILTER (quality = 1) AS desirable, count(*) FILTER (quality = 0) AS undesirable, count(*) FILTER (quality = 1) = 0 OR count(*) FILTER (quality = 0) = 0 AS one_kind FROM labels")
 def kto_classes(spark, d):
-    return table(spark, d, "labels").agg(((F.sum((F.col("quality") == 1).cast("int")) > 0) & (F.sum((F.col("quality") == 0).cast("int")) > 0)).alias("both_classes"))
+    from ..operators import encode
 
+    return encode.one_preference(table(spark, d, "labels").select((F.col("quality") == 1).alias("kto_tags")))
 
-@query("resolve_artifacts", "SELECT o_orderkey, c_name AS path FROM orders JOIN customer ON c_custkey = o_custkey")
+
+@query("resolve_artifacts", "SELECT o_orderkey, c_name AS path FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
 def resolve_artifacts(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_name").alias("path"))
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    known = o.join(c.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return trajectory.resolve_artifacts(known, c, "o_custkey", "c_custkey", "path").select("o_orderkey", "path")
+    return trajectory.resolve_artifacts(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey", "c_custkey", "path", strict=False).select("o_orderkey", "path")
 
 
 @query("tool_sets", "SELECT p_partkey, array_to_string(list_sort(list_intersect([p_type, 'crop'], ['crop', p_brand])), ',') AS both_sides, CAST(p_type <> 'ECONOMY' AS INTEGER) AS outside FROM part")
@@ -62,13 +68,19 @@ def tool_sets(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(F.array_intersect(used, expected)), ",").alias("both_sides"), F.size(F.array_except(used, F.array(F.lit("ECONOMY"), F.lit("crop")))).alias("outside"))
 
 
-@query("zip_shortest", "SELECT l_orderkey AS k, least(count(*), 3) AS pairs FROM lineitem GROUP BY 1")
+@query("zip_shortest", """
+WITH g AS (SELECT l_orderkey AS k, list({'t': l_returnflag || l_linenumber, 'y': CAST(l_quantity AS INTEGER)} ORDER BY l_linenumber, l_returnflag, l_quantity) AS s FROM lineitem GROUP BY 1),
+u AS (SELECT k, unnest(list_transform(s[1:3], lambda x, i: {'t': x.t, 'y': x.y, 'i': i, 'n': len(s)})) AS x FROM g)
+SELECT k, array_to_string(list(x.t || ':' || CASE WHEN x.n = 2 THEN '0.5' ELSE '1.0' END ORDER BY x.y, x.t), ',') AS pairs FROM u GROUP BY 1""")
 def zip_shortest(spark, d):
+    """At most three boxes a row of texts, and two scores: they count where there are just two texts."""
     from ..operators import ocr
 
-    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list("l_returnflag").alias("t"))
-    three = F.array_repeat(F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(1)), 3)
-    return g.select("k", F.size(ocr.items(F.col("t"), F.lit(None).cast("array<double>"), three)).cast("long").alias("pairs"))
+    y = F.col("l_quantity").cast("int")
+    row = F.struct("l_linenumber", "l_returnflag", "l_quantity", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("t"), F.array(F.lit(0), y, F.lit(1), F.lit(1)).alias("b"))
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(row)).alias("s"))
+    i = ocr.items(F.col("s.t"), F.array(F.lit(0.5), F.lit(0.5)), F.slice(F.col("s.b"), 1, 3))
+    return g.select("k", F.array_join(F.transform(i, lambda r: F.concat_ws(":", r["text"], r["score"].cast("string"))), ",").alias("pairs"))
 
 
 _W = "w AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_quantity AS q, l_linenumber * 3 AS z FROM lineitem)"
@@ -103,11 +115,13 @@ def reward_at_end(spark, d):
     return _rows(spark, d).select("k", "n", "p", "s", a.alias("a")).select("k", "n", "p", "s", F.array_position("a", F.array_max("a")).cast("int").alias("place"), F.array_max("a").alias("reward"))
 
 
-@query("sft_loss_mask", "SELECT doc_id, CAST(greatest(n_chars % 20 - greatest(n_chars % 7, 1) + 1 - 1, 0) AS BIGINT) AS trained FROM documents WHERE n_chars % 20 > 8")
+@query("sft_loss_mask", """
+WITH p AS (SELECT doc_id, n_chars % 20 AS t, greatest(n_chars % 7, 1) AS p FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(t), lambda i: CASE WHEN i < p - 1 OR i = t - 1 THEN 0 ELSE 1 END), '') AS mask FROM p""")
 def sft_loss_mask(spark, d):
     t, p = (F.col("n_chars") % 20).cast("int"), F.greatest(F.col("n_chars") % 7, F.lit(1)).cast("int")
-    m = packing.sft_loss_mask(F.array_repeat(F.lit(1), t), p, t - p)
-    return table(spark, d, "documents").where("n_chars % 20 > 8").select("doc_id", F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x).alias("trained"))
+    m = packing.sft_loss_mask(F.array_repeat(F.lit(1), t), p, F.greatest(t - p, F.lit(0)))
+    return table(spark, d, "documents").select("doc_id", F.array_join(m.cast("array<string>"), "").alias("mask"))
 
 
 @query("media_mismatch", "SELECT conv_id, turn, CAST(turn % 3 - 1 AS INTEGER) AS mismatch FROM conversations")
@@ -117,19 +131,22 @@ def media_mismatch(spark, d):
     return c.select("conv_id", "turn", convert.media_mismatch(F.array(convert.message("user", text_)), F.array(F.lit("a.png"))).alias("mismatch"))
 
 
-@query("restore_order", "SELECT doc_id, doc_id AS row FROM documents")
+@query("restore_order", "SELECT doc_id, row_number() OVER (ORDER BY n_chars % 97, doc_id) - 1 AS place, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents")
 def restore_order(spark, d):
-    from ..operators.rows import dense_index
+    """Rows dealt in another order (by length modulo 97) and put back by the inverse of that permutation."""
+    from ..operators.rows import dense_index, restored
 
-    shuffled = dense_index(table(spark, d, "documents").select("doc_id", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h")), "h", "doc_id", name="place")
-    return dense_index(shuffled, "doc_id").select("doc_id", "row")
+    docs = dense_index(table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 97).alias("h")), "doc_id", name="origin")
+    dealt = dense_index(docs, "h", "doc_id", name="place").select("doc_id", "place", "origin")
+    return restored(dealt, "origin").select("doc_id", "place", "row")
 
 
-@query("preference_blocks", "SELECT label_block, count(*) AS rows FROM (SELECT 'chosen' AS label_block, doc_id FROM labels UNION ALL SELECT 'rejected', doc_id FROM labels) GROUP BY 1")
+@query("preference_blocks", "WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, quality, toxic) - 1 AS r, count(*) OVER () AS n FROM labels) SELECT doc_id, 'chosen' AS kind, r AS place FROM l UNION ALL SELECT doc_id, 'rejected', r + n FROM l")
 def preference_blocks(spark, d):
-    l = table(spark, d, "labels").select("doc_id")
-    both = l.withColumn("label_block", F.lit("chosen")).unionByName(l.withColumn("label_block", F.lit("rejected")))
-    return both.groupBy("label_block").agg(F.count("*").alias("rows"))
+    from ..operators.rows import dense_index
+
+    l = dense_index(table(spark, d, "labels"), "doc_id", "quality", "toxic")
+    return convert.preference_blocks(l.select("doc_id", "row"), "row").select("doc_id", "kind", "place")
 
 
 @query("log_tail", "SELECT doc_id, right(text, 200) AS tail FROM documents")
@@ -141,15 +158,16 @@ def log_tail(spark, d):
 
 @query("last_progress", "SELECT max_by(event_id, ts) AS event_id, max_by(value, ts) AS value FROM events")
 def last_progress(spark, d):
-    e = table(spark, d, "events").select("event_id", "value", "ts")
-    return e.agg(F.max_by(F.struct("event_id", "value"), "ts").alias("r")).select("r.*")
+    from ..sources.files import latest
 
+    return latest(table(spark, d, "events").select("event_id", "value", "ts"), "ts").select("event_id", "value")
 
-@query("data_urls", "SELECT item_id, length(text) AS chars FROM benchmark")
+
+@query("data_urls", "SELECT item_id, text FROM benchmark")
 def data_urls(spark, d):
     b = table(spark, d, "benchmark")
     url = F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("text", "UTF-8")))
-    return b.select("item_id", F.length(F.decode(text.from_data_url(url), "UTF-8")).cast("long").alias("chars"))
+    return b.select("item_id", F.decode(text.from_data_url(url), "UTF-8").alias("text"))
 
 
 @query("passages", "SELECT item_id, 'Doc 1(Title: ' || split_part(text, chr(10), 1) || ') ' || regexp_replace(text, '^[^\\n]*\\n?', '') || chr(10) AS shown FROM benchmark")
@@ -164,18 +182,42 @@ def described_tools(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(tools.described_transforms(s), ",").alias("used"), tools.described_box(s)[0].alias("x1"))
 
 
-@query("planner_contract", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'both answer and suggestions' WHEN 1 THEN 'neither answer nor suggestions' WHEN 2 THEN 'repeated tag' END AS error FROM documents")
+@query("planner_contract", """
+WITH k AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, n_chars % 6 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN t = '' THEN 'answer is empty' END WHEN 1 THEN 'answer and suggestions' WHEN 2 THEN 'unknown mode' WHEN 4 THEN CASE WHEN t = '' THEN 'answer is empty' END WHEN 5 THEN 'neither answer nor suggestions' END AS error,
+CASE WHEN k IN (0, 4) AND t <> '' THEN t END AS answer, CASE WHEN k = 3 THEN 2 ELSE 0 END AS suggestions, CASE WHEN k IN (0, 4) AND t <> '' THEN true WHEN k = 3 THEN false END AS can_answer_now FROM k""")
 def planner_contract(spark, d):
-    k = F.col("doc_id") % 4
-    s = F.when(k == 0, "<answer>a</answer><suggestions>b</suggestions>").when(k == 1, "plain").when(k == 2, "<answer>a</answer><answer>b</answer>").otherwise("<answer>a</answer>")
-    return table(spark, d, "documents").select("doc_id", text.planner_error(s).alias("error"))
-
-
-@query("fenced_json", "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE '{\"k\": ' || doc_id || '}' END AS json FROM documents")
+    """Planner outputs around whole texts: a JSON answer, both kinds, a wrong mode, suggestions, tags, and neither."""
+    k = F.col("n_chars") % 6
+    json = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in c.items())))
+    t = F.col("text")
+    two = F.array(F.struct(t.alias("plan")), F.struct(F.lit("b").alias("plan")))
+    s = F.when(k == 0, F.concat(F.lit("```json\n"), json(mode=F.lit("Answer "), think=F.lit("x"), answer=t), F.lit("\n```"))).when(k == 1, json(mode=F.lit("answer"), answer=t, suggestions=two)).when(k == 2, json(mode=F.lit("guess"), answer=t)).when(k == 3, json(mode=F.lit("suggestions"), suggestions=two))
+    s = s.when(k == 4, F.concat(F.lit("<think>a</think>\n<answer>"), t, F.lit("</answer>"))).otherwise(F.lit("<think>a</think> no more"))
+    p = text.planner_output(s)
+    return table(spark, d, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.error", F.col("p.direct_answer").alias("answer"), F.coalesce(F.size("p.suggestions"), F.lit(0)).alias("suggestions"), "p.can_answer_now")
+
+
+@query("executor_contract", """
+WITH k AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, n_chars % 5 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN t = '' THEN 'empty code' END WHEN 1 THEN 'wrong tool name' WHEN 2 THEN CASE WHEN t = '' THEN 'empty description' END WHEN 3 THEN 'no JSON object' ELSE 'empty think' END AS error, CASE WHEN k = 0 AND t <> '' THEN t WHEN k = 2 AND t <> '' THEN 'code' END AS code FROM k""")
+def executor_contract(spark, d):
+    k, t = F.col("n_chars") % 5, F.col("text")
+    call = lambda name, code, said, think=F.lit("why"): F.to_json(F.struct(think.alias("think"), F.struct(F.lit(name).alias("name"), F.struct(code.alias("code"), said.alias("description")).alias("arguments")).alias("tool_call")))
+    s = F.when(k == 0, call("code_image_tool", t, F.lit("d"))).when(k == 1, call("another_tool", t, F.lit("d"))).when(k == 2, call("code_image_tool", F.lit(" code "), t)).when(k == 3, F.lit("no braces here")).otherwise(call("code_image_tool", t, F.lit("d"), F.lit(" ")))
+    return table(spark, d, "documents").select("doc_id", text.executor_output(s).alias("e")).select("doc_id", "e.error", "e.code")
+
+
+@query("fenced_json", r"""
+WITH s AS (SELECT doc_id, n_chars % 4 AS k, CAST(to_json({'k': doc_id, 't': text}) AS VARCHAR) AS j FROM documents)
+SELECT doc_id, CASE WHEN k < 3 THEN doc_id END AS k, CASE WHEN k < 3 THEN json_extract_string(j, '$.t') END AS t FROM s""")
 def fenced_json(spark, d):
-    k, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
-    s = F.when(k == 0, F.concat(F.lit('```json\n{"k": '), n, F.lit("}\n```"))).when(k == 1, F.concat(F.lit('say {"k": '), n, F.lit("} so"))).otherwise("none {bad")
-    return table(spark, d, "documents").select("doc_id", text.fenced_json(s).alias("json"))
+    """Objects that hold whole texts: fenced, bare, inside prose, and a broken one."""
+    k = F.col("n_chars") % 4
+    j = F.to_json(F.struct(F.col("doc_id").alias("k"), F.coalesce("text", F.lit("")).alias("t")))
+    s = F.when(k == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(k == 1, j).when(k == 2, F.concat(F.lit("say "), j, F.lit(" so"))).otherwise(F.concat(F.lit("none {"), j))
+    got = text.fenced_json(s)
+    return table(spark, d, "documents").select("doc_id", F.get_json_object(got, "$.k").cast("long").alias("k"), F.get_json_object(got, "$.t").alias("t"))
 
 
 @query("flatten_struct", "SELECT event_id, value AS \"a/v\", user_id AS \"a/b/u\" FROM events")
@@ -184,13 +226,21 @@ def flatten_struct(spark, d):
     return text.flatten_struct(e.withColumn("a", F.struct(F.col("a").alias("a"))), "a")
 
 
-@query("zoom_boxes", f"WITH {_W} SELECT k, n, p, s, CASE WHEN q > 28 THEN CAST(floor((q / 2) - q / 2) AS BIGINT) ELSE 0 END AS x1 FROM w")
+@query("zoom_boxes", f"""
+WITH {_W}, c AS (SELECT *, 0.7::DOUBLE * p % 150 - 20 AS a, 0.3::DOUBLE * s % 120 AS b FROM w),
+x AS (SELECT k, n, p, s, greatest(a, 0) AS x1, greatest(b, 0) AS y1, least(a + q, 100) AS x2, least(b + z, 90) AS y2 FROM c),
+g AS (SELECT *, x2 > x1 AND y2 > y1 AND greatest(x2 - x1, y2 - y1) / least(x2 - x1, y2 - y1) <= 100 AS ok, greatest(x2 - x1, 28) / 2 AS hw, greatest(y2 - y1, 28) / 2 AS hh, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM x),
+l AS (SELECT *, greatest(least(cx - hw, 100 - 2 * hw), 0) AS lx, greatest(least(cy - hh, 90 - 2 * hh), 0) AS ly FROM g)
+SELECT k, n, p, s, CASE WHEN ok THEN array_to_string([CAST(floor(lx) AS BIGINT), CAST(floor(ly) AS BIGINT), CAST(ceil(least(lx + 2 * hw, 100)) AS BIGINT), CAST(ceil(least(ly + 2 * hh, 90)) AS BIGINT)], ',') END AS box FROM l""")
 def zoom_boxes(spark, d):
-    b = geo.zoom_box(F.array(F.lit(0.0), F.lit(0.0), F.col("q"), F.col("q")), F.lit(100), F.lit(100))
-    return _rows(spark, d).select("k", "n", "p", "s", b[0].cast("long").alias("x1"))
+    a, b = F.lit(0.7) * F.col("p") % 150 - 20, F.lit(0.3) * F.col("s") % 120
+    box = geo.zoom_box(F.array(a, b, a + F.col("q"), b + F.col("z")), F.lit(100), F.lit(90))
+    return _rows(spark, d).select("k", "n", "p", "s", F.array_join(F.transform(box, lambda v: v.cast("long").cast("string")), ",").alias("box"))
 
 
-@query("row_accuracy", "SELECT lang, round(avg(CAST(quality > toxic AS DOUBLE)), 6) AS accuracy FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+@query("row_accuracy", "SELECT lang, avg(CAST(chosen > rejected AS DOUBLE)) AS accuracy FROM (SELECT lang, n_chars % 13 AS chosen, n_chars % 7 AS rejected FROM documents) GROUP BY 1")
 def row_accuracy(spark, d):
-    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
-    return j.groupBy("lang").agg(F.round(F.avg((F.col("quality") > F.col("toxic")).cast("double")), 6).alias("accuracy"))
+    from ..operators import metrics
+
+    docs = table(spark, d, "documents").select("lang", (F.col("n_chars") % 13).alias("c"), (F.col("n_chars") % 7).alias("r"))
+    return docs.groupBy("lang").agg(metrics.reward_accuracy(F.col("c"), F.col("r")).alias("accuracy"))

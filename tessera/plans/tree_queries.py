@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..operators import ocr, toolreward, trajectory
+from ..sources.scratch import written
 from .catalogue import query
 from .views import STEPS, steps, table
 
@@ -27,12 +28,11 @@ def latest_judge(spark, d):
     return trajectory.latest_by_stage(s.select("parent_id").distinct(), s, "parent_id", "trajectory_id", "stage", "score", "click")
 
 
-@query("upsert_steps", f"WITH {STEPS}, o AS (SELECT trajectory_id, score FROM steps WHERE trajectory_id < 3000), n AS (SELECT trajectory_id, -score AS score FROM steps WHERE trajectory_id >= 2500 AND trajectory_id < 4000) SELECT * FROM n UNION ALL SELECT * FROM o WHERE trajectory_id NOT IN (SELECT trajectory_id FROM n)")
+@query("upsert_steps", f"WITH {STEPS}, n AS (SELECT trajectory_id, suggestion_order, -score AS score FROM steps WHERE suggestion_order > 1), o AS (SELECT trajectory_id, suggestion_order, score FROM steps WHERE suggestion_order < 3) SELECT * FROM n UNION ALL SELECT * FROM o WHERE trajectory_id NOT IN (SELECT trajectory_id FROM n)")
 def upsert_steps(spark, d):
-    s = steps(spark, d)
-    old = s.where("trajectory_id < 3000").select("trajectory_id", "score")
-    new = s.where("trajectory_id >= 2500 AND trajectory_id < 4000").select("trajectory_id", (-F.col("score")).alias("score"))
-    return trajectory.upsert(old, new, "trajectory_id")
+    """The stored records have suggestions 0 to 2, the new ones 2 and 3: together all steps, and a third of both."""
+    s = steps(spark, d).select("trajectory_id", "suggestion_order", "score")
+    return trajectory.upsert(s.where("suggestion_order < 3"), s.where("suggestion_order > 1").withColumn("score", -F.col("score")), "trajectory_id")
 
 
 @query("parents_expanded", f"WITH {STEPS}, s AS (SELECT DISTINCT parent_id FROM steps WHERE parent_score > 300) SELECT DISTINCT parent_id, CASE WHEN parent_id IN (SELECT parent_id FROM s) THEN 'expanded' ELSE 'answered' END AS status FROM steps")
@@ -46,7 +46,7 @@ def parents_expanded(spark, d):
 WITH RECURSIVE e AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey > 0 THEN o_orderkey // 4 END AS p FROM orders), a AS (SELECT k, k AS ancestor, 0 AS depth FROM e UNION ALL SELECT a.k, e.p, a.depth + 1 FROM a JOIN e ON e.k = a.ancestor WHERE e.p IS NOT NULL) SELECT k, ancestor, depth FROM a""")
 def ancestors(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") > 0, F.floor(F.col("o_orderkey") / 4).cast("long")).alias("p"))
-    return trajectory.ancestors(o, "k", "p", lambda x: x.persist())
+    return trajectory.ancestors(o, "k", "p", written(spark))
 
 
 @query("artifact_priority", f"WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY suggestion_order, trajectory_id DESC) AS n FROM steps) SELECT parent_id, trajectory_id, suggestion_order FROM r WHERE n = 1")
@@ -129,7 +129,7 @@ def ocr_lines(spark, d):
 
 @query("search_rounds")
 def search_rounds(spark, d):
-    roots = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("trajectory_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(3).alias("budget"), (F.col("n_regionkey") / 4).alias("score"))
+    roots = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("trajectory_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(3).alias("budget"), (F.pmod("c_custkey", F.lit(5)) / 4).alias("score"))
 
     def plan(front, r):
         return front.where("score > 0.2").select(F.col("trajectory_id").alias("parent_id"), F.col("score").alias("parent_score"), "budget", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("suggestion_order")).withColumn("trajectory_id", F.concat_ws(".", "parent_id", F.col("suggestion_order").cast("string")))
@@ -138,4 +138,4 @@ def search_rounds(spark, d):
         h = F.pmod(F.xxhash64("trajectory_id"), F.lit(10))
         return chosen.select("trajectory_id", "parent_id", "budget", (h == 0).alias("failed"), F.lit("out").alias("output"), (h < 8).alias("keep"), (F.col("parent_score") * 0.9).alias("score"))
 
-    return trajectory.run_rounds(roots, plan, execute, lambda x: x.persist(), width=20)
+    return trajectory.run_rounds(roots, plan, execute, written(spark), width=500)

@@ -115,7 +115,11 @@ def read_documents(spark: SparkSession, glob: str, schema: str | T.StructType, s
 
 def last_progress(spark: SparkSession, path: str, order: str = "current_steps") -> DataFrame:
     """The latest record of a training log in JSON lines."""
-    r = spark.read.json(path)
+    return latest(spark.read.json(path), order)
+
+
+def latest(r: DataFrame, order: str) -> DataFrame:
+    """The record of highest order."""
     return r.agg(F.max_by(F.struct(*r.columns), order).alias("r")).select("r.*")
 
 
@@ -124,16 +128,74 @@ def log_tail(text: Column, most: int = 20_000) -> Column:
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """What is stored at ``path``, or else ``build()`` stored there; an unreadable store is built anew."""
+    """What is stored at ``path``, or else ``build()`` stored there. A store that was not written to its end (no schema
+    can be read from it) is built anew; any other fault is raised."""
+    from pyspark.errors import AnalysisException
+
     if exists(spark, path):
         try:
             return spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  a broken cache is no reason to stop
-            pass
+        except AnalysisException as e:
+            if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+                raise
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def staged(spark: SparkSession, source: str, cache_dir: str) -> str:
+    """A copy of a remote file or folder below ``cache_dir/<md5 of its path>``, by the Hadoop file systems; an existing
+    copy of the same names and sizes is used. Spark reads remote paths by itself: this is for other readers."""
+    import hashlib
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    src = at(source)
+    dest = at(f"{cache_dir.rstrip('/')}/{hashlib.md5(source.encode()).hexdigest()}/{src.getName()}")
+    fs, to = src.getFileSystem(conf), dest.getFileSystem(conf)
+
+    def listing(system, root) -> set:
+        found, it = set(), system.listFiles(root, True)
+        whole = len(system.getFileStatus(root).getPath().toString())
+        while it.hasNext():
+            f = it.next()
+            if not f.getPath().getName().startswith(".") and not f.getPath().getName().endswith(".crc"):
+                found.add((f.getPath().toString()[whole:], f.getLen()))
+        return found
+
+    if not (to.exists(dest) and listing(fs, src) == listing(to, dest)):
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, to, dest, False, True, conf)
+        if listing(fs, src) != listing(to, dest):
+            raise OSError(f"the copy of {source} differs from it")
+    return dest.toString()
+
+
+def tool_capabilities(spark: SparkSession, path: str) -> DataFrame:
+    """``name, description, usage_notes`` of a JSON array of tools; an entry without a name or description is an error."""
+    t = spark.read.schema("name string, description string, usage_notes string").option("multiLine", True).json(path)
+    fault = F.raise_error(F.lit("a tool needs a name and a description")).cast("string")
+    return t.withColumn("name", F.when(F.col("name").isNull() | F.col("description").isNull(), fault).otherwise(F.col("name")))
+
+
+def predictions(rows: DataFrame, prompt: str, predict: str, label: str) -> DataFrame:
+    """Prediction rows as JSON lines: ``value`` holds prompt, predict and label."""
+    return rows.select(F.to_json(F.struct(F.col(prompt).alias("prompt"), F.col(predict).alias("predict"), F.col(label).alias("label"))).alias("value"))
+
+
+def layout_pages(payload: Column) -> Column:
+    """Array of page texts of an OCR layout payload (JSON): pages below meta.layout_result, layout_result, result, or at
+    the top, first found wins; a page is its markdown text, else its pruned result as fenced JSON, else empty. A payload
+    without pages is an error when read."""
+    v = F.try_parse_json(payload)
+    pages = F.coalesce(*(F.try_variant_get(v, f"{p}.layoutParsingResults", "array<variant>") for p in ("$.meta.layout_result", "$.layout_result", "$.result", "$")))
+    found = F.coalesce(pages, F.raise_error(F.lit("no layoutParsingResults in the payload")).cast("array<variant>"))
+
+    def one(p):
+        pruned = F.try_variant_get(p, "$.prunedResult", "variant")
+        return F.coalesce(F.try_variant_get(p, "$.markdown.text", "string"), F.when(pruned.isNotNull() & ~F.coalesce(F.is_variant_null(pruned), F.lit(True)), F.concat(F.lit("```json\n"), F.to_json(pruned), F.lit("\n```"))), F.lit(""))
+
+    return F.transform(found, one)
+
+
 def rollout_cache_path(root: str, project: str, experiment: str, batch_size: int, n: int) -> str:
     return f"{root}/{project}/{experiment}/batch={batch_size}/n={n}"
 

@@ -42,18 +42,21 @@ def check_settings(*, val_size: float = 0, max_samples: int | None = None, num_s
         raise ValueError("a stream takes a validation share under 1, and neither max_samples nor num_samples")
 
 
-def upsert_sink(path: str, *keys: str, order: Column | None = None) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that keeps the newest row per key in versions of a Parquet table: version n+1 is
-    written beside version n, so that a batch that is run again writes the same version again."""
+def upsert_sink(path: str, *keys: str, order: Column, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that keeps the row of highest ``order`` per key in versions of a Parquet table: version n+1
+    is written beside version n, so that a batch that is run again writes the same version again; older ones than the
+    last ``keep`` go."""
     from ..operators.trajectory import upsert
 
     def run(batch: DataFrame, epoch: int) -> None:
         from ..sources.files import exists
 
         spark, before = batch.sparkSession, f"{path}/v={epoch - 1}"
-        newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order if order is not None else F.lit(0)).alias("r")).select("r.*")
-        merged = upsert(spark.read.parquet(before), newest, *keys) if exists(spark, before) else newest
+        newest = upsert(batch.limit(0), batch, *keys, order=order)
+        merged = upsert(spark.read.parquet(before), newest, *keys, order=order) if exists(spark, before) else newest
         merged.write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={epoch - keep}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return run
 
@@ -63,6 +66,36 @@ def shuffled_batches(seed: int, sink: Callable[[DataFrame, int], None], *key: st
     return lambda batch, epoch: sink(batch.orderBy(seeded(seed + epoch, *key)), epoch)
 
 
+def joined_streams(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, *, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Pairs of two streams with equal keys whose right time lies within ``within`` after the left one; both sides'
+    state is bounded by their watermarks."""
+    a = left.withWatermark(left_time, late).alias("a")
+    b = right.withWatermark(right_time, late).alias("b")
+    near = F.expr(f"b.{right_time} >= a.{left_time} AND b.{right_time} <= a.{left_time} + INTERVAL {within}")
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & near)
+
+
+def micro_batched(rows: DataFrame, size: int, run, schema: str | T.StructType) -> DataFrame:
+    """Hands the rows of each task to ``run`` (a function of a pandas frame) in batches of ``size``, the task's last one
+    smaller: requests are drained in groups whatever the size of Arrow batches."""
+    import pandas as pd
+
+    def drain(it):
+        wait: list[pd.DataFrame] = []
+        for frame in it:
+            wait.append(frame)
+            if sum(map(len, wait)) >= size:
+                whole = pd.concat(wait, ignore_index=True)
+                full = len(whole) // size * size
+                for at in range(0, full, size):
+                    yield run(whole.iloc[at : at + size].reset_index(drop=True))
+                wait = [whole.iloc[full:]] if full < len(whole) else []
+        if wait:
+            yield run(pd.concat(wait, ignore_index=True))
+
+    return rows.mapInPandas(drain, schema)
+
+
 def start(rows: DataFrame, checkpoint: str, run: Callable[[DataFrame, int], None], mode: str = "append"):
     """Runs a stream into a foreachBatch function until what has arrived is done; the checkpoint holds offsets."""
     return rows.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
