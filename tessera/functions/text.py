@@ -148,14 +148,14 @@ _EMPTY_THOUGHT = "(Empty think in JSON; placeholder.)"
 def planner_output(text: Column) -> Column:
     """Struct ``can_answer_now, think, direct_answer, stop_reason, suggestions, error`` of a planner's text.
 
-    A JSON object (fenced or within prose) names a mode: answer (an answer, no suggestions) or suggestions (an array, no
-    answer). Other text must hold a think block before one answer block or one block of suggestions, an array. Where the
+    A JSON object (fenced or within prose) with a mode and a thought names the mode: answer (an answer, no suggestions)
+    or suggestions (an array, no answer). Other text must hold a think block before one answer block or one block of suggestions, an array. Where the
     contract is broken only ``error`` is set; suggestions are JSON texts.
     """
-    block = lambda tag: F.try_element_at(F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)), F.lit(1))
+    block = lambda tag: F.regexp_extract_all(text, F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
     body = fenced_json(text)
     read = F.struct(text.alias("text"), body.alias("body"), F.try_parse_json(body).alias("v"), block("think").alias("said"), block("answer").alias("found"), block("suggestions").alias("offers"))
-    return _once(read, lambda p: _once(F.struct(p.alias("p"), F.try_parse_json(p["offers"]).alias("offered")), lambda q: _planner(q["p"], q["offered"])))
+    return _once(read, lambda p: _once(F.struct(p.alias("p"), F.try_parse_json(F.get(p["offers"], F.lit(0))).alias("offered")), lambda q: _planner(q["p"], q["offered"])))
 
 
 def _once(value: Column, use) -> Column:
@@ -165,7 +165,7 @@ def _once(value: Column, use) -> Column:
 
 def _planner(p: Column, offered: Column) -> Column:
     v = p["v"]
-    is_json = F.coalesce(F.startswith(_kind(v, "$"), F.lit("OBJECT")), F.lit(False))
+    is_json = F.coalesce(F.startswith(_kind(v, "$"), F.lit("OBJECT")) & _kind(v, "$.mode").isNotNull() & _kind(v, "$.think").isNotNull(), F.lit(False))
     get = lambda name: F.try_variant_get(v, f"$.{name}", "string")
     there = lambda name: F.coalesce(_kind(v, f"$.{name}") != "VOID", F.lit(False))
     array = lambda name: F.coalesce(F.startswith(_kind(v, f"$.{name}"), F.lit("ARRAY")), F.lit(False))
@@ -180,12 +180,13 @@ def _planner(p: Column, offered: Column) -> Column:
         .when((mode == "suggestions") & ~array("suggestions"), "suggestions are no array")
         .when(~mode.isin("answer", "suggestions"), "unknown mode")
     )
-    said, found, offers = p["said"], p["found"], p["offers"]
+    said, found, offers = (F.get(p[k], F.lit(0)) for k in ("said", "found", "offers"))
+    again = (F.size(p["said"]) > 1) | (F.size(p["found"]) > 1) | (F.size(p["offers"]) > 1)
     at = lambda tag: F.instr(p["text"], f"<{tag}>")
-    early = ((at("answer") > 0) & (at("answer") < at("think"))) | ((at("suggestions") > 0) & (at("suggestions") < at("think")))
+    early = F.exists(F.array(at("answer"), at("suggestions")), lambda x: (x > 0) & (x < at("think")))
     is_array = F.coalesce(F.startswith(_kind(offered, "$"), F.lit("ARRAY")), F.lit(False))
     tag_error = (
-        F.when(early, "think comes late").when(said.isNull(), "think is missing").when(found.isNotNull() & offers.isNotNull(), "answer and suggestions").when(found.isNull() & offers.isNull(), "neither answer nor suggestions")
+        F.when(early, "think comes late").when(again, "repeated tag").when(said.isNull(), "think is missing").when(_strip(said) == "", "think is empty").when(found.isNotNull() & offers.isNotNull(), "answer and suggestions").when(found.isNull() & offers.isNull(), "neither answer nor suggestions")
         .when(found.isNotNull() & (_strip(found) == ""), "answer is empty").when(offers.isNotNull() & ~is_array, "suggestions are no array")
     )
     texts = lambda array: F.transform(array, lambda s: F.to_json(s))
@@ -217,7 +218,7 @@ def _executor(v: Column, tool: str) -> Column:
     is_object = lambda path: F.coalesce(F.startswith(_kind(v, path), F.lit("OBJECT")), F.lit(False))
     call, given = "$.tool_call", "$.tool_call.arguments"
     error = (
-        F.when(~is_object("$"), "no JSON object").when(get("$.think") == "", "empty think").when(~is_object(call), "no tool call").when(get(f"{call}.name") != tool, "wrong tool name").when(~is_object(given), "no arguments")
+        F.when(~is_object("$") | _kind(v, "$.think").isNull() | _kind(v, call).isNull(), "no JSON object").when(get("$.think") == "", "empty think").when(~is_object(call), "no tool call").when(get(f"{call}.name") != tool, "wrong tool name").when(~is_object(given), "no arguments")
         .when(get(f"{given}.code") == "", "empty code").when(get(f"{given}.description") == "", "empty description")
     )
     good = lambda path: F.when(error.isNull(), get(path))

@@ -171,8 +171,9 @@ def child_of(parent: DataFrame, child_id: Column, suggestion: Column, *, root: s
     """Rows ``trajectory_id, parent_trajectory_id, root, budget, round_idx, messages, suggestion, status`` of new
     children: the parent's messages copied with image paths below the child's folder, one step less of budget."""
     new_root = F.concat(F.col(root), F.lit("/"), child_id)
-    copied = F.transform("messages", lambda m: m.withField("image_artifact_ids", F.transform(m["image_artifact_ids"], lambda p: rebased(p, F.col(root), new_root))))
-    return parent.select(child_id.alias("trajectory_id"), F.col("trajectory_id").alias("parent_trajectory_id"), new_root.alias("root"), child_budget(F.col("budget")).alias("budget"), "round_idx", copied.alias("messages"), suggestion.alias("suggestion"), F.lit("running").alias("status"))
+    copied = F.transform("messages", lambda m: m.withField("image_artifact_ids", F.transform(m["image_artifact_ids"], lambda p: rebased(p, F.col("__old"), F.col("__new")))))
+    c = parent.withColumns({"__old": F.col(root), "__new": new_root, "__child": child_id, "__plan": suggestion}).withColumn("__copied", copied)
+    return c.select(F.col("__child").alias("trajectory_id"), F.col("trajectory_id").alias("parent_trajectory_id"), F.col("__new").alias("root"), child_budget(F.col("budget")).alias("budget"), "round_idx", F.col("__copied").alias("messages"), F.col("__plan").alias("suggestion"), F.lit("running").alias("status"))
 
 
 def record_invariants() -> dict[str, Column]:

@@ -192,7 +192,7 @@ def planner_contract(spark, d):
     json = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in c.items())))
     t = F.col("text")
     two = F.array(F.struct(t.alias("plan")), F.struct(F.lit("b").alias("plan")))
-    s = F.when(k == 0, F.concat(F.lit("```json\n"), json(mode=F.lit("Answer "), think=F.lit("x"), answer=t), F.lit("\n```"))).when(k == 1, json(mode=F.lit("answer"), answer=t, suggestions=two)).when(k == 2, json(mode=F.lit("guess"), answer=t)).when(k == 3, json(mode=F.lit("suggestions"), suggestions=two))
+    s = F.when(k == 0, F.concat(F.lit("```json\n"), json(mode=F.lit("Answer "), think=F.lit("x"), answer=t), F.lit("\n```"))).when(k == 1, json(mode=F.lit("answer"), think=t, answer=t, suggestions=two)).when(k == 2, json(mode=F.lit("guess"), think=t, answer=t)).when(k == 3, json(mode=F.lit("suggestions"), think=t, suggestions=two))
     s = s.when(k == 4, F.concat(F.lit("<think>a</think>\n<answer>"), t, F.lit("</answer>"))).otherwise(F.lit("<think>a</think> no more"))
     p = text.planner_output(s)
     return table(spark, d, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.error", F.col("p.direct_answer").alias("answer"), F.coalesce(F.size("p.suggestions"), F.lit(0)).alias("suggestions"), "p.can_answer_now")

@@ -163,6 +163,7 @@ def staged(spark: SparkSession, source: str, cache_dir: str) -> str:
         return found
 
     if not (to.exists(dest) and listing(fs, src) == listing(to, dest)):
+        to.delete(dest, True)
         jvm.org.apache.hadoop.fs.FileUtil.copy(fs, src, to, dest, False, True, conf)
         if listing(fs, src) != listing(to, dest):
             raise OSError(f"the copy of {source} differs from it")
