@@ -33,7 +33,9 @@ from .util import crc32_py
 
 DROPOUT, SEED = 0.1, 20240917
 #: Agendas remembered at most; chunks of more characters than CHUNK_CHARS run their agenda at every occurrence.
-MEMO_AGENDAS, CHUNK_CHARS, BATCH_DOCS = 1_000_000, 48, 500
+MEMO_AGENDAS, CHUNK_CHARS = 500_000, 48
+#: Texts are encoded in batches of so many documents or characters, whichever is less (a longer text is one batch).
+BATCH_DOCS, BATCH_CHARS = 500, 1_500_000
 _SPAN, _STIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _ALL = 2**64 - 1
 _PAD = -(1 << 30)
@@ -77,9 +79,20 @@ class PieceCodec:
         lines = not any("\n" in p for p in self.piece)
         self.cut = re.compile("\n| *[^ \n]+| +" if lines else " *[^ ]+| +")
         self._forget()
+        # The same as an open hash table for arrays: keys left << 20 | right, at the first free slot from their hash on.
         keys = np.array([a << 20 | b for a, b in self.merge], dtype=np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.array(list(self.merge.values()), dtype=np.int64)[order]
+        self.shift = np.uint64(64 - max(10, int(4 * len(keys)).bit_length()))
+        self.slot_keys = np.full(1 << (64 - int(self.shift)), -1, dtype=np.int64)
+        self.slot_ranks = np.full(len(self.slot_keys), self.none, dtype=np.int32)
+        ranks, slot = np.array(list(self.merge.values()), dtype=np.int32), self._slot(keys)
+        while len(keys):
+            free = self.slot_keys[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            taken = np.flatnonzero(free)[first]
+            self.slot_keys[slot[taken]], self.slot_ranks[slot[taken]] = keys[taken], ranks[taken]
+            left = np.ones(len(keys), dtype=bool)
+            left[taken] = False
+            keys, ranks, slot = keys[left], ranks[left], (slot[left] + 1) % len(self.slot_keys)
         self.rank_ids = np.array(self.of_rank, dtype=np.int64)
         self.char_table = -np.arange(0x110000, dtype=np.int64) - 1
         for c, i in self.char.items():
@@ -122,11 +135,24 @@ class PieceCodec:
         x = (x ^ x >> 32) * _STIR & _ALL
         return x >> 32 < self.limit
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.view(np.uint64) * np.uint64(_SPAN)) >> self.shift).view(np.int64)
+
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of symbols; ``none`` if no piece is their text."""
-        k = np.where((a >= 0) & (b >= 0), (a << 20) | b, -1)
-        at = np.minimum(np.searchsorted(self.pair_keys, k), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == k, self.pair_ranks[at], self.none)
+        k = np.where((a >= 0) & (b >= 0), (a << 20) | b, np.int64(1) << 62).ravel()
+        slot = self._slot(k)
+        found = self.slot_keys[slot]
+        out = np.where(found == k, self.slot_ranks[slot], np.int32(self.none))
+        open_ = np.flatnonzero((found != k) & (found >= 0))
+        while len(open_):
+            at = slot[open_] = (slot[open_] + 1) % len(self.slot_keys)
+            found = self.slot_keys[at]
+            hit = found == k[open_]
+            out[open_[hit]] = self.slot_ranks[at[hit]]
+            open_ = open_[~hit & (found >= 0)]
+        return out.reshape(a.shape)
 
     def _grow(self, chunks: list[str], skips: list[tuple[int, ...]] | None = None) -> range:
         """Adds the agendas of chunks (and their skipped spans) to the forest; their numbers."""
@@ -330,6 +356,19 @@ class PieceCodec:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def batches(texts: list[str | None]):
+    """(first, end) of runs of texts within the batch bounds."""
+    first = chars = 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > first and (k - first >= BATCH_DOCS or chars + n > BATCH_CHARS):
+            yield first, k
+            first, chars = k, 0
+        chars += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def codec(model: str, dropout: float, seed: int) -> PieceCodec:
     key = (model, dropout, seed)
     if key not in _loaded:
@@ -349,9 +388,10 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropou
     def run(it):
         c = codec(model, dropout, seed)
         for b in it:
-            for at in range(0, b.num_rows, BATCH_DOCS):
-                part = b.slice(at, BATCH_DOCS)
-                ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in c.encode_many(part.column(t).to_pylist(), part.column(i).to_pylist())]
+            texts, keys = b.column(t).to_pylist(), b.column(i).to_pylist()
+            for first, end in batches(texts):
+                part = b.slice(first, end - first)
+                ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in c.encode_many(texts[first:end], keys[first:end])]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*part.schema.names, out_col])
@@ -389,11 +429,10 @@ def piece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout
     def run(it):
         c = codec(model, dropout, seed)
         for b in it:
-            rows = []
-            for at in range(0, b.num_rows, BATCH_DOCS):
-                part = b.slice(at, BATCH_DOCS)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for text, ids in zip(texts, c.encode_many(texts, part.column(0).to_pylist()), strict=True):
+            rows, all_texts, keys = [], [x or "" for x in b.column(1).to_pylist()], b.column(0).to_pylist()
+            for first, end in batches(all_texts):
+                texts = all_texts[first:end]
+                for text, ids in zip(texts, c.encode_many(texts, keys[first:end]), strict=True):
                     back = c.decode(np.frombuffer(ids, dtype="<u4").tolist())
                     rows.append((len(ids) // 4, crc32_py(ids), crc32_py(back.encode()), back == text))
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
