@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,6 +98,87 @@ def clip_cov_band(tokens: DataFrame, logp: str, adv: str, mask: str, low: float,
     return t.withColumn("in_band", m & (F.col("cov") > low) & (F.col("cov") < high))
 
 
+def clip_cov_loss(tokens: DataFrame, logp: str, old: str, adv: str, mask: str, *order: str, low: float = 0.2, high: float = 0.2, ratio: float = 0.0002, cov_low: float = 1.0, cov_high: float = 5.0, seed: int = 0) -> DataFrame:
+    """Adds ``loss`` and ``dropped``: of the masked tokens that plain clipping leaves alone and whose covariance lies in the
+    band, max(1, int(N ratio)) are drawn (in seeded order of ``order``) and lose their gradient; the others keep the
+    clipped loss."""
+    from .sampling import shuffled
+
+    r = F.exp(F.col(logp) - F.col(old))
+    plain, cut = -F.col(adv) * r, -F.col(adv) * F.greatest(F.least(r, F.lit(1 + high)), F.lit(1 - low))
+    banded = clip_cov_band(tokens, logp, adv, mask, cov_low, cov_high)
+    free = F.col("in_band") & ~(cut > plain)
+    n = tokens.agg(F.sum(F.col(mask))).first()[0] or 0
+    drawn = banded.where(free).orderBy(shuffled(seed, *order), *order).limit(max(1, int(n * ratio))).select(*(F.col(c).alias(f"__{c}") for c in order))
+    j = banded.join(drawn, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{c}") for c in order)), "left")
+    dropped = F.col(f"__{order[0]}").isNotNull()
+    return j.withColumn("dropped", dropped).withColumn("loss", F.when(dropped, 0.0).otherwise(F.greatest(plain, cut))).select(*tokens.columns, "dropped", "loss")
+
+
+def kl_cov_loss(tokens: DataFrame, logp: str, old: str, adv: str, mask: str, *order: str, ratio: float = 0.0002, weight: float = 1.0) -> DataFrame:
+    """Adds ``loss``: -adv times the ratio, and for the tokens of largest covariance (:func:`kl_cov_top`) also ``weight``
+    times the absolute log-prob difference."""
+    top = kl_cov_top(tokens, logp, adv, mask, ratio, *order).select(*(F.col(c).alias(f"__{c}") for c in order))
+    j = tokens.join(top, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{c}") for c in order)), "left")
+    plain = -F.col(adv) * F.exp(F.col(logp) - F.col(old))
+    return j.withColumn("loss", plain + F.when(F.col(f"__{order[0]}").isNotNull(), weight * F.abs(F.col(logp) - F.col(old))).otherwise(0.0)).select(*tokens.columns, "loss")
+
+
+def truncated_importance(loss: Column, old: Column, rollout: Column, cap: float) -> Column:
+    """A token's loss times the ratio of the policy that trains to the one that sampled, at most ``cap``; a cap of 0 or
+    less, or no sampled log-prob, leaves it."""
+    if cap <= 0:
+        return loss
+    return loss * F.coalesce(F.least(F.exp(old - rollout), F.lit(float(cap))), F.lit(1.0))
+
+
+POLICY_LOSSES: dict[str, Callable[..., DataFrame]] = {}
+
+
+def policy_loss(name: str):
+    """Registers a function of tokens (and the names of their logp, old, adv, mask columns and of the key) that adds a
+    ``loss`` column."""
+
+    def keep(f):
+        POLICY_LOSSES[name] = f
+        return f
+
+    return keep
+
+
+def token_losses(name: str, tokens: DataFrame, *, row: str = "row", t: str = "t", logp: str = "logp", old: str = "old_logp", adv: str = "adv", mask: str = "mask", **settings) -> DataFrame:
+    """The tokens with their ``loss`` by a registered policy loss."""
+    if name not in POLICY_LOSSES:
+        raise KeyError(f"unknown policy loss {name!r}; known: {sorted(POLICY_LOSSES)}")
+    return POLICY_LOSSES[name](tokens, row, t, logp, old, adv, mask, **settings)
+
+
+@policy_loss("vanilla")
+def _vanilla(tokens, row, t, logp, old, adv, mask, rollout: str | None = None, cap: float = 0.0, **clip):
+    loss = clipped_policy(F.col(logp), F.col(old), F.col(adv), **clip)
+    return tokens.withColumn("loss", truncated_importance(loss, F.col(old), F.col(rollout), cap) if rollout else loss)
+
+
+@policy_loss("gpg")
+def _gpg(tokens, row, t, logp, old, adv, mask):
+    return tokens.withColumn("loss", -F.col(logp) * F.col(adv))
+
+
+@policy_loss("gspo")
+def _gspo(tokens, row, t, logp, old, adv, mask, **clip):
+    return gspo(tokens, row, logp, old, adv, mask, **clip)
+
+
+@policy_loss("clip_cov")
+def _clip_cov(tokens, row, t, logp, old, adv, mask, **settings):
+    return clip_cov_loss(tokens, logp, old, adv, mask, row, t, **settings)
+
+
+@policy_loss("kl_cov")
+def _kl_cov(tokens, row, t, logp, old, adv, mask, **settings):
+    return kl_cov_loss(tokens, logp, old, adv, mask, row, t, **settings)
+
+
 def kl_cov_top(tokens: DataFrame, logp: str, adv: str, mask: str, ratio: float, *order: str) -> DataFrame:
     """The max(1, int(N ratio)) masked tokens of largest covariance (ties by ``order``)."""
     t = clip_cov_band(tokens.where(F.col(mask) != 0), logp, adv, mask, 0.0, 0.0).drop("in_band")
@@ -131,9 +215,21 @@ def preference_loss(kind: str, chosen: Column, rejected: Column, *, beta: float
         return -chosen + beta * -log_sigmoid(odds)
     if kind == "dpo":
         return -log_sigmoid(beta * ((chosen - ref_chosen) - (rejected - ref_rejected)))
+    if kind == "bco":
+        # gamma is the running mean of both answers' rewards (bco_baseline)
+        return -log_sigmoid(beta * (chosen - ref_chosen) - gamma) - log_sigmoid(-(beta * (rejected - ref_rejected) - gamma))
     raise NotImplementedError(f"unknown preference loss {kind!r}")
 
 
+def bco_baseline(rows: DataFrame, batch: str, chosen: Column, rejected: Column, ref_chosen: Column, ref_rejected: Column, beta: float = 0.1) -> DataFrame:
+    """``batch, baseline``: after each batch, the mean of the batches' mean rewards weighted by their numbers of rewards,
+    batches in order (one row a batch)."""
+    reward = (beta * (chosen - ref_chosen) + beta * (rejected - ref_rejected)) / 2
+    per = rows.groupBy(batch).agg(F.avg(reward).alias("__m"), F.lit(1.0).alias("__one"))
+    w = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one row a batch
+    return per.select(batch, (F.sum("__m").over(w) / F.sum("__one").over(w)).alias("baseline"))
+
+
 def resample_weights(kind: str, score: Column, hi: Column, lo: Column, power: float = 2.0) -> Column:
     """Importance-resampling weights: ``pow`` |s|^p, ``max_min`` 1 at the extremes else 0, ``max_random`` 0.4 at
     the maximum else 0.1; each plus 1e-8."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,3 +211,43 @@ def effective_tokens_per_second(rows: DataFrame, lengths: list[str], epochs: flo
 def reward_accuracy(chosen: Column, rejected: Column) -> Column:
     """Share of pairs whose chosen answer scores higher; an aggregate."""
     return F.avg((chosen > rejected).cast("double"))
+
+
+def masked_statistics(tokens: DataFrame, mask: str, *values: str, returns: str | None = None, value: str | None = None) -> DataFrame:
+    """One row: mean, max and min of each column over masked tokens, and with ``returns`` and ``value`` the explained
+    variance of a critic (``vf_explained_var``)."""
+    on = F.col(mask) != 0
+    out = [f(F.when(on, F.col(c))).alias(f"{c}_{n}") for c in values for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    if returns and value:
+        out.append(explained_variance(F.col(returns), F.col(value), on).alias("vf_explained_var"))
+    return tokens.agg(*out)
+
+
+def prompt_metrics(rows: DataFrame, prompt_length: str, width: int, turns: str | None = None) -> DataFrame:
+    """One row: mean, max and min of prompt lengths and the share of prompts as wide as ``width``; with ``turns`` also the
+    statistics of the numbers of turns."""
+    spread = lambda c, name: [f(F.col(c)).cast("double").alias(f"{name}_{n}") for n, f in (("mean", F.avg), ("max", F.max), ("min", F.min))]
+    clip = F.avg((F.col(prompt_length) == width).cast("double")).alias("prompt_length_clip_ratio")
+    return rows.agg(*spread(prompt_length, "prompt_length"), clip, *(spread(turns, "num_turns") if turns else []))
+
+
+def group_reduced(rows: DataFrame, keys: list[str], value: str, reducers: dict[str, Callable]) -> DataFrame:
+    """One column a reducer over the values of each group. A reducer is a function of a column (an aggregate, which
+    combines before the shuffle) or, marked by :func:`whole_group`, of a pandas series that holds the group (a bounded
+    group: all responses to one prompt)."""
+    plain = {n: f for n, f in reducers.items() if not getattr(f, "whole_group", False)}
+    out = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *(f(F.col(value)).alias(n) for n, f in plain.items())).drop("__n")
+    whole = [F.pandas_udf(f, "double")(F.col(value)).alias(n) for n, f in reducers.items() if n not in plain]
+    if whole:  # one kind of aggregate does not stand beside the other
+        other = rows.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(*whole)
+        out = out.join(other, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)))
+    return out.select(*keys, *reducers)
+
+
+def whole_group(f: Callable) -> Callable:
+    """Marks a reducer that needs all values of a group at once."""
+    import pandas as pd
+
+    f.__annotations__ = {"x": pd.Series, "return": float}
+    f.whole_group = True
+    return f

@@ -173,3 +173,68 @@ SELECT CAST(day AS VARCHAR) AS day, round(0.001 * exp(sum(ln(1 + greatest(least(
 def adaptive_kl(spark, d):
     s = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.avg("l_tax").alias("kl"), F.count("*").alias("n"))
     return losses.adaptive_coefficient(s, "day", "kl", "n", start=0.001, target=0.04, horizon=100000).select(F.col("day").cast("string").alias("day"), F.round("coefficient", 9).alias("coefficient"))
+
+
+@query("clip_cov_draw", f"""
+WITH {TOKENS}, a AS (SELECT avg(adv) FILTER (mask <> 0) AS a, avg(logp) FILTER (mask <> 0) AS l, CAST(sum(mask) AS BIGINT) AS n FROM tokens),
+c AS (SELECT row, t, mask, -adv * exp(logp - old_logp) AS x, -adv * greatest(least(exp(logp - old_logp), 1.2), 0.8) AS y, (adv - a.a) * (logp - a.l) AS cov, a.n FROM tokens, a),
+f AS (SELECT row, t, row_number() OVER (ORDER BY md5('3|' || row || '|' || t), row, t) AS k, n FROM c WHERE mask <> 0 AND cov > 0.0001 AND cov < 0.01 AND NOT y > x)
+SELECT c.row, c.t, f.row IS NOT NULL AS dropped, round(CASE WHEN f.row IS NOT NULL THEN 0.0 ELSE greatest(x, y) END, 6) AS loss FROM c LEFT JOIN f ON f.row = c.row AND f.t = c.t AND f.k <= greatest(1, CAST(floor(f.n * 0.01) AS BIGINT))""")
+def clip_cov_draw(spark, d):
+    r = losses.token_losses("clip_cov", tokens(spark, d), ratio=0.01, cov_low=0.0001, cov_high=0.01, seed=3)
+    return r.select("row", "t", "dropped", F.round("loss", 6).alias("loss"))
+
+
+@query("kl_cov_loss", f"""
+WITH {TOKENS}, a AS (SELECT avg(adv) FILTER (mask <> 0) AS a, avg(logp) FILTER (mask <> 0) AS l, CAST(floor(greatest(sum(mask) * 0.01, 1)) AS BIGINT) AS k FROM tokens),
+c AS (SELECT tokens.*, CASE WHEN mask <> 0 THEN row_number() OVER (PARTITION BY mask <> 0 ORDER BY (adv - a.a) * (logp - a.l) DESC, row, t) <= a.k ELSE false END AS top FROM tokens, a)
+SELECT row, t, round(-adv * exp(logp - old_logp) + CASE WHEN top THEN abs(logp - old_logp) ELSE 0 END, 6) AS loss FROM c""")
+def kl_cov_loss(spark, d):
+    return losses.token_losses("kl_cov", tokens(spark, d), ratio=0.01).select("row", "t", F.round("loss", 6).alias("loss"))
+
+
+@query("importance_cap", f"WITH {TOKENS} SELECT row, t, round(-adv * logp, 6) AS gpg, round(CASE WHEN adv < 0 THEN least(-adv * 3, greatest(-adv * exp(logp - old_logp), -adv * greatest(least(exp(logp - old_logp), 1.2), 0.8))) ELSE greatest(-adv * exp(logp - old_logp), -adv * greatest(least(exp(logp - old_logp), 1.2), 0.8)) END * least(exp(old_logp - (old_logp - value)), 1.03), 6) AS loss FROM tokens")
+def importance_cap(spark, d):
+    t = tokens(spark, d).withColumn("sampled", F.col("old_logp") - F.col("value"))
+    v = losses.token_losses("vanilla", t, rollout="sampled", cap=1.03)
+    return v.select("row", "t", F.round(-F.col("logp") * F.col("adv"), 6).alias("gpg"), F.round("loss", 6).alias("loss"))
+
+
+@query("masked_statistics", f"WITH {TOKENS}, m AS (SELECT * FROM tokens WHERE mask <> 0) SELECT avg(adv) AS adv_mean, max(adv) AS adv_max, min(adv) AS adv_min, avg(reward) AS reward_mean, max(reward) AS reward_max, min(reward) AS reward_min, 1 - var_samp(reward - value) / (var_samp(reward) + 1e-5) AS vf_explained_var FROM m")
+def masked_statistics(spark, d):
+    from ..operators import metrics
+
+    return metrics.masked_statistics(tokens(spark, d), "mask", "adv", "reward", returns="reward", value="value")
+
+
+@query("prompt_metrics", "SELECT avg(n_chars % 50) AS prompt_length_mean, max(n_chars % 50)::DOUBLE AS prompt_length_max, min(n_chars % 50)::DOUBLE AS prompt_length_min, avg(CAST(n_chars % 50 = 49 AS DOUBLE)) AS prompt_length_clip_ratio, avg(n_chars % 7) AS num_turns_mean, max(n_chars % 7)::DOUBLE AS num_turns_max, min(n_chars % 7)::DOUBLE AS num_turns_min FROM documents")
+def prompt_metrics(spark, d):
+    from ..operators import metrics
+    from .views import table
+
+    docs = table(spark, d, "documents").select((F.col("n_chars") % 50).alias("p"), (F.col("n_chars") % 7).alias("t"))
+    return metrics.prompt_metrics(docs, "p", 49, "t")
+
+
+@query("group_reducers", "SELECT user_id AS uid, max(value) AS best, median(value) AS middle FROM events GROUP BY 1")
+def group_reducers(spark, d):
+    from ..operators import metrics
+    from .views import rollouts
+
+    middle = metrics.whole_group(lambda x: float(x.median()))
+    return metrics.group_reduced(rollouts(spark, d), ["uid"], "score", {"best": F.max, "middle": middle})
+
+
+@query("bco_losses", """
+WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, l_orderkey // 1000 AS b, -l_discount AS c, -l_tax AS j, -l_quantity / 100 AS rc, -l_linenumber / 50.0::DOUBLE AS rj FROM lineitem),
+m AS (SELECT b, avg((0.1 * (c - rc) + 0.1 * (j - rj)) / 2) AS m FROM r GROUP BY 1), d AS (SELECT b, avg(m) OVER (ORDER BY b) AS d FROM m)
+SELECT k, n, p, s, round(ln(1 + exp(-(0.1 * (c - rc) - d))) + ln(1 + exp(0.1 * (j - rj) - d)), 6) AS loss FROM r JOIN d USING (b)""")
+def bco_losses(spark, d):
+    from .views import table
+
+    l = table(spark, d, "lineitem")
+    r = l.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.floor(F.col("l_orderkey") / 1000).alias("b"), (-F.col("l_discount")).alias("c"), (-F.col("l_tax")).alias("j"), (-F.col("l_quantity") / 100).alias("rc"), (-F.col("l_linenumber") / 50.0).alias("rj"))
+    base = losses.bco_baseline(r, "b", *(F.col(x) for x in ("c", "j", "rc", "rj")))
+    loss = losses.preference_loss("bco", F.col("c"), F.col("j"), gamma=F.col("baseline"), ref_chosen=F.col("rc"), ref_rejected=F.col("rj"))
+    return r.join(base, "b").select("k", "n", "p", "s", F.round(loss, 6).alias("loss"))
+
