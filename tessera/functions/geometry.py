@@ -72,6 +72,11 @@ def zoom_box(box: Column, width: Column, height: Column, least: int = 28, ratio:
     return F.when(ok, F.array(F.floor(a), F.floor(b), F.ceil(c), F.ceil(d)))
 
 
+def best_mask(scores: Column, masks: Column) -> Column:
+    """The mask of the highest score, the first of equal ones; null without scores."""
+    return F.get(masks, F.array_position(scores, F.array_max(scores)).cast("int") - 1)
+
+
 def distinct_boxes(boxes: Column, places: int = 6) -> Column:
     """Boxes without those that equal an earlier one to so many places, rounded to them, in order."""
     return F.array_distinct(F.transform(boxes, lambda b: F.transform(b, lambda x: F.round(x.cast("double"), places))))

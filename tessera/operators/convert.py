@@ -169,6 +169,47 @@ def preference_to_sft(rows: DataFrame, prompt: str, chosen: str, rejected: str)
     return rows.select(F.col(prompt).alias("prompt"), F.explode(F.array(F.struct(F.lit("chosen").alias("kind"), F.col(chosen).alias("response")), F.struct(F.lit("rejected").alias("kind"), F.col(rejected).alias("response")))).alias("x")).select("prompt", "x.*")
 
 
+# What the prepared prompts of these sources end in.
+SUFFIXES = {
+    "math": " Let's think step by step and output the final answer within \\boxed{}.",
+    "geo3k": " You FIRST think about the reasoning process as an internal monologue and then provide the final answer. The reasoning process MUST BE enclosed within <think> </think> tags. The final answer MUST BE put in \\boxed{}.",
+    "gsm8k": ' Let\'s think step by step and output the final answer after "####".',
+}
+
+
+def math_rows(rows: DataFrame, problem: str, solution: str, index: str, split: str = "train", source: str = "DigitalLearningGmbH/MATH-lighteval") -> DataFrame:
+    """Prepared rows of a competition set: the truth is the last boxed answer of the solution."""
+    from ..functions.math_scorers import boxed_answer
+
+    return rl_row(rows, source=source, question=F.col(problem), truth=boxed_answer(solution), ability="math", split=split, index=index, suffix=SUFFIXES["math"])
+
+
+def geo3k_rows(rows: DataFrame, problem: str, answer: str, images: str, index: str, split: str = "train") -> DataFrame:
+    """Prepared rows of geometry questions with their ``images``."""
+    kept = rl_row(rows, source="hiyouga/geometry3k", question=F.col(problem), truth=F.col(answer), ability="math", split=split, index=index, suffix=SUFFIXES["geo3k"])
+    shown = rows.select(F.col(index).alias("__i"), F.col(images).alias("images"))
+    return kept.join(shown, kept["extra_info.index"] == shown["__i"]).drop("__i")
+
+
+def search_rows(rows: DataFrame, question: str, golds: str, source: str, index: str, split: str = "train") -> DataFrame:
+    """Prepared rows of open questions: any of the golden answers is right; the source is ``searchR1_<name>``."""
+    asked = F.when(F.col(question).endswith("?"), F.col(question)).otherwise(F.concat(F.trim(question), F.lit("?")))
+    truth = F.struct(F.col(golds).alias("target"))
+    r = rows.select(F.concat(F.lit("searchR1_"), F.col(source)).alias("data_source"), F.array(message("user", asked)).alias("prompt"), F.lit("fact-reasoning").alias("ability"), F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"), F.struct(F.lit(split).alias("split"), F.col(index).alias("index")).alias("extra_info"))
+    return r
+
+
+def few_shot_prompt(subject: Column, shots: Column, question: Column) -> Column:
+    """A multiple-choice prompt: the subject's header, worked examples (an array of rendered texts), the question."""
+    head = F.concat(F.lit("The following are multiple choice questions (with answers) about "), F.replace(subject, F.lit("_"), F.lit(" ")), F.lit(".\n\n"))
+    return F.concat(head, F.array_join(F.concat(F.coalesce(shots, F.array().cast("array<string>")), F.array(question)), "\n\n"))
+
+
+def limited_images(images: Column, most: int | None) -> Column:
+    """The first ``most`` images of a row; all without a bound."""
+    return images if most is None else F.slice(images, 1, most)
+
+
 def preference_blocks(rows: DataFrame, order: str) -> DataFrame:
     """A pairwise batch as 2n rows: ``kind`` chosen at positions 0..n-1, rejected at n..2n-1 (``place``), in the order of
     the pairs (a dense position)."""

@@ -251,3 +251,23 @@ def whole_group(f: Callable) -> Callable:
     f.__annotations__ = {"x": pd.Series, "return": float}
     f.whole_group = True
     return f
+
+
+def cross_rank_timing(rows: DataFrame, name: str = "name", rank: str = "rank", seconds: str = "seconds") -> DataFrame:
+    """``name, mean, min, max`` over the ranks' times (a rank's repeated sections add up)."""
+    per = rows.groupBy(name, rank).agg(F.sum(seconds).alias("__s"))
+    return per.groupBy(name).agg(F.avg("__s").alias("mean"), F.min("__s").alias("min"), F.max("__s").alias("max"))
+
+
+def appended_series(history: DataFrame, new: DataFrame, name: str = "name", values: str = "values") -> DataFrame:
+    """Named series (arrays) with further values behind them; names on one side only stay."""
+    n = new.select(F.col(name).alias("__n"), F.col(values).alias("__v"))
+    j = history.join(n, F.col(name) == F.col("__n"), "full")
+    none = F.filter(F.coalesce(values, "__v"), lambda x: F.lit(False))
+    return j.select(F.coalesce(name, "__n").alias(name), F.concat(F.coalesce(values, none), F.coalesce("__v", none)).alias(values))
+
+
+def balanced_preferences(rows: DataFrame, tag: str, most: float = 0.9) -> DataFrame:
+    """One row ``desirable, undesirable, one_kind, dominant``: dominant if one preference holds over ``most`` of the rows."""
+    good, bad = F.count_if(F.col(tag)), F.count_if(~F.col(tag))
+    return rows.agg(good.alias("desirable"), bad.alias("undesirable"), ((good == 0) | (bad == 0)).alias("one_kind"), (F.greatest(good, bad) > most * (good + bad)).alias("dominant"))

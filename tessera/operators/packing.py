@@ -153,6 +153,21 @@ def micro_batches(lengths: list[int], max_tokens: int, multiple: int = 1) -> lis
     return sorted(parts, key=lambda p: sum(lengths[i] ** 2 for i in p), reverse=True)
 
 
+def micro_batched(rows: DataFrame, group: str, order: str, length: str, max_tokens: int, *, multiple: int = 1) -> DataFrame:
+    """``group, order, length, micro``: each group's rows (one training batch) dealt to micro-batches by
+    :func:`micro_batches`; ``micro`` counts from the heaviest."""
+    kinds = dict(rows.dtypes)
+
+    def deal(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order).reset_index(drop=True)
+        micro = pd.Series(0, index=p.index)
+        for j, at in enumerate(micro_batches(p[length].tolist(), max_tokens, multiple)):
+            micro.iloc[at] = j
+        return p.assign(micro=micro)[[group, order, length, "micro"]]
+
+    return rows.select(group, order, length).groupBy(group).applyInPandas(deal, f"{group} {kinds[group]}, {order} {kinds[order]}, {length} {kinds[length]}, micro int")
+
+
 def pad_or_cut(ids: Column, width: int, pad: int, *, left_pad: bool = True, truncation: str = "error") -> Column:
     """An id array of exactly ``width``; too long ones are cut ``left``, ``right``, ``middle`` or are an error."""
     n = F.size(ids)

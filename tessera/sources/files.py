@@ -110,7 +110,7 @@ def read_documents(spark: SparkSession, glob: str, schema: str | T.StructType, s
     """One JSON document per file, with ``sample_id`` from its folder; a sample filter prunes folders."""
     at = glob.replace("*", sample, 1) if sample else glob
     d = spark.read.option("multiLine", True).schema(schema).json(at)
-    return d.withColumn("path", F.col("_metadata.file_path"))
+    return d.withColumn("path", F.col("_metadata.file_path")).orderBy("path")
 
 
 def last_progress(spark: SparkSession, path: str, order: str = "current_steps") -> DataFrame:
@@ -214,6 +214,43 @@ def load_batch(spark: SparkSession, path: str):
     return Batch(spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/meta").first()[0]))
 
 
+def load_rollout_cache(spark: SparkSession, root: str, project: str, experiment: str, batch_size: int, n: int, expected: dict | None = None):
+    """A dumped batch of the same settings, or None: where none was dumped, or its metadata differ from ``expected``."""
+    path = rollout_cache_path(root, project, experiment, batch_size, n)
+    if not exists(spark, f"{path}/meta"):
+        return None
+    batch = load_batch(spark, path)
+    return batch if all(batch.meta.get(k) == v for k, v in (expected or {}).items()) else None
+
+
+def write_extras(rows: DataFrame, path: str, columns: list[str], extras: dict[str, list], order: str = "row") -> list[str]:
+    """Rows as JSON lines with the extra columns whose length is the number of rows, by position; returns their names."""
+    n = rows.count()
+    fit = {k: v for k, v in extras.items() if len(v) == n}
+    out = rows.select(order, *columns)
+    for k, v in fit.items():
+        out = out.join(rows.sparkSession.createDataFrame(list(enumerate(v)), f"__at long, {k} string"), F.col(order) == F.col("__at")).drop("__at")
+    out.orderBy(order).drop(order).write.mode("overwrite").json(path)
+    return sorted(fit)
+
+
+def write_shards(rows: DataFrame, path: str, workers: int, order: str = "row", error: str = "error") -> dict:
+    """JSON lines by worker (``order`` modulo ``workers``), errors apart, and a manifest of the counts in worker order."""
+    dealt = rows.withColumn("worker", F.pmod(F.col(order), F.lit(workers)))
+    good, bad = dealt.where(F.col(error).isNull()).drop(error), dealt.where(F.col(error).isNotNull())
+    good.write.mode("overwrite").partitionBy("worker").json(f"{path}/shards")
+    bad.write.mode("overwrite").partitionBy("worker").json(f"{path}/errors")
+    counts = {r["worker"]: (r["written"], r["errors"]) for r in dealt.groupBy("worker").agg((F.count("*") - F.count(error)).alias("written"), F.count(error).alias("errors")).collect()}
+    manifest = {"workers": [{"worker": w, "written": counts.get(w, (0, 0))[0], "errors": counts.get(w, (0, 0))[1]} for w in range(workers)]}
+    rows.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return manifest
+
+
+def read_shards(spark: SparkSession, path: str, order: str = "row") -> DataFrame:
+    """The shards merged in worker order, rows of a worker by ``order``."""
+    return spark.read.json(f"{path}/shards").orderBy("worker", order)
+
+
 def write_steps(rows: DataFrame, path: str, step: str = "step") -> None:
     """JSON lines partitioned by step; a step that is written again replaces its own files only."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(step).json(path)

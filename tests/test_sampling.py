@@ -141,3 +141,57 @@ def test_a_broken_cache_is_rebuilt_and_others_are_not(spark, tmp_path):
     build = lambda: spark.range(3)
     assert files.cached(spark, f"{tmp_path}/c", build).count() == 3
     assert files.cached(spark, f"{tmp_path}/c", lambda: spark.range(9)).count() == 3
+
+
+def test_prepared_rows(spark):
+    df = spark.createDataFrame([(1, "What is 1/2 + 0?", "so \\boxed{\\frac{1}{2}}", "a", ["i.png"], ["X", "Y"])], "i int, p string, s string, a string, im array<string>, g array<string>")
+    r = convert.math_rows(df, "p", "s", "i").first()
+    assert r.reward_model.ground_truth == "\\frac{1}{2}" and r.prompt[0].content.startswith("What is 1/2 + 0?") and r.prompt[0].content.endswith("\\boxed{}.") and r.extra_info["index"] == 1
+    r = convert.geo3k_rows(df, "p", "a", "im", "i").first()
+    assert r.images == ["i.png"] and r.reward_model.ground_truth == "a" and r.data_source == "hiyouga/geometry3k"
+    r = convert.search_rows(df.withColumn("p", F.lit("who is it ")).withColumn("src", F.lit("nq")), "p", "g", "src", "i").first()
+    assert r.data_source == "searchR1_nq" and r.prompt[0].content == "who is it?" and r.reward_model.ground_truth.target == ["X", "Y"]
+    one = convert.choice_prompt(F.lit("Q"), [F.lit("a"), F.lit("b")], F.lit("B"))
+    p = df.select(convert.few_shot_prompt(F.lit("high_school"), F.array(one), convert.choice_prompt(F.lit("R"), [F.lit("c"), F.lit("d")])).alias("p"), convert.limited_images(F.array(F.lit(1), F.lit(2)), 1).alias("i")).first()
+    assert p.p == "The following are multiple choice questions (with answers) about high school.\n\nQ\nA. a\nB. b\nAnswer: B\n\nR\nA. c\nB. d\nAnswer:" and p.i == [1]
+
+
+def test_small_statistics(spark):
+    from tessera.functions import geometry
+    from tessera.operators import metrics
+
+    t = spark.createDataFrame([("gen", 0, 1.0), ("gen", 0, 2.0), ("gen", 1, 5.0)], "name string, rank int, seconds double")
+    assert tuple(metrics.cross_rank_timing(t).first()) == ("gen", 4.0, 3.0, 5.0)
+    a, b = spark.createDataFrame([("x", [1.0]), ("y", [2.0])], "name string, values array<double>"), spark.createDataFrame([("x", [3.0]), ("z", [4.0])], "name string, values array<double>")
+    assert sorted((r.name, list(r["values"])) for r in metrics.appended_series(a, b).collect()) == [("x", [1.0, 3.0]), ("y", [2.0]), ("z", [4.0])]
+    k = spark.createDataFrame([(True,)] * 19 + [(False,)], "kto_tags boolean")
+    assert tuple(metrics.balanced_preferences(k, "kto_tags").first()) == (19, 1, False, True)
+    r = spark.range(1).select(geometry.best_mask(F.array(F.lit(0.2), F.lit(0.9), F.lit(0.9)), F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("m"), geometry.softmax(F.array(F.lit(1.0), F.lit(1.0))).alias("s")).first()
+    assert r.m == "b" and list(r.s) == pytest.approx([0.5, 0.5])
+    rows = spark.createDataFrame([(0, i, 10 * (i + 1)) for i in range(9)], "g int, k long, n long")
+    got = packing.micro_batched(rows, "g", "k", "n", 150).collect()
+    parts = packing.micro_batches([10 * (i + 1) for i in range(9)], 150)
+    assert {r.k: r.micro for r in got} == {k: j for j, p in enumerate(parts) for k in p}
+
+
+def test_shards_and_caches(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"v{k}", "bad" if k == 3 else None) for k in range(7)], "row long, v string, error string")
+    m = files.write_shards(df, f"{tmp_path}/s", 3)
+    assert m["workers"] == [{"worker": 0, "written": 2, "errors": 1}, {"worker": 1, "written": 2, "errors": 0}, {"worker": 2, "written": 2, "errors": 0}]
+    assert [r.row for r in files.read_shards(spark, f"{tmp_path}/s").collect()] == [0, 6, 1, 4, 2, 5] and json.loads(spark.read.text(f"{tmp_path}/s/manifest").first().value) == m
+    assert files.write_extras(df, f"{tmp_path}/x", ["v"], {"fits": [str(k) for k in range(7)], "short": ["a"]}) == ["fits"]
+    assert {r.v: r.fits for r in spark.read.json(f"{tmp_path}/x").collect()} == {f"v{k}": str(k) for k in range(7)}
+    assert files.load_rollout_cache(spark, f"{tmp_path}/c", "p", "e", 7, 1) is None
+    files.save_batch(Batch.of(df, "row", meta={"model": "m"}), files.rollout_cache_path(f"{tmp_path}/c", "p", "e", 7, 1))
+    assert len(files.load_rollout_cache(spark, f"{tmp_path}/c", "p", "e", 7, 1, {"model": "m"})) == 7
+    assert files.load_rollout_cache(spark, f"{tmp_path}/c", "p", "e", 7, 1, {"model": "other"}) is None
+
+
+def test_stream_join(spark, tmp_path):
+    for name, rows in (("a", [(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:00")]), ("b", [(1, "2024-01-01 00:05:00"), (2, "2024-01-01 02:00:00")])):
+        spark.createDataFrame(rows, "k int, s string").select("k", F.to_timestamp("s").alias(f"t{name}")).write.parquet(f"{tmp_path}/{name}")
+    left, right = (streams.arriving(spark, f"{tmp_path}/{n}", f"k int, t{n} timestamp") for n in "ab")
+    out = []
+    q = streams.joined_streams(left, right, "k", "ta", "tb").select(F.col("a.k").alias("k")).writeStream.foreachBatch(lambda d, e: out.extend(r.k for r in d.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert out == [1]
