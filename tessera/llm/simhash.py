@@ -35,8 +35,8 @@ _SUB = 1 << 24
 #: fingerprint and SKETCHES further ones together differ in at most CANDIDATE_SLACK bits more than the similarity gives
 #: on average are candidates; they link if their exact Jaccard similarity is reached.
 SKETCHES, BANDS, BAND_ROWS, CANDIDATE_SLACK = 3, 32, 5, 38
-#: A candidate component with more nodes than this is compared as pairs of blocks.
-WHOLE_COMPONENT = 64
+#: A candidate component with more nodes than this is compared with its hub first; blocks of its further comparisons.
+WHOLE_COMPONENT, REST_BLOCK, ALL_BLOCK = 64, 64, 256
 
 
 def shingle_hashes(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -135,8 +135,8 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return common >= similarity * (len(a) + len(b) - common) - 1e-9
 
 
-def linked_in(sets: list[np.ndarray], bits: np.ndarray, block: np.ndarray, similarity: float, most: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that reach ``similarity`` (of different blocks, if there are two), by exact
+def linked_in(sets: list[np.ndarray], bits: np.ndarray, block: np.ndarray, similarity: float, most: int, cross: bool) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that reach ``similarity`` (of different blocks, with ``cross``), by exact
     comparison of all pairs within ``most`` differing bits that the forest does not link yet; nearest first."""
     size = np.array([len(x) for x in sets])
     root, links = list(range(len(sets))), []
@@ -149,7 +149,7 @@ def linked_in(sets: list[np.ndarray], bits: np.ndarray, block: np.ndarray, simil
 
     i, j = np.triu_indices(len(sets), 1)
     keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-    if (block != block[0]).any():
+    if cross:
         keep &= block[i] != block[j]
     i, j = i[keep], j[keep]
     far = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
@@ -167,8 +167,10 @@ def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_co
 
     Plan: equal sets are one node. Nodes meet in the bands of their minima; only a spanning forest of the pairs near
     enough by all fingerprint bits leaves a task. Every true link lies inside one component of these candidates, so
-    the shingle sets of components of two or more nodes are gathered by component and compared exactly. A large
-    component is dealt as block pairs; their number grows with its size, so no task holds it.
+    the shingle sets of components of two or more nodes are gathered by component and compared exactly. In a large
+    component every set is compared with the one of its smallest node first, which work follows its size; what that
+    links is one class. Only the sets left over are compared with all others of their component, block by block, so no
+    task holds a component.
     """
     extra = [f"s{k}" for k in range(SKETCHES)]
     most = allowed_bits(similarity, 64 * (1 + SKETCHES))
@@ -195,8 +197,8 @@ def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_co
                 yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], ["a", "b"])
 
     groups = materialize(components(rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "side").mapInArrow(near, "a long, b long")), "candidate-groups")
-    hot = materialize(groups.groupBy("component").count().where(F.col("count") > WHOLE_COMPONENT).select(F.col("component").alias("hot"), F.ceil(0.7 * F.sqrt("count")).cast("long").alias("n")), "large-groups")
-    members = groups.join(hot, F.col("component") == F.col("hot"), "left").select("component", F.coalesce("n", F.lit(1).cast("long")).alias("n"), F.col("node").alias("member"))
+    hot = materialize(groups.groupBy("component").count().where(F.col("count") > WHOLE_COMPONENT).select(F.col("component").alias("hot"), F.ceil(F.col("count") / ALL_BLOCK).cast("long").alias("n")), "large-groups")
+    members = groups.join(hot, F.col("component") == F.col("hot"), "left").select("component", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.col("node").alias("member"))
     members = materialize(members.join(nodes.select("node", "set_id", "fp", *extra), F.col("member") == F.col("node")).drop("node"), "candidates").hint("shuffle_hash")
     texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.col(text_col).alias("text")).join(members, F.col("text_id") == F.col("member"))
     carried = ["component", "n", "member", "set_id", "fp", *extra]
@@ -213,16 +215,39 @@ def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_co
                 out = pa.RecordBatch.from_arrays([*part.columns[1:], lists], [*carried, "shingles"])
                 yield out.filter(pa.array(same))
 
-    sets = texts.select("text", *carried).mapInArrow(shingled, ", ".join(f"{c} long" for c in carried) + ", shingles array<long>")
-    own = F.pmod(F.xxhash64("member"), F.col("n"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y"))))
-    dealt = sets.withColumn("own", own).withColumn("pair", pair).select("component", "pair.x", "pair.y", "own", "member", "fp", *extra, "shingles")
+    sets = materialize(texts.select("text", *carried).mapInArrow(shingled, ", ".join(f"{c} long" for c in carried) + ", shingles array<long>").drop("set_id"), "shingle-sets")
+    shape, zero = ["fp", *extra, "shingles"], F.lit(0).cast("long")
+    small = sets.where("n = 0").select("component", zero.alias("x"), zero.alias("y"), zero.alias("own"), "member", *shape)
+    large = sets.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("n")))
+
+    # the hub's set, once however often its row is repeated, goes to every salt of its component
+    hub = large.where("member = component").groupBy("component", "n").agg(F.first("shingles").alias("shingles"))
+    hub = hub.select(F.col("component").alias("hub"), F.explode(F.sequence(zero, F.col("n") - 1)).alias("hub_salt"), F.col("shingles").alias("hub_shingles"))
+
+    def with_hub(it):
+        for b in it:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                near = [similar(np.sort(x.values.to_numpy()), np.sort(y.values.to_numpy()), similarity) for x, y in zip(part.column(part.num_columns - 2), part.column(part.num_columns - 1), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(near, pa.bool_())], [*part.schema.names[:-1], "near"])
+
+    names = ["component", "n", "salt", "member", "fp", *extra]
+    checked = large.join(hub, (F.col("component") == F.col("hub")) & (F.col("salt") == F.col("hub_salt"))).select(*names, "shingles", "hub_shingles")
+    checked = materialize(checked.mapInArrow(with_hub, ", ".join(f"{c} long" for c in names) + ", shingles array<long>, near boolean"), "hub-links")
+    to_hub = checked.where("near AND member <> component").select(F.col("component").alias("a"), F.col("member").alias("b"))
+    left = materialize(checked.where("NOT near").groupBy(F.col("component").alias("open")).agg(F.ceil(F.count("*") / REST_BLOCK).cast("long").alias("k")), "left-over")
+    others = checked.join(left, F.col("component") == F.col("open"))
+    own = F.pmod(F.xxhash64("member", F.lit(1)), F.col("k"))
+    beyond = F.lit(_SUB)  # blocks of all others are numbered from here on, apart from blocks of those left over
+    every = others.select("component", F.explode(F.sequence(zero, F.col("k") - 1)).alias("x"), (F.col("salt") + beyond).alias("y"), F.lit(1).cast("long").alias("own"), "member", *shape)
+    rest = others.where("NOT near").select("component", own.alias("x"), F.explode(F.sequence(zero, F.col("n") - 1)).alias("y"), zero.alias("own"), "member", *shape).withColumn("y", F.col("y") + beyond)
+    dealt = small.unionByName(every).unionByName(rest)
 
     def exact(it):
         group, key = [], None
 
         def links():
-            found = linked_in([g[3] for g in group], np.array([g[2] for g in group], dtype=np.int64).view(np.uint64), np.array([g[0] for g in group]), similarity, most) if len(group) > 1 else []
+            found = linked_in([g[3] for g in group], np.array([g[2] for g in group], dtype=np.int64).view(np.uint64), np.array([g[0] for g in group]), similarity, most, key[1] != key[2]) if len(group) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([group[k][1] for k in side], pa.int64()) for side in zip(*found, strict=True)], ["a", "b"])
 
@@ -239,7 +264,7 @@ def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_co
         yield from links()
 
     edges = dealt.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(exact, "a long, b long")
-    classes = nodes.join(components(edges), "node", "left").select(F.col("set_id").alias("class_id"), F.coalesce("component", "node").alias("component"))
+    classes = nodes.join(components(edges.unionByName(to_hub)), "node", "left").select(F.col("set_id").alias("class_id"), F.coalesce("component", "node").alias("component"))
     found = fps.join(classes, F.col("set_id") == F.col("class_id"), "left")
     return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
