@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 8192
+#: Rows of a group's two sides: candidates are copied once per query block, queries once per candidate block.
+QUERY_BLOCK, CANDIDATE_BLOCK, QUERY_SLICE = 8192, 16384, 128
 DIM_BLOCK = 16
 _LONG = (-(2**63), 2**63 - 1)
 
@@ -116,7 +116,7 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: float = 256.0, id_
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         dims = max(1, max(map(len, q["v"])), max(map(len, c["v"])))
         cm, cid = matrix(c, dims), c["vec_id"].to_numpy()
-        found = [block_topk(q["vec_id"].to_numpy()[i : i + 256], matrix(q.iloc[i : i + 256], dims), cid, cm, k) for i in range(0, len(q), 256)]
+        found = [block_topk(q["vec_id"].to_numpy()[i : i + QUERY_SLICE], matrix(q.iloc[i : i + QUERY_SLICE], dims), cid, cm, k) for i in range(0, len(q), QUERY_SLICE)]
         return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": [s for f in found for s in f[2]]})
 
     part = queries.groupBy("qb", "cb").cogroup(cands.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score long")
