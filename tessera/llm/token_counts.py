@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .tokens import encoder, tokenizer_digest
 from .util import fresh_path, materialize, path_exists
 
+HOT_SHARE = 1000
 CACHE_SCHEMA = "content_digest binary, n_tokens long, tokenizer_digest string"
 
 
@@ -44,15 +45,16 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: st
     smallest id and only texts of representatives that the cache lacks are joined, by id and digest together, so a
     group of copies puts one text, and not itself, into a task, and an id that many texts share is spread by their
     digests. A row that is repeated as a whole is encoded once a task, and one row a digest is stored. The closing
-    join on digests has tiny rows and one side unique; AQE splits a hot digest.
+    join on digests has tiny rows; digests of over 1/HOT_SHARE of the rows, at most HOT_SHARE of them, get their counts
+    by a broadcast, so that no group of copies is one task's.
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digests = materialize(rows.select("doc_id", content_digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache_path, version)
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    missing = first.join(known, first.digest == known.content_digest, "left_anti")
+    first = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "digest-groups")
+    missing = first.join(known, first.digest == known.content_digest, "left_anti").select("digest", "rep")
     texts = rows.withColumn("own", content_digest(F.col("text"))).join(missing, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("own") == F.col("digest"))).select("digest", "text")
 
     def count(it):
@@ -65,7 +67,13 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, *, id_col: st
     fresh = texts.mapInArrow(count, "content_digest binary, n_tokens long").groupBy("content_digest").agg(F.min("n_tokens").alias("n_tokens"))
     fresh.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
     counts = read_cache(spark, cache_path, version)
-    return digests.join(counts, digests.digest == counts.content_digest).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # fewer than HOT_SHARE rows: the bound that makes them fit for a broadcast
+    hot = first.crossJoin(F.broadcast(first.agg(F.sum("rows").alias("total")))).where(F.col("rows") * HOT_SHARE > F.col("total")).select(F.col("digest").alias("hot"))
+    hot_counts = counts.join(F.broadcast(hot), counts.content_digest == hot.hot, "left_semi")
+    common = digests.join(F.broadcast(hot_counts), digests.digest == hot_counts.content_digest)
+    other = digests.join(F.broadcast(hot), digests.digest == hot.hot, "left_anti").join(counts, F.col("digest") == F.col("content_digest"))
+    out = ["doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")]
+    return common.select(*out).unionByName(other.select(*out))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
