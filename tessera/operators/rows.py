@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MOST_BUCKETS = 2000
+
+
 def dense_index(df: DataFrame, *order: str, name: str = "row", rows_per_bucket: int = 1_000_000) -> DataFrame:
     """``df`` with a 0-based position by ``order`` (a total order whose first column is a number or a time).
 
     Large tables are cut at approximate percentiles of the first order column: positions are numbered inside
     each bucket, and a bucket's offset is the size of those before it (one row per bucket). Buckets follow from
-    the data alone, so a recomputed task gives the same positions. Nulls of the first column come first.
+    the data alone, so a recomputed task gives the same positions. Nulls of the first column come first. There are at
+    most ``MOST_BUCKETS``, which every row is held against; beyond that buckets grow. Rows that tie in the first order
+    column share a bucket, so that column should tell most rows apart.
     """
     n = df.count()
-    buckets = -(-n // rows_per_bucket)
+    buckets = min(-(-n // rows_per_bucket), MOST_BUCKETS)
     first = F.col(order[0])
     key = first.cast("timestamp").cast("double") if dict(df.dtypes)[order[0]].startswith("timestamp") else first.cast("double")
     if buckets <= 1:

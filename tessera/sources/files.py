@@ -64,8 +64,14 @@ def read_arrow(spark: SparkSession, files: list[str]) -> DataFrame:
 
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    head = spark.read.format("binaryFile").load(files[0]).select("content").first()[0]
-    schema = from_arrow_schema(first_schema(bytes(head)))
+    def schema_only(it):
+        for b in it:
+            for content in b.column(0):
+                yield pa.RecordBatch.from_pydict({"schema": [first_schema(content.as_buffer()).serialize().to_pybytes()]})
+
+    # the file is opened by a task; what reaches the driver is its schema
+    head = spark.read.format("binaryFile").load(files[0]).select("content").mapInArrow(schema_only, "schema binary").first()[0]
+    schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(head))))
 
     def run(it):
         for b in it:
