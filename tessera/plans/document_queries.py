@@ -62,7 +62,11 @@ def kk_balance(spark, d):
     return packing.balance(b, "batch", "doc_id", "n_chars", 8)
 
 
-@query("greedy_balance")
+@query("greedy_balance", """
+WITH RECURSIVE b AS (SELECT doc_id // 64 AS batch, doc_id, n_chars, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT DISTINCT batch, CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]) AS s, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS BIGINT) AS n_chars, CAST(NULL AS INTEGER) AS part FROM b
+UNION ALL SELECT b.batch, b.k, list_transform(s, lambda x, i: CASE WHEN i = list_position(s, list_min(s)) THEN x + b.n_chars ELSE x END), b.doc_id, b.n_chars, CAST(list_position(s, list_min(s)) - 1 AS INTEGER) FROM r JOIN b ON b.batch = r.batch AND b.k = r.k + 1)
+SELECT batch, doc_id, n_chars, part FROM r WHERE k > 0""")
 def greedy_balance(spark, d):
     b = documents(spark, d, "doc_id", "n_chars").withColumn("batch", F.floor(F.col("doc_id") / 64).cast("long"))
     return packing.balance(b, "batch", "doc_id", "n_chars", 8, method="least_loaded")
