@@ -164,14 +164,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
     """Encode whole texts and write them in ascending id order; returns the manifest, one row per file:
     ``shard, path, n_docs, n_tokens, start`` (start: ids in all files before it).
 
-    Null texts are empty (their only id is ``end_id``); null ids come first; rows with equal ids are all kept.
+    Null texts are empty (their only id is ``end_id``); null ids come first; rows with equal ids are all
+    kept, in the order of a hash of their texts.
     An empty table writes no file. A text is encoded whole, however long; the writer holds one block of ids
     and one document. Other columns are ignored. A retried task writes a new file under another name and only
     the names in the manifest count, so lost executors leave no wrong file behind.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Ties go by content, so that rows of one id (or of none) are cut into ranges too, and reruns agree.
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
 
     def write(it):
         enc, writer, end = encoder(tokenizer), None, b"" if end_id is None else int(end_id).to_bytes(4, "little")
