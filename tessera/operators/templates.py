@@ -46,6 +46,46 @@ _TURN = {"user": "<start_of_turn>user\n{content}<end_of_turn>\n<start_of_turn>mo
 
 # The formats of public model families.
 TEMPLATES: dict[str, Template] = {
+    "aquila": Template("Human: {content}###Assistant:", "{content}###", "System: {content}###", default_system="A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions.", stop=("</s>",)),
+    "atom": Template("{bos}Human: {content}\n{eos}{bos}Assistant:", "{content}\n{eos}"),
+    "bailing": Template("<role>HUMAN</role>{content}<role>ASSISTANT</role>", system="<role>SYSTEM</role>{content}", observation="<role>OBSERVATION</role>{content}<role>ASSISTANT</role>", stop=("<|endoftext|>",), bare_end=True),
+    "belle": Template("Human: {content}\n\nBelle: ", "{content}{eos}\n\n", prefix="{bos}"),
+    "breeze": Template("[INST] {content} [/INST] ", prefix="{bos}", bare_end=True),
+    "codegeex2": Template(prefix="[gMASK]sop"),
+    "codegeex4": Template("<|user|>\n{content}<|assistant|>\n", system="<|system|>\n{content}", observation="<|observation|>\n{content}<|assistant|>\n", function=SLOT, prefix="[gMASK]<sop>", default_system="你是一位智能编程助手，你叫CodeGeeX。你会为用户回答关于编程、代码、计算机方面的任何问题，并提供格式规范、可以执行、准确安全的代码，并在必要时提供详细的解释。", stop=("<|user|>", "<|observation|>"), bare_end=True, tool_format="glm4"),
+    "cpm": Template("<用户>{content}<AI>", prefix="{bos}"),
+    "cpm3": Template(**_IM, observation="<|im_start|>tool\n{content}<|im_end|>\n<|im_start|>assistant\n", prefix="{bos}", stop=("<|im_end|>",)),
+    "deepseekcoder": Template("### Instruction:\n{content}\n### Response:", "\n{content}\n<|EOT|>\n", prefix="{bos}", default_system="You are an AI programming assistant, utilizing the DeepSeek Coder model, developed by DeepSeek Company, and you only answer questions related to computer science. For politically sensitive questions, security and privacy issues, and other non-computer science questions, you will refuse to answer.\n"),
+    "ernie": Template("<|im_start|>user\n{content}<|im_end|>\n\n<|im_start|>assistant\n", "{content}<|im_end|>\n\n", "<|im_start|>system\n{content}<|im_end|>\n\n", "<|im_start|>tool\n{content}<|im_end|>\n\n<|im_start|>assistant\n", default_system="<global_setting>\nthink_mode=True\n</global_setting>", stop=("<|im_end|>",)),
+    "gemma3n": Template(**_TURN, stop=("<end_of_turn>",)),
+    "glm4_moe": Template("<|user|>\n{content}<|assistant|>", "\n{content}", "<|system|>\n{content}", "<|observation|>\n{content}<|assistant|>", SLOT, "[gMASK]<sop>", stop=("<|user|>", "<|observation|>"), bare_end=True, reasoning=True, tool_format="glm4_moe"),
+    "gpt": Template("<|start|>user<|message|>{content}<|end|><|start|>assistant", "{content}<|end|>", "<|start|>system<|message|>{content}<|end|>", default_system="You are ChatGPT, a large language model trained by OpenAI.", bare_end=True, reasoning=True, thought_words=("<|channel|>analysis<|message|>", "<|end|><|start|>assistant<|channel|>final<|message|>")),
+    "granite4": Template("<|start_of_role|>user<|end_of_role|>{content}<|end_of_text|>\n<|start_of_role|>assistant<|end_of_role|>", "{content}<|end_of_text|>\n", "<|start_of_role|>system<|end_of_role|>{content}<|end_of_text|>\n", "<|start_of_role|>tool<|end_of_role|>{content}<|end_of_text|>\n<|start_of_role|>assistant\n", "{content}<|end_of_text|>\n", default_system="You are Granite, developed by IBM. You are a helpful AI assistant.", stop=("<|end_of_text|>",)),
+    "hunyuan": Template("{content}<|extra_0|>", "{content}<|eos|>", "{content}<|extra_4|>", prefix="<|startoftext|>", stop=("<|eos|>",)),
+    "index": Template("reserved_0{content}reserved_1", system="<unk>{content}", bare_end=True),
+    "llama4": Template(
+        "<|header_start|>user<|header_end|>\n\n{content}<|eot|><|header_start|>assistant<|header_end|>\n\n",
+        "{content}<|eot|>",
+        "<|header_start|>system<|header_end|>\n\n{content}<|eot|>",
+        "<|header_start|>ipython<|header_end|>\n\n{content}<|eot|><|header_start|>assistant<|header_end|>\n\n",
+        "{content}<|eot|>",
+        "{bos}",
+        stop=("<|eot|>", "<|eom|>"),
+        tool_format="llama3",
+    ),
+    "mimo": Template(**_QWEN, default_system="You are a helpful assistant.", reasoning=True),
+    "openchat-3.6": Template("<|start_header_id|>GPT4 Correct User<|end_header_id|>\n\n{content}<|eot_id|><|start_header_id|>GPT4 Correct Assistant<|end_header_id|>\n\n", prefix="{bos}", stop=("<|eot_id|>",)),
+    "opencoder": Template(**_IM, observation="<|im_start|>tool\n{content}<|im_end|>\n<|im_start|>assistant\n", default_system="You are OpenCoder, created by OpenCoder Team.", stop=("<|im_end|>",)),
+    "orion": Template("Human: {content}\n\nAssistant: {eos}", prefix="{bos}"),
+    "phi_small": Template("<|user|>\n{content}<|end|>\n<|assistant|>\n", "{content}<|end|>\n", "<|system|>\n{content}<|end|>\n", prefix="<|endoftext|>", stop=("<|end|>",)),
+    "qwen3_nothink": Template(**_QWEN),
+    "sailor": Template("<|im_start|>question\n{content}<|im_end|>\n<|im_start|>answer\n", "{content}<|im_end|>\n", "<|im_start|>system\n{content}<|im_end|>\n", default_system="You are an AI assistant named Sailor created by Sea AI Lab. Your answer should be friendly, unbiased, faithful, informative and detailed.", stop=("<|im_end|>",)),
+    "seed_coder": Template("{bos}user\n{content}{eos}{bos}assistant\n", system="{bos}system\n{content}{eos}", default_system="You are an AI programming assistant, utilizing the Seed-Coder model, developed by ByteDance Seed, and you only answer questions related to computer science. For politically sensitive questions, security and privacy issues, and other non-computer science questions, you will refuse to answer.\n\n"),
+    "solar": Template("### User:\n{content}\n\n### Assistant:\n", system="### System:\n{content}\n\n", bare_end=True),
+    "telechat": Template("<_user>{content}<_bot>", system="<_system>{content}<_end>"),
+    "telechat2": Template("<_user>{content}<_bot>", system="<_system>{content}", default_system="你是中国电信星辰语义大模型，英文名是TeleChat，你是由中电信人工智能科技有限公司和中国电信人工智能研究院（TeleAI）研发的人工智能助手。"),
+    "xuanyuan": Template("Human: {content} Assistant:", default_system="以下是用户和人工智能助手之间的对话。用户以Human开头，人工智能助手以Assistant开头，会对人类提出的问题给出有帮助、高质量、详细和礼貌的回答，并且总是拒绝参与与不道德、不安全、有争议、政治敏感等相关的话题、问题和指示。\n"),
+    "yuan": Template("{content}<sep>", "{content}<eod>\n", stop=("<eod>",)),
     "alpaca": Template("### Instruction:\n{content}\n\n### Response:\n", "{content}{eos}\n\n", default_system="Below is an instruction that describes a task. Write a response that appropriately completes the request.\n\n"),
     "baichuan2": Template("<reserved_106>{content}<reserved_107>", bare_end=True),
     "chatglm3": Template("<|user|>\n{content}<|assistant|>", "\n{content}", "<|system|>\n{content}", "<|observation|>\n{content}<|assistant|>", SLOT, "[gMASK]sop", stop=("<|user|>", "<|observation|>"), bare_end=True, tool_format="glm4"),
