@@ -35,7 +35,7 @@ DROPOUT, SEED = 0.1, 20240917
 #: Agendas remembered at most; chunks of more characters than CHUNK_CHARS run their agenda at every occurrence.
 MEMO_AGENDAS, CHUNK_CHARS = 300_000, 48
 #: Texts are encoded in batches of so many documents or characters, whichever is less (a longer text is one batch).
-BATCH_DOCS, BATCH_CHARS = 1000, 1_500_000
+BATCH_DOCS, BATCH_CHARS = 2000, 2_000_000
 _SPAN, _STIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _ALL = 2**64 - 1
 _PAD = -(1 << 30)
