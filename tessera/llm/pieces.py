@@ -20,6 +20,7 @@ import itertools
 import re
 import sys
 from array import array
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from .util import crc32_py
 
 DROPOUT, SEED = 0.1, 20240917
 #: Agendas remembered at most; chunks of more characters than CHUNK_CHARS run their agenda at every occurrence.
-MEMO_AGENDAS, CHUNK_CHARS = 300_000, 48
+MEMO_AGENDAS, CHUNK_CHARS = 500_000, 48
 #: Texts are encoded in batches of so many documents or characters, whichever is less (a longer text is one batch).
-BATCH_DOCS, BATCH_CHARS = 2000, 2_000_000
+BATCH_DOCS, BATCH_CHARS = 1000, 1_700_000
 _SPAN, _STIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _ALL = 2**64 - 1
 _PAD = -(1 << 30)
@@ -120,39 +121,9 @@ class PieceCodec:
         self.node_chunk: list[str] = []
         self.node_skips: list[tuple[int, ...]] = []
         self.node_ids: list[bytes] = []
-        self.run_start, self.run_length, self.visits = (np.zeros(1024, dtype=np.int64) for _ in range(3))
+        self.run_start, self.run_length = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
         self.spans, self.used = np.zeros(8192, dtype=np.int64), 0
 
-    def _shrink(self) -> None:
-        """Keeps the agendas that were visited most, half as many as may be remembered at most, and none that were
-        visited once. Whoever visits an agenda visited its parent, so none is kept without its parent."""
-        n, most = len(self.node_ids), MEMO_AGENDAS // 2
-        visits = self.visits[:n]
-        least = max(2, int(np.partition(visits, n - most)[n - most]) + 1) if n > most else 2
-        keep = visits >= least
-        new, flags = (np.cumsum(keep) - 1).tolist(), keep.tolist()
-        root = {c: new[k] for c, k in self.root.items() if flags[k]}
-        child = {new[k >> 6] << 6 | k & 63: new[v] for k, v in self.child.items() if flags[v]}
-        lists = [list(itertools.compress(x, flags)) for x in (self.node_chunk, self.node_skips, self.node_ids)]
-        start, length, seen = self.run_start[:n][keep], self.run_length[:n][keep], visits[keep] // 2
-        at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        spans = self.spans[at]
-        self._forget()
-        self.root, self.child, (self.node_chunk, self.node_skips, self.node_ids) = root, child, lists
-        self._room(len(flags), len(spans))
-        k = len(start)
-        self.run_length[:k], self.visits[:k], self.run_start[:k] = length, seen, np.cumsum(length) - length
-        self.spans[: len(spans)], self.used = spans, len(spans)
-
-    def _room(self, nodes: int, spans: int) -> None:
-        while len(self.run_start) < nodes:
-            self.run_start, self.run_length, self.visits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.run_start, self.run_length, self.visits))
-        while len(self.spans) < spans:
-            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
-
-    def _visit(self, nodes: np.ndarray) -> None:
-        self.visits[: len(self.node_ids)] += np.bincount(nodes, minlength=len(self.node_ids))
-
     def skips(self, key, start, end):
         """Whether the occurrence with this key skips the span: arrays of unsigned 64-bit integers."""
         with np.errstate(over="ignore"):
@@ -204,7 +175,10 @@ class PieceCodec:
         self.node_ids += out
         who = np.concatenate(owner)
         flat, length = np.concatenate(span)[np.argsort(who, kind="stable")], np.bincount(who, minlength=n)
-        self._room(at + n, self.used + len(flat))
+        while len(self.run_start) < at + n:
+            self.run_start, self.run_length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.run_start, self.run_length))
+        while len(self.spans) < self.used + len(flat):
+            self.spans = np.concatenate([self.spans, np.zeros_like(self.spans)])
         self.run_length[at : at + n], self.run_start[at : at + n] = length, self.used + np.cumsum(length) - length
         self.spans[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
@@ -239,7 +213,6 @@ class PieceCodec:
                     to[k] = x
             open_ = open_[who]
             node[open_] = np.array(to, dtype=np.int64)[back]
-            self._visit(node[open_])
             open_ = open_[self.run_length[node[open_]] > 0]
         return node
 
@@ -346,7 +319,7 @@ class PieceCodec:
 
     def _encode_batch(self, texts: list[str | None], keys: list) -> list[bytes]:
         if len(self.node_ids) > MEMO_AGENDAS:
-            self._shrink()
+            self._forget()
         cut = [self.cut.findall(" " + t) if t else [] for t in texts]
         chunks, cuts = list(itertools.chain.from_iterable(cut)), np.cumsum([0, *map(len, cut)])
         nodes = list(map(self.root.get, chunks))
@@ -362,14 +335,12 @@ class PieceCodec:
         with np.errstate(over="ignore"):
             occurrence = _mixed(place.astype(np.uint64) + np.repeat(begin, np.diff(cuts)))
         special = {k: self._long(self._symbols(chunks[k]), int(occurrence[k])) for k in long}
-        if chunks:
+        if self.limit and chunks:
             for k in long:
                 nodes[k] = -1
             flat = np.array(nodes, dtype=np.int64)
             short = np.flatnonzero(flat >= 0)
-            self._visit(flat[short])
-            if self.limit:
-                flat[short] = self._settle(flat[short], occurrence[short])
+            flat[short] = self._settle(flat[short], occurrence[short])
             nodes = flat.tolist()
         ids = self.node_ids
         parts = [special[k] if k in special else ids[r] for k, r in enumerate(nodes)] if special else list(map(ids.__getitem__, nodes))
@@ -386,6 +357,16 @@ class PieceCodec:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+@contextmanager
+def task_codec(model: str, dropout: float, seed: int):
+    """The process's codec for one task; what it remembers goes with the task, so that an idle worker holds none of it."""
+    c = codec(model, dropout, seed)
+    try:
+        yield c
+    finally:
+        c._forget()
+
+
 def batches(texts: list[str | None]):
     """(first, end) of runs of texts within the batch bounds."""
     first = chars = 0
@@ -415,8 +396,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropou
     docs = docs.drop(out_col)
     t, i = docs.columns.index(text_col), docs.columns.index(id_col)
 
-    def run(it):
-        c = codec(model, dropout, seed)
+    def encoded(c, it):
         for b in it:
             texts, keys = b.column(t).to_pylist(), b.column(i).to_pylist()
             for first, end in batches(texts):
@@ -426,6 +406,10 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropou
                 flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*part.schema.names, out_col])
 
+    def run(it):
+        with task_codec(model, dropout, seed) as c:
+            yield from encoded(c, it)
+
     from pyspark.sql import types as T
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
@@ -456,8 +440,7 @@ def piece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout
     lossless: the decoded text equals the text (null: empty).
     """
 
-    def run(it):
-        c = codec(model, dropout, seed)
+    def digests(c, it):
         for b in it:
             rows, all_texts, keys = [], [x or "" for x in b.column(1).to_pylist()], b.column(0).to_pylist()
             for first, end in batches(all_texts):
@@ -468,6 +451,10 @@ def piece_digest(docs: DataFrame, model: str = "piece_bpe_32k.model", *, dropout
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in cols[:3]), pa.array(cols[3], pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "text_crc32", "lossless"])
 
+    def run(it):
+        with task_codec(model, dropout, seed) as c:
+            yield from digests(c, it)
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, text_crc32 long, lossless boolean")
 
