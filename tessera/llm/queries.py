@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import katz, lattice, licenses, mixing, pieces, quality, simhash, token_counts, token_files, topk
+from . import codes, divergence, katz, lattice, licenses, mixing, pieces, quality, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_katz": katz.op8_katz,
     "op9_quality": quality.op9_quality,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL = {
     "op4_lattice": lattice.OP4_SQL,
     "op10_exact_topk": topk.OP10_SQL,
+    "op11_vector_codes": codes.OP11_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
