@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import codes, divergence, katz, lattice, licenses, mixing, pieces, quality, simhash, token_counts, token_files, topk
+from . import codes, divergence, forest, katz, lattice, licenses, mixing, pieces, quality, simhash, token_counts, token_files, topk
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_vector_codes": codes.op11_vector_codes,
+    "op12_prefix_forest": forest.op12_prefix_forest,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 
