@@ -198,10 +198,16 @@ def sequential(rows: DataFrame, order: str = "row") -> DataFrame:
 
 
 @plugin("sampler", "random")
-def random_order(rows: DataFrame, order: str = "row", seed: int = 0) -> DataFrame:
-    from ..operators.sampling import shuffled
-
-    return rows.orderBy(shuffled(seed, order), order)
+def random_order(rows: DataFrame, order: str = "row", seed: int = 0, epoch: int = 0) -> DataFrame:
+    """The rows with their ``place`` in a seeded permutation of one epoch. Where ``order`` is dense (from any number on)
+    nothing is sorted; otherwise rows are numbered by it first."""
+    from ..operators.permute import key_literal, keys, placed
+    from ..operators.rows import dense_index
+
+    n, low, high = rows.agg(F.count("*"), F.min(order), F.max(order)).first()
+    dense = dict(rows.dtypes)[order] in ("int", "bigint") and n and high - low + 1 == n and rows.groupBy(order).count().where("count > 1").isEmpty()
+    at = rows.withColumn("__at", F.col(order) - low) if dense else dense_index(rows, order, name="__at")
+    return placed(at, "place", F.col("__at"), n, key_literal(keys(seed, epoch))).drop("__at")
 
 
 @plugin("sampler", "curriculum")

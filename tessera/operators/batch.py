@@ -152,17 +152,17 @@ class Batch:
         return self._with(self.df.unionByName(more.withColumn(ROW, (F.col("__k") + n).cast("long")).drop("__k")), n + size)
 
     def mini_batches(self, size: int, epochs: int = 1, seed: int | None = None) -> DataFrame:
-        """Every row with its ``epoch`` and ``batch``; shuffled by seeded hash per epoch when a seed is given."""
+        """Every row with its ``epoch`` and ``batch``; in the order of a keyed permutation of the rows per epoch when a
+        seed is given (nothing is sorted)."""
         n = len(self)
         if n % size:
             raise ValueError(f"{n} rows do not make batches of {size}")
-        e = self.df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
         if seed is None:
+            e = self.df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
             return e.withColumn("batch", F.floor(F.col(ROW) / size).cast("long"))
-        from .sampling import group_index
+        from .permute import epoch_batches
 
-        placed = group_index(e, ["epoch"], [F.xxhash64(F.lit(seed), "epoch", ROW), ROW], "__place")
-        return placed.withColumn("batch", F.floor(F.col("__place") / size).cast("long")).drop("__place")
+        return epoch_batches(self.df, ROW, n, size, epochs, seed).drop("place")
 
     # combination
     def union(self, other: Batch) -> Batch:

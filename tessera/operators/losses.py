@@ -103,13 +103,15 @@ def clip_cov_loss(tokens: DataFrame, logp: str, old: str, adv: str, mask: str, *
     band, max(1, int(N ratio)) are drawn (in seeded order of ``order``) and lose their gradient; the others keep the
     clipped loss."""
     from .sampling import shuffled
+    from .selection import hex_value, smallest
 
     r = F.exp(F.col(logp) - F.col(old))
     plain, cut = -F.col(adv) * r, -F.col(adv) * F.greatest(F.least(r, F.lit(1 + high)), F.lit(1 - low))
     banded = clip_cov_band(tokens, logp, adv, mask, cov_low, cov_high)
     free = F.col("in_band") & ~(cut > plain)
     n = tokens.agg(F.sum(F.col(mask))).first()[0] or 0
-    drawn = banded.where(free).orderBy(shuffled(seed, *order), *order).limit(max(1, int(n * ratio))).select(*(F.col(c).alias(f"__{c}") for c in order))
+    open_ = banded.where(free).select(*order, shuffled(seed, *order).alias("__m"))
+    drawn = smallest(open_, max(1, int(n * ratio)), hex_value(F.col("__m")), "__m", *order).select(*(F.col(c).alias(f"__{c}") for c in order))
     j = banded.join(drawn, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{c}") for c in order)), "left")
     dropped = F.col(f"__{order[0]}").isNotNull()
     return j.withColumn("dropped", dropped).withColumn("loss", F.when(dropped, 0.0).otherwise(F.greatest(plain, cut))).select(*tokens.columns, "dropped", "loss")
@@ -182,8 +184,9 @@ def _kl_cov(tokens, row, t, logp, old, adv, mask, **settings):
 def kl_cov_top(tokens: DataFrame, logp: str, adv: str, mask: str, ratio: float, *order: str) -> DataFrame:
     """The max(1, int(N ratio)) masked tokens of largest covariance (ties by ``order``)."""
     t = clip_cov_band(tokens.where(F.col(mask) != 0), logp, adv, mask, 0.0, 0.0).drop("in_band")
-    k = max(1, int(t.count() * ratio))
-    return t.orderBy(F.desc("cov"), *order).limit(k)
+    from .selection import smallest
+
+    return smallest(t, max(1, int(t.count() * ratio)), F.col("cov"), *order, largest=True)
 
 
 def value_loss(pred: Column, old: Column, ret: Column, clip: float) -> tuple[Column, Column]:

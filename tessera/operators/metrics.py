@@ -189,8 +189,11 @@ def partial_sums(rows: DataFrame, side: str, value: str) -> DataFrame:
 
 def tail_ratio(rows: DataFrame, value: str, share: float) -> DataFrame:
     """The percentile at 1 - share and the share of the total that lies at or above it."""
-    cut = rows.agg(F.percentile(value, 1 - share).alias("cut"), F.sum(value).alias("total"))
-    return rows.crossJoin(F.broadcast(cut)).agg(F.first("cut").alias("cut"), (F.sum(F.when(F.col(value) >= F.col("cut"), F.col(value))) / F.first("total")).alias("tail_share"), F.avg(value).alias("mean"))
+    from .selection import percentile
+
+    cut, _ = percentile(rows, value, 1 - share)
+    at = F.lit(cut).cast("double")
+    return rows.agg(at.alias("cut"), (F.sum(F.when(F.col(value) >= at, F.col(value))) / F.sum(value)).alias("tail_share"), F.avg(value).alias("mean"))
 
 
 def flops_estimate(rows: DataFrame, length: str, *, params: float, head_dim: int, heads: int, layers: int, seconds: float) -> DataFrame:

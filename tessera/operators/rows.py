@@ -5,35 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-MOST_BUCKETS = 2000
+from ..sources.scratch import written
 
 
 def dense_index(df: DataFrame, *order: str, name: str = "row", rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """``df`` with a 0-based position by ``order`` (a total order whose first column is a number or a time).
+    """``df`` with a 0-based position by ``order`` (a total order; nulls come first).
 
-    Large tables are cut at approximate percentiles of the first order column: positions are numbered inside
-    each bucket, and a bucket's offset is the size of those before it (one row per bucket). Buckets follow from
-    the data alone, so a recomputed task gives the same positions. Nulls of the first column come first. There are at
-    most ``MOST_BUCKETS``, which every row is held against; beyond that buckets grow. Rows that tie in the first order
-    column share a bucket, so that column should tell most rows apart.
+    A table of over ``rows_per_bucket`` rows is dealt into ranges of the whole order key, so that a first column of few
+    values does not make large ranges, and sorted inside them; a row's place in its range and the range's number
+    are written with it. A range's offset is the number of rows before it (one row a range). Written once, the ranges
+    do not change when a task is computed again. Rows that tie in the whole key share a range.
     """
     n = df.count()
-    buckets = min(-(-n // rows_per_bucket), MOST_BUCKETS)
-    first = F.col(order[0])
-    key = first.cast("timestamp").cast("double") if dict(df.dtypes)[order[0]].startswith("timestamp") else first.cast("double")
+    buckets = -(-n // rows_per_bucket)
     if buckets <= 1:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("long"))
-    cuts = sorted(set(df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0]))
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key)), F.lit(0))
-    dealt = df.withColumn("__bucket", bucket)
-    sizes = {r["__bucket"]: r["count"] for r in dealt.groupBy("__bucket").count().collect()}
-    offsets, total = [], 0
-    for b in range(len(cuts) + 1):
-        offsets.append(total)
-        total += sizes.get(b, 0)
-    w = Window.partitionBy("__bucket").orderBy(*order)
-    return dealt.withColumn(name, (F.row_number().over(w) - 1 + F.element_at(F.array(*map(F.lit, offsets)), F.col("__bucket") + 1)).cast("long")).drop("__bucket")
+    # an id is the task's number (the range's, as ranges are dealt to tasks in order) above 33 bits of place
+    dealt = written(df.sparkSession)(df.repartitionByRange(buckets, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = dealt.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return dealt.withColumn("__part", part).join(offsets, "__part").select(*df.columns, (F.col("__before") + place).cast("long").alias(name))
 
 
 def restored(rows: DataFrame, origin: str, name: str = "row") -> DataFrame:

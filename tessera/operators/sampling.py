@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .permute import drawn
+from .selection import among_smallest, hex_value, smallest
+
 
 def seeded(seed: int, *columns: str) -> Column:
     """A reproducible random order: a hash of the seed and the row's key."""
@@ -22,33 +25,96 @@ def interleave(parts: list[DataFrame], order: str, *, stop: str = "first", proba
     """Rows of the parts in turn with their ``part`` and ``turn``; ``order`` is each part's dense position.
 
     stop ``first``: until the shortest part ends; ``all``: until the longest does, shorter ones starting over.
-    With probabilities a part's rows are spread over seeded turns in proportion to them.
+    With probabilities every turn draws its part (:func:`interleave_drawn`).
     """
-    sizes = [p.count() for p in parts]
     if probabilities is not None:
-        total = min(int(n / q) for n, q in zip(sizes, probabilities, strict=True) if q > 0) if stop == "first" else max(-int(-n // q) for n, q in zip(sizes, probabilities, strict=True) if q > 0)
-        want = [int(total * q) for q in probabilities]
-    else:
-        want = [min(sizes) if stop == "first" else max(sizes)] * len(parts)
+        return interleave_drawn(parts, order, probabilities, stop=stop, seed=seed)
+    sizes = [p.count() for p in parts]
+    k = min(sizes) if stop == "first" else max(sizes)
     out = []
-    for i, (p, n, k) in enumerate(zip(parts, sizes, want, strict=True)):
+    for i, (p, n) in enumerate(zip(parts, sizes, strict=True)):
         if not n:
             continue
         times = -(-k // n)
         r = p.withColumn("__c", F.explode(F.sequence(F.lit(0), F.lit(max(times, 1) - 1)))).withColumn("turn", F.col(order) + F.col("__c") * n).where(F.col("turn") < k).drop("__c")
-        if probabilities is not None:
-            r = r.withColumn("turn", (F.col("turn") + F.pmod(seeded(seed, "turn"), F.lit(1000)) / 1000) * (total / max(k, 1)))
         out.append(r.withColumn("part", F.lit(i)))
     return reduce(DataFrame.unionByName, out)
 
 
+def choice(seed: int, turn: Column, probabilities: list[float]) -> Column:
+    """The part that a turn draws: where 32 bits of the MD5 of seed and turn fall among the cumulated probabilities. It
+    depends on the turn alone, so that any turn can be computed without those before it."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), turn.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    total, at, out = sum(probabilities), 0.0, None
+    live = [i for i, q in enumerate(probabilities) if q > 0]
+    for i in live[:-1]:
+        at += probabilities[i] / total
+        out = F.when(u < at, i) if out is None else out.when(u < at, i)
+    return F.lit(live[-1]) if out is None else out.otherwise(live[-1])
+
+
+def interleave_drawn(parts: list[DataFrame], order: str, probabilities: list[float], *, stop: str = "first", seed: int = 0, block: int = 65_536) -> DataFrame:
+    """Every turn draws a part by its probability and takes the part's next row: the rows with ``part`` and ``turn``.
+
+    A part that has given all its rows starts over. stop ``first``: the last turn is the one in which some part gives its
+    last row; ``all``: the one in which the last of the parts does so for the first time. Parts of probability 0 give
+    nothing and stop nothing. An empty part of positive probability ends ``first`` before it begins and is an error
+    for ``all``.
+
+    Choices are a function of the turn. Turns are counted in blocks by part; a block's offset is the count of those
+    before it, so that a turn's row is found from its rank in its block, and the last turn from the block in which a
+    part's last row falls. No sequence of choices is made in one place.
+    """
+    if len(probabilities) != len(parts) or not any(q > 0 for q in probabilities) or any(q < 0 for q in probabilities):
+        raise ValueError("one probability a part, none negative, not all zero")
+    spark, sizes = parts[0].sparkSession, [p.count() for p in parts]
+    live = [i for i, q in enumerate(probabilities) if q > 0]
+    numbered = [p.withColumn("part", F.lit(i)).withColumn("__at", F.col(order).cast("long")) for i, p in enumerate(parts)]
+    rows = reduce(DataFrame.unionByName, numbered)
+    if any(not sizes[i] for i in live):
+        if stop == "all":
+            raise ValueError("an empty part never gives its last row")
+        return rows.drop("__at").withColumn("turn", F.lit(0).cast("long")).limit(0)
+    share = {i: probabilities[i] / sum(probabilities) for i in live}
+    expected = [sizes[i] / share[i] for i in live]
+    blocks = int((min if stop == "first" else max)(expected) * 1.1) // block + 2
+    want = spark.createDataFrame([(i, sizes[i]) for i in live], "part int, size long")
+
+    def turns(first: int, last: int) -> DataFrame:
+        t = spark.range(first, last).select(F.col("id").alias("turn"), F.call_function("div", F.col("id"), F.lit(block).cast("long")).alias("block"))
+        return t.withColumn("part", choice(seed, F.col("turn"), probabilities))
+
+    while True:
+        before = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+        counts = turns(0, blocks * block).groupBy("part", "block").agg(F.count("*").alias("n"))
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        ends = counts.join(F.broadcast(want), "part").where((F.col("before") < F.col("size")) & (F.col("before") + F.col("n") >= F.col("size"))).select("part", "block", "before", "size").collect()
+        if len(ends) == len(live) or (ends and stop == "first"):
+            break
+        blocks *= 2
+    if stop == "first":  # the blocks in which a part can be the first
+        ends = [r for r in ends if r.block == min(e.block for e in ends)]
+    else:
+        ends = [r for r in ends if r.block == max(e.block for e in ends)]
+    last = []
+    for r in ends:
+        at = turns(r.block * block, (r.block + 1) * block).where(F.col("part") == r.part).orderBy("turn").offset(r.size - r.before - 1).limit(1).first()
+        last.append(at.turn + 1)
+    stopped = (min if stop == "first" else max)(last)
+    in_block = Window.partitionBy("part", "block").orderBy("turn")
+    t = turns(0, stopped).withColumn("rank", F.row_number().over(in_block) - 1).join(counts.select("part", "block", "before"), ["part", "block"]).join(F.broadcast(want), "part")
+    t = t.select("turn", F.col("part").alias("__part"), F.pmod(F.col("before") + F.col("rank"), F.col("size")).alias("__row"))
+    return rows.join(t, (F.col("part") == F.col("__part")) & (F.col("__at") == F.col("__row"))).drop("__part", "__row", "__at")
+
+
 def exact_sample(rows: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     """Exactly n rows: a seeded permutation, with the rows repeated in order once all are used (``copy``)."""
     total = rows.count()
     if not total:
         return rows.withColumn("copy", F.lit(0))
     copies, rest = divmod(n, total)
-    top = rows.orderBy(shuffled(seed, *key), *key).limit(rest).withColumn("copy", F.lit(copies))
+    mixed = rows.withColumn("__m", shuffled(seed, *key))
+    top = smallest(mixed, rest, hex_value(F.col("__m")), "__m", *key).drop("__m").withColumn("copy", F.lit(copies))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).unionByName(top) if copies else top
 
 
@@ -77,9 +143,11 @@ def appended(rows: DataFrame, generated: DataFrame, keep: Column, *key: str) ->
 
 
 def group_index(rows: DataFrame, group: list[str], order: list[Column | str], name: str, parts: int = 256) -> DataFrame:
-    """Adds a dense 0-based position inside each group, in the order of a hash of ``order`` and then of ``order``: groups
-    are numbered in parts and a part's offset is the size of those before it, so that a hot group is many tasks."""
-    part = F.pmod(F.xxhash64(*order), F.lit(parts))
+    """Adds a dense 0-based position inside each group, in the order of a part (the first 28 bits of the MD5 of ``order``
+    as text, modulo ``parts``) and then of ``order``: groups are numbered in parts and a part's offset is the size of
+    those before it, so that a hot group is many tasks."""
+    text = F.concat_ws("|", *((F.col(c) if isinstance(c, str) else c).cast("string") for c in order))
+    part = F.pmod(F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long"), F.lit(parts))
     dealt = rows.withColumn("__part", part)
     sizes = dealt.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,8 +165,8 @@ def hash_split(rows: DataFrame, size: float, *key: str) -> DataFrame:
     n = int(size) if size > 1 else int(rows.count() * size)
     if n == 0:
         return rows.withColumn("split", F.lit("train"))
-    cut = rows.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h").alias("__cut"))
-    return rows.crossJoin(F.broadcast(cut)).withColumn("split", F.when(h <= F.col("__cut"), "validation").otherwise("train")).drop("__cut")  # one row
+    marked = among_smallest(rows.withColumn("__m", h), "__taken", n, hex_value(F.col("__m")), "__m", *key)
+    return marked.withColumn("split", F.when(F.col("__taken"), "validation").otherwise("train")).drop("__m", "__taken")
 
 
 def preferred_sample(rows: DataFrame, prefer: Column, n: int, seed: int, *key: str) -> DataFrame:
@@ -106,42 +174,63 @@ def preferred_sample(rows: DataFrame, prefer: Column, n: int, seed: int, *key: s
     return rows.orderBy(F.desc(prefer.cast("int")), shuffled(seed, *key), *key).limit(n)
 
 
-def weighted_resample(rows: DataFrame, weight: str, draws: int, seed: int, *order: str, rows_per_part: int = 1_000_000) -> DataFrame:
-    """Draws with replacement in proportion to weights: ``draw`` with the drawn row.
+def weighted_resample(rows: DataFrame, weight: str, draws: int, seed: int, *order: str, rows_per_part: int = 1_000_000, draws_per_task: int = 1_000_000, scale: float = 1.0) -> DataFrame:
+    """``draws`` draws with replacement in proportion to whole weights: ``draw`` with the drawn row.
 
-    Draw i falls at a hash of (seed, i); the row whose cumulative-weight interval holds it is found by a
-    bucketed range join (1024 buckets of the unit interval), not a cross join. Rows are cumulated in parts by a hash of
-    ``order``; a part's offset is the weight of those before it (one row a part).
+    weight: numbers that ``scale`` makes whole (what is left behind the point is cut off); null and negative ones weigh
+    nothing.
+    Draw i falls at ``shuffled(seed, i)``, 60 bits of it, modulo the total weight. Rows lie end to end in the order of a
+    part (the first 28 bits of the MD5 of ``order`` as text) and then of ``order``, each as long as its weight: a draw
+    takes the row on which it falls. No weight at all gives no draws.
+
+    Parts (at most 65,536) get their draws first: they are cut at as many steps of the whole length, so that a draw meets
+    about one part (2 x 65,536 steps of parts at most are broadcast). Then each part's rows and draws are merged in one sorted pass, a draw taking the last row that begins
+    at or before it; a part with many draws is dealt with its rows to several tasks. The work is rows and draws, not
+    their product.
     """
     spark = rows.sparkSession
-    total, n = rows.agg(F.sum(weight), F.count("*")).first()
-    parts = max(1, -(-n // rows_per_part))
-    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    w = F.greatest(F.coalesce((F.col(weight) * scale if scale != 1 else F.col(weight)).cast("long"), F.lit(0)), F.lit(0))
+    total, n = rows.agg(F.sum(w), F.count("*")).first()
+    if not total:
+        return rows.limit(0).select(F.lit(0).cast("long").alias("draw"), *rows.columns)
+    parts = min(65_536, max(1, -(-n // rows_per_part)))
+    text = F.concat_ws("|", *(F.col(c).cast("string") for c in order))
+    part = F.pmod(F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long"), F.lit(parts))
+    kept = rows.select(part.alias("__part"), w.alias("__w"), F.struct(*rows.columns).alias("__row"), *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order))).where("__w > 0")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
-    offset = dealt.groupBy("__part").agg(F.sum(weight).alias("__w")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__w").over(before), F.lit(0.0)).alias("__before"))
-    w = Window.partitionBy("__part").orderBy(*order)
-    high = (F.col("__before") + F.sum(weight).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))) / total
-    c = dealt.join(offset, F.col("__part") == F.col("__p")).withColumn("__hi", high).withColumn("__lo", F.coalesce(F.lag("__hi").over(w), F.col("__before") / total))
-    c = c.where("__hi > __lo").withColumn("__b", F.explode(F.sequence(F.floor(F.col("__lo") * 1024), F.least(F.floor(F.col("__hi") * 1024), F.lit(1023))))).drop("__part", "__p", "__before")
-    u = spark.range(draws).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) / float(1 << 52)).alias("__u")).withColumn("__b", F.floor(F.col("__u") * 1024))
-    return u.join(c, "__b").where((F.col("__u") >= F.col("__lo")) & (F.col("__u") < F.col("__hi"))).drop("__b", "__u", "__lo", "__hi")
+    ends = kept.groupBy("__part").agg(F.sum("__w").alias("__all")).select("__part", "__all", F.coalesce(F.sum("__all").over(before), F.lit(0)).alias("__from"))
+    tasks = F.ceil(F.col("__all") * (draws / total) / draws_per_task).cast("int")
+    ends = ends.withColumn("__tasks", F.greatest(tasks, F.lit(1)))
+
+    step = -(-total // parts)
+    div = lambda x: F.call_function("div", x, F.lit(step).cast("long"))
+    steps = ends.withColumn("__step", F.explode(F.sequence(div(F.col("__from")), div(F.col("__from") + F.col("__all") - 1))))
+    fall = spark.range(draws).select(F.col("id").alias("draw")).withColumn("__at", F.pmod(hex_value(shuffled(seed, "draw")), F.lit(total))).withColumn("__step", div(F.col("__at")))
+    fall = fall.join(F.broadcast(steps), "__step").where((F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__from") + F.col("__all")))
+    fall = fall.select("__part", F.pmod("draw", "__tasks").cast("int").alias("__task"), "__at", "draw", F.lit(None).cast(kept.schema["__row"].dataType).alias("__row"))
+
+    along = Window.partitionBy("__part").orderBy(*(f"__o{i}" for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, -1)
+    lying = kept.withColumn("__at", F.coalesce(F.sum("__w").over(along), F.lit(0))).join(F.broadcast(ends), "__part").withColumn("__at", F.col("__at") + F.col("__from"))
+    lying = lying.withColumn("__task", F.explode(F.sequence(F.lit(0), F.col("__tasks") - 1))).select("__part", "__task", "__at", F.lit(None).cast("long").alias("draw"), "__row")
+    merged = Window.partitionBy("__part", "__task").orderBy("__at", F.col("draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = lying.unionByName(fall).withColumn("__row", F.last("__row", ignorenulls=True).over(merged))
+    return met.where("draw is not null").select("draw", "__row.*")
 
 
 def few_shot(tests: DataFrame, pool: DataFrame, key: str, ident: str, shots: int, seed: int) -> DataFrame:
-    """``shots`` different pool rows of the same subject for each test row: ``key, ident, shot, shot_id``.
+    """``shots`` different pool rows of the same subject for each test row, in drawn order: ``key, ident, shot, shot_id``.
 
-    The pool of a subject is numbered once (in seeded order) and cut into ``shots`` strata; a test draws one position of
-    each stratum by the MD5 of its id, and the drawn positions are joined: no test meets its whole subject. A subject
-    with fewer rows than shots gives all of them; one without rows gives none.
+    The pool of a subject is numbered once (:func:`group_index`), and the shots of a test are the first places of a
+    permutation of its subject's positions that is keyed by the seed and the test's id: every subset can occur, and the
+    drawn positions are joined, so that no test meets its whole subject. A subject with fewer rows than shots gives all
+    of them; one without rows gives none.
     """
-    p = group_index(pool.select(key, F.col(ident).alias("shot_id"), shuffled(seed, ident).alias("__o")), [key], ["__o", "shot_id"], "__at")
-    sizes = p.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__n"))
-    t = tests.select(key, ident).join(sizes, F.col(key) == F.col("__k")).withColumn("shot", F.explode(F.sequence(F.lit(1), F.lit(shots))))
-    low, high = F.floor((F.col("shot") - 1) * F.col("__n") / shots), F.floor(F.col("shot") * F.col("__n") / shots)
-    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(ident).cast("string"), F.col("shot").cast("string"))), 1, 8), 16, 10).cast("long")
-    drawn = t.where(high > low).withColumn("__pick", (low + F.pmod(h, high - low)).cast("long")).select(key, ident, "shot", "__pick")
-    q = p.select(F.col(key).alias("__k"), "__at", "shot_id")
-    return drawn.join(q, (F.col(key) == F.col("__k")) & (F.col("__pick") == F.col("__at"))).select(key, ident, "shot", "shot_id")
+    p = group_index(pool.select(key, F.col(ident).alias("shot_id")), [key], ["shot_id"], "__at")
+    sizes = p.groupBy(F.col(key).alias("__size_key")).agg(F.count("*").alias("__size"))
+    t = tests.select(key, ident).join(sizes, F.col(key) == F.col("__size_key")).withColumn("shot", F.explode(F.sequence(F.lit(1), F.least(F.lit(shots), F.col("__size")).cast("int"))))
+    t = drawn(t, "__pick", F.col("shot") - 1, F.col("__size"), F.lit(str(seed)), F.col(ident).cast("string")).select(key, ident, "shot", "__pick")
+    q = p.select(F.col(key).alias("__pool_key"), "__at", "shot_id")
+    return t.join(q, (F.col(key) == F.col("__pool_key")) & (F.col("__pick") == F.col("__at"))).select(key, ident, "shot", "shot_id")
 
 
 def full_batches(rows: DataFrame, order: str, batch: int) -> DataFrame:

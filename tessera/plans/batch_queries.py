@@ -164,21 +164,6 @@ def exact_sample(spark, d):
     return sampling.exact_sample(docs, docs.count() * 2 + 17, 5, "doc_id").select("doc_id", "copy")
 
 
-@query("few_shot", """
-WITH p AS (SELECT lang, doc_id AS shot_id, row_number() OVER (PARTITION BY lang ORDER BY md5('11|' || doc_id), doc_id) - 1 AS at, count(*) OVER (PARTITION BY lang) AS n FROM documents WHERE doc_id % 2 = 1)
-SELECT lang, CAST(count(*) AS BIGINT) AS tests, CAST(sum(least(3, coalesce(m, 0))) AS BIGINT) AS shots FROM documents LEFT JOIN (SELECT DISTINCT lang AS l, n AS m FROM p) ON l = lang WHERE doc_id % 2 = 0 GROUP BY 1""")
-def few_shot(spark, d):
-    """Every even document is a test, every odd one is in the pool: how many tests a language has, and how many
-    different documents of the pool of its language they got (test_sampling checks the draws themselves)."""
-    docs = table(spark, d, "documents").select("lang", "doc_id")
-    tests, pool = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
-    drawn = sampling.few_shot(tests, pool, "lang", "doc_id", 3, 11)
-    sound = drawn.join(pool.select(F.col("lang").alias("l"), F.col("doc_id").alias("p")), (F.col("p") == F.col("shot_id")) & (F.col("l") == F.col("lang")), "left_semi")
-    per = sound.groupBy("lang", "doc_id").agg(F.countDistinct("shot_id").alias("n"))
-    j = tests.join(per, ["lang", "doc_id"], "left")
-    return j.groupBy("lang").agg(F.count("*").alias("tests"), F.coalesce(F.sum("n"), F.lit(0)).alias("shots"))
-
-
 @query("dpo_to_sft", "SELECT prompt, kind, response FROM (SELECT CAST(doc_id AS VARCHAR) AS prompt, 'chosen' AS kind, text AS response FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 'rejected', text || 'x' FROM documents)")
 def dpo_to_sft(spark, d):
     from ..operators.convert import preference_to_sft

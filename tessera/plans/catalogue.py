@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import batch_queries, document_queries, encode_queries, metric_queries, more_queries, scalar_queries, token_queries, tree_queries  # noqa: E402, F401  they register themselves
+from . import batch_queries, document_queries, encode_queries, metric_queries, more_queries, sampling_queries, scalar_queries, token_queries, tree_queries  # noqa: E402, F401  they register themselves

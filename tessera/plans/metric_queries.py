@@ -241,11 +241,6 @@ def resample_weights(spark, d):
     return x.select("row", F.round(weight("pow", s, hi, lo), 6).alias("pow_weight"), weight("max_min", s, hi, lo).alias("max_min_weight"), weight("max_random", s, hi, lo).alias("max_random_weight"))
 
 
-@query("weighted_resample")
-def weighted_resample(spark, d):
-    return sampling.weighted_resample(rollouts(spark, d).withColumn("w", F.col("score") * F.col("score") + 1e-8), "w", 1000, 7, "row").select("draw", "row", "score")
-
-
 @query("preferred_sample", f"WITH {ROLLOUTS} SELECT row, source FROM rollouts ORDER BY (source = 'error') DESC, md5('42|' || row), row LIMIT 3000")
 def preferred_sample(spark, d):
     return sampling.preferred_sample(rollouts(spark, d), F.col("source") == "error", 3000, 42, "row").select("row", "source")

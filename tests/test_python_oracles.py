@@ -99,12 +99,3 @@ def test_search_rounds(spark):
         assert (r.status == "expanded") == bool(children[r.trajectory_id]) and r.status != "running"
     per = Counter(r["round"] for r in rows.values())
     assert per[0] == spark.read.parquet(f"{SF}/customer.parquet").count() and all(n <= 500 for k, n in per.items() if k)
-
-
-def test_resample(spark):
-    weight = {r.event_id: r.value * r.value + 1e-8 for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
-    rows = QUERIES["weighted_resample"](spark, SF).collect()
-    assert sorted(r.draw for r in rows) == list(range(1000)) and all(math.isclose(weight[r.row], r.score * r.score + 1e-8) for r in rows)
-    total = sum(weight.values())
-    expected = sum(w * w for w in weight.values()) / total
-    assert abs(sum(weight[r.row] for r in rows) / 1000 / expected - 1) < 0.2
