@@ -33,7 +33,7 @@ from .tokens import tokenizer_path
 from .util import crc32_py
 
 DROPOUT, SEED = 0.1, 20240917
-#: Agendas remembered at most; chunks of more characters than CHUNK_CHARS run their agenda at every occurrence.
+#: Agendas remembered at most, at any time (an occurrence that needs a further one runs its own); chunks of more characters than CHUNK_CHARS run their agenda at every occurrence.
 MEMO_AGENDAS, CHUNK_CHARS = 500_000, 48
 #: Texts are encoded in batches of so many documents or characters, whichever is less (a longer text is one batch).
 BATCH_DOCS, BATCH_CHARS = 1000, 1_700_000
@@ -185,7 +185,7 @@ class PieceCodec:
         return range(at, at + n)
 
     def _settle(self, node: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The agenda that each occurrence (its chunk's root, its key) ends in."""
+        """The agenda that each occurrence (its chunk's root, its key) ends in; -1 where the memo had no room for it."""
         node, open_ = node.copy(), np.flatnonzero(self.run_length[node])
         while len(open_):
             here = node[open_]
@@ -202,6 +202,10 @@ class PieceCodec:
             ways, back = np.unique(step, return_inverse=True)
             to = list(map(self.child.get, ways.tolist()))
             lacking = [k for k, x in enumerate(to) if x is None]
+            room = max(0, MEMO_AGENDAS - len(self.node_ids))
+            for k in lacking[room:]:
+                to[k] = -1
+            lacking = lacking[:room]
             if lacking:
                 new = ways[lacking]
                 parent = new >> 6
@@ -213,6 +217,7 @@ class PieceCodec:
                     to[k] = x
             open_ = open_[who]
             node[open_] = np.array(to, dtype=np.int64)[back]
+            open_ = open_[node[open_] >= 0]
             open_ = open_[self.run_length[node[open_]] > 0]
         return node
 
@@ -318,7 +323,7 @@ class PieceCodec:
                 gc.enable()
 
     def _encode_batch(self, texts: list[str | None], keys: list) -> list[bytes]:
-        if len(self.node_ids) > MEMO_AGENDAS:
+        if len(self.node_ids) >= MEMO_AGENDAS:
             self._forget()
         cut = [self.cut.findall(" " + t) if t else [] for t in texts]
         chunks, cuts = list(itertools.chain.from_iterable(cut)), np.cumsum([0, *map(len, cut)])
@@ -326,6 +331,7 @@ class PieceCodec:
         long: list[int] = []
         if None in nodes:
             lacking = list(dict.fromkeys(c for c, r in zip(chunks, nodes, strict=True) if r is None and len(c) <= CHUNK_CHARS))
+            lacking = lacking[: max(0, MEMO_AGENDAS - len(self.node_ids))]
             if lacking:
                 self.root.update(zip(lacking, self._grow(lacking), strict=True))
             nodes = list(map(self.root.get, chunks))
@@ -342,6 +348,7 @@ class PieceCodec:
             short = np.flatnonzero(flat >= 0)
             flat[short] = self._settle(flat[short], occurrence[short])
             nodes = flat.tolist()
+            special |= {k: self._long(self._symbols(chunks[k]), int(occurrence[k])) for k in short[flat[short] < 0].tolist()}
         ids = self.node_ids
         parts = [special[k] if k in special else ids[r] for k, r in enumerate(nodes)] if special else list(map(ids.__getitem__, nodes))
         ends = cuts.tolist()

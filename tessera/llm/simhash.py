@@ -31,9 +31,11 @@ PROBE_COST, PAIR_COST = 3.0, 0.02
 BLOCK_ROWS = 4096
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _SUB = 1 << 24
-#: For links by similarity: pairs that meet in one of BANDS bands of BAND_ROWS minima of the shingle set and whose
-#: fingerprint and SKETCHES further ones together differ in at most CANDIDATE_SLACK bits more than the similarity gives
-#: on average are candidates; they link if their exact Jaccard similarity is reached.
+#: For links by similarity: pairs whose fingerprints differ in at most as many bits as partitions can find for
+#: PARTITION_WORK microseconds a fingerprint, and pairs beyond that meet in one of BANDS bands of BAND_ROWS minima of the
+#: shingle set, are candidates if their fingerprint and SKETCHES further ones together differ in at most CANDIDATE_SLACK
+#: bits more than the similarity gives on average; they link if their exact Jaccard similarity is reached.
+PARTITION_WORK = 60.0
 SKETCHES, BANDS, BAND_ROWS, CANDIDATE_SLACK = 3, 32, 5, 38
 #: A candidate component with more nodes than this is compared with its hub first; blocks of its further comparisons.
 WHOLE_COMPONENT, REST_BLOCK, ALL_BLOCK = 64, 64, 256
@@ -165,8 +167,10 @@ def linked_in(sets: list[np.ndarray], bits: np.ndarray, block: np.ndarray, simil
 def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """:func:`near_duplicates` by exact Jaccard similarity of the sets of shingles.
 
-    Plan: equal sets are one node. Nodes meet in the bands of their minima; only a spanning forest of the pairs near
-    enough by all fingerprint bits leaves a task. Every true link lies inside one component of these candidates, so
+    Plan: equal sets are one node. Nodes meet in the probed partitions of their fingerprints first, at the largest
+    distance that :func:`affordable` finds; what lies beyond it (on average two sets at 0.8 differ in 10 of 64 bits,
+    where partitions would make a fifth of all pairs candidates) meets in the bands of its minima. Only a spanning forest
+    of the pairs near enough by all fingerprint bits leaves a task. Every true link lies inside one component of these candidates, so
     the shingle sets of components of two or more nodes are gathered by component and compared exactly. In a large
     component every set is compared with the one of its smallest node first, which work follows its size; what that
     links is one class. Only the sets left over are compared with all others of their component, block by block, so no
@@ -177,26 +181,37 @@ def similar_documents(docs: DataFrame, similarity: float, *, shingle: int, id_co
     fps = materialize(set_sketches(docs, id_col=id_col, text_col=text_col, shingle=shingle), "sketches")
     known = fps.where("doc_id is not null")
     nodes = materialize(known.groupBy("set_id", "fp", *extra).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "sketch-nodes")
-    homes = nodes.select(F.explode("bands").alias("key"), F.lit(0).cast("byte").alias("side"), "fp", "node", *extra)
-    rows = with_blocks(homes, homes.select("key", "side"))
-
-    def near(it):
-        for g in sorted_groups(it, ["key", "sub"], ["side", "fp", "node", *extra]):
-            bits, node = [g[c].astype(np.int64).view(np.uint64) for c in ("fp", *extra)], g["node"]
-            left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for i, j in group_pairs(g):
-                close = sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits) <= most
-                if close.any():
-                    root = local_roots(len(node), i[close], j[close])
-                    at = np.flatnonzero(root != np.arange(len(node)))
-                    left.append(at)
-                    right.append(root[at])
-            root = local_roots(len(node), np.concatenate(left), np.concatenate(right))
-            i = np.flatnonzero(root != np.arange(len(node)))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], ["a", "b"])
-
-    groups = materialize(components(rows.repartition("key", "sub").sortWithinPartitions("key", "sub", "side").mapInArrow(near, "a long, b long")), "candidate-groups")
+    shape_, schema = ["side", "fp", "node", *extra], "key long, side byte, fp long, node long" + "".join(f", {c} long" for c in extra)
+    tau, layout = affordable(*bit_statistics(nodes))
+    probed = nodes.select("fp", "node", *extra).mapInArrow(probes(layout, extra), schema)
+    banded = nodes.select(F.explode("bands").alias("key"), F.lit(0).cast("byte").alias("side"), "fp", "node", *extra)
+
+    def met(rows: DataFrame, reached: bool) -> DataFrame:
+        """A forest of the candidates among rows of equal key that partitions at ``tau`` reach, or that they do not."""
+
+        def near(it):
+            for g in sorted_groups(it, ["key", "sub"], shape_):
+                bits, node = [g[c].astype(np.int64).view(np.uint64) for c in ("fp", *extra)], g["node"]
+                left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+                for i, j in group_pairs(g):
+                    far = np.bitwise_count(bits[0][i] ^ bits[0][j]).astype(np.int64)
+                    use = (far <= tau) == reached
+                    i, j, far = i[use], j[use], far[use]
+                    close = far + sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits[1:]) <= most
+                    if close.any():
+                        root = local_roots(len(node), i[close], j[close])
+                        at = np.flatnonzero(root != np.arange(len(node)))
+                        left.append(at)
+                        right.append(root[at])
+                root = local_roots(len(node), np.concatenate(left), np.concatenate(right))
+                i = np.flatnonzero(root != np.arange(len(node)))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[root[i]])], ["a", "b"])
+
+        dealt = with_blocks(rows, rows.select("key", "side")).repartition("key", "sub").sortWithinPartitions("key", "sub", "side")
+        return dealt.mapInArrow(near, "a long, b long")
+
+    groups = materialize(components(met(probed, True).unionByName(met(banded, False))), "candidate-groups")
     hot = materialize(groups.groupBy("component").count().where(F.col("count") > WHOLE_COMPONENT).select(F.col("component").alias("hot"), F.ceil(F.col("count") / ALL_BLOCK).cast("long").alias("n")), "large-groups")
     members = groups.join(hot, F.col("component") == F.col("hot"), "left").select("component", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.col("node").alias("member"))
     members = materialize(members.join(nodes.select("node", "set_id", "fp", *extra), F.col("member") == F.col("node")).drop("node"), "candidates").hint("shuffle_hash")
@@ -376,12 +391,31 @@ def allocate(n: int, both: np.ndarray, parts: list[list[int]], tau: int) -> tupl
 
 def plan(n: int, both: np.ndarray, tau: int = DISTANCE) -> list[tuple[list[int], int]]:
     """(bits, threshold) of every probed partition; the number of partitions with the least estimated work."""
+    return cheapest(n, both, tau)[1]
+
+
+def affordable(n: int, both: np.ndarray, work: float = PARTITION_WORK, least: int = DISTANCE, most: int = 12) -> tuple[int, list[tuple[list[int], int]]]:
+    """The largest distance, from ``least`` on, whose partitions take at most ``work`` microseconds a fingerprint by
+    estimate, and its layout."""
+    n = max(n, 1)  # without rows every layout would be free
+    best = (least, cheapest(n, both, least)[1])
+    for tau in range(least + 1, most + 1):
+        cost, layout = cheapest(n, both, tau)
+        if cost > work * n:
+            break
+        best = (tau, layout)
+    return best
+
+
+def cheapest(n: int, both: np.ndarray, tau: int) -> tuple[float, list[tuple[list[int], int]]]:
+    """Estimated work and layout of :func:`plan`."""
     found = []
     for m in range(2, tau + 2):
         parts = group_bits(n, both, m)
         work, thresholds = allocate(n, both, parts, tau)
         found.append((work, m, [(b, t) for b, t in zip(parts, thresholds, strict=True) if t >= 0]))
-    return min(found, key=lambda f: f[:2])[2]
+    work, _, layout = min(found, key=lambda f: f[:2])
+    return work, layout
 
 
 def _values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -391,26 +425,27 @@ def _values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
     return out
 
 
-def probes(layout: list[tuple[list[int], int]]) -> Callable:
-    """Arrow function from ``fp, node`` to ``key, side, fp, node``: the home row of every partition (side 0) and its
-    variants within the threshold (side 1). Of two fingerprints the one with the smaller value probes."""
+def probes(layout: list[tuple[list[int], int]], extra: list[str] | tuple = ()) -> Callable:
+    """Arrow function from ``fp, node`` (and ``extra`` long columns) to ``key, side, fp, node`` (and these): the home row
+    of every partition (side 0) and its variants within the threshold (side 1). Of two fingerprints the one with the
+    smaller value probes."""
     masks = [[sum(1 << b for b in c) for k in range(1, t + 1) for c in itertools.combinations(range(len(bits)), k)] for bits, t in layout]
 
-    def emit(key, side, fp, node):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, dtype=np.int8)), pa.array(fp), pa.array(node)], ["key", "side", "fp", "node"])
+    def emit(key, side, carried):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), side, dtype=np.int8)), *map(pa.array, carried)], ["key", "side", "fp", "node", *extra])
 
     def run(it):
         for b in it:
-            every = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2)]
+            every = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2 + len(extra))]
             for k in range(0, b.num_rows, 16384):
-                fp, node = (x[k : k + 16384] for x in every)
+                carried = [x[k : k + 16384] for x in every]
                 for g, (bits, _) in enumerate(layout):
-                    v = _values(fp.view(np.uint64), bits)
-                    yield emit(g << 40 | v, 0, fp, node)
+                    v = _values(carried[0].view(np.uint64), bits)
+                    yield emit(g << 40 | v, 0, carried)
                     for part in range(0, len(masks[g]), 32):
                         w = v[:, None] ^ np.array(masks[g][part : part + 32], dtype=np.int64)[None, :]
                         r, c = np.nonzero(w > v[:, None])
-                        yield emit(g << 40 | w[r, c], 1, fp[r], node[r])
+                        yield emit(g << 40 | w[r, c], 1, [x[r] for x in carried])
 
     return run
 

@@ -237,3 +237,19 @@ def test_shares_are_exact():
     n, total, kept = 7_999_999_999_999, 8_000_000_000_000_000, 10**8
     assert int(divergence.shares(n, total, kept)) == 1 + 10**9 * (n + 5) // (total + 5 * kept)
     assert divergence.shares(np.array([total]), total, 0).tolist() == [1 + 10**9 * (total + 5) // total]
+
+
+# --- pieces: the memo's bound
+
+
+@pytest.mark.parametrize("most", [0, 5, 400])
+def test_memo_is_bounded_inside_a_batch(monkeypatch, most):
+    from tessera.llm import pieces, tokens
+
+    texts = [f"some words {k} and others {k % 7}, repeated words and words" for k in range(40)]
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    want = pieces.PieceCodec(path, 0.3).encode_many(texts, list(range(40)))
+    monkeypatch.setattr(pieces, "MEMO_AGENDAS", most)
+    codec = pieces.PieceCodec(path, 0.3)
+    assert [x for at in range(0, 40, 8) for x in codec.encode_many(texts[at : at + 8], list(range(at, at + 8)))] == want
+    assert len(codec.node_ids) <= most

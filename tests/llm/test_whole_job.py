@@ -1,10 +1,12 @@
 """Stages and operators do the whole of their job, not an estimate or a cut of it."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 from tessera.llm import mixing, simhash
+from test_brute_force import classes
 
 
 def test_written_words_come_near_the_targets(spark):
@@ -94,3 +96,27 @@ def test_large_groups_lose_no_link(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
     assert got == {k: find(k) for k in range(len(rows))}
+
+
+def test_partitions_and_bands_share_the_candidates(spark, monkeypatch):
+    """Partitions find what lies within their distance and bands the rest: the classes are those of exact similarity
+    however far the partitions are made to reach, and each finds links of its own."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(60, 200))]
+        for changes in (0, 1, 2, 3):
+            copy = list(base)
+            for _ in range(changes):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    want = classes(len(texts), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9])
+    far = [int.bit_count(simhash.vote(np.array(sorted(sets[i]), dtype=np.uint64)) ^ simhash.vote(np.array(sorted(sets[j]), dtype=np.uint64))) for i in range(len(texts)) for j in range(i) if want[i] == want[j]]
+    assert any(f <= 4 for f in far) and any(f > 4 for f in far)
+    for work in (0.0, 1e9):
+        monkeypatch.setattr(simhash.affordable, "__defaults__", (work, 4, 8))
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, similarity=0.8).collect()}
+        assert [got[k] for k in range(len(texts))] == want
