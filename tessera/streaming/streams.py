@@ -42,25 +42,86 @@ def check_settings(*, val_size: float = 0, max_samples: int | None = None, num_s
         raise ValueError("a stream takes a validation share under 1, and neither max_samples nor num_samples")
 
 
-def upsert_sink(path: str, *keys: str, order: Column, keep: int = 2) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that keeps the row of highest ``order`` per key in versions of a Parquet table: version n+1
-    is written beside version n, so that a batch that is run again writes the same version again; older ones than the
-    last ``keep`` go."""
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _manifest(spark: SparkSession, path: str, epoch: int | None = None) -> tuple[int, dict[int, int]]:
+    """(version, bucket -> version that holds it) of the newest whole manifest, or of the newest before ``epoch``."""
+    from ..sources.files import exists
+
+    if not exists(spark, f"{path}/manifest"):
+        return -1, {}
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    found = [int(f.getPath().getName()[2:]) for f in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)]
+    whole = [v for v in found if (epoch is None or v < epoch) and exists(spark, f"{path}/manifest/v={v}/_SUCCESS")]
+    if not whole:
+        return -1, {}
+    return max(whole), {r.bucket: r.version for r in spark.read.parquet(f"{path}/manifest/v={max(whole)}").collect()}
+
+
+def _buckets(spark: SparkSession, path: str, held: dict[int, int], schema: T.StructType) -> DataFrame:
+    places = [f"{path}/data/v={v}/bucket={b}" for b, v in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
+def upserted(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+    """The table that :func:`upsert_sink` keeps at ``path``, as of its newest whole version."""
+    version, held = _manifest(spark, path)
+    if version < 0 and schema is None:
+        raise FileNotFoundError(f"nothing was upserted into {path} yet")
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return _buckets(spark, path, held, kind or spark.read.parquet(*(f"{path}/data/v={v}/bucket={b}" for b, v in list(held.items())[:1])).schema)
+
+
+def upsert_sink(path: str, *keys: str, order: Column, buckets: int = 64, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that keeps one row per key in a table of ``buckets`` hash buckets: of a batch the row of highest
+    ``order``, which takes the place of the one from earlier batches.
+
+    A micro-batch rewrites the buckets that its keys touch, as folders of its own version, and then writes a manifest
+    (one row a bucket) that names for each bucket the version that holds it: the batch counts from that file on. A
+    batch that is run again starts from the manifest before it and writes the same again. Versions that none of the last
+    ``keep`` manifests names are deleted. Read the table with :func:`upserted`.
+    """
     from ..operators.trajectory import upsert
 
     def run(batch: DataFrame, epoch: int) -> None:
-        from ..sources.files import exists
-
-        spark, before = batch.sparkSession, f"{path}/v={epoch - 1}"
-        newest = upsert(batch.limit(0), batch, *keys, order=order)
-        merged = upsert(spark.read.parquet(before), newest, *keys, order=order) if exists(spark, before) else newest
-        merged.write.mode("overwrite").parquet(f"{path}/v={epoch}")
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={epoch - keep}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        spark = batch.sparkSession
+        _, held = _manifest(spark, path, epoch)
+        own = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        try:
+            touched = [r.b for r in batch.select(own.alias("b")).distinct().collect()]  # at most ``buckets``
+            before = _buckets(spark, path, {b: v for b, v in held.items() if b in touched}, batch.schema)
+            merged = upsert(before, upsert(batch.limit(0), batch, *keys, order=order), *keys, order=order)
+            merged.withColumn("bucket", own).repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/v={epoch}")
+        finally:
+            batch.unpersist()
+        now = {**held, **dict.fromkeys(touched, epoch)}
+        spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/v={epoch}")
+        _forget(spark, path, epoch, keep)
 
     return run
 
 
+def _forget(spark: SparkSession, path: str, epoch: int, keep: int) -> None:
+    """Deletes manifests before the last ``keep``, and bucket folders that only they named."""
+    at, named = epoch + 1, set()
+    for _ in range(keep):
+        at, held = _manifest(spark, path, at)
+        named |= set(held.items())
+        if at < 0:
+            return
+    old, held = _manifest(spark, path, at)
+    while old >= 0:
+        for b, v in held.items():
+            if (b, v) not in named:
+                _delete(spark, f"{path}/data/v={v}/bucket={b}")
+        _delete(spark, f"{path}/manifest/v={old}")
+        old, held = _manifest(spark, path, old)
+
+
 def shuffled_batches(seed: int, sink: Callable[[DataFrame, int], None], *key: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function that hands each micro-batch on in seeded order (the buffer of a streaming shuffle)."""
     return lambda batch, epoch: sink(batch.orderBy(seeded(seed + epoch, *key)), epoch)

@@ -62,11 +62,28 @@ def test_shuffled_stream(spark, tmp_path):
 
 
 def test_upserted_versions(spark, tmp_path):
-    sink = streams.upsert_sink(f"{tmp_path}/t", "k", order=F.col("o"))
+    sink = streams.upsert_sink(f"{tmp_path}/t", "k", order=F.col("o"), buckets=8)
+    with pytest.raises(FileNotFoundError):
+        streams.upserted(spark, f"{tmp_path}/t")
     for e, rows in enumerate(([(1, 1, "a"), (1, 2, "b")], [(2, 1, "c")], [(1, 3, "d"), (2, 0, "e")])):
         sink(spark.createDataFrame(rows, "k int, o int, v string"), e)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/t/v=2").collect()) == [(1, "d"), (2, "e")]
-    assert not (tmp_path / "t" / "v=0").exists() and (tmp_path / "t" / "v=1").exists()
+    assert sorted((r.k, r.v) for r in streams.upserted(spark, f"{tmp_path}/t").collect()) == [(1, "d"), (2, "e")]
+    assert not (tmp_path / "t/manifest/v=0").exists() and (tmp_path / "t/manifest/v=1").exists()
+
+
+def test_upsert_writes_only_touched_buckets(spark, tmp_path):
+    """A batch of one key writes one bucket; a batch that is run again, also after a newer one began, gives the same."""
+    sink, path = streams.upsert_sink(f"{tmp_path}/t", "k", order=F.col("o"), buckets=16), tmp_path / "t"
+    sink(spark.range(300).select(F.col("id").alias("k"), F.lit(0).alias("o")), 0)
+    one = spark.createDataFrame([(7, 5)], "k long, o int")
+    sink(one, 1)
+    assert len(list((path / "data/v=0").glob("bucket=*"))) == 16 and len(list((path / "data/v=1").glob("bucket=*"))) == 1
+    for again in (1, 2, 1, 2):
+        sink(one if again == 1 else spark.createDataFrame([(7, 4), (9, 9), (1000, 1)], "k long, o int"), again)
+    got = {r.k: r.o for r in streams.upserted(spark, str(path)).collect()}
+    assert got == {**{k: 0 for k in range(300)}, 7: 4, 9: 9, 1000: 1}
+    sink(one.limit(0), 3)
+    assert streams.upserted(spark, str(path)).count() == 301
 
 
 def test_managers(spark):
