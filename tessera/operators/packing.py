@@ -204,6 +204,24 @@ def block_mask(mask: Column) -> Column:
     return F.transform(mask, lambda a, i: F.transform(mask, lambda b, j: F.when((a == b) & (a != 0) & (j <= i), 1).otherwise(0)))
 
 
+def segment_runs(mask: Column) -> Column:
+    """Runs of equal neighbours as (start, end, segment), end behind the last place; padding (0) is a run too."""
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(mask) - 1, F.lit(0))), lambda i: (i < F.size(mask)) & ((i == 0) | (F.get(mask, i) != F.get(mask, i - 1))))
+    ends = F.concat(F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), F.array(F.size(mask)))
+    runs = F.arrays_zip(places.alias("start"), ends.alias("end"))
+    return F.when(F.size(mask) > 0, F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.get(mask, r["start"]).alias("segment")))).otherwise(
+        F.array().cast("array<struct<start:int,end:int,segment:int>>"))
+
+
+def mask_intervals(mask: Column) -> Column:
+    """The block-diagonal causal mask of a packed row without its n x n cells: for each place the keys it may see as
+    (low, high), from low to before high; none for padding. A row's segments do not recur, as packing numbers them."""
+    def places(r: Column) -> Column:
+        return F.transform(F.sequence(r["start"], r["end"] - 1), lambda i: F.struct(F.when(r["segment"] == 0, i).otherwise(r["start"]).alias("low"), F.when(r["segment"] == 0, i).otherwise(i + 1).alias("high")))
+
+    return F.flatten(F.transform(segment_runs(mask), places))
+
+
 def pad_to_batch(rows: DataFrame, batch: str, ids: str, pad: int, out: str = "padded") -> DataFrame:
     """Right-pads id arrays to the longest of their batch."""
     w = F.max(F.size(ids)).over(Window.partitionBy(batch))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +79,29 @@ def ancestors(nodes: DataFrame, key: str, parent: str, materialize: Callable[[Da
     raise ValueError(f"deeper than {max_depth}: a cycle?")
 
 
+def lineage(nodes: DataFrame, key: str, parent: str, materialize: Callable[[DataFrame], DataFrame], score: str | None = None) -> DataFrame:
+    """``key, root, depth`` of every node, and with ``score`` the ``best`` one on its path (itself and the root included).
+
+    Pointer doubling: a node holds an ancestor and what lies before it, and takes over that ancestor's own pointer, so a
+    path of any length ends in the logarithm of it in written rounds. A parent that is no node ends the path, as a null
+    one does; keys are unique. Paths that are still open after as many rounds as the number of nodes has
+    binary digits run in a circle, which is an error.
+    """
+    own = nodes.select(F.col(key).alias("key"), F.col(parent).alias("up"), (F.col(score) if score else F.lit(None)).alias("best"))
+    known = own.select(F.col("key").alias("known"))
+    start = own.join(known, F.col("up") == F.col("known"), "left").withColumn("up", F.col("known"))
+    state = materialize(start.select("key", "up", F.when(F.col("up").isNull(), F.col("key")).alias("root"), F.col("up").isNotNull().cast("long").alias("depth"), "best"))
+    for _ in range(max(1, state.count()).bit_length() + 1):
+        open_ = state.where("up is not null")
+        if open_.isEmpty():
+            names = {key: "key", "root": "root", "depth": "depth"} | ({"best": "best"} if score else {})
+            return state.select(*(F.col(c).alias(n) for n, c in names.items()))
+        above = state.select(F.col("key").alias("__k"), F.col("up").alias("__up"), F.col("root").alias("__root"), F.col("depth").alias("__depth"), F.col("best").alias("__best"))
+        moved = open_.join(above, F.col("up") == F.col("__k")).select("key", F.col("__up").alias("up"), F.col("__root").alias("root"), (F.col("depth") + F.col("__depth")).alias("depth"), F.greatest("best", "__best").alias("best"))
+        state = materialize(state.where("up is null").unionByName(moved))
+    raise ValueError("parents run in a circle")
+
+
 def violations(records: DataFrame, **rules: Column) -> DataFrame:
     """Records with the names of the rules that they break; sound records are left out."""
     broken = F.filter(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
@@ -90,24 +114,27 @@ def attempt(rows: DataFrame, stage: str, failed: Column, message: Column) -> Dat
     return rows.withColumn("error", F.coalesce(F.col("error"), new) if "error" in rows.columns else new)
 
 
-def run_rounds(roots: DataFrame, plan: Callable[[DataFrame, int], DataFrame], execute: Callable[[DataFrame, int], DataFrame], materialize: Callable[[DataFrame], DataFrame], *, width: int, max_rounds: int = 32) -> DataFrame:
+def run_rounds(roots: DataFrame, plan: Callable[[DataFrame, int], DataFrame], execute: Callable[[DataFrame, int], DataFrame], materialize: Callable[[DataFrame], DataFrame], *, width: int, max_rounds: int | None = None) -> DataFrame:
     """Breadth-first search by rounds. ``plan`` gives candidates (trajectory_id, parent_id, parent_score,
     suggestion_order, budget, ...) for the running frontier; the best ``width`` become children, ``execute`` adds
     their ``failed, output, keep, score``; parents with a child are expanded, others answered. Every round is
-    written, so a lost executor redoes one round at most."""
+    written, so a lost executor redoes one round at most. It ends when nothing runs any more; with ``max_rounds`` it is an
+    error if something still does after so many."""
     columns = ["trajectory_id", "parent_id", "round", "budget", "score", "status"]
     done, front = None, materialize(roots.withColumn("round", F.lit(0)).withColumn("status", F.when(F.col("budget") <= 0, "max_step_reached").otherwise("running")).select(*columns))
-    for r in range(1, max_rounds + 1):
+    for r in itertools.count(1):
         stopped, running = front.where("status <> 'running'"), front.where("status = 'running'")
         done = stopped if done is None else done.unionByName(stopped)
         if running.isEmpty():
             return done
+        if max_rounds is not None and r > max_rounds:
+            raise RuntimeError(f"trajectories still run after {max_rounds} rounds")
         chosen = materialize(frontier(plan(running, r), width))
         grow, stop = split_parents(running, chosen, "trajectory_id", "parent_id")
         done = done.unionByName(grow.withColumn("status", F.lit("expanded"))).unionByName(stop.withColumn("status", F.lit("answered")))
         ran = execute(chosen, r)
         front = materialize(ran.withColumn("round", F.lit(r)).withColumn("budget", child_budget(F.col("budget"))).withColumn("status", next_status(F.col("failed"), F.col("output"), F.col("keep"), F.col("budget"))).select(*columns))
-    return done.unionByName(front)
+    raise AssertionError("not reached")
 
 
 def resumable(trajectories: DataFrame, status: str = "status", updated: str = "updated_at", ident: str = "trajectory_id", wanted: str = "running") -> DataFrame:

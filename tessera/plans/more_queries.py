@@ -64,6 +64,35 @@ def block_mask(spark, d):
     return rows.select("doc_id", F.array_join(F.transform(packing.block_mask(F.col("m")), lambda r: F.array_join(r.cast("array<string>"), "")), "|").alias("mask"), F.array_join(packing.segment_lengths(F.col("m")).cast("array<string>"), ",").alias("segments"))
 
 
+@query("mask_intervals", """
+WITH p AS (SELECT doc_id, list_concat(list_concat(list_transform(range(n_chars % 37), lambda i: 1), list_transform(range(n_chars % 23), lambda i: 2)), list_concat(list_transform(range(n_chars % 11), lambda i: 3), list_transform(range(n_chars % 7), lambda i: 0))) AS m FROM documents),
+c AS (SELECT doc_id, m, unnest(range(len(m))) AS i FROM p), k AS (SELECT *, unnest(range(i + 1)) AS j FROM c)
+SELECT doc_id, CAST(i AS INTEGER) AS place, CAST(min(j) AS INTEGER) AS low, CAST(max(j) + 1 AS INTEGER) AS high, count(*) AS keys FROM k WHERE m[i + 1] = m[j + 1] AND m[i + 1] <> 0 GROUP BY doc_id, i""")
+def mask_intervals(spark, d):
+    """Packed rows of three segments and padding; the SQL expands all pairs of places."""
+    n = F.col("n_chars")
+    m = F.concat(*(F.array_repeat(F.lit(v), (n % k).cast("int")) for v, k in ((1, 37), (2, 23), (3, 11), (0, 7))))
+    rows = documents(spark, d, "doc_id", "n_chars").select("doc_id", F.posexplode(packing.mask_intervals(m)).alias("place", "k"))
+    return rows.select("doc_id", "place", "k.low", "k.high", (F.col("k.high") - F.col("k.low")).cast("long").alias("keys")).where("keys > 0")
+
+
+@query("tool_calls_udtf", """
+WITH c AS (SELECT conv_id, turn, role, text, unnest(CASE WHEN role = 'user' THEN [1] ELSE [1, 2] END) AS i FROM conversations)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS call_no, role || '_' || i AS name, text AS said, CASE WHEN i = 1 THEN turn END AS n FROM c""")
+def tool_calls_udtf(spark, d):
+    """Each turn calls once with its text and number (users), or a second time with its text and a number that is none;
+    a broken block stands between. Numbers run over the turns of a conversation."""
+    from ..functions.tables import tool_call_table
+
+    def call(i: int, n):
+        arguments = F.struct(F.col("text").alias("said"), n.alias("n"))
+        return F.concat(F.lit("<tool_call>"), F.to_json(F.struct(F.concat("role", F.lit(f"_{i}")).alias("name"), arguments.alias("arguments"))), F.lit("</tool_call>"))
+
+    two = F.concat(F.lit('<tool_call>{"name": "broken</tool_call>'), call(2, F.lit("none")))
+    c = table(spark, d, "conversations").withColumn("turn_text", F.concat("text", call(1, F.col("turn")), F.when(F.col("role") == "user", F.lit("")).otherwise(two)))
+    return tool_call_table(c, "conv_id", "turn", "turn_text", "said string, n bigint")
+
+
 @query("tag_formats", r"""
 WITH s AS (SELECT doc_id, CASE n_chars % 3 WHEN 0 THEN '<think>' || text || '</think> \boxed{' || doc_id || '}' WHEN 1 THEN '<think>x</think>' || text ELSE text || '<answer>a</answer><answer> ' || doc_id || ' </answer>' END AS s FROM documents)
 SELECT doc_id, CASE WHEN regexp_full_match(s, '(?s)<think>.*</think>.*\\boxed\{.*\}.*') THEN 1.0::DOUBLE ELSE 0.0 END AS boxed, trim(regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1)[-1]) AS answer FROM s""")

@@ -49,6 +49,16 @@ def ancestors(spark, d):
     return trajectory.ancestors(o, "k", "p", written(spark))
 
 
+@query("lineage_roots", """
+WITH RECURSIVE e AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 > 0 THEN o_orderkey // 2 END AS p, o_totalprice AS s FROM orders),
+a AS (SELECT k, k AS ancestor, p, 0 AS depth, s FROM e UNION ALL SELECT a.k, e.k, e.p, a.depth + 1, e.s FROM a JOIN e ON e.k = a.p)
+SELECT k, arg_max(ancestor, depth) AS root, CAST(max(depth) AS BIGINT) AS depth, max(s) AS best FROM a GROUP BY k""")
+def lineage_roots(spark, d):
+    """A forest of orders: every fiftieth is a root."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 50 > 0, F.call_function("div", F.col("o_orderkey"), F.lit(2))).alias("p"), "o_totalprice")
+    return trajectory.lineage(o, "k", "p", written(spark), "o_totalprice")
+
+
 @query("artifact_priority", f"WITH {STEPS}, r AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY suggestion_order, trajectory_id DESC) AS n FROM steps) SELECT parent_id, trajectory_id, suggestion_order FROM r WHERE n = 1")
 def artifact_priority(spark, d):
     s = steps(spark, d).withColumn("neg", -F.col("trajectory_id"))
