@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 _EPS = 1e-6
 ADVANTAGES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -156,6 +158,7 @@ def rfpp(tokens: DataFrame, row: str = "row", t: str = "t", reward: str = "rewar
     s = sequences(tokens, row, t, t, reward, mask)
     r = s.select(row, F.explode(F.arrays_zip(F.col(t).alias("tt"), discounted_returns(F.col(reward), F.col(mask), gamma).alias("ret"), F.col(mask).alias("mm"))).alias("x"))
     flat = r.select(row, F.col("x.tt").alias(t), F.col("x.ret").alias("returns"), F.col("x.mm").alias(mask))
+    flat = written(flat.sparkSession)(flat)  # whitening reads it several times: the recursion runs once
     return whiten(flat, "returns", mask, out="__w").withColumn("advantage", F.col("__w") * F.col(mask)).drop("__w")
 
 
@@ -173,6 +176,7 @@ def gae_tokens(tokens: DataFrame, row: str = "row", t: str = "t", reward: str =
     s = sequences(tokens, row, t, t, reward, value, mask)
     z = s.select(row, F.explode(F.arrays_zip(F.col(t).alias("tt"), gae(F.col(reward), F.col(value), F.col(mask), gamma, lam).alias("a"), F.col(value).alias("v"), F.col(mask).alias("mm"))).alias("x"))
     flat = z.select(row, F.col("x.tt").alias(t), F.col("x.a").alias("gae"), (F.col("x.a") + F.col("x.v")).alias("returns"), F.col("x.mm").alias(mask))
+    flat = written(flat.sparkSession)(flat)  # whitening reads it several times: the recursion runs once
     return whiten(flat, "gae", mask, out="advantage")
 
 
