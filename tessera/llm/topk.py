@@ -1,10 +1,11 @@
 """Exact top-k inner-product search by columnar branch-and-bound.
 
-Vectors are integers in vertical layout (one row per dimension). For a block of queries against a block of
-candidates the inner products are accumulated dimension block by dimension block; after each block a
-candidate whose partial sum plus the largest possible remainder (the Cauchy-Schwarz bound on the dimensions
-left) cannot reach a query's current k-th lower bound is struck out, and candidates that no query of the
-block can use any more are compacted away.
+Vectors are integers in vertical layout (one row per dimension, those of most mass first). A few similar queries at a
+time meet a block of candidates in slices, longest vectors first. Within a slice the inner products are accumulated
+dimension block by dimension block; after each block a candidate whose partial sum plus the largest possible
+remainder (the Cauchy-Schwarz bound on the dimensions left) cannot reach a query's k-th score so far, from earlier
+slices or from the lower bounds of this one, is struck out, and candidates that none of the queries can use any more are
+compacted away.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of a group's two sides: candidates are copied once per query block, queries once per candidate block.
-QUERY_BLOCK, CANDIDATE_BLOCK, QUERY_SLICE = 8192, 16384, 128
-DIM_BLOCK = 16
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 16384
+#: Queries that are bounded together, candidates of a slice, dimensions between bounds, share of candidates to compact at.
+GROUP, SLICE, DIM_BLOCK, COMPACT = 8, 4096, 8, 0.9
 _LONG = (-(2**63), 2**63 - 1)
 
 
@@ -35,50 +37,84 @@ def _exact_type(q: np.ndarray, c: np.ndarray) -> type:
     return np.float64 if most < 2**52 else np.int64 if most < 2**62 else object
 
 
-def block_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, dim_block: int = DIM_BLOCK) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best scores, ties to the smaller id."""
+    if s.dtype == object:
+        return np.array(sorted(range(len(s)), key=lambda i: (-s[i], ids[i]))[:k], dtype=np.int64)
+    at = np.arange(len(s))
+    if len(s) > k:  # everything that ties with the k-th stays for the id order
+        at = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
+    return at[np.lexsort((ids[at], -s[at]))[:k]]
+
+
+def _left(x: np.ndarray) -> np.ndarray:
+    """Norm of what each column has from each dimension on, slightly raised against rounding."""
+    return np.sqrt(np.vstack([np.cumsum((x**2)[::-1], axis=0)[::-1], np.zeros(x.shape[1])])) * (1 + 1e-9)
+
+
+def _alike(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """An order of the queries in which similar ones follow each other: by the nearest two of 32 candidates."""
+    if q.shape[1] <= GROUP or not c.shape[1]:
+        return np.arange(q.shape[1])
+    s = q.T @ c[:, np.linspace(0, c.shape[1] - 1, min(32, c.shape[1])).astype(int)]
+    near = np.argsort(-s, axis=1, kind="stable")
+    return np.lexsort((near[:, min(1, near.shape[1] - 1)], near[:, 0]))
+
+
+def block_topk(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, dim_block: int = DIM_BLOCK, struck: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """The k best candidates of every query within one block; a query's own id is no candidate.
 
-    q, c: vertical layout, one row per dimension. Returns query ids, candidate ids and scores.
+    q, c: vertical layout, one row per dimension. Returns query ids, candidate ids and scores. To ``struck``, if given,
+    is added how many (query, dimension, candidate) products the bounds have saved.
     """
     kind = _exact_type(q, c)
     if kind is object:
         q, c = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (q, c))
     else:
         q, c = q.astype(kind), c.astype(kind)
-    dims = q.shape[0]
+    dims, bounded = q.shape[0], kind is np.float64
+    if bounded:
+        mass = np.argsort(-((q**2).sum(axis=1) * (c**2).sum(axis=1)), kind="stable")
+        q, c = q[mass], c[mass]
+        long = np.argsort(-(c**2).sum(axis=0), kind="stable")
+        c, cid = c[:, long], cid[long]
+        order = _alike(q, c)
+        q, qid = q[:, order], qid[order]
+        q_left, c_left = _left(q), _left(c)
     out_q, out_c, out_s = [], [], []
-    part = np.zeros((q.shape[1], c.shape[1]), dtype=kind)
-    alive = np.ones(part.shape, dtype=bool) & (qid[:, None] != cid[None, :])
-    norms = kind is np.float64
-    if norms:  # squared mass left after each dimension block, slightly raised against rounding
-        q_left = np.sqrt(np.vstack([np.cumsum((q**2)[::-1], axis=0)[::-1], np.zeros(q.shape[1])])) * (1 + 1e-9)
-        c_left = np.sqrt(np.vstack([np.cumsum((c**2)[::-1], axis=0)[::-1], np.zeros(c.shape[1])])) * (1 + 1e-9)
-    for d in range(0, dims, dim_block):
-        e = min(d + dim_block, dims)
-        part = part + (q[d:e].T @ c[d:e])
-        if not norms or e == dims or part.shape[1] <= 4 * k:
-            continue
-        slack = q_left[e][:, None] * c_left[e][None, :] + 0.5
-        low = np.where(alive, part - slack, -np.inf)
-        kth = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-        alive &= part + slack >= kth[:, None]
-        keep = alive.any(axis=0)
-        if keep.mean() < 0.75:
-            part, alive, c, cid, c_left = part[:, keep], alive[:, keep], c[:, keep], cid[keep], c_left[:, keep]
-    for row in range(part.shape[0]):
-        at = np.flatnonzero(alive[row])
-        s = part[row, at]
-        if kind is object:
-            order = sorted(range(len(at)), key=lambda i: (-s[i], cid[at[i]]))[:k]
-        else:
-            if len(at) > k:  # everything that ties with the k-th stays for the id order
-                at = at[s >= -np.partition(-s, k - 1)[k - 1]]
-                s = part[row, at]
-            order = np.lexsort((cid[at], -s))[:k]
-        for i in order:
-            out_q.append(qid[row])
-            out_c.append(cid[at[i]])
-            out_s.append(min(max(int(s[i]), _LONG[0]), _LONG[1]))
+    for g in range(0, len(qid), GROUP):
+        own, mine = qid[g : g + GROUP], q[:, g : g + GROUP]
+        best = [(np.zeros(0, dtype=kind), np.zeros(0, dtype=np.int64)) for _ in own]
+        kth = np.full(len(own), -np.inf)
+        for at in range(0, len(cid), SLICE):
+            ids, part = cid[at : at + SLICE], np.zeros((len(own), len(cid[at : at + SLICE])), dtype=kind)
+            place, rest = np.arange(at, at + len(ids)), c[:, at : at + SLICE]
+            alive = own[:, None] != ids[None, :]
+            for d in range(0, dims, dim_block):
+                e = min(d + dim_block, dims)
+                part = part + mine[d:e].T @ rest[d:e]
+                if not bounded or e == dims or len(ids) <= 4 * k:
+                    continue
+                slack = q_left[e, g : g + GROUP, None] * c_left[e, place][None, :] + 0.5
+                low = np.where(alive, part - slack, -np.inf)
+                kth = np.maximum(kth, -np.partition(-low, k - 1, axis=1)[:, k - 1])
+                alive &= part + slack >= kth[:, None]
+                keep = alive.any(axis=0)
+                if keep.mean() < COMPACT:
+                    if struck is not None:
+                        struck.append(int((~keep).sum()) * (dims - e) * len(own))
+                    part, alive, rest, ids, place = part[:, keep], alive[:, keep], rest[:, keep], ids[keep], place[keep]
+            for row, (s, near) in enumerate(best):
+                live = np.flatnonzero(alive[row] & (part[row] >= kth[row])) if bounded else np.flatnonzero(alive[row])
+                s, near = np.concatenate([s, part[row, live]]), np.concatenate([near, ids[live]])
+                top = _best(s, near, k)
+                best[row] = s[top], near[top]
+                if bounded and len(top) == k:
+                    kth[row] = max(kth[row], best[row][0][-1])
+        for query, (s, near) in zip(own, best, strict=True):
+            out_q += [query] * len(near)
+            out_c += near.tolist()
+            out_s += [min(max(int(x), _LONG[0]), _LONG[1]) for x in s]
     return np.array(out_q, dtype=np.int64), np.array(out_c, dtype=np.int64), out_s
 
 
@@ -116,8 +152,8 @@ def top_k(vectors: DataFrame, is_query, *, k: int = 5, scale: float = 256.0, id_
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         dims = max(1, max(map(len, q["v"])), max(map(len, c["v"])))
         cm, cid = matrix(c, dims), c["vec_id"].to_numpy()
-        found = [block_topk(q["vec_id"].to_numpy()[i : i + QUERY_SLICE], matrix(q.iloc[i : i + QUERY_SLICE], dims), cid, cm, k) for i in range(0, len(q), QUERY_SLICE)]
-        return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": [s for f in found for s in f[2]]})
+        query, near, score = block_topk(q["vec_id"].to_numpy(), matrix(q, dims), cid, cm, k)
+        return pd.DataFrame({"query_id": query, "vec_id": near, "score": pd.Series(score, dtype="int64")})
 
     part = queries.groupBy("qb", "cb").cogroup(cands.groupBy("qb", "cb")).applyInPandas(search, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

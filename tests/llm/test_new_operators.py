@@ -253,3 +253,26 @@ def test_memo_is_bounded_inside_a_batch(monkeypatch, most):
     codec = pieces.PieceCodec(path, 0.3)
     assert [x for at in range(0, 40, 8) for x in codec.encode_many(texts[at : at + 8], list(range(at, at + 8)))] == want
     assert len(codec.node_ids) <= most
+
+
+# --- exact top-k: bounds
+
+
+@pytest.mark.parametrize(("make", "least"), [("random", 0.05), ("clusters", 0.25), ("decaying", 0.5), ("norms", 0.25)])
+def test_bounds_strike_candidates(make, least):
+    """Products saved of all, and results as by plain scores, on random, clustered and uneven vectors."""
+    from tessera.llm import topk
+
+    rng = np.random.default_rng(0)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.normal(size=(9000, 64)))
+    if make == "clusters":
+        x = unit(unit(rng.normal(size=(150, 64)))[rng.integers(0, 150, 9000)] + 0.05 * rng.normal(size=(9000, 64)))
+    x = {"decaying": x * 0.9 ** np.arange(64), "norms": x * rng.uniform(0.1, 3, (9000, 1))}.get(make, x)
+    v, ids, struck = np.floor(256 * x), rng.permutation(9000), []
+    a, b, s = topk.block_topk(ids[:64], v[:64].T.copy(), ids, v.T.copy(), 5, struck=struck)
+    scores = v[:64] @ v.T
+    scores[np.arange(64), np.arange(64)] = -np.inf
+    want = [(int(ids[i]), int(ids[j]), int(scores[i, j])) for i in range(64) for j in np.lexsort((ids, -scores[i]))[:5]]
+    assert sorted(zip(a.tolist(), b.tolist(), s, strict=True)) == sorted(want)
+    assert sum(struck) >= least * 64 * 9000 * 64
