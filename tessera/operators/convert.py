@@ -104,9 +104,22 @@ def merged_observations(messages: Column) -> Column:
     return F.aggregate(messages, state, step, lambda a: a["out"])
 
 
+# The marks of a system prompt that turn detailed thinking on and off.
+THINKING_ON, THINKING_OFF = "detailed thinking on", "detailed thinking off"
+
+
+def thinking_system(system: Column, tools: Column) -> Column:
+    """A system prompt that says whether to think in detail: without tools, one that does not say it gets the mark for
+    "off" on a line of its own (an empty one becomes the mark); with tools, one that is not empty gets a line feed."""
+    said = system.contains(THINKING_ON) | system.contains(THINKING_OFF)
+    plain = F.when(system == "", F.lit(THINKING_OFF)).when(said, system).otherwise(F.concat(system, F.lit("\n" + THINKING_OFF)))
+    return F.when(tools == "", plain).when(system == "", system).otherwise(F.concat(system, F.lit("\n")))
+
+
 @converter("openai")
 def openai(rows: DataFrame, messages: str = "messages", system: str = "system", tools: str = "tools", **media: str) -> DataFrame:
-    """Role/content messages; ``tool`` roles are observations, tool calls become function messages of JSON."""
+    """Role/content messages; ``tool`` roles are observations, tool calls become function messages of JSON, and the system
+    prompt is that of :func:`thinking_system`."""
     kind = rows.schema[messages].dataType.elementType
     calls = "tool_calls" in kind.fieldNames()
 
@@ -122,7 +135,8 @@ def openai(rows: DataFrame, messages: str = "messages", system: str = "system",
     led = F.coalesce(first["role"] == "system", F.lit(False))
     body = merged_observations(F.when(led, F.slice(m, F.lit(2), F.greatest(F.size(m), F.lit(1)))).otherwise(m))
     prompt, response, broken = _turns(body, False)
-    return rows.withColumns({"_prompt": prompt, "_response": response, "_system": F.when(led, first["content"]).otherwise(_text(rows, system)), "_tools": _text(rows, tools), "is_broken": broken, **_media(rows, media)})
+    said = F.coalesce(F.when(led, first["content"]).otherwise(_text(rows, system)), F.lit(""))
+    return rows.withColumns({"_prompt": prompt, "_response": response, "_system": thinking_system(said, _text(rows, tools)), "_tools": _text(rows, tools), "is_broken": broken, **_media(rows, media)})
 
 
 def weighted_messages(rows: DataFrame, instruction: str = "instruction", query: str = "input", output: str = "output", system: str = "system") -> DataFrame:

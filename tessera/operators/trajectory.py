@@ -210,6 +210,25 @@ def record_invariants() -> dict[str, Column]:
     return {"answer_xor_suggestions": F.col("final_answer").isNotNull() != suggested, "success_xor_error": F.col("success") != F.col("error").isNotNull(), "budget": F.col("budget") >= 0}
 
 
+def planner_invariants() -> dict[str, Column]:
+    """Rules of a planner's output: one that can answer has an answer that is not empty and no suggestions; one that can't
+    has suggestions."""
+    can, some = F.coalesce(F.col("can_answer_now"), F.lit(False)), F.coalesce(F.size("suggestions"), F.lit(0)) > 0
+    return {"direct_answer": ~can | (F.coalesce(F.col("direct_answer"), F.lit("")) != ""), "no_suggestions": ~can | ~some, "suggestions": can | some}
+
+
+def runtime_invariants() -> dict[str, Column]:
+    """Rules of an executor's result: the count of helper calls is that of its list, and it is a success or has an error,
+    not both."""
+    calls = F.coalesce(F.size("observed_helper_calls"), F.lit(0))
+    return {"helper_call_count": F.coalesce(F.col("observed_helper_call_count"), F.lit(0)) == calls, "success_xor_error": F.col("success") != F.col("error").isNotNull()}
+
+
+def judge_invariants() -> dict[str, Column]:
+    """A judge's record of a step names the step."""
+    return {"scope_step_idx": (F.col("scope_type") != "step") | F.col("scope_step_idx").isNotNull()}
+
+
 def canonical_export(trajectories: DataFrame) -> DataFrame:
     """Training rows of finished trajectories (:func:`export_ready`): ``trajectory_id, messages, final_answer`` of those
     that were answered, messages as (role, content); any unfinished trajectory is an error when read."""

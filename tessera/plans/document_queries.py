@@ -217,9 +217,11 @@ def align_sharegpt(spark, d):
 @query("align_openai", f"""
 WITH {_CONV}, s AS (SELECT conv_id, CASE WHEN m[1].role = 'system' THEN m[1].content ELSE '' END AS sys, CASE WHEN m[1].role = 'system' THEN m[2:] ELSE m END AS b FROM conv),
 k AS (SELECT *, len(b) % 2 = 1 OR len(b) = 0 OR len(list_filter(b, lambda x, i: CASE WHEN i % 2 = 1 THEN x.role <> 'user' ELSE x.role <> 'assistant' END)) > 0 AS broken FROM s)
-SELECT conv_id, sys AS system, CASE WHEN broken THEN '' ELSE array_to_string(list_transform(b[1:len(b) - 1], lambda x: x.role || ':' || x.content), '|') END AS prompt, CASE WHEN broken THEN NULL ELSE b[len(b)].content END AS response FROM k""")
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN CASE WHEN sys = '' THEN '' ELSE sys || chr(10) END WHEN sys = '' THEN 'detailed thinking off' WHEN contains(sys, 'detailed thinking on') OR contains(sys, 'detailed thinking off') THEN sys ELSE sys || chr(10) || 'detailed thinking off' END AS system,
+  CASE WHEN broken THEN '' ELSE array_to_string(list_transform(b[1:len(b) - 1], lambda x: x.role || ':' || x.content), '|') END AS prompt, CASE WHEN broken THEN NULL ELSE b[len(b)].content END AS response FROM k""")
 def align_openai(spark, d):
-    a = convert.align(conversations(spark, d), "openai", keep=["conv_id"])
+    c = conversations(spark, d).withColumn("tools", F.when(F.col("conv_id") % 3 == 0, F.lit("[]")))
+    a = convert.align(c, "openai", keep=["conv_id"])
     return a.select("conv_id", F.col("_system").alias("system"), F.array_join(F.transform("_prompt", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("prompt"), F.try_element_at("_response", F.lit(1))["content"].alias("response"))
 
 

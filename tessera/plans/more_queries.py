@@ -93,6 +93,22 @@ def tool_calls_udtf(spark, d):
     return tool_call_table(c, "conv_id", "turn", "turn_text", "said string, n bigint")
 
 
+@query("rollout_steps", """
+SELECT event_id // 500 AS step, 'user ' || user_id AS input, props AS output, event_type AS gts, value AS score FROM events WHERE event_id // 500 >= 1 AND event_id // 500 < 15""")
+def rollout_steps(spark, d):
+    """Events written as steps of 500 and read back through the data source, without the steps that a filter leaves out."""
+    from ..sources.rollouts import RolloutSource
+    from ..sources.scratch import folder
+
+    spark.dataSource.register(RolloutSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # so that steps that are left out are not opened
+    e = table(spark, d, "events").select(F.call_function("div", F.col("event_id"), F.lit(500)).alias("step"), F.concat(F.lit("user "), "user_id").alias("input"), F.col("props").alias("output"), F.col("event_type").alias("gts"), F.col("value").alias("score"))
+    path = folder(spark)
+    e.repartition("step").write.format("rollouts").mode("append").option("path", path).save()
+    rows = spark.read.format("rollouts").option("path", path).option("mode", "strict").load()
+    return rows.where("step >= 1 AND step < 15").select("step", "input", "output", "gts", "score")
+
+
 @query("tag_formats", r"""
 WITH s AS (SELECT doc_id, CASE n_chars % 3 WHEN 0 THEN '<think>' || text || '</think> \boxed{' || doc_id || '}' WHEN 1 THEN '<think>x</think>' || text ELSE text || '<answer>a</answer><answer> ' || doc_id || ' </answer>' END AS s FROM documents)
 SELECT doc_id, CASE WHEN regexp_full_match(s, '(?s)<think>.*</think>.*\\boxed\{.*\}.*') THEN 1.0::DOUBLE ELSE 0.0 END AS boxed, trim(regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1)[-1]) AS answer FROM s""")

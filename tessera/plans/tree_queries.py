@@ -149,3 +149,24 @@ def search_rounds(spark, d):
         return chosen.select("trajectory_id", "parent_id", "budget", (h == 0).alias("failed"), F.lit("out").alias("output"), (h < 8).alias("keep"), (F.col("parent_score") * 0.9).alias("score"))
 
     return trajectory.run_rounds(roots, plan, execute, written(spark), width=500)
+
+
+@query("record_rules", """
+WITH r AS (
+  SELECT event_id, event_id % 3 = 0 AS can, CASE WHEN value > 50 THEN event_type WHEN value > 25 THEN '' END AS answer, greatest(event_id % 4 - 1, 0) AS suggested,
+         user_id % 3 AS counted, event_id % 3 AS called, value > 20 AS success, event_id % 5 = 0 AS failed, event_type = 'click' AS step, user_id % 2 = 0 AS named FROM events
+), b AS (
+  SELECT event_id, concat_ws(',', CASE WHEN can AND coalesce(answer, '') = '' THEN 'direct_answer' END, CASE WHEN can AND suggested > 0 THEN 'no_suggestions' END, CASE WHEN NOT can AND suggested = 0 THEN 'suggestions' END,
+    CASE WHEN counted <> called THEN 'helper_call_count' END, CASE WHEN success = failed THEN 'success_xor_error' END, CASE WHEN step AND NOT named THEN 'scope_step_idx' END) AS broken FROM r
+)
+SELECT event_id, broken FROM b WHERE broken <> ''""")
+def record_rules(spark, d):
+    """Events as planner outputs, executor results and judge records in one; which rules each breaks."""
+    i, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
+    some = F.array_repeat(F.col("event_type"), F.greatest(i % 4 - 1, F.lit(0)).cast("int"))
+    e = table(spark, d, "events").select(
+        "event_id", (i % 3 == 0).alias("can_answer_now"), F.when(v > 50, F.col("event_type")).when(v > 25, "").alias("direct_answer"), some.alias("suggestions"),
+        (u % 3).alias("observed_helper_call_count"), F.array_repeat(F.col("event_type"), (i % 3).cast("int")).alias("observed_helper_calls"), (v > 20).alias("success"), F.when(i % 5 == 0, "failed").alias("error"),
+        F.when(F.col("event_type") == "click", "step").otherwise("trajectory").alias("scope_type"), F.when(u % 2 == 0, u).alias("scope_step_idx"))
+    broken = trajectory.violations(e, **trajectory.planner_invariants(), **trajectory.runtime_invariants(), **trajectory.judge_invariants())
+    return broken.select("event_id", F.array_join("broken", ",").alias("broken"))

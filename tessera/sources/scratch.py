@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _local: list[str] = []
 
 
-def written(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A function that writes a table below ``spark.checkpoint.dir`` and reads it back: a lost executor redoes what
-    follows only. On a local master a temporary folder serves where the setting is unset; a cluster must set it."""
+def folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir`` for this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -21,10 +20,14 @@ def written(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         base = _local[0]
-    root = f"{base.rstrip('/')}/rounds-{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/rounds-{spark.sparkContext.applicationId}/{uuid.uuid4().hex[:12]}"
+
 
+def written(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    """A function that writes a table below ``spark.checkpoint.dir`` and reads it back: a lost executor redoes what
+    follows only. On a local master a temporary folder serves where the setting is unset; a cluster must set it."""
     def run(df: DataFrame) -> DataFrame:
-        path = f"{root}/{uuid.uuid4().hex[:12]}"
+        path = folder(spark)
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 

@@ -95,3 +95,13 @@ def test_layout_pages(spark):
     assert got == {0: ["# a", '```json\n{"k":1}\n```', ""], 1: ["# a"], 2: [], 3: ["# a"]}
     with pytest.raises(Exception, match="no layoutParsingResults"):
         df.select(files.layout_pages(F.lit("{}"))).collect()
+
+
+def test_planner_runtime_and_judge_rules(spark):
+    """Nulls count as no answer, no suggestions, no calls; a record is told every rule that it breaks."""
+    plan = spark.createDataFrame([(1, True, "a", []), (2, True, "", ["s"]), (3, False, None, None), (4, False, "a", ["s"]), (5, None, None, ["s"])], "k int, can_answer_now boolean, direct_answer string, suggestions array<string>")
+    assert {r.k: list(r.broken) for r in trajectory.violations(plan, **trajectory.planner_invariants()).collect()} == {2: ["direct_answer", "no_suggestions"], 3: ["suggestions"]}
+    run = spark.createDataFrame([(1, 2, ["a", "b"], True, None), (2, 1, None, False, "e"), (3, None, [], True, "e"), (4, 0, None, False, None)], "k int, observed_helper_call_count int, observed_helper_calls array<string>, success boolean, error string")
+    assert {r.k: list(r.broken) for r in trajectory.violations(run, **trajectory.runtime_invariants()).collect()} == {2: ["helper_call_count"], 3: ["success_xor_error"], 4: ["success_xor_error"]}
+    judge = spark.createDataFrame([(1, "step", 0), (2, "step", None), (3, "trajectory", None)], "k int, scope_type string, scope_step_idx int")
+    assert [r.k for r in trajectory.violations(judge, **trajectory.judge_invariants()).collect()] == [2]

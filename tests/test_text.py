@@ -74,6 +74,10 @@ def test_converters(spark):
     o = spark.createDataFrame([([("user", "q"), ("assistant", "f"), ("tool", "1"), ("tool", "2"), ("assistant", "r"), ("tool", "lost")],)], "messages array<struct<role:string,content:string>>")
     m = convert.align(o, "openai").first()
     assert [x.role for x in m._prompt] == ["user", "assistant", "observation"] and m._prompt[2].content == "1\n</tool_response>\n<tool_response>\n2" and m._response[0].content == "r"
+    assert m._system == "detailed thinking off"
+    cases = [("", ""), ("", "[]"), ("S", ""), ("S", "[]"), ("be brief, detailed thinking on", ""), (None, "")]
+    said = spark.createDataFrame([([("user", "q"), ("assistant", "r")], *c) for c in cases], "messages array<struct<role:string,content:string>>, system string, tools string")
+    assert [r._system for r in convert.align(said, "openai").collect()] == ["detailed thinking off", "", "S\ndetailed thinking off", "S\n", "be brief, detailed thinking on", "detailed thinking off"]
     with pytest.raises(KeyError):
         convert.align(o, "nope")
     with pytest.raises(Exception, match="not first"):
