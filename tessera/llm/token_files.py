@@ -12,6 +12,7 @@ Planes above the highest set bit of a block are not stored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 
@@ -29,6 +30,9 @@ from .util import crc32_py, filesystem, fresh_path, materialize
 MAGIC = b"TSRPLN01"
 BLOCK_IDS = 65536
 LEVEL = 3
+#: A file is closed, and the next one begun, at so many documents or ids: its tables, which a task holds, are bounded.
+FILE_DOCS, FILE_IDS = 1_000_000, 1 << 28
+_PIECES = 1 << 24
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -160,14 +164,15 @@ class PlaneReader:
             at += int(n)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", mode: str = "byte", block_ids: int = BLOCK_IDS) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", mode: str = "byte", block_ids: int = BLOCK_IDS, file_docs: int = FILE_DOCS, file_ids: int = FILE_IDS) -> DataFrame:
     """Encode whole texts and write them in ascending id order; returns the manifest, one row per file:
     ``shard, path, n_docs, n_tokens, start`` (start: ids in all files before it).
 
     Null texts are empty (their only id is ``end_id``); null ids come first; rows with equal ids are all
     kept, in the order of a hash of their texts.
-    An empty table writes no file. A text is encoded whole, however long; the writer holds one block of ids
-    and one document. Other columns are ignored. A retried task writes a new file under another name and only
+    An empty table writes no file. A text is encoded whole, however long; the writer holds one block of ids,
+    one document, and the ids and lengths of the documents of one file, which ends at ``file_docs`` documents or with
+    the document that reaches ``file_ids`` ids. Other columns are ignored. A retried task writes a new file under another name and only
     the names in the manifest count, so lost executors leave no wrong file behind.
     """
     spark = docs.sparkSession
@@ -178,21 +183,30 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, *, end_id: i
 
     def write(it):
         enc, writer, end = encoder(tokenizer), None, b"" if end_id is None else int(end_id).to_bytes(4, "little")
-        shard = TaskContext.get().partitionId()
+        part, piece, held = TaskContext.get().partitionId(), 0, 0
         fs, base = filesystem(folder)
-        path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}.planes"
-        sink = None
+        sink = path = None
+
+        def closed():
+            n = writer.close()
+            sink.close()
+            return pa.RecordBatch.from_pydict({"shard": pa.array([part * _PIECES + piece], pa.int64()), "path": [path], "n_docs": pa.array([len(writer.counts)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
+
         for b in it:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if writer is None:
+                    path = f"{folder}/shard-{part:06d}-{piece:06d}-{uuid.uuid4().hex[:12]}.planes"
                     fs.create_dir(base, recursive=True)
                     sink = fs.open_output_stream(f"{base}/{path.rsplit('/', 1)[1]}")
-                    writer = PlaneWriter(sink, mode, block_ids)
-                writer.add(doc_id, enc.ids(text) + end)
+                    writer, held = PlaneWriter(sink, mode, block_ids), 0
+                ids = enc.ids(text) + end
+                writer.add(doc_id, ids)
+                held += len(ids) // 4
+                if len(writer.counts) >= file_docs or held >= file_ids:
+                    yield closed()
+                    writer, piece = None, piece + 1
         if writer is not None:
-            n = writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "n_docs": pa.array([len(writer.counts)], pa.int64()), "n_tokens": pa.array([n], pa.int64())})
+            yield closed()
 
     manifest = materialize(ordered.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), "token-manifest")
     # One row per file: a few rows for each executor, whatever the number of documents.
@@ -208,12 +222,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fs, p = filesystem(path)
                 with fs.open_input_file(p) as source:
-                    found = list(PlaneReader(source, source.size()).documents())
-                for i in range(0, len(found), 20_000):
-                    part = found[i : i + 20_000]
-                    yield pa.RecordBatch.from_pydict(
-                        {"doc_id": pa.array([x[0] for x in part], pa.int64()), "start": pa.array([x[1] + start for x in part], pa.int64()), "n_tokens": pa.array([x[2] for x in part], pa.int64()), "ids_crc32": pa.array([x[3] for x in part], pa.int64())}
-                    )
+                    found = PlaneReader(source, source.size()).documents()
+                    while part := list(itertools.islice(found, 20_000)):
+                        yield pa.RecordBatch.from_pydict(
+                            {"doc_id": pa.array([x[0] for x in part], pa.int64()), "start": pa.array([x[1] + start for x in part], pa.int64()), "n_tokens": pa.array([x[2] for x in part], pa.int64()), "ids_crc32": pa.array([x[3] for x in part], pa.int64())}
+                        )
 
     # The rows are tiny and the work behind them is not: a number of partitions keeps AQE from merging them.
     spread = manifest.select("path", "start", "shard").repartition(max(1, min(manifest.count(), 10_000)), "shard").select("path", "start")

@@ -276,3 +276,26 @@ def test_bounds_strike_candidates(make, least):
     want = [(int(ids[i]), int(ids[j]), int(scores[i, j])) for i in range(64) for j in np.lexsort((ids, -scores[i]))[:5]]
     assert sorted(zip(a.tolist(), b.tolist(), s, strict=True)) == sorted(want)
     assert sum(struck) >= least * 64 * 9000 * 64
+
+
+# --- token files: several a task
+
+
+def test_token_files_roll_over(spark):
+    """Files end at a number of documents or of ids; what is read back is the same as from one file a task."""
+    from tessera.llm import token_files
+    from tessera.llm.util import fresh_path
+
+    docs = spark.createDataFrame([(k // 2, None if k % 11 == 0 else f"some words {k} " * (k % 5)) for k in range(200)], "doc_id long, text string").repartition(3)
+
+    def rows(**bounds):
+        manifest = token_files.write_token_files(docs, "word_bpe_49k.json", fresh_path(spark, "rolled"), **bounds)
+        files = manifest.orderBy("shard").collect()
+        return files, [tuple(r) for r in token_files.read_token_files(manifest).orderBy("start", "n_tokens").collect()]
+
+    whole = rows()
+    assert all(f.start == sum(g.n_tokens for g in whole[0][:k]) for k, f in enumerate(whole[0]))
+    for bounds in ({"file_docs": 7}, {"file_ids": 40}):
+        files, got = rows(**bounds)
+        assert got == whole[1] and len(files) > len(whole[0]) and sum(f.n_docs for f in files) == 200
+        assert all(f.n_docs <= 7 for f in files) if "file_docs" in bounds else all(f.n_tokens < 40 + 40 for f in files)
