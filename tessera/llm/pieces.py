@@ -33,8 +33,8 @@ from .tokens import tokenizer_path
 from .util import crc32_py
 
 DROPOUT, SEED = 0.1, 20240917
-#: Agendas remembered at most, at any time (an occurrence that needs a further one runs its own); chunks of more characters than CHUNK_CHARS run their agenda at every occurrence.
-MEMO_AGENDAS, CHUNK_CHARS = 500_000, 48
+#: Agendas beyond which a batch begins anew, and at most at any time (what needs a further one runs its own); chunks of more characters than CHUNK_CHARS run their agenda at every occurrence.
+MEMO_AGENDAS, MEMO_MOST, CHUNK_CHARS = 500_000, 650_000, 48
 #: Texts are encoded in batches of so many documents or characters, whichever is less (a longer text is one batch).
 BATCH_DOCS, BATCH_CHARS = 1000, 1_700_000
 _SPAN, _STIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -202,7 +202,7 @@ class PieceCodec:
             ways, back = np.unique(step, return_inverse=True)
             to = list(map(self.child.get, ways.tolist()))
             lacking = [k for k, x in enumerate(to) if x is None]
-            room = max(0, MEMO_AGENDAS - len(self.node_ids))
+            room = max(0, MEMO_MOST - len(self.node_ids))
             for k in lacking[room:]:
                 to[k] = -1
             lacking = lacking[:room]
@@ -331,7 +331,7 @@ class PieceCodec:
         long: list[int] = []
         if None in nodes:
             lacking = list(dict.fromkeys(c for c, r in zip(chunks, nodes, strict=True) if r is None and len(c) <= CHUNK_CHARS))
-            lacking = lacking[: max(0, MEMO_AGENDAS - len(self.node_ids))]
+            lacking = lacking[: max(0, MEMO_MOST - len(self.node_ids))]
             if lacking:
                 self.root.update(zip(lacking, self._grow(lacking), strict=True))
             nodes = list(map(self.root.get, chunks))

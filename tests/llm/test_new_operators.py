@@ -249,7 +249,8 @@ def test_memo_is_bounded_inside_a_batch(monkeypatch, most):
     texts = [f"some words {k} and others {k % 7}, repeated words and words" for k in range(40)]
     path = tokens.tokenizer_path("piece_bpe_32k.model")
     want = pieces.PieceCodec(path, 0.3).encode_many(texts, list(range(40)))
-    monkeypatch.setattr(pieces, "MEMO_AGENDAS", most)
+    monkeypatch.setattr(pieces, "MEMO_AGENDAS", most // 2)
+    monkeypatch.setattr(pieces, "MEMO_MOST", most)
     codec = pieces.PieceCodec(path, 0.3)
     assert [x for at in range(0, 40, 8) for x in codec.encode_many(texts[at : at + 8], list(range(at, at + 8)))] == want
     assert len(codec.node_ids) <= most
