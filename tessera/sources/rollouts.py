@@ -213,6 +213,8 @@ class RolloutWriter(DataSourceWriter):
         finally:
             for f in open_.values():
                 f.close()
+            if open_ and self._aborted(store, root):  # a task that outlives its job clears up after itself
+                store.delete_dir(own)
         return Written([own], counts, errors)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -247,8 +249,16 @@ class RolloutWriter(DataSourceWriter):
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:
+        store, root = _store(self.options["path"])
+        store.create_dir(f"{root}/_jobs", recursive=True)
+        store.open_output_stream(f"{root}/_jobs/{self.job}.aborted").close()
         self._clear()
 
+    def _aborted(self, store, root: str) -> bool:
+        from pyarrow import fs
+
+        return store.get_file_info(f"{root}/_jobs/{self.job}.aborted").type == fs.FileType.File
+
     def _clear(self) -> None:
         from pyarrow import fs
 

@@ -1,6 +1,7 @@
 """Rollout steps: round trip, order, pruned files, broken lines, failures that leave nothing, and arriving steps."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,9 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="needs a step"):
         bad.write.format("rollouts").mode("append").option("path", path).save()
     assert sorted(p.name for p in (tmp_path / "r").iterdir() if p.name != "_jobs") == before and spark.read.format("rollouts").option("path", path).load().count() == 24
+    end = time.time() + 20  # tasks that run on when their job fails
+    while time.time() < end and [p for p in (tmp_path / "r/_jobs").rglob("*.jsonl")]:
+        time.sleep(0.2)
     assert not [p for p in (tmp_path / "r/_jobs").rglob("*.jsonl")]
 
 
