@@ -199,10 +199,10 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, id_col: str = "v
     are not kept. Shorter vectors count as padded with zeros. Rows that repeat an id are joined by it.
     An empty table gives no rows.
 
-    Plan: equal vectors are one node with a weight. Only (cell, vector) rows are shuffled, a fixed number per
-    vector; pairs are verified by matrix products inside the task, counted in the first table and cell in which
-    they meet, and leave it as one sum per row and a spanning forest. Cells with over ``BLOCK_ROWS`` rows, homes
-    or probes, are dealt as pairs of blocks.
+    Plan: equal vectors are one node with a weight. (cell, node) rows are shuffled first, a fixed number per
+    vector; only rows whose cell holds a home and one row more fetch their vectors. Pairs are verified by matrix
+    products inside the task, counted in the first table and cell in which they meet, and leave it as one sum per
+    row and a spanning forest. Cells with over ``BLOCK_ROWS`` rows, homes or probes, are dealt as pairs of blocks.
     """
     from pyspark.sql import types as T
 
@@ -221,34 +221,28 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE, id_col: str = "v
         x = x / np.abs(x).max(axis=1)[:, None]  # against overflow and underflow of the squares
         return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
-    def emit(keys_only: bool):
-        def run(it):
-            g = projections(dims, tables, blocks, seed)
-            for b in it:
-                for at in range(0, b.num_rows, 4096):
-                    part = b.slice(at, 4096)
-                    x = np.zeros((part.num_rows, dims))
-                    for i, v in enumerate(part.column(0)):
-                        v = v.values.to_numpy(zero_copy_only=False)
-                        x[i, : len(v)] = v
-                    u = unit(x)
-                    keys = np.stack([cells(u, g[t], t, SCALE, probes) for t in range(tables)], axis=1)
-                    m = len(x)
-                    vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()).cast(store), dims).cast(pa.list_(store))
-                    cell = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), tables * width).cast(pa.list_(pa.int64()))
-                    for t in range(tables):
-                        for p in range(width):
-                            base = [pa.array(keys[:, t, p]), pa.array(np.full(m, int(p > 0), dtype=np.int8))]
-                            names = ["key", "side"]
-                            if not keys_only:
-                                base += [part.column(1), pa.array(np.full(m, t, dtype=np.int32)), part.column(2), vec, cell]
-                                names += ["node", "t", "weight", "vec", "cells"]
-                            yield pa.RecordBatch.from_arrays(base, names)
-
-        return run
-
-    rows = members.mapInArrow(emit(False), f"key long, side byte, node long, t int, weight long, vec array<{spark_store}>, cells array<long>")
-    dealt = with_blocks(rows, members.mapInArrow(emit(True), "key long, side byte"), BLOCK_ROWS).repartition("key", "sub").sortWithinPartitions("key", "sub", "side")
+    def emit(it):
+        g = projections(dims, tables, blocks, seed)
+        for b in it:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                x = np.zeros((part.num_rows, dims))
+                for i, v in enumerate(part.column(0)):
+                    v = v.values.to_numpy(zero_copy_only=False)
+                    x[i, : len(v)] = v
+                u = unit(x)
+                keys = np.stack([cells(u, g[t], t, SCALE, probes) for t in range(tables)], axis=1)
+                vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()).cast(store), dims).cast(pa.list_(store))
+                cell = pa.FixedSizeListArray.from_arrays(pa.array(keys.reshape(-1)), tables * width).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), vec, cell], ["node", "weight", "vec", "cells"])
+
+    # projected once; what looks for company is (cell, node), without the vectors
+    hashed = materialize(members.mapInArrow(emit, f"node long, weight long, vec array<{spark_store}>, cells array<long>"), "lattice-cells")
+    rows = hashed.select("node", F.posexplode("cells").alias("at", "key")).select("key", "node", F.expr(f"int(at div {width})").alias("t"), (F.col("at") % width > 0).cast("byte").alias("side"))
+    home = F.count_if(F.col("side") == 0)
+    company = rows.groupBy("key").agg(home.alias("homes"), F.count("*").alias("n")).where("homes > 0 and n > 1").select("key")
+    met = materialize(rows.join(company, "key", "left_semi"), "lattice-met")
+    dealt = with_blocks(met, met.select("key", "side"), BLOCK_ROWS).join(hashed, "node").repartition("key", "sub").sortWithinPartitions("key", "sub", "side")
 
     def verify(it):
         for g in sorted_groups(it, ["key", "sub"], ["side", "node", "t", "weight", "vec", "cells"]):
