@@ -250,3 +250,30 @@ def page(rows: DataFrame, order: str, number: int, size: int) -> DataFrame:
 def score_order(rows: DataFrame, order: str, ascending: bool = False, columns: tuple[str, ...] = ("score", "score_1")) -> DataFrame:
     s = F.coalesce(*(F.col(c).cast("double") for c in columns if c in rows.columns), F.lit(0.0))
     return rows.orderBy(s.asc() if ascending else s.desc(), order)
+
+
+def word_count(text: Column) -> Column:
+    """Words between ASCII white space; null has none."""
+    return F.coalesce(F.size(F.filter(F.split(text, r"[ \t\n\r\x0b\x0c]+"), lambda x: x != "")), F.lit(0)).cast("long")
+
+
+def not_overlong(rows: DataFrame, length: Column, most: int, *, name: str = "length") -> DataFrame:
+    """Rows whose prompt has at most ``most`` units, with that length. Rows of unknown length go."""
+    return rows.withColumn(name, length).where(F.col(name) <= most)
+
+
+def group_members(rows: DataFrame, keys: list[str], ident: str, *, per_row: int = 1000) -> DataFrame:
+    """``keys, part, first, members, ids``: the sorted ids of every group, ``per_row`` a row in order of ``part``; first is
+    the group's smallest id, members its number of ids. Null keys are a group; rows without an id go.
+
+    Places come from ranges of (keys, id), so that a group of any size is many tasks and no array outgrows ``per_row``.
+    """
+    from .rows import dense_index
+
+    at = dense_index(rows.where(F.col(ident).isNotNull()).select(*keys, ident), *keys, ident, name="__at")
+    groups = at.groupBy(*keys).agg(F.min("__at").alias("__from"), F.min(ident).alias("first"), F.count("*").alias("members"))
+    g = groups.select(*(F.col(k).alias(f"__{k}") for k in keys), "__from", "first", "members")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    placed = at.join(g, same).withColumn("part", F.call_function("div", F.col("__at") - F.col("__from"), F.lit(per_row)))
+    parts = placed.groupBy(*keys, "part").agg(F.min("first").alias("first"), F.min("members").alias("members"), F.array_sort(F.collect_list(ident)).alias("ids"))
+    return parts.select(*keys, "part", "first", "members", "ids")

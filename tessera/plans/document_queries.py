@@ -25,7 +25,9 @@ def length_cdf(spark, d):
 
 @query("prompt_filter", "SELECT doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS words FROM documents WHERE words <= 256")
 def prompt_filter(spark, d):
-    return documents(spark, d).select("doc_id", F.size(F.filter(F.split("text", r"[ \t\n\r\x0b\x0c]+"), lambda x: x != "")).cast("long").alias("words")).where("words <= 256")
+    from ..operators.sampling import not_overlong, word_count
+
+    return not_overlong(documents(spark, d), word_count(F.col("text")), 256, name="words").select("doc_id", "words")
 
 
 @query("truncate_lengths", """
@@ -274,9 +276,14 @@ def rl_rows(spark, d):
     return r.select(F.col("extra_info.index").alias("doc_id"), F.col("prompt")[0]["content"].alias("question"), F.col("reward_model.ground_truth").alias("truth"), F.col("extra_info.split").alias("split"))
 
 
-@query("dedup_group", "SELECT lang, source, min(doc_id) AS first, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY 1, 2")
+@query("dedup_group", """
+WITH p AS (SELECT lang, source, doc_id, (row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) - 1) // 50 AS part, min(doc_id) OVER (PARTITION BY lang, source) AS first, count(*) OVER (PARTITION BY lang, source) AS members FROM documents)
+SELECT lang, source, part, min(first) AS first, min(members) AS members, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM p GROUP BY 1, 2, 3""")
 def dedup_group(spark, d):
-    g = documents(spark, d, "lang", "source", "doc_id").groupBy("lang", "source").agg(F.min("doc_id").alias("first"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    """The documents of a language and source, as rows that share an image: 50 ids a row."""
+    from ..operators.sampling import group_members
+
+    g = group_members(documents(spark, d, "lang", "source", "doc_id"), ["lang", "source"], "doc_id", per_row=50)
     return g.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
@@ -370,3 +377,39 @@ def template_llama2(spark, d):
     led = F.col("messages")[0]["role"] == "system"
     c = c.select("conv_id", F.when(led, F.col("messages")[0]["content"]).alias("sys"), F.when(led, F.slice("messages", F.lit(2), F.size("messages"))).otherwise(F.col("messages")).alias("b")).where((F.size("b") > 0) & (F.size("b") % 2 == 0))
     return c.select("conv_id", templates.one_turn(F.col("b"), "llama2", system=F.col("sys")).alias("p")).select("conv_id", "p.prompt", "p.response")
+
+
+def _prompt_sql(kind: str, text: str, names: str = "''") -> str:
+    """A tool prompt as SQL, with SQL for the text of the tools and their names."""
+    from ..operators.tool_prompts import PROMPTS
+
+    whole = "'" + PROMPTS[kind].replace("'", "''") + "'"
+    for slot, value in (("tool_text", text), ("tool_names", names), ("date", "'09 Mar 2024'")):
+        whole = whole.replace("{" + slot + "}", f"' || {value} || '")
+    return whole
+
+
+_ARGS = """'{"query": {"type": "string", "description": ' || q || '}, "langs": {"type": "array", "enum": ["' || lang || '", "xx"], "items": {"type": "string"}}}'"""
+_FIND = f"""'{{"name": "find_' || lang || '", "description": ' || q || ', "parameters": {{"type": "object", "properties": ' || {_ARGS} || ', "required": ["query"]}}}}'"""
+_PING = """'{"name": "ping", "parameters": {"type": "object", "properties": {}}}'"""
+_WRAP = lambda x: f"""'{{"type": "function", "function": ' || {x} || '}}'"""
+_WORDS = """'> Tool Name: find_' || lang || chr(10) || 'Tool Description: ' || text || chr(10) || 'Tool Args:' || chr(10) || '  - query (string, required): ' || text || chr(10) || '  - langs (array): , should be one of [' || lang || ', xx], where each item should be string' || chr(10) || chr(10) || '> Tool Name: ping' || chr(10) || 'Tool Description: ' || chr(10) || 'Tool Args:' || chr(10) || chr(10)"""
+
+
+@query("tool_prompts", f"""
+WITH t AS (SELECT doc_id, lang, text, CAST(to_json(text) AS VARCHAR) AS q FROM documents)
+SELECT doc_id, 'default' AS kind, {_prompt_sql("default", _WORDS, "'find_' || lang || ', ping'")} AS prompt FROM t
+UNION ALL SELECT doc_id, 'mistral', {_prompt_sql("mistral", f"'[' || {_WRAP(_FIND)} || ', ' || {_WRAP(_PING)} || ']'")} FROM t
+UNION ALL SELECT doc_id, 'qwen', {_prompt_sql("qwen", f"chr(10) || {_WRAP(_FIND)} || chr(10) || {_WRAP(_PING)}")} FROM t
+UNION ALL SELECT doc_id, 'seed_oss', {_prompt_sql("seed_oss", f"chr(10) || '[' || {_FIND} || ', ' || {_PING} || ']'")} FROM t""")
+def tool_prompts(spark, d):
+    """Two tools a document, one described by its whole text, in four formats."""
+    from ..operators.tool_prompts import PARAMETER, TOOL, tool_prompt
+
+    none = F.lit(None)
+    parameter = lambda name, kind, *more: F.struct(F.lit(name), F.lit(kind), *more).cast(PARAMETER)
+    find = F.struct(F.concat(F.lit("find_"), "lang").alias("name"), F.col("text").alias("description"), F.array(parameter("query", "string", F.col("text"), F.lit(True), none.cast("array<string>"), none.cast("string")), parameter("langs", "array", none.cast("string"), none.cast("boolean"), F.array(F.col("lang"), F.lit("xx")), F.lit("string"))).alias("parameters"))
+    tools_of = F.array(*(x.cast(TOOL) for x in (find, F.struct(F.lit("ping"), none.cast("string"), none.cast(f"array<{PARAMETER}>")))))
+    rows = documents(spark, d).select("doc_id", tools_of.alias("tools"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), tool_prompt(F.col("tools"), k).alias("prompt")) for k in ("default", "mistral", "qwen", "seed_oss")))
+    return rows.select("doc_id", F.inline(kinds))

@@ -37,11 +37,16 @@ def test_every_family_holds_the_content_once(spark):
     ("llama2", "<s>[INST] Hi [/INST]", "Yo</s>"), ("mistral", "<s>[INST] Hi[/INST]", " Yo</s>"), ("falcon", "User: Hi\nFalcon:", "Yo\n"), ("glm4", "[gMASK]<sop><|user|>\nHi<|assistant|>", "\nYo"), ("olmo", "</s><|user|>\nHi<|assistant|>\n", "Yo</s>"),
     ("qwen", "<|im_start|>system\nYou are Qwen, created by Alibaba Cloud. You are a helpful assistant.<|im_end|>\n<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\n", "Yo<|im_end|>\n"),
     ("qwen3", "<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\n<think>\n\n</think>\n\n", "Yo<|im_end|>\n"), ("baichuan2", "<reserved_106>Hi<reserved_107>", "Yo"),
+    ("ziya", "<human>:Hi\n<bot>:", "Yo\n"), ("bluelm", "[|Human|]:Hi[|AI|]:", "Yo</s>"), ("mistral_small", "<s>[INST]Hi[/INST]", "Yo</s>"), ("seed_oss", "<s>user\nHi</s><s>assistant\n<seed:think></seed:think>", "Yo</s>"),
 ])
 def test_texts(spark, name, source, target):
     assert pairs(spark, name, [("user", "Hi"), ("assistant", "Yo")]) == [(source, target)]
 
 
+def test_rounds_are_numbered(spark):
+    assert [s for s, _ in pairs(spark, "chatglm2", TALK)] == ["[gMASK]sop[Round 0]\n\n问：q0\n\n答：", "[Round 1]\n\n问：q1\n\n答："]
+
+
 def test_system_is_fused(spark):
     ((source, _),) = pairs(spark, "llama2", [("user", "Hi"), ("assistant", "Yo")], system=F.lit("S"), tools=F.lit("T"))
     assert source == "<s>[INST] <<SYS>>\nST\n<</SYS>>\n\nHi [/INST]"
