@@ -34,16 +34,39 @@ def majority(samples: DataFrame, keys: list[str], order: str, vote: str, value:
     return votes.groupBy(*keys).agg(F.min_by(F.struct(F.col(vote).alias("vote"), "votes", "vote_value"), F.struct(-F.col("votes"), "first")).alias("w")).select(*keys, "w.*")
 
 
+#: Positions drawn at once by a task; more draws come block by block from the same sequence.
+DRAWS = 4_000_000
+
+
 @functools.lru_cache(maxsize=64)
-def _draws(n: int, k: int, repeats: int, seed: int) -> np.ndarray:
-    return np.random.RandomState(seed).choice(n, size=(repeats, k), replace=True) if n else np.zeros((repeats, k), dtype=int)
+def _kept(n: int, k: int, repeats: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).choice(n, size=(repeats, k), replace=True)
+
+
+def _extremes(x: np.ndarray, k: int, repeats: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Largest and smallest value of each resample of k. Small position tables are kept for further groups of the
+    same size; large ones are drawn in blocks of rows, which continue one sequence, so that memory is bounded."""
+    n = len(x)
+    if repeats * k <= DRAWS // 64:
+        got = x[_kept(n, k, repeats, seed)]
+        return got.max(axis=1), got.min(axis=1)
+    source, high, low = np.random.RandomState(seed), np.full(repeats, -np.inf), np.full(repeats, np.inf)
+    rows, width = max(1, DRAWS // k), min(k, DRAWS)
+    for r in range(0, repeats, rows):
+        m = min(rows, repeats - r)
+        for c in range(0, k, width):  # one row at a time where a row alone is larger
+            got = x[source.choice(n, size=(m, min(width, k - c)), replace=True)]
+            np.maximum(high[r : r + m], got.max(axis=1), out=high[r : r + m])
+            np.minimum(low[r : r + m], got.min(axis=1), out=low[r : r + m])
+    return high, low
 
 
 def bootstrap_best(samples: DataFrame, keys: list[str], order: str, value: str, *, repeats: int = 1000, seed: int = 42) -> DataFrame:
     """``keys, k, best_mean, best_std, worst_mean, worst_std`` for k = 2, 4, 8, ... below n, and n itself.
 
-    The resampled positions depend only on (n, k, seed), so they are drawn once per (n, k) in a worker and
-    applied to the group's ordered values; groups of one value give no rows.
+    The resampled positions depend only on (n, k, seed); small tables of them are drawn once per (n, k) in a worker,
+    large ones block by block, so that a task holds a group's values and ``DRAWS`` positions. Groups of one value give
+    no rows.
     """
     g = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s")).select(*keys, F.col("s.v").alias("values"))
     kinds = {c: t for c, t in g.dtypes}
@@ -58,8 +81,7 @@ def bootstrap_best(samples: DataFrame, keys: list[str], order: str, value: str,
                     ks.append(k)
                     k *= 2
                 for k in [*ks, n] if n > 1 else []:
-                    got = x[_draws(n, k, repeats, seed)]
-                    hi, lo = got.max(axis=1), got.min(axis=1)
+                    hi, lo = _extremes(x, k, repeats, seed)
                     rows.append((*r[:-1], k, hi.mean(), hi.std(), lo.mean(), lo.std()))
             import pandas as pd
 

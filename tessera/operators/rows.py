@@ -29,6 +29,12 @@ def dense_index(df: DataFrame, *order: str, name: str = "row", rows_per_bucket:
     return dealt.withColumn("__part", part).join(offsets, "__part").select(*df.columns, (F.col("__before") + place).cast("long").alias(name))
 
 
-def restored(rows: DataFrame, origin: str, name: str = "row") -> DataFrame:
-    """Rows of a permuted table at their former positions: ``origin`` holds the permutation, its inverse is applied."""
-    return rows.withColumn(name, F.col(origin).cast("long"))
+def restored(results: DataFrame, permutation: DataFrame, *, place: str = "place", origin: str = "origin", name: str = "row") -> DataFrame:
+    """Results that were worked out in a permuted order, each with its former position.
+
+    ``results`` has one row a ``place`` of the permuted order, ``permutation`` (place, origin) its former position: the
+    inverse is a join on the place, so results need not carry anything of their origin. Places without a result give
+    no row; a place that the permutation lacks is an error of the caller and gives none either.
+    """
+    back = permutation.select(F.col(place).alias("__place"), F.col(origin).cast("long").alias(name))
+    return results.join(back, F.col(place) == F.col("__place")).drop("__place")

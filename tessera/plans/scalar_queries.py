@@ -131,14 +131,19 @@ def media_mismatch(spark, d):
     return c.select("conv_id", "turn", convert.media_mismatch(F.array(convert.message("user", text_)), F.array(F.lit("a.png"))).alias("mismatch"))
 
 
-@query("restore_order", "SELECT doc_id, row_number() OVER (ORDER BY n_chars % 97, doc_id) - 1 AS place, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents")
+@query("restore_order", """
+WITH p AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars % 97, doc_id) - 1 AS place, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents)
+SELECT row, place, doc_id, n_chars + place AS result FROM p""")
 def restore_order(spark, d):
-    """Rows dealt in another order (by length modulo 97) and put back by the inverse of that permutation."""
+    """Rows dealt in another order (by length modulo 97); results of the dealt order, which know their place only, are
+    put back by the inverse of the permutation and meet the rows of the former order again."""
     from ..operators.rows import dense_index, restored
 
-    docs = dense_index(table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 97).alias("h")), "doc_id", name="origin")
-    dealt = dense_index(docs, "h", "doc_id", name="place").select("doc_id", "place", "origin")
-    return restored(dealt, "origin").select("doc_id", "place", "row")
+    docs = dense_index(table(spark, d, "documents").select("doc_id", "n_chars", (F.col("n_chars") % 97).alias("h")), "doc_id", name="origin")
+    dealt = dense_index(docs, "h", "doc_id", name="place")
+    results = dealt.select("place", (F.col("n_chars") + F.col("place")).alias("result"))
+    back = restored(results, dealt.select("place", "origin"))
+    return back.join(docs.select(F.col("origin").alias("row"), "doc_id"), "row").select("row", "place", "doc_id", "result")
 
 
 @query("preference_blocks", "WITH l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id, quality, toxic) - 1 AS r, count(*) OVER () AS n FROM labels) SELECT doc_id, 'chosen' AS kind, r AS place FROM l UNION ALL SELECT doc_id, 'rejected', r + n FROM l")

@@ -68,3 +68,26 @@ def test_sampling(spark):
     assert sum(r["count"] for r in s) == 23 and {r["count"] for r in s} == {2, 3}
     parts = [spark.range(4).withColumnRenamed("id", "row"), spark.range(2).withColumnRenamed("id", "row")]
     assert sampling.interleave(parts, "row").count() == 4 and sampling.interleave(parts, "row", stop="all").count() == 8
+
+
+def test_bootstrap_in_blocks_draws_the_same(monkeypatch):
+    """Blocks of rows, and of columns of a single row, continue the sequence of one call."""
+    x = np.random.default_rng(1).normal(size=977)
+    want = x[np.random.RandomState(42).choice(977, size=(60, 500), replace=True)]
+    for bound in (10**9, 30_000, 7_000, 1_700, 333):
+        monkeypatch.setattr(metrics, "DRAWS", bound)
+        high, low = metrics._extremes(x, 500, 60, 42)
+        assert (high == want.max(axis=1)).all() and (low == want.min(axis=1)).all(), bound
+
+
+def test_members_of_a_hot_group(spark):
+    rows = spark.range(700).selectExpr("IF(id % 7 = 0, NULL, IF(id < 600, 'hot', 'cold')) AS k", "id % 3 AS j", "IF(id = 5, NULL, id) AS i")
+    got = sampling.group_members(rows, ["k", "j"], "i", per_row=32).collect()
+    want = {}
+    for r in rows.collect():
+        if r.i is not None:
+            want.setdefault((r.k, r.j), []).append(r.i)
+    assert all(len(r.ids) <= 32 for r in got)
+    for key, ids in want.items():
+        mine = sorted((r for r in got if (r.k, r.j) == key), key=lambda r: r.part)
+        assert sum((r.ids for r in mine), []) == sorted(ids) and {(r.first, r.members) for r in mine} == {(min(ids), len(ids))} and [r.part for r in mine] == list(range(len(mine)))
