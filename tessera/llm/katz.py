@@ -12,8 +12,9 @@ of a slice (its training count is pre-aggregated, held-out n-grams ask with coun
 context. Bucket tasks add the counts of all slices and answer each slice in the order of its request: the count,
 and per context the total, the numbers of types seen 1, 2, ... times and the lower-order mass of its types. The
 next order's entries carry their suffix's count, so that every bucket can sum lower-order probabilities by itself.
-The slices evaluate the recursion per token. A context that makes up over 1/4096 of the tokens has its words dealt
-over all buckets and its sums added afterwards; there are at most 4096 such contexts an order, whatever the corpus.
+The slices evaluate the recursion per token. A context that makes up over 1/4096 of the tokens, or over a quarter of a
+bucket where there are many buckets, has its words dealt over all buckets and its sums added afterwards; there are at
+most 65,536 such contexts an order, whatever the corpus.
 
 The merged counts are the model. They are kept as Parquet tables by order and bucket (``save_to``) and score other
 texts later (``model``). Words are told apart by their XXH64; n-grams by the numbers that the count tables give
@@ -41,12 +42,16 @@ from .util import as_bytes, bucket_count, filesystem, fresh_path, materialize, p
 ORDER = 3
 SLICE_TOKENS = 1_000_000
 BUCKET_BYTES = 8 << 20
-HOT_SHARE = 4096
+#: A context that makes up over 1/HOT_SHARE of the tokens is hot, or over a quarter of a bucket's share where there are
+#: more buckets, down to 1/HOT_MOST: the bound on the table of hot contexts.
+HOT_SHARE, HOT_MOST = 4096, 65_536
+#: Partitions of an exchange; more buckets or slices than these share them, one after the other.
+PARTITIONS = 16_384
 #: Counts up to CUTOFF are discounted.
 CUTOFF = 5
 BEGIN, END = 0, 1
 _R = [f"n{r}" for r in range(1, CUTOFF + 2)]
-_REQUEST = "bucket long, slice_id long, path string, blob binary"
+_REQUEST = "bucket long, slice_id long, blob binary"
 _STORED = -1
 
 
@@ -222,6 +227,15 @@ class _Slice:
             below = self.levels[-1].of
 
 
+def hot_share(buckets: int) -> int:
+    """Contexts with at least one of this many parts of the tokens are dealt over all buckets."""
+    return max(HOT_SHARE, min(HOT_MOST, 4 * buckets))
+
+
+def _slice_path(folder: str, slice_id: int) -> str:
+    return f"{folder}/slice-{slice_id >> 20:06d}-{slice_id & 0xFFFFF:05d}"
+
+
 class _Recursion:
     """A slice's probabilities, order by order, from the answers to its requests."""
 
@@ -242,7 +256,7 @@ class _Recursion:
         others of its suffix, and the n-grams in request order with their buckets."""
         v = self.s.levels[k - 2]
         context = self.columns
-        hot_context = self.c * HOT_SHARE >= max(self.tokens, 1)
+        hot_context = self.c * hot_share(self.buckets) >= max(self.tokens, 1)
         if k == 2:
             hot_context[BEGIN] = True
         suffix = np.zeros(len(context[0]), dtype=np.uint64)
@@ -286,12 +300,12 @@ class _Recursion:
         self.log[reached] = np.log10(p)[v.of[reached]]
 
 
-def _slice_documents(folder: str, buckets: int, held_out):
+def _slice_documents(folder: str, buckets: int, slice_tokens: int, held_out):
     """Arrow function: documents to unigram requests; writes the slice files."""
 
     def flush(state, k):
-        part = TaskContext.get().partitionId()
-        path = f"{folder}/slice-{part:06d}-{k:05d}"
+        slice_id = (TaskContext.get().partitionId() << 20) + k
+        path = _slice_path(folder, slice_id)
         words, docs = state
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
         flag = lambda x: np.array(x, dtype=np.int64)
@@ -301,7 +315,7 @@ def _slice_documents(folder: str, buckets: int, held_out):
         _save(path, _pack(np.concatenate([s for _, s in docs]), order, _steps(b), flag([len(s) for _, s in docs]), flag([d or 0 for d, _ in docs]), flag([d is not None for d, _ in docs]), flag([held_out(d) for d, _ in docs])))
         s = _Slice(path)
         rows = [(bucket, _pack(hashes[order[at]], s.n_words[order[at]])) for bucket, at in _blobs(b, buckets)]
-        return _rows(rows, (part << 20) + k, path)
+        return _rows(rows, slice_id)
 
     def fresh():
         words: dict = defaultdict()
@@ -317,7 +331,7 @@ def _slice_documents(folder: str, buckets: int, held_out):
                 found.append(b" end")
                 state[1].append((d, np.fromiter(map(state[0].__getitem__, found), dtype=np.int32, count=len(found))))
                 n += len(found)
-                if n >= SLICE_TOKENS:
+                if n >= slice_tokens:
                     yield flush(state, k)
                     state, n, k = fresh(), 0, k + 1
         if state[1]:
@@ -326,9 +340,8 @@ def _slice_documents(folder: str, buckets: int, held_out):
     return run
 
 
-def _rows(rows: list[tuple[int, bytes]], slice_id: int, path: str) -> pa.RecordBatch:
-    n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([slice_id] * n, pa.int64()), pa.array([path] * n, pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "slice_id", "path", "blob"])
+def _rows(rows: list[tuple[int, bytes]], slice_id: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([slice_id] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "slice_id", "blob"])
 
 
 def _sorted_rows(t: pa.Table, *by: str) -> list[dict]:
@@ -357,12 +370,12 @@ def _count_words(buckets: int, keep: bool):
             mine = number[at : at + len(p[0])]
             at += len(p[0])
             if r["slice_id"] != _STORED:
-                out.append((r["slice_id"], r["path"], r["bucket"], _pack(ids[mine], c[mine]), *[0] * len(sums)))
+                out.append((r["slice_id"], r["bucket"], _pack(ids[mine], c[mine]), *[0] * len(sums)))
         known = np.flatnonzero(c)
-        out.append((_STORED, None, rows[0]["bucket"], _pack(key[known], c[known]) if keep else None, *sums))
+        out.append((_STORED, rows[0]["bucket"], _pack(key[known], c[known]) if keep else None, *sums))
         cols = list(zip(*out, strict=True))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), *[pa.int64()] * len(sums)]
-        return pa.table([pa.array(x, y) for x, y in zip(cols, kinds, strict=True)], names=["slice_id", "path", "bucket", "blob", "types", "tokens", *_R])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * len(sums)]
+        return pa.table([pa.array(x, y) for x, y in zip(cols, kinds, strict=True)], names=["slice_id", "bucket", "blob", "types", "tokens", *_R])
 
     return run
 
@@ -374,12 +387,12 @@ def _answers(rows: list[dict]) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def _request(k: int, uni: Unigrams, levels: list, buckets: int):
+def _request(k: int, folder: str, uni: Unigrams, levels: list, buckets: int):
     """A slice's answers so far to its requests of order k."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        s = _Slice(rows[0]["path"], k)
+        s = _Slice(_slice_path(folder, rows[0]["slice_id"]), k)
         so_far = _Recursion(s, _answers(rows), uni, levels, buckets)
         v = s.levels[k - 2]
         context, hot, alone, order, b = so_far.request(k)
@@ -392,7 +405,7 @@ def _request(k: int, uni: Unigrams, levels: list, buckets: int):
             den = np.where(alone[v.ctx[head]], so_far.den[v.suffix[head]], 0)
             low = np.where(alone[v.ctx[mine]], so_far.c[v.suffix[mine]], 0)
             out.append((bucket, _pack(*(_steps(x[v.ctx[head]]) for x in context), hot[v.ctx[head]], length, den, so_far.ids[v.word[mine]], v.n[mine], low)))
-        return pa.Table.from_batches([_rows(out, rows[0]["slice_id"], rows[0]["path"])])
+        return pa.Table.from_batches([_rows(out, rows[0]["slice_id"])])
 
     return run
 
@@ -442,29 +455,29 @@ def _count(k: int, d_low: np.ndarray, keep: bool):
             # the lower-order mass is of use only where the slice backs off
             off = np.add.reduceat(c[mine] == 0, np.cumsum(p[k]) - p[k]) > 0
             seen = np.where(off, sums.seen[heads], 0.0)[cold]
-            out.append((r["slice_id"], r["path"], r["bucket"], _pack(c[mine], seen, *(sums.m[heads, x][cold] for x in range(CUTOFF))), *none, *[0] * len(_R)))
+            out.append((r["slice_id"], r["bucket"], _pack(c[mine], seen, *(sums.m[heads, x][cold] for x in range(CUTOFF))), *none, *[0] * len(_R)))
         for h in np.flatnonzero(hot[ctx_first]):
-            out.append((None, None, None, None, [int(x[ctx_first[h]]) for x in context], int(sums.total[h]), float(sums.seen[h]), [int(x) for x in sums.m[h]], *[0] * len(_R)))
+            out.append((None, None, None, [int(x[ctx_first[h]]) for x in context], int(sums.total[h]), float(sums.seen[h]), [int(x) for x in sums.m[h]], *[0] * len(_R)))
         blob = None
         if keep:
             known = np.flatnonzero(c)
             start, length = _runs(of[known])
             head = ctx_first[of[known][start]]
             blob = _pack(*(_steps(x[head]) for x in context), hot[head], length, np.where(shared, 0, den)[of[known][start]], word[first[known]], c[known], np.where(shared[of], 0, low)[known])
-        out.append((_STORED, None, rows[0]["bucket"], blob, *none, *_by_count(c)))
+        out.append((_STORED, rows[0]["bucket"], blob, *none, *_by_count(c)))
         cols = list(zip(*out, strict=True))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * len(_R)]
-        return pa.table([pa.array(x, y) for x, y in zip(cols, kinds, strict=True)], names=["slice_id", "path", "bucket", "blob", "hot", "total", "seen", "m", *_R])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.float64(), pa.list_(pa.int64()), *[pa.int64()] * len(_R)]
+        return pa.table([pa.array(x, y) for x, y in zip(cols, kinds, strict=True)], names=["slice_id", "bucket", "blob", "hot", "total", "seen", "m", *_R])
 
     return run
 
 
-def _score_slice(uni: Unigrams, levels: list, buckets: int):
+def _score_slice(folder: str, uni: Unigrams, levels: list, buckets: int):
     """A slice's answers to one row per document."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        s = _Slice(rows[0]["path"], len(levels) + 1)
+        s = _Slice(_slice_path(folder, rows[0]["slice_id"]), len(levels) + 1)
         r = _Recursion(s, _answers(rows), uni, levels, buckets)
         base = np.log10((r.c1 + 1) / (uni.tokens + uni.types + 1))
         add = lambda x: np.add.reduceat(x, s.starts)  # noqa: E731  every document has at least its end token
@@ -473,7 +486,7 @@ def _score_slice(uni: Unigrams, levels: list, buckets: int):
     return run
 
 
-def score_texts(docs: DataFrame, *, order: int = ORDER, mod: int = 7, rest: int = 2, model: str | None = None, save_to: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, *, order: int = ORDER, mod: int = 7, rest: int = 2, model: str | None = None, save_to: str | None = None, slice_tokens: int | None = None, bucket_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The model learns from rows whose crc32(id as text) mod ``mod`` is not ``rest``; held_out marks the others
@@ -486,7 +499,10 @@ def score_texts(docs: DataFrame, *, order: int = ORDER, mod: int = 7, rest: int
     10**9 distinct words, 3 % chance that any two do). Counts are 64-bit.
 
     Shuffled entries follow the number of distinct n-grams of a slice; they are packed in one row per slice and
-    bucket with entries. Buckets are of about ``BUCKET_BYTES`` of text at every size.
+    bucket with entries. Buckets are of about ``bucket_bytes`` of text (``BUCKET_BYTES``) at every size, slices of
+    ``slice_tokens`` (``SLICE_TOKENS``); a row holds about 0.6 * slice_tokens * bucket_bytes / (bytes of all texts)
+    n-grams. Where that falls below some 100, beyond about 50 GB, give larger ones as the executors' memory allows: a
+    task holds a slice, or a bucket. An exchange has at most ``PARTITIONS`` partitions.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -495,7 +511,7 @@ def score_texts(docs: DataFrame, *, order: int = ORDER, mod: int = 7, rest: int
         buckets, order = meta["buckets"], meta["order"]
         held_out = lambda d: True
     else:
-        buckets = bucket_count(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, BUCKET_BYTES)
+        buckets = bucket_count(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, bucket_bytes or BUCKET_BYTES)
         held_out = lambda d: d is not None and zlib.crc32(str(d).encode()) % mod == rest
     counts = ", ".join(f"{x} long" for x in _R)
     keep = save_to is not None
@@ -503,13 +519,14 @@ def score_texts(docs: DataFrame, *, order: int = ORDER, mod: int = 7, rest: int
     def counted(k: int, requests: DataFrame, count, schema: str) -> DataFrame:
         """Requests (with the stored table, if there is one) to answers, written; the table is kept on demand."""
         if model is not None and path_exists(spark, f"{model}/order={k}"):
-            requests = requests.unionByName(spark.read.parquet(f"{model}/order={k}").select("bucket", F.lit(_STORED).cast("long").alias("slice_id"), F.lit(None).cast("string").alias("path"), "blob"))
-        found = materialize(requests.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, f"slice_id long, path string, bucket long, blob binary, {schema}{counts}"), f"katz-{k}")
+            requests = requests.unionByName(spark.read.parquet(f"{model}/order={k}").select("bucket", F.lit(_STORED).cast("long").alias("slice_id"), "blob"))
+        found = materialize(requests.repartition(min(buckets, PARTITIONS), "bucket").groupBy("bucket").applyInArrow(count, f"slice_id long, bucket long, blob binary, {schema}{counts}"), f"katz-{k}")
         if keep:
             found.where(f"slice_id = {_STORED}").select("bucket", "blob").write.parquet(f"{save_to}/order={k}")
         return found
 
-    asked = rows.mapInArrow(_slice_documents(fresh_path(spark, "katz-slices"), buckets, held_out), _REQUEST)
+    folder = fresh_path(spark, "katz-slices")
+    asked = rows.mapInArrow(_slice_documents(folder, buckets, slice_tokens or SLICE_TOKENS, held_out), _REQUEST)
     found = [counted(1, asked, _count_words(buckets, keep), "types long, tokens long, ")]
     s = found[0].agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tokens", "types", *_R))).first()
     uni = Unigrams(int(s["tokens"]), int(s["types"]), [int(s[x]) for x in _R])
@@ -517,22 +534,22 @@ def score_texts(docs: DataFrame, *, order: int = ORDER, mod: int = 7, rest: int
     slices = max(1, found[0].where("slice_id >= 0").select("slice_id").distinct().count())
 
     def by_slice() -> DataFrame:
-        union = found[0].select("slice_id", "path", "bucket", "blob", F.lit(1).alias("level"))
+        union = found[0].select("slice_id", "bucket", "blob", F.lit(1).alias("level"))
         for k, f in enumerate(found[1:], 2):
-            union = union.unionByName(f.select("slice_id", "path", "bucket", "blob", F.lit(k).alias("level")))
-        return union.where("slice_id >= 0").repartition(slices, "slice_id").groupBy("slice_id")
+            union = union.unionByName(f.select("slice_id", "bucket", "blob", F.lit(k).alias("level")))
+        return union.where("slice_id >= 0").repartition(min(slices, PARTITIONS), "slice_id").groupBy("slice_id")
 
     levels: list[tuple[np.ndarray, dict]] = []
     for k in range(2, order + 1):
-        asked = by_slice().applyInArrow(_request(k, uni, levels, buckets), _REQUEST)
+        asked = by_slice().applyInArrow(_request(k, folder, uni, levels, buckets), _REQUEST)
         found.append(counted(k, asked, _count(k, levels[-1][0] if levels else uni.d, keep), "hot array<long>, total long, seen double, m array<long>, "))
         n = found[-1].agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in _R)).first()
-        # At most HOT_SHARE contexts hold 1 / HOT_SHARE of the tokens each, and the begin mark: the bound on this table.
+        # At most hot_share(buckets) contexts hold that part of the tokens each, and the begin mark: this table's bound.
         sums = found[-1].where("hot is not null").groupBy("hot").agg(F.sum("total").alias("total"), F.sum("seen").alias("seen"), *(F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(CUTOFF))).collect()
         levels.append((discounts([int(n[x]) for x in _R]), {tuple(r["hot"]): (r["total"], r["seen"], [r[f"m{i}"] for i in range(CUTOFF)]) for r in sums}))
     if keep:
         spark.createDataFrame([(buckets, order)], "buckets long, order long").coalesce(1).write.parquet(f"{save_to}/meta")
-    return by_slice().applyInArrow(_score_slice(uni, levels, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return by_slice().applyInArrow(_score_slice(folder, uni, levels, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,18 @@ def test_every_occurrence_draws_its_own_skips():
     assert drop.decode(np.frombuffer(drop.encode(text, 3), dtype="<u4").tolist()) == text
 
 
+def test_katz_with_few_and_many_buckets(spark, monkeypatch):
+    """Buckets and slices that share partitions, and contexts that are hot for many buckets only, change no score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    monkeypatch.setattr(katz, "PARTITIONS", 5)
+    monkeypatch.setattr(katz, "HOT_SHARE", 16)
+    few, many = ({r.doc_id: r for r in katz.score_texts(docs, slice_tokens=3000, bucket_bytes=-(-size // n)).collect()} for n in (3, 200))
+    assert few.keys() == many.keys() and katz.hot_share(3) == 16 and katz.hot_share(200) == 800 and katz.hot_share(10**9) == katz.HOT_MOST
+    for k, r in few.items():
+        assert r[1:6] == many[k][1:6] and abs(r.score - many[k].score) <= 1e-9 * max(1, abs(r.score))
+
+
 def test_katz(spark, monkeypatch):
     monkeypatch.setattr(katz, "SLICE_TOKENS", 5000)
     monkeypatch.setattr(katz, "HOT_SHARE", 64)
@@ -358,12 +370,12 @@ def test_katz_counts_are_64_bit():
 
     many = 2**32 + 5
     blob = katz._pack(np.array([7, 9]), np.array([many, 2**33]))
-    t = pa.table({"bucket": [0, 0], "slice_id": [0, 1], "path": ["a", "b"], "blob": [blob, blob]})
+    t = pa.table({"bucket": [0, 0], "slice_id": [0, 1], "blob": [blob, blob]})
     out = katz._count_words(4, True)(t).to_pylist()
     assert katz._unpack(out[0]["blob"])[1].tolist() == [2 * many, 2**34] and out[-1]["tokens"] == 2 * many + 2**34
     assert katz._unpack(out[-1]["blob"])[1].tolist() == [2 * many, 2**34]
     blob = katz._pack(katz._steps(np.array([2**40, 3])), np.array([0, 1]), np.array([1, 2]), np.array([2**41, 2**41]), np.array([5, 5, 2**35]), np.array([many, 1, 2]), np.array([2**39, 2**39, 4]))
-    t = pa.table({"bucket": [0, 0], "slice_id": [0, 1], "path": ["a", "b"], "blob": [blob, blob]})
+    t = pa.table({"bucket": [0, 0], "slice_id": [0, 1], "blob": [blob, blob]})
     out = katz._count(2, np.ones(7), False)(t).to_pylist()
     c, seen, *m = katz._unpack(out[0]["blob"])
     assert c.tolist() == [2 * many, 2, 4] and [r["total"] for r in out if r["hot"]] == [6]
