@@ -180,36 +180,67 @@ def passages(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.passages_text(F.array("text")).alias("shown"))
 
 
-@query("described_tools", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'flip_horizontal,crop' WHEN 1 THEN 'flip_vertical' ELSE '' END AS used, CASE WHEN p_size % 3 = 0 THEN p_size * 1.0::DOUBLE END AS x1 FROM part")
+@query("described_tools", r"""
+WITH s AS (SELECT p_partkey, p_name || CASE p_size % 6 WHEN 0 THEN ': Mirror horizontally, then CROP [' || p_size || ', 2, 30.5, 40]' WHEN 1 THEN ' vertical flip of ' || p_type WHEN 2 THEN ' crop (' || p_size || ',' || p_partkey || ' , 3, 4) or [1, 2, 3]' WHEN 3 THEN ' FLIP it, Horizontal and vertical, no box [1, 2, x, 4]' WHEN 4 THEN ' crops [1.2.3, 2, 3, 4] and (1, 2, 3, 4)' ELSE p_type END AS s FROM part),
+t AS (SELECT p_partkey, lower(s) AS low, regexp_extract_all(s, '\[\s*-?[\d.]+\s*,\s*-?[\d.]+\s*,\s*-?[\d.]+\s*,\s*-?[\d.]+\s*\]')[1] AS square, regexp_extract_all(s, '\(\s*-?[\d.]+\s*,\s*-?[\d.]+\s*,\s*-?[\d.]+\s*,\s*-?[\d.]+\s*\)')[1] AS curved FROM s),
+n AS (SELECT *, list_transform(regexp_extract_all(coalesce(square, curved), '-?[\d.]+'), lambda x: TRY_CAST(x AS DOUBLE)) AS box FROM t)
+SELECT p_partkey, concat_ws(',', CASE WHEN contains(low, 'horizontal') AND (contains(low, 'flip') OR contains(low, 'mirror')) THEN 'flip_horizontal' END, CASE WHEN contains(low, 'vertical') AND contains(low, 'flip') THEN 'flip_vertical' END, CASE WHEN contains(low, 'crop') THEN 'crop' END) AS used,
+ CASE WHEN list_count(box) = 4 THEN box[1] END AS x1, CASE WHEN list_count(box) = 4 THEN box[2] END AS y1, CASE WHEN list_count(box) = 4 THEN box[3] END AS x2 FROM n""")
 def described_tools(spark, d):
-    k, n = F.col("p_size") % 3, F.col("p_size").cast("string")
-    s = F.when(k == 0, F.concat(F.lit("Mirror horizontally, then CROP ["), n, F.lit(", 2, 30.5, 40]"))).when(k == 1, "vertical flip").otherwise("nothing")
-    return table(spark, d, "part").select("p_partkey", F.array_join(tools.described_transforms(s), ",").alias("used"), tools.described_box(s)[0].alias("x1"))
-
-
-@query("planner_contract", """
-WITH k AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, n_chars % 6 AS k FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN t = '' THEN 'answer is empty' END WHEN 1 THEN 'answer and suggestions' WHEN 2 THEN 'unknown mode' WHEN 4 THEN CASE WHEN t = '' THEN 'answer is empty' END WHEN 5 THEN 'neither answer nor suggestions' END AS error,
-CASE WHEN k IN (0, 4) AND t <> '' THEN t END AS answer, CASE WHEN k = 3 THEN 2 ELSE 0 END AS suggestions, CASE WHEN k IN (0, 4) AND t <> '' THEN true WHEN k = 3 THEN false END AS can_answer_now FROM k""")
+    """Descriptions around the parts' names and types: transforms named in them, boxes in either bracket, and none."""
+    k, n = F.col("p_size") % 6, F.col("p_size").cast("string")
+    s = F.when(k == 0, F.concat(F.lit(": Mirror horizontally, then CROP ["), n, F.lit(", 2, 30.5, 40]"))).when(k == 1, F.concat(F.lit(" vertical flip of "), "p_type")).when(k == 2, F.concat(F.lit(" crop ("), n, F.lit(","), F.col("p_partkey").cast("string"), F.lit(" , 3, 4) or [1, 2, 3]")))
+    s = F.concat("p_name", s.when(k == 3, " FLIP it, Horizontal and vertical, no box [1, 2, x, 4]").when(k == 4, " crops [1.2.3, 2, 3, 4] and (1, 2, 3, 4)").otherwise(F.col("p_type")))
+    box = tools.described_box(s)
+    return table(spark, d, "part").select("p_partkey", F.array_join(tools.described_transforms(s), ",").alias("used"), box[0].alias("x1"), box[1].alias("y1"), box[2].alias("x2"))
+
+
+_STRIP = lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_JSON_BODY = rf"""b AS (SELECT doc_id, s, {_STRIP("regexp_replace(regexp_replace(" + _STRIP("s") + r", '^```[a-zA-Z]*\s*', ''), '\s*```$', '')")} AS bare FROM s),
+o AS (SELECT *, regexp_extract(bare, '(?s)\{{.*\}}') AS outer_ FROM b), j AS (SELECT doc_id, s, CASE WHEN json_valid(bare) THEN bare WHEN json_valid(outer_) THEN outer_ END AS j FROM o)"""
+
+
+@query("planner_contract", rf"""
+WITH k AS (SELECT doc_id, text AS t, n_chars % 10 AS k FROM documents),
+s AS (SELECT doc_id, CASE k WHEN 0 THEN '```json' || chr(10) || CAST(to_json({{'mode': 'Answer ', 'think': 'x', 'answer': t}}) AS VARCHAR) || chr(10) || '```' WHEN 1 THEN CAST(to_json({{'mode': 'answer', 'think': t, 'answer': t, 'suggestions': [{{'plan': t}}, {{'plan': 'b'}}]}}) AS VARCHAR)
+  WHEN 2 THEN CAST(to_json({{'mode': 'guess', 'think': t, 'answer': t}}) AS VARCHAR) WHEN 3 THEN CAST(to_json({{'mode': 'suggestions', 'think': t, 'suggestions': [{{'plan': t}}, {{'plan': 'b'}}]}}) AS VARCHAR) WHEN 4 THEN '<think>a</think>' || chr(10) || '<answer>' || t || '</answer>' WHEN 5 THEN '<think>a</think> no more'
+  WHEN 6 THEN '<think>a</think><suggestions>' || CAST(to_json([t, t, 'c']) AS VARCHAR) || '</suggestions>' WHEN 7 THEN '<answer>' || t || '</answer><think>late</think>' WHEN 8 THEN 'So it is: ' || CAST(to_json({{'mode': 'suggestions', 'think': ' ', 'answer': t, 'suggestions': [1]}}) AS VARCHAR) ELSE t || '<think>a</think><answer>b</answer><answer>c</answer>' END AS s FROM k), {_JSON_BODY},
+f AS (SELECT doc_id, s, coalesce(json_type(j) = 'OBJECT' AND json_exists(j, '$.mode') AND json_exists(j, '$.think'), false) AS is_json, lower({_STRIP("json_extract_string(j, '$.mode')")}) AS mode, json_extract_string(j, '$.answer') AS answer, nullif(json_type(j, '$.suggestions'), 'NULL') AS offered, json_array_length(j, '$.suggestions') AS listed,
+  regexp_extract_all(s, '(?s)<think>(.*?)</think>', 1) AS th, regexp_extract_all(s, '(?s)<answer>(.*?)</answer>', 1) AS an, regexp_extract_all(s, '(?s)<suggestions>(.*?)</suggestions>', 1) AS su FROM j),
+e AS (SELECT *, CASE WHEN is_json THEN CASE WHEN mode = 'answer' AND offered IS NOT NULL THEN 'answer and suggestions' WHEN mode = 'answer' AND answer IS NULL THEN 'answer is missing' WHEN mode = 'answer' AND {_STRIP("answer")} = '' THEN 'answer is empty'
+    WHEN mode = 'suggestions' AND coalesce(answer, '') <> '' THEN 'answer and suggestions' WHEN mode = 'suggestions' AND coalesce(offered, '') <> 'ARRAY' THEN 'suggestions are no array' WHEN mode NOT IN ('answer', 'suggestions') THEN 'unknown mode' END
+  WHEN (contains(s, '<answer>') AND instr(s, '<answer>') < instr(s, '<think>')) OR (contains(s, '<suggestions>') AND instr(s, '<suggestions>') < instr(s, '<think>')) THEN 'think comes late' WHEN len(th) > 1 OR len(an) > 1 OR len(su) > 1 THEN 'repeated tag' WHEN len(th) = 0 THEN 'think is missing' WHEN {_STRIP("th[1]")} = '' THEN 'think is empty'
+  WHEN len(an) + len(su) = 2 THEN 'answer and suggestions' WHEN len(an) + len(su) = 0 THEN 'neither answer nor suggestions' WHEN {_STRIP("an[1]")} = '' THEN 'answer is empty' WHEN len(su) = 1 AND NOT (json_valid(su[1]) AND json_type(CASE WHEN json_valid(su[1]) THEN su[1] END) = 'ARRAY') THEN 'suggestions are no array' END AS error,
+  CASE WHEN is_json THEN mode = 'answer' ELSE len(an) > 0 END AS can FROM f)
+SELECT doc_id, error, CASE WHEN error IS NULL AND can THEN {_STRIP("CASE WHEN is_json THEN answer ELSE an[1] END")} END AS answer, CASE WHEN error IS NOT NULL OR can THEN 0 WHEN is_json THEN CAST(listed AS INTEGER) ELSE CAST(json_array_length(su[1]) AS INTEGER) END AS suggestions, CASE WHEN error IS NULL THEN can END AS can_answer_now FROM e""")
 def planner_contract(spark, d):
-    """Planner outputs around whole texts: a JSON answer, both kinds, a wrong mode, suggestions, tags, and neither."""
-    k = F.col("n_chars") % 6
+    """Planner outputs around whole texts: JSON answers and suggestions, both, a wrong mode, prose around them, and tags,
+    late, repeated or left out. The SQL builds the same texts and reads them by the contract."""
+    k = F.col("n_chars") % 10
     json = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in c.items())))
     t = F.col("text")
     two = F.array(F.struct(t.alias("plan")), F.struct(F.lit("b").alias("plan")))
     s = F.when(k == 0, F.concat(F.lit("```json\n"), json(mode=F.lit("Answer "), think=F.lit("x"), answer=t), F.lit("\n```"))).when(k == 1, json(mode=F.lit("answer"), think=t, answer=t, suggestions=two)).when(k == 2, json(mode=F.lit("guess"), think=t, answer=t)).when(k == 3, json(mode=F.lit("suggestions"), think=t, suggestions=two))
-    s = s.when(k == 4, F.concat(F.lit("<think>a</think>\n<answer>"), t, F.lit("</answer>"))).otherwise(F.lit("<think>a</think> no more"))
+    s = s.when(k == 4, F.concat(F.lit("<think>a</think>\n<answer>"), t, F.lit("</answer>"))).when(k == 5, F.lit("<think>a</think> no more")).when(k == 6, F.concat(F.lit("<think>a</think><suggestions>"), F.to_json(F.array(t, t, F.lit("c"))), F.lit("</suggestions>")))
+    s = s.when(k == 7, F.concat(F.lit("<answer>"), t, F.lit("</answer><think>late</think>"))).when(k == 8, F.concat(F.lit("So it is: "), json(mode=F.lit("suggestions"), think=F.lit(" "), answer=t, suggestions=F.array(F.lit(1))))).otherwise(F.concat(t, F.lit("<think>a</think><answer>b</answer><answer>c</answer>")))
     p = text.planner_output(s)
     return table(spark, d, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.error", F.col("p.direct_answer").alias("answer"), F.coalesce(F.size("p.suggestions"), F.lit(0)).alias("suggestions"), "p.can_answer_now")
 
 
-@query("executor_contract", """
-WITH k AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t, n_chars % 5 AS k FROM documents)
-SELECT doc_id, CASE k WHEN 0 THEN CASE WHEN t = '' THEN 'empty code' END WHEN 1 THEN 'wrong tool name' WHEN 2 THEN CASE WHEN t = '' THEN 'empty description' END WHEN 3 THEN 'no JSON object' ELSE 'empty think' END AS error, CASE WHEN k = 0 AND t <> '' THEN t WHEN k = 2 AND t <> '' THEN 'code' END AS code FROM k""")
+@query("executor_contract", rf"""
+WITH k AS (SELECT doc_id, text AS t, n_chars % 7 AS k FROM documents),
+s AS (SELECT doc_id, CASE k WHEN 3 THEN 'no braces here' WHEN 5 THEN '```' || CAST(to_json({{'think': t, 'tool_call': t}}) AS VARCHAR) || '```' ELSE CASE WHEN k = 6 THEN t || ' ' ELSE '' END || CAST(to_json({{'think': CASE WHEN k = 4 THEN ' ' ELSE 'why' END, 'tool_call': {{'name': CASE WHEN k = 1 THEN 'another_tool' ELSE 'code_image_tool' END, 'arguments': {{'code': CASE WHEN k = 2 THEN ' code ' ELSE t END, 'description': CASE WHEN k = 2 THEN t ELSE 'd' END}}}}}}) AS VARCHAR) END AS s FROM k), {_JSON_BODY},
+f AS (SELECT doc_id, coalesce(json_type(j) = 'OBJECT' AND json_exists(j, '$.think') AND json_exists(j, '$.tool_call'), false) AS ok, coalesce({_STRIP("json_extract_string(j, '$.think')")}, '') AS think, coalesce(json_type(j, '$.tool_call') = 'OBJECT', false) AS called, coalesce({_STRIP("json_extract_string(j, '$.tool_call.name')")}, '') AS name, coalesce(json_type(j, '$.tool_call.arguments') = 'OBJECT', false) AS given,
+  coalesce({_STRIP("json_extract_string(j, '$.tool_call.arguments.code')")}, '') AS code, coalesce({_STRIP("json_extract_string(j, '$.tool_call.arguments.description')")}, '') AS said FROM j),
+e AS (SELECT *, CASE WHEN NOT ok THEN 'no JSON object' WHEN think = '' THEN 'empty think' WHEN NOT called THEN 'no tool call' WHEN name <> 'code_image_tool' THEN 'wrong tool name' WHEN NOT given THEN 'no arguments' WHEN code = '' THEN 'empty code' WHEN said = '' THEN 'empty description' END AS error FROM f)
+SELECT doc_id, error, CASE WHEN error IS NULL THEN code END AS code FROM e""")
 def executor_contract(spark, d):
-    k, t = F.col("n_chars") % 5, F.col("text")
+    """Executor outputs around whole texts: sound calls, bare and behind prose, and six faults. The SQL builds the same
+    texts and reads them by the contract."""
+    k, t = F.col("n_chars") % 7, F.col("text")
     call = lambda name, code, said, think=F.lit("why"): F.to_json(F.struct(think.alias("think"), F.struct(F.lit(name).alias("name"), F.struct(code.alias("code"), said.alias("description")).alias("arguments")).alias("tool_call")))
-    s = F.when(k == 0, call("code_image_tool", t, F.lit("d"))).when(k == 1, call("another_tool", t, F.lit("d"))).when(k == 2, call("code_image_tool", F.lit(" code "), t)).when(k == 3, F.lit("no braces here")).otherwise(call("code_image_tool", t, F.lit("d"), F.lit(" ")))
+    s = F.when(k == 0, call("code_image_tool", t, F.lit("d"))).when(k == 1, call("another_tool", t, F.lit("d"))).when(k == 2, call("code_image_tool", F.lit(" code "), t)).when(k == 3, F.lit("no braces here")).when(k == 4, call("code_image_tool", t, F.lit("d"), F.lit(" ")))
+    s = s.when(k == 5, F.concat(F.lit("```"), F.to_json(F.struct(t.alias("think"), t.alias("tool_call"))), F.lit("```"))).otherwise(F.concat(t, F.lit(" "), call("code_image_tool", t, F.lit("d"))))
     return table(spark, d, "documents").select("doc_id", text.executor_output(s).alias("e")).select("doc_id", "e.error", "e.code")
 
 
