@@ -179,24 +179,33 @@ class LicenseScanner:
         return [out[k] for k in sorted(out)]
 
 
-_scanner: list[LicenseScanner] = []
+#: The scanner of the worker's last task, by its templates and tags.
+_scanner: dict[tuple, LicenseScanner] = {}
 
 
-def license_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scanner_of(templates: tuple, tags: tuple) -> LicenseScanner:
+    if (templates, tags) not in _scanner:
+        _scanner.clear()
+        _scanner[templates, tags] = LicenseScanner(list(templates), list(tags))
+    return _scanner[templates, tags]
+
+
+def license_scan(docs: DataFrame, *, templates: list[tuple[str, str]] = TEMPLATES, tags: list[str] = SPDX_TAGS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per notice found: ``doc_id, first_word, words, license, template, saved_bytes, coverage, missing,
     extra, exact``; one pass, no shuffle.
 
     first_word counts the words of the whole text. missing and extra are the wording differences in words, as
     text; exact: there are none. Null and empty texts, and texts without a notice, give no row; repeated rows
     each give theirs; null ids are kept. Other columns are ignored. Ties between templates go to the one that
-    covers more words, then saves more bytes, then comes first.
+    covers more words, then saves more bytes, then comes first. ``templates`` are (license, text) of any length, complete
+    license texts too; ``tags`` are the identifiers whose tag lines are notices. They go to every task.
     """
+    known = tuple(map(tuple, templates)), tuple(tags)
 
     def run(it):
-        if not _scanner:
-            _scanner.append(LicenseScanner())
+        scanner = _scanner_of(*known)
         for b in it:
-            rows = [(k.as_py(), r) for k, t in zip(b.column(0), b.column(1), strict=True) for r in _scanner[0].scan(t.as_py())]
+            rows = [(k.as_py(), r) for k, t in zip(b.column(0), b.column(1), strict=True) for r in scanner.scan(t.as_py())]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([k for k, _ in rows], pa.int64()),
                 "first_word": pa.array([r["first_word"] for _, r in rows], pa.int64()),

@@ -146,3 +146,20 @@ def test_quality_bound_holds_for_pairs(spark, monkeypatch):
     quality.train(docs, labels, max_train=1000)
     usable = [k for k in range(5) if zlib.crc32(str(k).encode()) % 4 != 2]
     assert seen == [10, 100 * len(usable)]
+
+
+def test_license_scan_with_a_complete_license_text(spark):
+    """A template of 1500 words, whole, with two words changed, and once more behind 40,000 other words."""
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9))) for _ in range(1500)]
+    changed = [*words[:700], "otherwise", *words[701:1200], *words[1201:]]
+    other = ["".join(rng.choice("vwxyz") for _ in range(5)) for _ in range(40_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "head " + " ".join(changed)), (3, " ".join(other + words)), (4, " ".join(other)), (5, None)], "doc_id long, text string")
+    templates = [*licenses.TEMPLATES, ("Own-1.0", " ".join(words))]
+    got = {r.doc_id: r for r in licenses.license_scan(docs, templates=templates, tags=[]).collect()}
+    assert got.keys() == {1, 2, 3} and {r.license for r in got.values()} == {"Own-1.0"}
+    assert got[1].exact and got[3].exact and got[3].first_word == 40_000 and got[1].words == 1500
+    assert not got[2].exact and got[2].first_word == 1 and got[2].missing.split() == [words[700], words[1200]] and got[2].extra == "otherwise"
+    assert licenses.license_scan(docs).count() == 0
