@@ -122,11 +122,19 @@ def single_tag(text: Column, tag: str) -> tuple[Column, Column]:
     return F.when(n == 1, _strip(found[0])), error
 
 
+def _is_json(text: Column) -> Column:
+    """Whether a text is one JSON value as a whole. The parser stops behind the first value, so that the text is read
+    as the first of two elements with its own hash as the second."""
+    mark = F.xxhash64(text)
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), mark.cast("string"), F.lit("]")))
+    return F.coalesce(F.try_variant_get(both, "$[1]", "long") == mark, F.lit(False))
+
+
 def fenced_json(text: Column) -> Column:
     """JSON text without code fences: the whole, or else from the first brace to the last."""
-    bare = _strip(F.regexp_replace(F.regexp_replace(_strip(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
-    outer = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(bare).isNotNull(), bare).when((outer != "") & F.try_parse_json(outer).isNotNull(), outer)
+    bare = _strip(F.regexp_replace(F.regexp_replace(_strip(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```\z", ""))
+    outer = lambda b: _once(F.regexp_extract(b, r"(?s)\{.*\}", 0), lambda o: F.when(_is_json(o), o))
+    return _once(bare, lambda b: F.when(_is_json(b), b).otherwise(outer(b)))
 
 
 def planner_error(text: Column) -> Column:

@@ -217,7 +217,7 @@ def planner_contract(spark, d):
     """Planner outputs around whole texts: JSON answers and suggestions, both, a wrong mode, prose around them, and tags,
     late, repeated or left out. The SQL builds the same texts and reads them by the contract."""
     k = F.col("n_chars") % 10
-    json = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in c.items())))
+    json = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in c.items())), {"ignoreNullFields": "false"})
     t = F.col("text")
     two = F.array(F.struct(t.alias("plan")), F.struct(F.lit("b").alias("plan")))
     s = F.when(k == 0, F.concat(F.lit("```json\n"), json(mode=F.lit("Answer "), think=F.lit("x"), answer=t), F.lit("\n```"))).when(k == 1, json(mode=F.lit("answer"), think=t, answer=t, suggestions=two)).when(k == 2, json(mode=F.lit("guess"), think=t, answer=t)).when(k == 3, json(mode=F.lit("suggestions"), think=t, suggestions=two))
@@ -238,9 +238,9 @@ def executor_contract(spark, d):
     """Executor outputs around whole texts: sound calls, bare and behind prose, and six faults. The SQL builds the same
     texts and reads them by the contract."""
     k, t = F.col("n_chars") % 7, F.col("text")
-    call = lambda name, code, said, think=F.lit("why"): F.to_json(F.struct(think.alias("think"), F.struct(F.lit(name).alias("name"), F.struct(code.alias("code"), said.alias("description")).alias("arguments")).alias("tool_call")))
+    call = lambda name, code, said, think=F.lit("why"): F.to_json(F.struct(think.alias("think"), F.struct(F.lit(name).alias("name"), F.struct(code.alias("code"), said.alias("description")).alias("arguments")).alias("tool_call")), {"ignoreNullFields": "false"})
     s = F.when(k == 0, call("code_image_tool", t, F.lit("d"))).when(k == 1, call("another_tool", t, F.lit("d"))).when(k == 2, call("code_image_tool", F.lit(" code "), t)).when(k == 3, F.lit("no braces here")).when(k == 4, call("code_image_tool", t, F.lit("d"), F.lit(" ")))
-    s = s.when(k == 5, F.concat(F.lit("```"), F.to_json(F.struct(t.alias("think"), t.alias("tool_call"))), F.lit("```"))).otherwise(F.concat(t, F.lit(" "), call("code_image_tool", t, F.lit("d"))))
+    s = s.when(k == 5, F.concat(F.lit("```"), F.to_json(F.struct(t.alias("think"), t.alias("tool_call")), {"ignoreNullFields": "false"}), F.lit("```"))).otherwise(F.concat(t, F.lit(" "), call("code_image_tool", t, F.lit("d"))))
     return table(spark, d, "documents").select("doc_id", text.executor_output(s).alias("e")).select("doc_id", "e.error", "e.code")
 
 

@@ -105,3 +105,12 @@ def test_planner_runtime_and_judge_rules(spark):
     assert {r.k: list(r.broken) for r in trajectory.violations(run, **trajectory.runtime_invariants()).collect()} == {2: ["helper_call_count"], 3: ["success_xor_error"], 4: ["success_xor_error"]}
     judge = spark.createDataFrame([(1, "step", 0), (2, "step", None), (3, "trajectory", None)], "k int, scope_type string, scope_step_idx int")
     assert [r.k for r in trajectory.violations(judge, **trajectory.judge_invariants()).collect()] == [2]
+
+
+def test_prose_that_starts_like_json(spark):
+    """A number, string, list or object ahead of the call is prose: JSON is the whole text or what the braces hold."""
+    ahead = ["12 apples", '"so" he said', "[1, 2] holds", "null and", "3.5", "1, 2", "1],["]
+    rows = spark.createDataFrame([(k, f"{a} {call()}") for k, a in enumerate(ahead)], "k int, s string")
+    assert {tuple(r.e) for r in rows.select(text.executor_output(F.col("s")).alias("e")).collect()} == {("why", "x = 1", "d", None)}
+    own = spark.createDataFrame([(1, "{} {}"), (2, '{"a": 1} x'), (3, " [1, 2] "), (4, "12"), (5, "12 x"), (6, None), (7, "1, 2"), (8, '{"a": 1}}')], "k int, s string")
+    assert {r.k: r.j for r in own.select("k", text.fenced_json(F.col("s")).alias("j")).collect()} == {1: None, 2: '{"a": 1}', 3: "[1, 2]", 4: "12", 5: None, 6: None, 7: None, 8: None}
