@@ -90,12 +90,23 @@ def geo_mean(tokens: DataFrame, row: str, logp: str, old: str, adv: str, mask: s
     return per.select(row, (-F.col("__a") * F.exp("__g")).alias("loss"))
 
 
+def _masked_means(tokens: DataFrame, logp: str, adv: str, mask: str) -> tuple[Column, Column, float]:
+    """Mean advantage and mean log-prob of the masked tokens, and the mask's sum. They are worked out once, as literals:
+    a mean of doubles depends on the order in which parts arrive, and passes that compare for equality must see one value."""
+    m = F.col(mask) != 0
+    a, l, n = tokens.agg(F.avg(F.when(m, F.col(adv)).cast("double")), F.avg(F.when(m, F.col(logp)).cast("double")), F.sum(mask)).first()
+    return F.lit(a).cast("double"), F.lit(l).cast("double"), n or 0
+
+
+def _banded(tokens: DataFrame, a: Column, l: Column, logp: str, adv: str, mask: str, low: float, high: float) -> DataFrame:
+    t = tokens.withColumn("cov", (F.col(adv) - a) * (F.col(logp) - l))
+    return t.withColumn("in_band", (F.col(mask) != 0) & (F.col("cov") > low) & (F.col("cov") < high))
+
+
 def clip_cov_band(tokens: DataFrame, logp: str, adv: str, mask: str, low: float, high: float) -> DataFrame:
     """Adds ``cov`` = (adv - mean adv)(logp - mean logp) over masked tokens, and whether it lies in the band."""
-    m = F.col(mask) != 0
-    stat = tokens.agg(F.avg(F.when(m, F.col(adv))).alias("__a"), F.avg(F.when(m, F.col(logp))).alias("__l"))
-    t = tokens.crossJoin(F.broadcast(stat)).withColumn("cov", (F.col(adv) - F.col("__a")) * (F.col(logp) - F.col("__l"))).drop("__a", "__l")
-    return t.withColumn("in_band", m & (F.col("cov") > low) & (F.col("cov") < high))
+    a, l, _ = _masked_means(tokens, logp, adv, mask)
+    return _banded(tokens, a, l, logp, adv, mask, low, high)
 
 
 def clip_cov_loss(tokens: DataFrame, logp: str, old: str, adv: str, mask: str, *order: str, low: float = 0.2, high: float = 0.2, ratio: float = 0.0002, cov_low: float = 1.0, cov_high: float = 5.0, seed: int = 0) -> DataFrame:
@@ -118,12 +129,15 @@ def clip_cov_loss(tokens: DataFrame, logp: str, old: str, adv: str, mask: str, *
 
 
 def kl_cov_loss(tokens: DataFrame, logp: str, old: str, adv: str, mask: str, *order: str, ratio: float = 0.0002, weight: float = 1.0) -> DataFrame:
-    """Adds ``loss``: -adv times the ratio, and for the tokens of largest covariance (:func:`kl_cov_top`) also ``weight``
-    times the absolute log-prob difference."""
-    top = kl_cov_top(tokens, logp, adv, mask, ratio, *order).select(*(F.col(c).alias(f"__{c}") for c in order))
-    j = tokens.join(top, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{c}") for c in order)), "left")
+    """Adds ``loss``: -adv times the ratio, and for the tokens of largest covariance (those of :func:`kl_cov_top`) also
+    ``weight`` times the absolute log-prob difference. The tokens are marked in place, not joined to those found."""
+    from .selection import among_smallest
+
+    m = F.col(mask) != 0
+    t = clip_cov_band(tokens, logp, adv, mask, 0.0, 0.0).drop("in_band")
+    marked = among_smallest(t, "__top", max(1, int(tokens.where(m).count() * ratio)), F.when(m, F.col("cov")), *order, largest=True)
     plain = -F.col(adv) * F.exp(F.col(logp) - F.col(old))
-    return j.withColumn("loss", plain + F.when(F.col(f"__{order[0]}").isNotNull(), weight * F.abs(F.col(logp) - F.col(old))).otherwise(0.0)).select(*tokens.columns, "loss")
+    return marked.withColumn("loss", plain + F.when(m & F.col("__top"), weight * F.abs(F.col(logp) - F.col(old))).otherwise(0.0)).select(*tokens.columns, "loss")
 
 
 def truncated_importance(loss: Column, old: Column, rollout: Column, cap: float) -> Column:
