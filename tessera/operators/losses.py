@@ -113,19 +113,23 @@ def clip_cov_loss(tokens: DataFrame, logp: str, old: str, adv: str, mask: str, *
     """Adds ``loss`` and ``dropped``: of the masked tokens that plain clipping leaves alone and whose covariance lies in the
     band, max(1, int(N ratio)) are drawn (in seeded order of ``order``) and lose their gradient; the others keep the
     clipped loss."""
+    from ..sources.scratch import written
     from .sampling import shuffled
     from .selection import hex_value, smallest
 
     r = F.exp(F.col(logp) - F.col(old))
     plain, cut = -F.col(adv) * r, -F.col(adv) * F.greatest(F.least(r, F.lit(1 + high)), F.lit(1 - low))
-    banded = clip_cov_band(tokens, logp, adv, mask, cov_low, cov_high)
+    a, l, n = _masked_means(tokens, logp, adv, mask)
     free = F.col("in_band") & ~(cut > plain)
-    n = tokens.agg(F.sum(F.col(mask))).first()[0] or 0
-    open_ = banded.where(free).select(*order, shuffled(seed, *order).alias("__m"))
-    drawn = smallest(open_, max(1, int(n * ratio)), hex_value(F.col("__m")), "__m", *order).select(*(F.col(c).alias(f"__{c}") for c in order))
-    j = banded.join(drawn, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"__{c}") for c in order)), "left")
-    dropped = F.col(f"__{order[0]}").isNotNull()
-    return j.withColumn("dropped", dropped).withColumn("loss", F.when(dropped, 0.0).otherwise(F.greatest(plain, cut))).select(*tokens.columns, "dropped", "loss")
+    banded = _banded(tokens, a, l, logp, adv, mask, cov_low, cov_high)
+    # the passes of the selection read the open tokens' keys and numbers, written once; the tokens are read once more
+    place = F.struct(hex_value(shuffled(seed, *order)).alias("v"), shuffled(seed, *order).alias("m"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)))
+    open_ = written(tokens.sparkSession)(banded.where(free).select(*order, hex_value(shuffled(seed, *order)).alias("__v"))).withColumn("__m", shuffled(seed, *order))
+    drawn = smallest(open_, max(1, int(n * ratio)), F.col("__v"), "__m", *order).select(F.struct(F.col("__v").alias("v"), F.col("__m").alias("m"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order))).alias("p")).agg(F.max("p").alias("__last"))
+    last = tokens.sparkSession.createDataFrame(drawn.collect(), drawn.schema)  # one row; null if no token is open
+    j = banded.crossJoin(F.broadcast(last))
+    dropped = F.coalesce(free & (place <= F.col("__last")), F.lit(False))
+    return j.withColumn("dropped", dropped).withColumn("loss", F.when(F.col("dropped"), 0.0).otherwise(F.greatest(plain, cut))).select(*tokens.columns, "dropped", "loss")
 
 
 def kl_cov_loss(tokens: DataFrame, logp: str, old: str, adv: str, mask: str, *order: str, ratio: float = 0.0002, weight: float = 1.0) -> DataFrame:

@@ -47,3 +47,21 @@ def test_largest_covariance_where_means_vary(spark, tokens):
 
 def test_no_masked_tokens(spark, tokens):
     assert losses.token_losses("kl_cov", tokens.withColumn("mask", F.lit(0))).where(F.abs(F.col("loss") + F.col("adv") * F.exp(F.lit(0.25))) > 0.2).count() == 0
+
+
+def test_drawn_tokens_are_marked_in_one_pass(spark, tokens):
+    """The tokens drawn are those of smallest digest, and the result reads the tokens once: no join meets them again."""
+    from hashlib import md5
+
+    from tessera.plans import catalogue
+
+    got = losses.token_losses("clip_cov", tokens, ratio=0.05, cov_low=-1e9, cov_high=1e9, seed=3)
+    below = {(x.row, x.t) for x in tokens.where("adv < 0").collect()}
+    ids = sorted((md5(f"3|{r}|{t}".encode()).hexdigest(), r, t) for r, t, _ in kept() if (r, t) in below)
+    most = int(len(kept()) * 0.05)
+    # the ratio is exp(0.25): only tokens of negative advantage are left alone by the clipping
+    assert {(x.row, x.t) for x in got.where("dropped").collect()} == {(r, t) for _, r, t in ids[:most]} and got.where("dropped and loss <> 0").count() == 0
+    none = losses.token_losses("clip_cov", tokens, cov_low=1e20, cov_high=1e21)
+    assert none.where("dropped").count() == 0 and none.count() == N
+    plan = catalogue.QUERIES["clip_cov_draw"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") + plan.count("BatchScan") == 1 and "HashJoin" not in plan and "MergeJoin" not in plan, plan
