@@ -39,13 +39,16 @@ def pretrain_blocks(rows: DataFrame, order: str, ids: str, block: int, batch: in
     w = Window.partitionBy("batch_no").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     n = F.size(ids).cast("long")
     at = b.select("batch_no", ids, n.alias("n"), F.coalesce(F.sum(n).over(w), F.lit(0)).alias("start")).where("n > 0")
-    # a row is cut at block borders; what is shuffled is one piece per row and block
+    # a row is cut at block borders into one piece a block; pieces alone go on, never beside the whole row's ids
     last = F.floor((F.col("start") + F.col("n") - 1) / block)
-    cut = at.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
-    first = F.greatest(F.col("block_no") * block - F.col("start"), F.lit(0))
-    stop = F.least((F.col("block_no") + 1) * block - F.col("start"), F.col("n"))
-    piece = F.struct((F.col("start") + first).alias("place"), F.slice(ids, (first + 1).cast("int"), (stop - first).cast("int")).alias("part"))
-    g = cut.groupBy("batch_no", "block_no").agg(F.sum(stop - first).alias("n"), F.array_sort(F.collect_list(piece)).alias("s"))
+
+    def piece(k: Column) -> Column:
+        first = F.greatest(k * block - F.col("start"), F.lit(0))
+        stop = F.least((k + 1) * block - F.col("start"), F.col("n"))
+        return F.struct(k.alias("block_no"), (F.col("start") + first).alias("place"), F.slice(ids, (first + 1).cast("int"), (stop - first).cast("int")).alias("part"))
+
+    pieces = at.select("batch_no", F.explode(F.transform(F.sequence(F.floor(F.col("start") / block), last), piece)).alias("p")).select("batch_no", "p.*")
+    g = pieces.groupBy("batch_no", "block_no").agg(F.sum(F.size("part")).alias("n"), F.array_sort(F.collect_list(F.struct("place", "part"))).alias("s"))
     return g.where(F.col("n") == block).select("batch_no", "block_no", F.flatten(F.col("s.part")).alias("ids"))
 
 

@@ -80,3 +80,18 @@ def test_pad_or_cut(spark):
     assert pick(truncation="middle") == [[0, 1, 2, 3], [1, 2, 5, 6]]
     with pytest.raises(Exception, match="is over 4"):
         pick()
+
+
+def test_blocks_of_long_rows_move_as_pieces(spark):
+    """The explosion into blocks gives pieces; before, each of a row's blocks carried all of the row's ids."""
+    rng = random.Random(3)
+    rows = [(k, [rng.randrange(100) for _ in range(rng.choice((0, 1, 3, 8, 9, 700)))]) for k in range(40)] + [(40, None)]
+    out = packing.pretrain_blocks(spark.createDataFrame(rows, "k long, v array<int>"), "k", "v", 8, batch=10)
+    want = {}
+    for b in range(5):
+        ids = [i for k, v in rows if k // 10 == b for i in v or []]
+        want |= {(b, j): ids[j * 8 : j * 8 + 8] for j in range(len(ids) // 8)}
+    assert {(r.batch_no, r.block_no): r.ids for r in out.collect()} == want
+    # the groups take ready pieces; a slice inside them would need the whole ids in each of their rows
+    groups = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line)
+    assert "collect_list" in groups and "slice" not in groups, groups
